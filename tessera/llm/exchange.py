@@ -80,6 +80,8 @@ def unpack(data: bytes, low: int, width: int, bucket: int, bits: int) -> np.ndar
     out = np.zeros((len(part), 8), np.uint8)
     out[:, low : low + width] = part
     out = out.view(np.uint64).ravel()
+    if bits == 64:  # nothing was left out
+        return out
     keep = np.uint64((1 << (64 - bits)) - 1)
     return (out & keep) | np.uint64(bucket << (64 - bits))
 
