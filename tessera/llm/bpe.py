@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -193,32 +193,31 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
-class Encoder:
-    """Encodes texts and remembers the tokens of the distinct pieces, up to a bound."""
+class PieceCache:
+    """Encodes texts piece by piece; the ids of distinct pieces are kept, up to a bound, then it starts anew.
 
-    def __init__(self, codec: Codec):
-        self.codec, self.find = codec, regex.compile(codec.pattern).findall
+    ``split`` gives the pieces of a text, ``encode`` the ids of a list of new pieces.
+    """
+
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list], bound: int = CACHE_PIECES):
+        self.split, self.encode_new, self.bound = split, encode, bound
         self._reset()
 
     def _reset(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > CACHE_PIECES:
+        if len(self.number) > self.bound:
             self._reset()
         number, known = self.number, len(self.number)
-        codes = []
-        for text in texts:
-            pieces = self.find(text) if text else []
-            own = [number.setdefault(p, len(number)) for p in pieces]
-            codes.append(np.array(own, np.int64))
+        codes = [np.array([number.setdefault(p, len(number)) for p in self.split(text)], np.int64) for text in texts]
         if len(number) > known:
-            tokens = self.codec.encode_pieces([p.encode() for p in islice(number, known, None)])
+            tokens = self.encode_new(list(islice(number, known, None)))
             size = np.array([len(t) for t in tokens], np.int64)
             self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
             self.size = np.r_[self.size, size]
-            self.flat = np.concatenate([self.flat, *tokens])
+            self.flat = np.concatenate([self.flat, *(np.asarray(t, np.uint32) for t in tokens)])
         out = []
         for own in codes:
             size = self.size[own]
@@ -227,17 +226,21 @@ class Encoder:
         return out
 
 
+def encoder(codec: Codec) -> PieceCache:
+    return PieceCache(regex.compile(codec.pattern).findall, lambda pieces: codec.encode_pieces([p.encode() for p in pieces]))
+
+
 def _encode(codec, decode: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Codec = codec.value
-        encoder = Encoder(c)
+        cache = encoder(c)
         for rows in source:
             texts = [t or "" for t in rows.column("text").to_pylist()]
             size = np.cumsum([0, *map(len, texts)])
             at = 0
             while at < rows.num_rows:
                 to = max(at + 1, int(np.searchsorted(size, size[at] + CHUNK_CHARS, side="right")) - 1)
-                ids = encoder.encode(texts[at:to])
+                ids = cache.encode(texts[at:to])
                 columns = [rows.column("id").slice(at, to - at), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
                 if decode:
                     columns.append(pa.array([c.decode(x) for x in ids], pa.binary()))
