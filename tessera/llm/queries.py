@@ -62,11 +62,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, root)
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_byte_level_bpe": op5_byte_level_bpe,
     "op6_token_files": op6_token_files,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
 }
