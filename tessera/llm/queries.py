@@ -69,12 +69,19 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents")).select("doc_id", held_out(4, 2), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_byte_level_bpe": op5_byte_level_bpe,
     "op6_token_files": op6_token_files,
     "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_language_id": op8_language_id,
     "op10_toxicity": op10_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
 }
