@@ -12,10 +12,10 @@ Shingles that only one document holds cannot be shared: they count for a set's s
 other shingles are fewer than 0.75 |x| is alone for certain. That leaves near-copies.
 
 Within regions, pivots are documents. Round one takes one centre for each region and the distance of every member
-from it; links to centres join what they link. Regions whose members then lie in different components join recursively:
-a pivot's ball is linked to it, members whose distances from the pivot differ by over r cannot link, rings of
-width r with their neighbour ring recur, until one component or one member is left. Large regions are dealt in blocks and
-pairs of blocks. No pair is left out and no region has a cap.
+from it; links to centres join what they link. Regions whose members then lie in different components are put together where they
+share members, and join recursively: a pivot's ball is linked to it, members whose distances from the pivot differ
+by over r cannot link, rings of width r with their neighbour ring recur, until one component or one member is left.
+Large ones are dealt in blocks and pairs of blocks. No pair is left out and no region has a cap.
 
 Edge cases
 ----------
@@ -91,7 +91,7 @@ def _mapper(bits: int, k: int):
             many = size > 1
             inside = np.repeat(many, size)
             shared = np.array([int(many.sum())], np.int64).tobytes() + token[begin][many].tobytes() + size[many].astype(np.int64).tobytes() + doc[inside].tobytes()
-            out = [(-1 - batch % (1 << 30), batch, X.META, ids.tobytes(), n.tobytes(), sums.tobytes(), shared)]
+            out = [(X.own_key(batch), batch, X.META, ids.tobytes(), n.tobytes(), sums.tobytes(), shared)]
             if len(token):
                 token, doc = token[begin], np.where(many, _MANY, doc[begin]).astype(np.uint16)
                 order, buckets, begin = X.by_bucket(token, bits)
@@ -178,12 +178,16 @@ def join_sets(sets: list[np.ndarray], sizes: np.ndarray, component: np.ndarray,
     root = np.unique(component, return_inverse=True)[1]
     sets = [np.sort(s) for s in sets]
     found: list[tuple[int, int]] = []
-    todo = [np.argsort(sizes, kind="stable")]
+    todo = [np.arange(len(sets))]
     while todo:
         members = todo.pop()
-        if len(members) < 2 or (root[members] == root[members[0]]).all():
+        if len(members) < 2:
             continue
-        pivot, rest = members[0], members[1:]
+        # One of any two in different components is outside the largest: its members need not be pivots.
+        outside = np.flatnonzero(root[members] != np.bincount(root[members]).argmax())
+        if not len(outside):
+            continue
+        pivot, rest = members[outside[0]], np.delete(members, outside[0])
         flat = np.concatenate([sets[i] for i in rest])
         length = np.array([len(sets[i]) for i in rest])
         common = _overlap(flat, np.cumsum(length) - length, sets[pivot])
@@ -192,8 +196,7 @@ def join_sets(sets: list[np.ndarray], sizes: np.ndarray, component: np.ndarray,
             if root[other] != root[pivot]:
                 found.append((int(pivot), int(other)))
                 root[root == root[other]] = root[pivot]
-        distance = 1 - common / union
-        ring = np.floor(distance / radius).astype(int)
+        ring = np.floor((1 - common / union) / radius).astype(int)
         groups = [rest[(ring == r) | (ring == r + 1)] for r in np.unique(ring)]
         if max(map(len, groups)) > 0.7 * len(rest):
             todo.append(rest)  # the windows would replicate most of it
@@ -239,31 +242,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes, _ = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "x.id", "x.tokens"), "nodes")
 
     need = F.ceil(F.col("n") * percent / 100)
-    homes = nodes.select("node", "n", F.explode(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - need + 1).cast("int"))).alias("pivot"))
+    homes = nodes.select("node", (F.size("tokens") / F.col("n")).alias("share"), F.explode(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - need + 1).cast("int"))).alias("pivot"))
     homes, _ = scratch.write(homes, "homes")
-    regions = homes.groupBy("pivot").agg(F.min("node").alias("centre"), F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).filter("members > 1")
-    regions, _ = scratch.write(regions, "regions")
-    pairs = homes.join(regions.select("pivot", "centre"), "pivot").filter("node <> centre").select("node", "centre").distinct()
+    # A region's centre is the member with the largest share of shared shingles: the original among edited copies.
+    regions = homes.groupBy("pivot").agg(F.max(F.struct("share", -F.col("node"))).alias("x"), F.count("*").alias("members")).filter("members > 1")
+    regions, _ = scratch.write(regions.select("pivot", (-F.col("x.col2")).alias("centre")), "regions")
+    pairs = homes.join(regions, "pivot").filter("node <> centre").select("node", "centre").distinct()
     left = nodes.select("node", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
     right = nodes.select(F.col("node").alias("centre"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
     common = F.size(F.array_intersect("t1", "t2"))
-    fits = (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+    fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
     links = pairs.join(left, "node").join(right, "centre").filter(fits).filter(common * 100 >= (F.col("n1") + F.col("n2") - common) * percent)
     links, _ = scratch.write(links.select(F.col("node").alias("a"), F.col("centre").alias("b")), "links")
     joined, _ = scratch.write(components(links, scratch), "joined")
 
-    # Regions whose members are not all in one component yet; one of those that have the same members.
-    known = nodes.select("node", "n").join(joined, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    # Regions whose members are not all in one component yet. Those that share members go together, so that a set is
+    # sent to one place however many regions it is in.
+    known = nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     known, _ = scratch.write(known, "known")
-    marked = homes.select("pivot", "node").join(known, "node")
-    mixed = marked.groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    mixed = mixed.join(regions, "pivot").groupBy("members", "mark").agg(F.min("pivot").alias("pivot"))
-    mixed, _ = scratch.write(mixed.select("pivot", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "mixed")
-    members = marked.join(mixed, "pivot").join(nodes.select("node", "tokens"), "node")
+    mixed = homes.select("pivot", "node").join(known, "node").groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    mixed, _ = scratch.write(mixed.join(regions, "pivot").select("pivot", "centre"), "mixed")
+    areas = components(homes.join(mixed, "pivot").select(F.col("node").alias("a"), F.col("centre").alias("b")), scratch)
+    areas, _ = scratch.write(areas.select("node", F.col("component").alias("area")), "areas")
+    blocks = areas.groupBy("area").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks, _ = scratch.write(blocks, "blocks")
+    members = areas.join(blocks, "area").join(known, "node").join(nodes.select("node", "n", "tokens"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
-    members = members.select("*", own).select("pivot", "node", "n", "component", "tokens", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
-    late = members.groupBy("pivot", "low", "high").applyInPandas(_join_block(percent), "a long, b long")
+    members = members.select("*", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = members.select("area", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "n", "component", "tokens")
+    late = members.groupBy("area", "low", "high").applyInPandas(_join_block(percent), "a long, b long")
     late, _ = scratch.write(late.distinct(), "late")
     if late.isEmpty():
         final = known
