@@ -16,6 +16,13 @@ def held_out(parts: int, rest: int):
     return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == rest).alias("held_out")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    out = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(5, 0), "score", "predicted")
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import find_benchmark
 
@@ -76,6 +83,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_byte_level_bpe": op5_byte_level_bpe,
