@@ -82,6 +82,74 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents")).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
+#: A dated block list: (list, kind, pattern, action, day).
+URL_ENTRIES = [
+    ("ads", "domain", "ads-track.example.com", "add", "2024-02-01"),
+    ("ads", "domain", "ads-track.example.com", "remove", "2024-06-01"),
+    ("ads", "domain", "ads-track.example.com", "add", "2024-09-15"),
+    ("spam", "host", "www.spam-farm.example.org", "add", "2024-03-01"),
+    ("spam", "domain", "spam-farm.example.org", "add", "2024-05-01"),
+    ("spam", "domain", "spam-farm.example.org", "remove", "2024-11-01"),
+    ("gambling", "domain", "casino-win.example.net", "add", "2024-01-10"),
+    ("gambling", "domain", "free-bets.example.net", "add", "2024-04-01"),
+    ("gambling", "domain", "free-bets.example.net", "remove", "2024-04-01"),
+    ("adult", "host", "adult-x.example.com", "add", "2023-12-01"),
+    ("adult", "host", "adult-x.example.com", "remove", "2024-08-01"),
+    ("pharmacy", "domain", "cheap-pills.example.net", "add", "2024-07-01"),
+    ("pharmacy", "prefix", "blog.cheap-pills.example.net/en", "add", "2024-02-15"),
+    ("language", "prefix", "tionsh.example.net/de", "add", "2024-03-15"),
+    ("language", "prefix", "tionsh.example.net/de/", "remove", "2024-10-01"),
+]
+
+
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no fetch time: day ``page_id mod 366`` of 2024 stands for it. Besides the fixed list, every host whose name has an
+    odd length is on a rotating list for 60 days, from a day that its name gives."""
+    from .url_filters import evaluate, host_of
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched"))
+    fixed = spark.createDataFrame(URL_ENTRIES, "list string, kind string, pattern string, action string, at string").withColumn("at", F.col("at").cast("date"))
+    hosts = pages.select(host_of(F.col("url")).alias("host")).filter("host is not null and length(host) % 2 = 1").distinct()
+    begin = F.date_add(F.lit("2024-01-01").cast("date"), (F.length("host") * 37 + F.ascii("host") * 11) % 300)
+    states = F.array(F.struct(F.lit("add").alias("action"), begin.alias("at")), F.struct(F.lit("remove").alias("action"), F.date_add(begin, 60).alias("at")))
+    rotating = hosts.select(F.lit("rotating").alias("list"), F.lit("host").alias("kind"), F.col("host").alias("pattern"), F.explode(states).alias("s")).select("list", "kind", "pattern", "s.action", "s.at")
+    out = evaluate(pages, fixed.unionByName(rotating))
+    return out.select("page_id", "url", "host", F.col("fetched").cast("string").alias("fetched"), "n_entries", F.array_join("lists", ",").alias("lists"), "blocked")
+
+
+_OP9_SQL = r"""
+with pages_at as (
+  select page_id, url, date '2024-01-01' + cast(page_id % 366 as integer) as fetched,
+    nullif(lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '\.+$', '')), '') as host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') as segments
+  from pages
+), fixed(list, kind, key, action, day) as (values {values}
+), hosts as (
+  select distinct host, date '2024-01-01' + cast((length(host) * 37 + ascii(host) * 11) % 300 as integer) as begin_at from pages_at where length(host) % 2 = 1
+), entries as (
+  select list, kind, key, action = 'add' as is_on, cast(day as date) as day from fixed
+  union all select 'rotating', 'host', host, true, begin_at from hosts
+  union all select 'rotating', 'host', host, false, begin_at + 60 from hosts
+), states as (
+  select list, kind, key, day, bool_or(is_on) as is_on from entries group by all
+), changes as (
+  select * from (select *, coalesce(lag(is_on) over (partition by list, kind, key order by day), false) as was_on from states) where is_on <> was_on
+), active as (
+  select * from (select *, lead(day) over (partition by list, kind, key order by day) as valid_to from changes) where is_on
+), met as (
+  select p.page_id, p.url, p.fetched, a.list from pages_at p join active a on (
+    (a.kind = 'host' and a.key = p.host)
+    or (a.kind = 'domain' and (a.key = p.host or ends_with(p.host, '.' || a.key)))
+    or (a.kind = 'prefix' and starts_with(array_to_string(list_concat([p.host], p.segments), '/') || '/', a.key || '/')))
+    and a.day <= p.fetched and (a.valid_to is null or p.fetched < a.valid_to)
+), found as (
+  select page_id, url, fetched, count(*) as n, string_agg(distinct list, ',' order by list) as lists from met group by all
+)
+select p.page_id, p.url, p.host, cast(p.fetched as varchar) as fetched, coalesce(f.n, 0) as n_entries, coalesce(f.lists, '') as lists, f.n is not null as blocked
+from pages_at p left join found f on p.page_id = f.page_id and p.url = f.url and p.fetched = f.fetched
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -90,8 +158,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_language_id": op8_language_id,
+    "op9_url_filters": op9_url_filters,
     "op10_toxicity": op10_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filters": _OP9_SQL.format(values=", ".join(f"('{a}', '{b}', '{c.rstrip('/')}', '{d}', '{e}')" for a, b, c, d, e in URL_ENTRIES)),
+}
