@@ -188,27 +188,56 @@ def _match(index, keep_text: bool):
     return run
 
 
+def _items(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """The items that take part, and in how many blocks they are indexed."""
+    items = X.columns_of(benchmark, item_col, text_col, "string").dropna()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, max(1, -(-size // block_bytes))
+
+
+def _index(docs: DataFrame, items: DataFrame, blocks: int, k: int, window: int):
+    """The index of block ``k``, broadcast. Its shingles are counted over all of ``docs`` (a column text)."""
+    context = docs.sparkSession.sparkContext
+    part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
+    index = Index([tuple(r) for r in part.select("id", "text").collect()], window, SHINGLE)
+    count = {}
+    if len(index.candidates):
+        rows = docs.select("text").mapInArrow(_count(context.broadcast(index.candidates), SHINGLE), "token long, n long")
+        count = {r["token"] % (1 << 64): r["n"] for r in rows.groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    index.choose(count)
+    return context.broadcast(index)
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id_col, n_words, n_hit, item_ids, hits, contaminated): item_ids sorted as strings, hits as word intervals [start, end)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontamination")
+    scratch = Scratch(docs.sparkSession, "decontamination")
     docs = X.columns_of(docs, id_col, text_col)
-    items = X.columns_of(benchmark, item_col, item_text_col, "string").dropna()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    items, blocks = _items(benchmark, item_col, item_text_col, block_bytes)
     out = docs
     for k in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        index = Index([tuple(r) for r in part.select("id", "text").collect()], window, SHINGLE)
-        count = {}
-        if len(index.candidates):
-            wanted = spark.sparkContext.broadcast(index.candidates)
-            rows = docs.select("text").mapInArrow(_count(wanted, SHINGLE), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-            count = {r["token"] % (1 << 64): r["n"] for r in rows}
-        index.choose(count)
         last = k == blocks - 1
-        out = out.mapInArrow(_match(spark.sparkContext.broadcast(index), not last), _FOUND + ("" if last else ", text string"))
+        out = out.mapInArrow(_match(_index(docs, items, blocks, k, window), not last), _FOUND + ("" if last else ", text string"))
         if not last:
             out, _ = scratch.write(out, "block")
             out = out.select("id", "text", "item_ids", "hits")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    items, blocks = _items(benchmark, item_col, item_text_col, block_bytes)
+    if blocks > 1:  # hits of several blocks add up: rows are told apart by a number of the written input
+        number = "__tessera_row"
+        rows, _ = Scratch(docs.sparkSession, "decontamination").write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+        found = find_benchmark(rows, benchmark, number, text_col, item_col, item_text_col, window, block_bytes)
+        return rows.join(found.filter("contaminated").select(number), number, "left_anti").drop(number)
+    match = _match(_index(X.columns_of(docs, id_col, text_col), items, 1, 0, window), False)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in source:
+            only = pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows), rows.column(text_col)], names=["id", "text"])
+            found = list(match(iter([only])))
+            n_words, n_hit = (np.concatenate([f.column(c).to_numpy() for f in found]) for c in ("n_words", "n_hit"))
+            yield rows.filter(pa.array(~((n_hit > 0) & (n_hit * SHARE >= n_words))))
+
+    return docs.mapInArrow(run, docs.schema)

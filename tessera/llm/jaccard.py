@@ -287,3 +287,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nameless = docs.filter("id is null").select("text").mapInArrow(_sizes(shingle), "n int").select(F.lit(None).cast("long").alias("id"), "n", F.lit(None).cast("long").alias("least"))
     out = linked.unionByName(alone).unionByName(nameless)
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of its component; rows without an id stay, and so does one of equal rows."""
+    found = near_duplicates(docs, id_col, text_col, **options)
+    kept = found.filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__tessera_id")).distinct()
+    named = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("__tessera_id"), "left_semi")
+    return named.dropDuplicates([id_col, text_col]).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))

@@ -222,3 +222,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     docs = X.columns_of(docs, id_col, text_col)
     out = score(docs, fit(docs, labels, **options))
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "offending")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score stays below ``threshold``."""
+    model = fit(X.columns_of(docs, id_col, text_col), labels, **options)
+    scores = _score(model)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in source:
+            only = pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows), rows.column(text_col)], names=["id", "text"])
+            for scored in scores(iter([only])):  # one for one
+                yield rows.filter(pa.array(scored.column("score").to_numpy() < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
