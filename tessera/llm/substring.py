@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -162,13 +163,34 @@ def _cut(window: int):
     return run
 
 
+def _hits(docs: DataFrame, window: int) -> DataFrame:
+    """(id, hits): the hashes of the windows of each document that a smaller id holds. ``docs`` has columns id, text."""
+    bits = X.bucket_bits(docs)
+    hits = X.exchange(docs.filter("id is not null"), _mapper(bits, window), _reducer(bits), _assemble, _HITS)
+    hits, _ = Scratch(docs.sparkSession, "repeats").write(hits, "hits")
+    return hits.groupBy("id").agg(F.collect_list("hashes").alias("hits"))
+
+
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(id_col, n_words, n_removed, kept_text, removed): the words left, joined by one space, and the removed word intervals [start, end)."""
-    spark = docs.sparkSession
     docs = X.columns_of(docs, id_col, text_col)
-    bits = X.bucket_bits(docs)
-    hits = X.exchange(docs.filter("id is not null"), _mapper(bits, window), _reducer(bits), _assemble, _HITS)
-    hits, _ = Scratch(spark, "repeats").write(hits, "hits")
-    hits = hits.groupBy("id").agg(F.collect_list("hashes").alias("hits"))
-    out = docs.join(hits, "id", "left").select("id", "text", "hits").mapInArrow(_cut(window), _SPANS)
+    out = docs.join(_hits(docs, window), "id", "left").select("id", "text", "hits").mapInArrow(_cut(window), _SPANS)
     return out.withColumnRenamed("id", id_col)
+
+
+def cut_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with all columns; a text that loses words becomes its other words, joined by one space, the rest stay as they are."""
+    own, hits = "__tessera_id", "__tessera_hits"
+    found = _hits(X.columns_of(docs, id_col, text_col), window).select(F.col("id").alias(own), F.col("hits").alias(hits))
+    cut, schema = _cut(window), docs.schema
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in source:
+            only = pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, pa.int64()), rows.column(text_col), rows.column(hits)], names=["id", "text", "hits"])
+            done = pa.Table.from_batches(cut(iter([only]))).combine_chunks()
+            changed = pa.array(done.column("n_removed").to_numpy() > 0)
+            text = pc.if_else(changed, done.column("kept_text"), rows.column(text_col).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([text.combine_chunks() if name == text_col else rows.column(name) for name in schema.names], names=schema.names)
+
+    joined = docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col(own), "left").drop(own)
+    return joined.mapInArrow(run, schema)
