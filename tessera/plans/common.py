@@ -66,4 +66,4 @@ def probes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROBES, "id long, text string, category string, severity string")
 
 
-PROBES_SQL = "(select * from (values " + ", ".join(f"({i}, '{t}', '{c}', '{s}')" for i, t, c, s in PROBES) + ") as t(id, text, category, severity))"
+PROBES_SQL = "(select cast(id as bigint) as id, text, category, severity from (values " + ", ".join(f"({i}, '{t}', '{c}', '{s}')" for i, t, c, s in PROBES) + ") as t(id, text, category, severity))"

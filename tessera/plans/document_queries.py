@@ -166,14 +166,14 @@ def _layout_lines(docs: DataFrame) -> DataFrame:
     """Lines of documents as if set on pages of ten, 12 points apart; longer lines are larger, and a gap follows every seventh."""
     rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(T.lines(F.col("text"))).alias("i", "text")).filter("trim(text) <> ''")
     page, slot = F.floor(F.col("i") / 10), F.col("i") % 10
-    top = (slot * 12 + F.floor(F.col("i") / 7) * 0 + F.when(slot >= 7, 20).otherwise(0)).cast("double")
+    top = (slot * 12 + F.when(slot >= 7, 20).otherwise(0)).cast("double")
     size = F.lit(10.0) + F.when(F.length("text") % 5 == 0, F.length("text") % 3).otherwise(0).cast("double")
     return rows.select("doc", page.cast("int").alias("page"), F.trim("text").alias("text"), top.alias("top"), (top + 10).alias("bottom"), size.alias("size"), (F.length("text") % 6 == 0).alias("bold"), F.lit(140.0).alias("height"))
 
 
 _LAYOUT_SQL = r"""lines as (
   select doc, cast(floor(i / 10) as integer) as page, trim(text) as text, cast((i % 10) * 12 + case when i % 10 >= 7 then 20 else 0 end as double) as top,
-    10.0 + case when length(text) % 5 = 0 then length(text) % 3 else 0 end as size, length(text) % 6 = 0 as bold
+    cast(10 + case when length(text) % 5 = 0 then length(text) % 3 else 0 end as double) as size, length(text) % 6 = 0 as bold
   from (select doc_id as doc, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) as text, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) - 1 as i from documents) where trim(text) <> ''
 ), bodies as (
   select doc, size as body from (select doc, size, row_number() over (partition by doc order by sum(length(text)) desc, min(page * 1000 + top)) as k from lines group by doc, size) where k = 1

@@ -191,7 +191,7 @@ def telemetry_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("kept")["status"].alias("status"), F.array_join("dropped", ",").alias("dropped"), F.size("dropped").alias("seen"))
 
 
-@query("""select event_id, round(value, 6) as latency_ms, case when event_id % 2 = 0 then 1.0 else 0.0 end as action_count, 2 as kept from events""")
+@query("""select event_id, round(value, 6) as latency_ms, cast(case when event_id % 2 = 0 then 1 else 0 end as double) as action_count, 2 as kept from events""")
 def telemetry_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics that are numbers or truth values of allowed keys stay."""
     n = F.col("event_id")
