@@ -71,7 +71,7 @@ def _mapper(bits: int, window: int):
             size = np.diff(np.r_[begin, len(hashes)])
             hit = owner > np.repeat(least, size)
             pairs = pd.DataFrame({"i": owner[hit], "h": hashes[hit]}).drop_duplicates()
-            out = [(-1 - batch % (1 << 30), batch, X.META, pairs["i"].to_numpy().tobytes(), pairs["h"].to_numpy().tobytes(), None, None)] if len(pairs) else []
+            out = [(X.own_key(batch), batch, X.META, pairs["i"].to_numpy().tobytes(), pairs["h"].to_numpy().tobytes(), None, None)] if len(pairs) else []
             # Within a bucket entries stand by id, so that ids are small differences.
             order = np.argsort(least, kind="stable")
             hashes, least = hashes[begin][order], least[order]
