@@ -150,6 +150,68 @@ from pages_at p left join found f on p.page_id = f.page_id and p.url = f.url and
 """
 
 
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ITEM_WORD, _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
+
+_OP2_SQL = f"""
+with items as (
+  select cast(item_id as varchar) as item, regexp_extract_all({_LOWER.format("text")}, '{_ITEM_WORD}') as ws from benchmark where item_id is not null
+), windows as (
+  select distinct item, n, array_to_string(ws[i:i + n - 1], ' ') as k from (select item, ws, least(13, len(ws)) as n, unnest(generate_series(1, len(ws) - least(13, len(ws)) + 1)) as i from items where len(ws) > 0)
+), docs as (
+  select doc_id, regexp_extract_all({_LOWER.format("text")}, '{_ITEM_WORD}') as ws from documents
+), starts as (
+  select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') as k from (select doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) as i from docs, (select distinct n from windows) where len(ws) >= n)
+), met as (
+  select s.doc_id, s.i, s.n, w.item from starts s join windows w on s.n = w.n and s.k = w.k
+), hits as (
+  select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(generate_series(i, i + n - 1)) as pos from met) group by doc_id
+), found as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from met) group by doc_id
+)
+select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from docs d left join hits using (doc_id) left join found using (doc_id)
+"""
+
+_OP3_SQL = f"""
+with recursive docs as (
+  select doc_id, regexp_extract_all({_LOWER.format("text")}, '{_WORD}') as ws from documents
+), sets as (
+  select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g from (select doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) as i from docs where len(ws) > 0)
+), sizes as (
+  select d.doc_id, count(g) as n from docs d left join sets using (doc_id) group by d.doc_id
+), pairs as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from sets a join sets b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id
+), links as (
+  select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 75 * (p.n + q.n - c)
+), reach as (
+  select doc_id, doc_id as root from docs union select l.y, r.root from reach r join links l on r.doc_id = l.x
+)
+select s.doc_id, s.n as n_shingles, min(r.root) as component_id from sizes s join reach r on r.doc_id = s.doc_id group by s.doc_id, s.n
+"""
+
+_OP4_SQL = f"""
+with docs as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents
+), windows as (
+  select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from (select doc_id, ws, unnest(generate_series(1, len(ws) - 12)) as i from docs where len(ws) >= 13)
+), least_of as (
+  select k, min(doc_id) as least from windows group by k
+), gone as (
+  select distinct w.doc_id, unnest(generate_series(i, i + 12)) as pos from windows w join least_of l on w.k = l.k where l.least < w.doc_id
+), words as (
+  select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from docs
+), kept as (
+  select doc_id, string_agg(word, ' ' order by pos) as text from words anti join gone using (doc_id, pos) group by doc_id
+), removed as (
+  select doc_id, count(*) as n from gone group by doc_id
+)
+select d.doc_id, cast(len(ws) as bigint) as n_words, coalesce(r.n, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from docs d left join removed r using (doc_id) left join kept k using (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -164,5 +226,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": _OP2_SQL,
+    "op3_ngram_jaccard_join": _OP3_SQL,
+    "op4_substring_dedup": _OP4_SQL,
     "op9_url_filters": _OP9_SQL.format(values=", ".join(f"('{a}', '{b}', '{c.rstrip('/')}', '{d}', '{e}')" for a, b, c, d, e in URL_ENTRIES)),
 }
