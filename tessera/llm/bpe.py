@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -204,20 +205,20 @@ class PieceCache:
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: dict[str, int] = defaultdict(count().__next__)
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > self.bound:
             self._reset()
         number, known = self.number, len(self.number)
-        codes = [np.array([number.setdefault(p, len(number)) for p in self.split(text)], np.int64) for text in texts]
+        codes = [np.array(list(map(number.__getitem__, self.split(text))), np.int64) for text in texts]
         if len(number) > known:
             tokens = self.encode_new(list(islice(number, known, None)))
-            size = np.array([len(t) for t in tokens], np.int64)
-            self.start = np.r_[self.start, len(self.flat) + np.cumsum(size) - size]
-            self.size = np.r_[self.size, size]
-            self.flat = np.concatenate([self.flat, *(np.asarray(t, np.uint32) for t in tokens)])
+            size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(tokens), np.uint32, int(size.sum()))])
         out = []
         for own in codes:
             size = self.size[own]

@@ -20,20 +20,23 @@ Edge cases
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exchange as X
-from .bpe import CHUNK_CHARS, PieceCache
+from . import words as W
 from .scratch import shared_dir
 
 #: Bytes of input for one part.
@@ -41,18 +44,85 @@ PART_BYTES = 16 << 20
 MIN_PARTS = 12
 
 
-def _pieces(text: str) -> list[str]:
-    """Pieces that the tokenizer encodes by themselves: it never joins anything over a blank."""
-    return text.replace("\n", " ").replace("\t", " ").split(" ")
-
-
-def word_encoder(path: str) -> PieceCache:
-    """The tokenizers library on distinct pieces between blanks; special tokens in a text are ordinary text."""
+#: Distinct words that a task keeps encoded; beyond, it starts anew.
+CACHE = 400_000
+#: Bytes of text encoded at a time.
+CHUNK = 8 << 20
+#: Letters, then marks: the tokenizer cuts between the two (an apostrophe may begin a contraction and is left to it). Letters beyond
+#: Latin-1 are left to the library too: lower-casing may make other characters of them.
+_WORD_AND_MARKS = re.compile(r"^(?:([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)|(.*))$", re.MULTILINE)
+
+
+class WordEncoder:
+    """The tokenizers library on distinct words and runs of marks; a piece's ids are those of its word and of its marks."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab()
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._reset()
+
+    def _reset(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.end = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # entry k ends at end[k] and begins where k - 1 ends
+
+    def _add(self, names: list[str], ids: np.ndarray, end: np.ndarray) -> None:
+        self.number.update(zip(names, range(len(self.number), len(self.number) + len(names))))
+        self.flat, self.end = np.concatenate([self.flat, ids]), np.concatenate([self.end, len(self.flat) + end])
+
+    def _learn(self, words: list[str], others: list[str]) -> None:
+        """``words`` are one word or one run of marks each: many are encoded as one text, and cut after the ids that end words."""
+        number, encode = self.number, lambda texts: [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        new = [x for x in dict.fromkeys(words) if x not in number]
+        if new:
+            ids = np.fromiter(chain.from_iterable(encode([" ".join(new[i : i + 500]) for i in range(0, len(new), 500)])), np.uint32)
+            end = np.flatnonzero(self.final[ids]) + 1
+            if len(end) == len(new):
+                self._add(new, ids, end)
+            else:  # a vocabulary of another kind
+                others = [*others, *new]
+        new = [x for x in dict.fromkeys(others) if x not in number]
+        if new:
+            ids = encode(new)
+            self._add(new, np.fromiter(chain.from_iterable(ids), np.uint32), np.cumsum([len(x) for x in ids]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts (large strings without nulls) one after another, and where each text begins, with the end.
+
+        Texts are cut at ASCII blanks, over which the tokenizer never joins anything, and each distinct piece is encoded once.
+        """
+        if len(self.number) > CACHE:
+            self._reset()
+        lists = pc.ascii_split_whitespace(texts)
+        pieces = lists.flatten().dictionary_encode()
+        halves = _WORD_AND_MARKS.findall("\n".join(pieces.dictionary.to_pylist())) if len(pieces.dictionary) else []
+        words, marks, others = ([x[i] for x in halves] for i in range(3))
+        words = list(map(str.lower, words))
+        self._learn([*words, *marks], others)
+        # A piece is three entries, of which one or two are the empty one.
+        entry = np.array([list(map(self.number.__getitem__, x)) for x in (words, marks, others)], np.int32).reshape(3, -1).T
+        number = pieces.indices.to_numpy(zero_copy_only=False)
+        begin = np.concatenate([[0], self.end[:-1]])
+        size = self.end - begin
+        out, per_piece = [], size[entry].sum(axis=1)
+        for at in range(0, len(number), 1 << 18):
+            own = entry[number[at : at + (1 << 18)]].ravel()
+            own = own[own > 0]
+            each = size[own]
+            out.append(self.flat[np.repeat(begin[own] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))])
+        bounds = np.concatenate([[0], np.cumsum(per_piece[number])])
+        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return np.concatenate(out) if out else np.zeros(0, np.uint32), bounds[offsets]
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """Encodes whole texts; special tokens in a text are ordinary text."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return PieceCache(_pieces, lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
+    return WordEncoder(tokenizer)
 
 
 def _write(path: str, root: str, end_id: int, kind: str):
@@ -64,31 +134,28 @@ def _write(path: str, root: str, end_id: int, kind: str):
         part = TaskContext.get().partitionId()
         name = f"{base}/part-{part:06d}"
         own = f"{base}/.{part:06d}-{uuid.uuid4().hex}"
-        cache, sizes, ids, nulls = None, [0], [], 0
+        cache, sizes, ids, nulls = None, [np.zeros(1, np.int64)], [], 0
         with fs.open_output_stream(f"{own}.bin") as out:
             for rows in source:
                 cache = cache or word_encoder(path)
-                texts = [t or "" for t in rows.column("text").to_pylist()]
+                texts = rows.column("text").cast(pa.large_string()).fill_null("")
                 nulls += rows.column("id").null_count
                 ids.append(rows.column("id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-                size, at = np.cumsum([0, *map(len, texts)]), 0
-                while at < len(texts):
-                    to = max(at + 1, int(np.searchsorted(size, size[at] + CHUNK_CHARS, side="right")) - 1)
-                    encoded = cache.encode(texts[at:to])
-                    for one in encoded:
-                        out.write(np.append(one, end_id).astype(kind).tobytes())
-                        sizes.append(len(one) + 1)
-                    at = to
+                _, offsets = W.buffers(texts)
+                for at, to in W.chunks(offsets, CHUNK):
+                    found, begin = cache.encode(texts.slice(at, to - at))
+                    out.write(np.insert(found, begin[1:], end_id).astype(kind).tobytes())
+                    sizes.append(np.diff(begin) + 1)
         if len(sizes) == 1:
             fs.delete_file(f"{own}.bin")
             return
         with fs.open_output_stream(f"{own}.off") as out:
-            out.write(np.cumsum(np.array(sizes, "<i8")).tobytes())
+            out.write(np.cumsum(np.concatenate(sizes)).astype("<i8").tobytes())
         with fs.open_output_stream(f"{own}.doc") as out:
             out.write(np.concatenate(ids).tobytes())
         for end in ("bin", "off", "doc"):
             fs.move(f"{own}.{end}", f"{name}.{end}")
-        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [len(sizes) - 1], "ids": [int(sum(sizes))], "nulls": [nulls]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "docs": [sum(map(len, ids))], "ids": [int(sum(x.sum() for x in sizes))], "nulls": [nulls]})
 
     return run
 
