@@ -7,6 +7,7 @@ stay whole.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +15,8 @@ import pyarrow as pa
 
 #: Texts are handled in chunks of about this many bytes, so that the per-byte arrays stay small; one longer text is a chunk.
 CHUNK_BYTES = 2 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 1 << 16
 _RANDOM = np.random.default_rng(20240229)
 _BYTE_VALUE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -106,12 +109,32 @@ def split(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower:
     doc = np.searchsorted(start, offsets)
     if not len(start):
         return Words(data, start, end, np.zeros(0, np.uint64), doc)
+    return Words(data, start, end, _word_hashes(data, word, start, end), doc)
+
+
+def _word_hashes(data: np.ndarray, word: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each word. Words are taken some CHUNK_BYTES at a time, so that memory by byte stays bounded also in one huge text."""
     length = end - start
-    first = np.cumsum(length) - length
-    inside = np.arange(int(length.sum())) - np.repeat(first, length)
-    value = _BYTE_VALUE[data[word]] * _word_powers(int(length.max()))[inside]
-    total = np.add.reduceat(value, first)
-    return Words(data, start, end, mix(total + length.astype(np.uint64) * _WINDOW_BASE), doc)
+    before = np.cumsum(length) - length
+    long = np.flatnonzero(length > LONG_WORD)
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        if length[at] > LONG_WORD:
+            out[at] = int.from_bytes(hashlib.blake2b(data[start[at] : end[at]].tobytes(), digest_size=8).digest(), "little")
+            at += 1
+            continue
+        to = max(at + 1, int(np.searchsorted(before, before[at] + CHUNK_BYTES)))
+        following = long[np.searchsorted(long, at)] if len(long) and long[-1] > at else to
+        to = min(to, int(following))
+        part = slice(start[at], end[to - 1])
+        size = length[at:to]
+        first = before[at:to] - before[at]
+        inside = np.arange(int(size.sum())) - np.repeat(first, size)
+        value = _BYTE_VALUE[data[part][word[part]]] * _word_powers(int(size.max()))[inside]
+        out[at:to] = mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _WINDOW_BASE)
+        at = to
+    return out
 
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:

@@ -36,6 +36,15 @@ def test_rolling(values, k):
     assert W.rolling(h, k).tolist() == W.mix(np.array(want, np.uint64) + np.uint64(k)).tolist()
 
 
+def test_slices_and_long_words_keep_hashes(monkeypatch):
+    texts = ["a bb " + "c" * 300 + " dd " + "e" * 40, "c" * 300, "bb", "e" * 40 + " a"]
+    for chunk, long in ((5, 1000), (64, 1000), (5, 100), (1 << 20, 100)):
+        monkeypatch.setattr(W, "CHUNK_BYTES", chunk)
+        monkeypatch.setattr(W, "LONG_WORD", long)
+        h = W.split(*W.buffers(pa.array(texts)), W.SPACE, False).hash.tolist()
+        assert h[2] == h[5] and h[1] == h[6] and h[4] == h[7] and h[0] == h[8] and len(set(h)) == 5
+
+
 def test_chunks_cover_all_texts_once():
     offsets = np.array([0, 5, 5, 300, 301, 900])
     assert [(a, b) for a, b in W.chunks(offsets, 100)] == [(0, 2), (2, 3), (3, 4), (4, 5)]
