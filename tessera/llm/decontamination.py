@@ -37,7 +37,7 @@ SHINGLE = 5
 #: A document is contaminated when SHARE * (words hit) reaches its number of words.
 SHARE = 20
 #: Bytes of benchmark text in one broadcast block of the index.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _FOUND = "id long, n_words long, n_hit long, item_ids array<string>, hits array<struct<start:int,end:int>>"
 
