@@ -31,8 +31,8 @@ from . import exchange as X
 from .labelled import crc
 from .scratch import Scratch
 
-MAX_WORDS = 60_000
-MAX_GRAMS = 120_000
+MAX_WORDS = 40_000
+MAX_GRAMS = 60_000
 LONGEST = 5
 #: Distinct unseen words that a task remembers; beyond, it starts anew.
 CACHE_WORDS = 200_000
@@ -107,19 +107,12 @@ class Model:
         return np.zeros(len(self.langs), np.float32)
 
 
-def _rows(found: list, key: str, langs: list[str], total: np.ndarray) -> tuple[list, np.ndarray]:
-    """Log frequencies of the collected (key, [(lang, n)]) rows, one added to each count."""
-    at = {lang: i for i, lang in enumerate(langs)}
-    counts = np.zeros((len(found), len(langs)))
-    for i, row in enumerate(found):
-        for lang, n in row["by"]:
-            counts[i, at[lang]] = n
-    return [row[key] for row in found], np.log((counts + 0.5) / (total + 0.5 * max(1, len(found)))).astype(np.float32)
-
-
-def _most_frequent(counts: DataFrame, key: str, limit: int) -> list:
-    by = counts.groupBy(key).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    return by.orderBy(F.desc("all"), key).limit(limit).select(key, "by").collect()
+def _most_frequent(counts: DataFrame, key: str, langs: list[str], limit: int, total: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The most frequent keys and the logarithms of their frequencies by language, half a count added to each."""
+    by = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
+    found = counts.groupBy(key).agg(F.sum("n").alias("all"), *by).orderBy(F.desc("all"), key).limit(limit).drop("all").toPandas()
+    n = found.drop(columns=key).to_numpy(np.float64)
+    return found[key].tolist(), np.log((n + 0.5) / (total + 0.5 * max(1, len(n)))).astype(np.float32)
 
 
 def fit(docs: DataFrame) -> Model | None:
@@ -133,19 +126,38 @@ def fit(docs: DataFrame) -> Model | None:
     langs = sorted(totals)
     grams = words.mapInArrow(_count_grams, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     grams, _ = scratch.write(grams, "grams")
-    gram_totals = {(r["size"], r["lang"]): r["n"] for r in grams.groupBy(F.length("gram").alias("size"), "lang").agg(F.sum("n").alias("n")).collect()}
-    total = np.array([totals[x] for x in langs], float)
-    names, rows = _rows(_most_frequent(words, "word", MAX_WORDS), "word", langs, total)
-    gram_names, gram_rows = _rows(_most_frequent(grams, "gram", MAX_GRAMS), "gram", langs, np.array([sum(gram_totals.get((n, x), 0) for n in range(1, LONGEST + 1)) for x in langs], float))
+    gram_totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    total, gram_total = (np.array([t.get(x, 0) for x in langs], float) for t in (totals, gram_totals))
+    names, rows = _most_frequent(words, "word", langs, MAX_WORDS, total)
+    gram_names, gram_rows = _most_frequent(grams, "gram", langs, MAX_GRAMS, gram_total)
     n_docs = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     prior = np.log(np.array([n_docs[x] for x in langs], float) / sum(n_docs.values()))
     return Model(langs, {w.encode(): i for i, w in enumerate(names)}, rows, {g: i for i, g in enumerate(gram_names)}, gram_rows, prior)
 
 
+class _Index(dict):
+    """Word to row of a matrix; a word that is not there yet gets the row that backoff gives it."""
+
+    def __init__(self, model: Model):
+        super().__init__(model.words)
+        self.model, self.known = model, len(model.words)
+        self.rows = np.concatenate([model.word_rows, np.zeros((CACHE_WORDS, len(model.langs)), np.float32)])
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])  # within one text; between texts it is emptied
+        self.rows[len(self)] = self.model.unseen(word)
+        self[word] = len(self)
+        return self[word]
+
+    def full(self) -> bool:
+        return len(self) >= self.known + CACHE_WORDS
+
+
 def _predict(model):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = model.value
-        number, rows = {}, []
+        index = _Index(m) if m else None
         for batch in source:
             langs, scores = [], []
             for text in batch.column("text").to_pylist():
@@ -153,25 +165,10 @@ def _predict(model):
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                     continue
-                if len(number) > CACHE_WORDS:
-                    number, rows = {}, []
-                total = m.prior.copy()
-                own, new = [], []
-                for word, n in Counter(words_of(text)).items():
-                    i = m.words.get(word)
-                    if i is None:
-                        i = number.get(word)
-                        if i is None:
-                            i = number[word] = len(rows)
-                            rows.append(m.unseen(word))
-                        new.append((i, n))
-                    else:
-                        own.append((i, n))
-                if own:
-                    i, n = np.array(own).T
-                    total += n @ m.word_rows[i]
-                for i, n in new:
-                    total += n * rows[i]
+                if index.full():
+                    index = _Index(m)
+                own = list(map(index.__getitem__, words_of(text)))
+                total = m.prior + index.rows[own].sum(axis=0, dtype=np.float64)
                 best = int(total.argmax())
                 langs.append(m.langs[best])
                 scores.append(float(1 / np.exp(total - total[best]).sum()))
