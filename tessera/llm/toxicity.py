@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, are learned from document labels.
 
-A sentence has probability sigmoid(bias + sum of the weights of its features); its features are its words and the
-first 4 and 5 bytes of longer words, so inflected forms of a known stem count. A document's probability is
+A sentence has probability sigmoid(bias + sum of the weights of its features); its features are its words and their
+first 4 and 5 bytes (of shorter words, all), so inflected forms of a known stem count and every word has as many features. A document's probability is
 1 - prod(1 - p(sentence)): one offending sentence is enough, and the gradient of the document's likelihood falls on the
 sentences that explain it. Scoring gives the document's probability and locates the sentences.
 
@@ -35,9 +35,12 @@ from .scratch import Scratch
 MAX_ROWS = 30_000
 #: Features of a model, at most: those that tell the labels apart best.
 MAX_FEATURES = 20_000
-#: Documents of label 1 that must have a feature.
-MIN_POSITIVE = 4
+#: Least evidence for a feature, n ln(share / usual share) for n documents of label 1 that have it: beyond what
+#: chance gives to one of some hundred thousand words.
+EVIDENCE = 12.0
 PREFIXES = (4, 5)
+#: Largest weight to begin with.
+START = 2.0
 #: A sentence is reported when its own probability reaches this.
 OFFENDING = 0.5
 _BREAK = W._table(b".!?\n")
@@ -61,12 +64,11 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     hashes, word = [w.hash], [np.arange(len(w.start))]
     length = w.end - w.start
     for n in PREFIXES:
-        longer = np.flatnonzero(length > n)
-        value = np.zeros(len(longer), np.uint64)
+        value = np.zeros(len(w.start), np.uint64)
         for j in range(n):
-            value += W._BYTE_VALUE[w.data[w.start[longer] + j]] * W._word_powers(n)[j]
+            value += np.where(j < length, W._BYTE_VALUE[w.data[np.minimum(w.start + j, w.end - 1)]] * W._word_powers(n)[j], np.uint64(0))
         hashes.append(W.mix(value ^ np.uint64(n * 0x9E3779B1)))
-        word.append(longer)
+        word.append(np.arange(len(w.start)))
     return np.concatenate(hashes), np.concatenate(word), w
 
 
@@ -131,8 +133,8 @@ def _training_bags(model: Model):
     return run
 
 
-def noisy_or(bags: pd.DataFrame, start: np.ndarray, penalty: float = 0.02, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias that maximise the likelihood of the document labels, less ``penalty``/2 |w|^2 (Adam, full batch)."""
+def noisy_or(bags: pd.DataFrame, start: np.ndarray, strength: float = 400.0, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias that maximise the likelihood of the document labels, less ``strength`` / (2 n) |w|^2 for n documents (Adam, full batch)."""
     label = bags["label"].to_numpy().astype(float)
     feature = np.concatenate([np.frombuffer(f, np.int32) for f in bags["feature"]])
     size = np.array([len(f) // 4 for f in bags["feature"]])
@@ -143,6 +145,7 @@ def noisy_or(bags: pd.DataFrame, start: np.ndarray, penalty: float = 0.02, round
     owner = document[begin]
     plain = bags["n"].to_numpy() - np.bincount(owner, minlength=len(bags))  # sentences without a feature: the bias alone
     w = np.r_[start, np.log(1e-4)]
+    penalty = strength / max(1, len(bags))  # words that few documents support count for less where there are few documents
     m, v = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, rounds + 1):
         z = w[-1] + np.bincount(bag, weights=w[feature], minlength=len(begin))
@@ -168,15 +171,16 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int
         return none
     odds = F.log((F.col("positive") + 0.5) / (positive + 1.0)) - F.log((F.col("negative") + 0.5) / (negative + 1.0))
     chosen = rows.select("text", "label").mapInArrow(_counts, "feature long, positive long, negative long").groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
-    chosen = chosen.filter(F.col("positive") >= MIN_POSITIVE).select("feature", odds.alias("odds"), (odds * F.col("positive")).alias("gain")).filter("odds > 0.7")
-    chosen = chosen.orderBy(F.desc("gain"), "feature").limit(MAX_FEATURES).toPandas()
+    share = F.col("positive") / (F.col("positive") + F.col("negative")) / none.base
+    chosen = chosen.select("feature", odds.alias("odds"), (F.log(share) * F.col("positive")).alias("evidence")).filter((F.col("evidence") >= EVIDENCE) & (F.col("odds") > 0.7))
+    chosen = chosen.orderBy(F.desc("evidence"), "feature").limit(MAX_FEATURES).toPandas()
     features = chosen["feature"].to_numpy().view(np.uint64)
     order = np.argsort(features)
     model = Model(features[order], chosen["odds"].to_numpy()[order], 0.0, none.base)
     if not len(features):
         return none
     bags = rows.select("label", "text").mapInArrow(_training_bags(model), "label int, n int, sentence binary, feature binary").toPandas()
-    weights, bias = noisy_or(bags, np.clip(model.weights, 0, 3))
+    weights, bias = noisy_or(bags, np.clip(model.weights, 0, START))
     used = np.abs(weights) > 0.05
     return Model(model.features[used], weights[used], bias, none.base)
 
