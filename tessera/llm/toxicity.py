@@ -145,7 +145,7 @@ def noisy_or(bags: pd.DataFrame, start: np.ndarray, strength: float = 400.0, rou
     owner = document[begin]
     plain = bags["n"].to_numpy() - np.bincount(owner, minlength=len(bags))  # sentences without a feature: the bias alone
     w = np.r_[start, np.log(1e-4)]
-    penalty = strength / max(1, len(bags))  # words that few documents support count for less where there are few documents
+    penalty = min(0.5, strength / max(1, len(bags)))  # words that few documents support count for less where there are few documents
     m, v = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, rounds + 1):
         z = w[-1] + np.bincount(bag, weights=w[feature], minlength=len(begin))
