@@ -307,3 +307,43 @@ def turn_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", policy.alias("p"))
     route = rules.turn_route(F.when(n % 19 == 0, "reason"), F.when(n % 23 == 0, "awaiting_form"), F.col("p.intent"), F.col("p.confidence"), n % 2 != 0)
     return rows.select("event_id", "p.intent", rules.needs_clarification(F.col("p.intent"), F.col("p.confidence")).alias("asks"), route.alias("route"))
+
+
+_HEADED = """(select doc_id, case when doc_id % 10 = 0 then text else '---' || chr(10) || 'doc_id: d' || doc_id || chr(10) || 'title: "Text ' || doc_id || '"' || chr(10) || 'category: ' || lang || chr(10) || case when doc_id % 3 = 0 then 'version: 2' || chr(10) else '' end || '---' || chr(10) || text end as markdown,
+  doc_id % 10 <> 0 as headed, lang, text from documents)"""
+
+
+@query(f"""select doc_id, case when headed then 'Text ' || doc_id end as title, case when headed and doc_id % 3 = 0 then '2' end as version,
+  case when not headed then 'missing header' when lang not in ('en', 'de') then 'unknown category' else '' end as errors, sha256(text) as body_sha256 from {_HEADED}""")
+def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents under a header, but for a tenth: its fields, what is wrong with it, and the body."""
+    n = F.col("doc_id")
+    head = F.concat(F.lit("---\ndoc_id: d"), n, F.lit('\ntitle: "Text '), n, F.lit('"\ncategory: '), F.col("lang"), F.lit("\n"), F.when(n % 3 == 0, "version: 2\n").otherwise(""), F.lit("---\n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(n % 10 == 0, F.col("text")).otherwise(F.concat(head, "text")).alias("markdown"))
+    h = docs.select("doc_id", "markdown", chunking.header_of(F.col("markdown")).alias("h"))
+    errors = F.array_join(chunking.header_errors(F.col("h"), ["en", "de"]), ",")
+    return h.select("doc_id", F.col("h")["title"].alias("title"), F.col("h")["version"].alias("version"), errors.alias("errors"), F.sha2(chunking.body_of(F.col("markdown")), 256).alias("body_sha256"))
+
+
+@query(f"""select id, '<tr><th>Category</th><td>' || array_to_string(list_transform(string_split(category, '_'), lambda w: upper(w[1]) || w[2:]), ' ') || '</td></tr>' || case when text = '' then '' else '<tr><th>Raw Text</th><td>' ||
+  replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</td></tr>' end as html,
+  array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> ''), '|') as names from {PROBES_SQL}""")
+def email_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ticket's fields as escaped table rows; its text as a comma list."""
+    html = T.detail_rows(category=T.humanize(F.col("category")), raw_text=F.col("text"))
+    return probes(spark).select("id", html.alias("html"), F.array_join(T.name_list(F.col("text")), "|").alias("names"))
+
+
+@query("""select event_id, case when event_id % 5 = 0 then 0 else cast(event_id % 4 as integer) end as citation_count, case event_id % 3 when 0 then 0 else cast(event_id % 3 as integer) end as action_count, event_id % 3 > 0 and event_id % 2 = 0 as escalated,
+  case when event_id % 3 > 0 and event_id % 2 = 0 then 'danger_scan' end as trigger_rule, case when event_id % 3 > 0 then 'complaint_filed' end as first_action from events""")
+def reply_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies with lists whose lengths an event's number gives: their metrics and actions."""
+    from ..operators import telemetry
+
+    n = F.col("event_id")
+    ids = F.when(n % 5 != 0, F.slice(F.array(*map(F.lit, "abc")), F.lit(1), (n % 4).cast("int")))
+    escalated = n % 2 == 0
+    acts = rules.actions(F.when(n % 3 > 0, F.concat(F.lit("t"), n)), escalated, F.when(escalated, "danger_scan"), n % 3 == 2)
+    rows = table(spark, sf_dir, "events").select("event_id", ids.alias("ids"), acts.alias("acts"))
+    rows = rows.select("event_id", telemetry.chat_metrics(F.col("ids"), F.col("ids"), F.lit(None).cast("array<string>"), F.col("acts")).alias("m"), F.try_element_at(F.col("acts"), F.lit(1))["action"].alias("first_action"))
+    return rows.select("event_id", "m.citation_count", "m.action_count", "m.escalated", "m.trigger_rule", "first_action")

@@ -93,3 +93,28 @@ def test_stream_documents(spark, tmp_path, sf_dir):
     q = flows.stream_documents(spark, str(tmp_path / "d"), "doc_id long, text string").writeStream.format("memory").queryName("docs").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("docs").select("sha256").distinct().count() == docs.select("text").distinct().count()
+
+
+def test_stream_usage_equals_batch(spark, tmp_path):
+    rows = [("a", "2024-01-01 01:00:00", 3), ("a", "2024-01-01 23:00:00", 4), ("b", "2024-01-02 00:30:00", 5), ("a", "2024-01-09 00:00:00", 0)]
+    df = spark.createDataFrame(rows, "session_id string, at string, total_tokens long").select("session_id", F.col("at").cast("timestamp").alias("created_at"), "total_tokens")
+    df.coalesce(1).write.parquet(str(tmp_path / "u"))
+    stream = flows.stream_usage(spark.readStream.schema(df.schema).parquet(str(tmp_path / "u")))
+    q = stream.writeStream.format("memory").queryName("used").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {(str(r["since"])[:10], r["session_id"], r["requests"], r["total_tokens"]) for r in spark.table("used").collect()}
+    assert got == {("2024-01-01", "a", 2, 7), ("2024-01-02", "b", 1, 5), ("2024-01-09", "a", 1, 0)}
+
+
+def test_outbox_and_answers(spark, tmp_path):
+    from tessera.sources import files
+
+    tickets = spark.createDataFrame([("1", "x"), ("2", "y")], "ticket_id string, category string")
+    events = spark.createDataFrame([("1", "danger_scan", "critical", "2024-01-02", "category=x", False)], "ticket_id string, rule string, severity string, deadline string, summary string, delivered boolean")
+    records = files.outbox_records(tickets, events)
+    files.append_json(records, str(tmp_path / "o"))
+    files.append_json(records, str(tmp_path / "o"))
+    assert [r["channel"] for r in spark.read.json(str(tmp_path / "o")).collect()] == ["mock", "mock"]
+    files.write_documents(spark.createDataFrame([("a", "1"), ("b", "2")], "doc_id string, markdown string"), str(tmp_path / "d"))
+    files.write_documents(spark.createDataFrame([("a", "3")], "doc_id string, markdown string"), str(tmp_path / "d"))
+    assert {(r["doc_id"], r["markdown"]) for r in spark.read.parquet(str(tmp_path / "d")).collect()} == {("a", "3"), ("b", "2")}
