@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
+from .words import release
 
 #: Pieces longer than this (in bytes) go through the heap.
 LONG = 192
@@ -247,6 +248,8 @@ def _encode(codec, decode: bool):
                     columns.append(pa.array([c.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids", "decoded"][: len(columns)])
                 at = to
+        del cache
+        release()
 
     return run
 

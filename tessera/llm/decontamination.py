@@ -184,6 +184,7 @@ def _match(index, keep_text: bool):
                 if keep_text:
                     columns["text"] = rows.column("text")[at:to]
                 yield pa.RecordBatch.from_pydict(columns)
+        W.release()
 
     return run
 

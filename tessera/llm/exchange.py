@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import buffers
+from .words import buffers, release
 
 #: Bytes of text in one batch.
 BATCH_BYTES = 8 << 20
@@ -54,6 +54,7 @@ def batches(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBa
             to = min(n, max(to, at + 1), at + BATCH_DOCS)
             yield base + count, rows.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             count, at = count + 1, to
+    release()
 
 
 def own_key(batch: int) -> int:
@@ -102,7 +103,13 @@ def exchange(docs: DataFrame, mapper: Callable, reducer: Callable, assembler: Ca
 
     sent = docs.mapInArrow(mapper, ROW)
     replies = sent.groupBy("key").applyInPandas(count, ROW)
-    return replies.groupBy("batch").applyInPandas(lambda rows: assembler(rows), schema)
+
+    def assemble(rows: pd.DataFrame) -> pd.DataFrame:
+        out = assembler(rows)
+        release()
+        return out
+
+    return replies.groupBy("batch").applyInPandas(assemble, schema)
 
 
 def columns_of(df: DataFrame, id_col: str, text_col: str, kind: str = "long") -> DataFrame:

@@ -210,6 +210,7 @@ def _join_block(percent: int):
         rows = rows.drop_duplicates("node")
         node = rows["node"].to_numpy()
         sets = [np.asarray(t, dtype=np.int64) for t in rows["tokens"]]
+        W.release()
         links = join_sets(sets, rows["n"].to_numpy().astype(np.int64), rows["component"].to_numpy(), percent)
         return pd.DataFrame({"a": [node[i] for i, _ in links], "b": [node[j] for _, j in links]}, dtype="int64")
 

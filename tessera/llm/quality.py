@@ -210,6 +210,7 @@ def _score(model: Model):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in source:
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(model.score(features(*W.buffers(rows.column("text")))), pa.float64())], names=["id", "score"])
+        W.release()
 
     return run
 

@@ -159,6 +159,7 @@ def _cut(window: int):
                     [rows.column("id")[at:to], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                     names=["id", "n_words", "n_removed", "kept_text", "removed"],
                 )
+        W.release()
 
     return run
 

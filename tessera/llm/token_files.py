@@ -155,6 +155,8 @@ def _write(path: str, root: str, end_id: int, kind: str):
             out.write(np.concatenate(ids).tobytes())
         for end in ("bin", "off", "doc"):
             fs.move(f"{own}.{end}", f"{name}.{end}")
+        del cache
+        W.release()
         yield pa.RecordBatch.from_pydict({"part": [part], "docs": [sum(map(len, ids))], "ids": [int(sum(x.sum() for x in sizes))], "nulls": [nulls]})
 
     return run

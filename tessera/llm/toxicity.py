@@ -43,7 +43,7 @@ PREFIXES = (4, 5)
 START = 2.0
 #: A sentence is reported when its own probability reaches this.
 OFFENDING = 0.5
-_BREAK = W._table(b".!?\n")
+_BREAK = W.separator_table(b".!?\n")
 
 
 @dataclass
@@ -66,7 +66,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     for n in PREFIXES:
         value = np.zeros(len(w.start), np.uint64)
         for j in range(n):
-            value += np.where(j < length, W._BYTE_VALUE[w.data[np.minimum(w.start + j, w.end - 1)]] * W._word_powers(n)[j], np.uint64(0))
+            value += np.where(j < length, W.BYTE_VALUE[w.data[np.minimum(w.start + j, w.end - 1)]] * W.word_powers(n)[j], np.uint64(0))
         hashes.append(W.mix(value ^ np.uint64(n * 0x9E3779B1)))
         word.append(np.arange(len(w.start)))
     return np.concatenate(hashes), np.concatenate(word), w
@@ -91,6 +91,7 @@ def _counts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             positive = label[at:to][pairs["t"].to_numpy()].astype(np.int64)
             found = pd.DataFrame({"feature": pairs["h"].to_numpy().view(np.int64), "positive": positive, "negative": 1 - positive}).groupby("feature", as_index=False).sum()
             yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+    W.release()
 
 
 def _active(model: Model, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,6 +213,7 @@ def _score(model: Model):
                     found[k].append({"sentence": s - int(begin[k]), "score": float(1 / (1 + np.exp(-z[s]))), "text": part[w.start[first[s]] : w.end[last[s]]].tobytes().decode()})
                 located.extend(found)
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(scores, pa.float64()), pa.array(located, kind)], names=["id", "score", "offending"])
+        W.release()
 
     return run
 

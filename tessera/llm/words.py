@@ -7,6 +7,7 @@ stay whole.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from dataclasses import dataclass
 
@@ -17,22 +18,22 @@ import pyarrow as pa
 CHUNK_BYTES = 2 << 20
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 1 << 16
-_RANDOM = np.random.default_rng(20240229)
-_BYTE_VALUE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
-_WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93)
+RANDOM = np.random.default_rng(20240229)
+BYTE_VALUE = RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
+WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
-def _table(separators) -> np.ndarray:
+def separator_table(separators) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     out[list(separators)] = True
     return out
 
 
 #: Words ``[^\x20\x09-\x0D]+``.
-SPACE = _table([0x20, *range(0x09, 0x0E)])
+SPACE = separator_table([0x20, *range(0x09, 0x0E)])
 #: Words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` once A-Z is lower-cased.
-ALNUM = _table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+ALNUM = separator_table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
@@ -50,10 +51,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 _powers = np.ones(1, dtype=np.uint64)
 
 
-def _word_powers(n: int) -> np.ndarray:
+def word_powers(n: int) -> np.ndarray:
     global _powers
     while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * _WORD_BASE ** np.uint64(len(_powers))])
+        _powers = np.concatenate([_powers, _powers * WORD_BASE ** np.uint64(len(_powers))])
     return _powers
 
 
@@ -71,6 +72,15 @@ class Words:
         return np.diff(self.doc)
 
 
+def release() -> None:
+    """Hands freed memory back to the system: Python workers live on, and share an executor's memory with its other processes."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts and their offsets; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -131,8 +141,8 @@ def _word_hashes(data: np.ndarray, word: np.ndarray, start: np.ndarray, end: np.
         size = length[at:to]
         first = before[at:to] - before[at]
         inside = np.arange(int(size.sum())) - np.repeat(first, size)
-        value = _BYTE_VALUE[data[part][word[part]]] * _word_powers(int(size.max()))[inside]
-        out[at:to] = mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _WINDOW_BASE)
+        value = BYTE_VALUE[data[part][word[part]]] * word_powers(int(size.max()))[inside]
+        out[at:to] = mix(np.add.reduceat(value, first) + size.astype(np.uint64) * WINDOW_BASE)
         at = to
     return out
 
@@ -154,11 +164,11 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
             else:
                 shifted = part[done:]
                 m = min(len(out), len(shifted))
-                out = out[:m] * _WINDOW_BASE ** np.uint64(width) + shifted[:m]
+                out = out[:m] * WINDOW_BASE ** np.uint64(width) + shifted[:m]
                 done += width
         left >>= 1
         if left:
-            part = part[:-width] * _WINDOW_BASE ** np.uint64(width) + part[width:]
+            part = part[:-width] * WINDOW_BASE ** np.uint64(width) + part[width:]
             width *= 2
     return mix(out[:n] + np.uint64(k))
 

@@ -31,7 +31,7 @@ def test_words(texts):
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=40), st.integers(1, 14))
 def test_rolling(values, k):
-    h, base = np.array(values, np.uint64), int(W._WINDOW_BASE)
+    h, base = np.array(values, np.uint64), int(W.WINDOW_BASE)
     want = [sum(values[i + j] * pow(base, k - 1 - j, 2**64) for j in range(k)) % 2**64 for i in range(len(values) - k + 1)]
     assert W.rolling(h, k).tolist() == W.mix(np.array(want, np.uint64) + np.uint64(k)).tolist()
 
