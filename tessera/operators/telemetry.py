@@ -33,5 +33,5 @@ def chat_metrics(citations: Column, sources: Column, web_citations: Column, acti
 
 def trace(started: Column, ended: Column, error: Column) -> Column:
     """struct(latency_ms, status, error_type) of a finished turn."""
-    latency = (F.unix_micros(ended) - F.unix_micros(started)) / 1000.0
+    latency = (F.unix_micros(ended.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))) / 1000.0
     return F.struct(latency.alias("latency_ms"), F.when(error.isNotNull(), "error").alias("status"), error.alias("error_type"))

@@ -210,3 +210,30 @@ def ticket_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = e.filter("event_type = 'purchase'").select(n.alias("ticket_id"), F.lit("danger_scan").alias("rule"), F.col("ts").alias("deadline"), F.lit("").alias("summary"))
     done = U.escalate_tickets(tickets, events)
     return done.groupBy("user_id").agg(F.count("*").alias("tickets"), F.sum(F.when(F.col("escalated") & (F.col("status") == "escalated"), 1).otherwise(0)).alias("escalated"))
+
+
+@query("""select event_id, floor(value * 1000) / 1000.0 as latency_ms, case when event_type = 'error' then 'error' end as status, case when event_type = 'error' then 'ValueError' end as error_type from events""")
+def turn_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as turns that took their value in milliseconds."""
+    ended = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.floor(F.col("value") * 1000).cast("long"))
+    t = telemetry.trace(F.col("ts"), ended, F.when(F.col("event_type") == "error", "ValueError"))
+    return table(spark, sf_dir, "events").select("event_id", t.alias("t")).select("event_id", "t.latency_ms", "t.status", "t.error_type")
+
+
+@query("""select cast(event_id as varchar) as ticket_id, user_id, event_type as kind from events where event_id = (select min(event_id) from events where event_type = 'purchase')""")
+def ticket_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first purchase looked up in two tables of different layouts; the first that has it answers."""
+    e = table(spark, sf_dir, "events")
+    wanted = e.filter("event_type = 'purchase'").agg(F.min("event_id")).first()[0]
+    errors = e.filter("event_type = 'error'").select(F.col("event_id").cast("string").alias("ticket_id"), "user_id", F.col("event_type").alias("kind"))
+    others = e.filter("event_type <> 'error'").select(F.col("event_id").cast("string").alias("id"), "user_id", F.col("event_type").alias("kind"))
+    return U.find_tickets([errors, others], F.lit(str(wanted)))
+
+
+@query(f"select session_id, count(*) as turns from {_TURNS} where session_id not in (select session_id from {_SUMMARIES}) group by session_id")
+def unsummarized_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that have no summary: what is left when those with one are deleted."""
+    from ..operators.ingest import delete_documents
+
+    left = delete_documents(turns(spark, sf_dir), _summaries(spark, sf_dir), "session_id")
+    return left.groupBy("session_id").agg(F.count("*").alias("turns"))
