@@ -54,7 +54,7 @@ def batches(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBa
             to = min(n, max(to, at + 1), at + BATCH_DOCS)
             yield base + count, rows.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             count, at = count + 1, to
-    release()
+            release()
 
 
 def own_key(batch: int) -> int:

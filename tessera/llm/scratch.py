@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: A written table replaces its query's shuffle files; smaller Arrow batches of whole texts keep Python workers and buffers small.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,12 +34,15 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         at = self.path(name)
-        before = self.spark.conf.get(_CLEANUP, "false")
-        self.spark.conf.set(_CLEANUP, "true")  # the table replaces this query's shuffle files
+        conf = self.spark.conf
+        before = {k: conf.get(k) for k in _WHILE_WRITING}
+        for k, v in _WHILE_WRITING.items():
+            conf.set(k, v)
         try:
             df.write.mode("overwrite").parquet(at)
         finally:
-            self.spark.conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(at), at
 
     def drop(self, at: str | None) -> None:
