@@ -1,16 +1,18 @@
 """Language identification by words first, with backoff to ever shorter character n-grams.
 
-Training counts every word of every labelled document by language. The words most often met keep a row of log
-frequencies, one for each language. A word without a row is scored by its n-grams (with marks at its ends): the longest length of which
-at least one n-gram is known, down to single characters, gives the mean of their rows. A text's score for a language
+Training counts every word of every labelled document by language, and every n-gram of these words (with marks at their ends); the
+logarithm of a key's frequency in each language is its row. A word that training never met is scored by its n-grams: the longest length
+of which at least one n-gram was met, down to single characters, gives the mean of their rows. A text's score for a language
 is the sum over its words; the largest wins and its posterior probability is the score.
 
-Counts cover all labelled documents outside the held-out part and are summed in Spark; the model keeps MAX_WORDS words and
-MAX_GRAMS n-grams, which bounds what is collected and broadcast.
+All words and n-grams count, however rare: their tables stay in Spark. The HOT_WORDS and HOT_GRAMS most frequent ones are also broadcast,
+so that only rare ones are joined with the tables; results do not depend on these two numbers. Rows are whole numbers (units of
+1 / UNIT), so that sums are the same in any order.
 
 Edge cases
 ----------
 * null text, or a text without a letter: ``und`` with score 0; so is every text when nothing can be learned;
+* a word of which not even a character was met adds nothing;
 * labels that are null teach nothing; repeated rows are counted and predicted each;
 * equal scores: the language that sorts first; empty table: empty result; extra columns are ignored.
 """
@@ -31,11 +33,11 @@ from . import exchange as X
 from .labelled import crc
 from .scratch import Scratch
 
-MAX_WORDS = 40_000
-MAX_GRAMS = 60_000
+#: Most frequent words and n-grams that tasks hold themselves.
+HOT_WORDS = 40_000
+HOT_GRAMS = 60_000
 LONGEST = 5
-#: Distinct unseen words that a task remembers; beyond, it starts anew.
-CACHE_WORDS = 200_000
+UNIT = 1 << 24
 #: Entries of a task's counters before they are handed on.
 COUNTER = 300_000
 UNKNOWN = "und"
@@ -74,113 +76,184 @@ def _as_text(counters: dict[str, Counter]) -> dict[str, dict[str, int]]:
     return {lang: {w.decode(): n for w, n in c.items()} for lang, c in counters.items()}
 
 
-def _count_grams(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counters: dict[str, Counter] = {}
-    for rows in source:
-        for word, lang, n in zip(*(rows.column(c).to_pylist() for c in ("word", "lang", "n"))):
-            own = counters.setdefault(lang, Counter())
-            for length in range(1, LONGEST + 1):
-                for gram in grams_of(word, length):
-                    own[gram] += n
-        if sum(map(len, counters.values())) > COUNTER:
-            yield _counted(counters, "gram")
-            counters = {}
-    yield _counted(counters, "gram")
+def _count_grams(langs: list[str]):
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict[str, Counter] = {lang: Counter() for lang in langs}
+        for rows in source:
+            for word, *counts in zip(*(rows.column(c).to_pylist() for c in ["word", *(f"n{i}" for i in range(len(langs)))])):
+                for lang, n in zip(langs, counts):
+                    if n:
+                        own = counters[lang]
+                        for length in range(1, LONGEST + 1):
+                            for gram in grams_of(word, length):
+                                own[gram] += n
+            if sum(map(len, counters.values())) > COUNTER:
+                yield _counted(counters, "gram")
+                counters = {lang: Counter() for lang in langs}
+        yield _counted(counters, "gram")
+
+    return run
+
+
+@dataclass
+class Table:
+    """Keys with their rows: all of them in ``rows`` (key, v0, v1, ...), the most frequent ones at hand."""
+
+    rows: DataFrame
+    hot: dict
+    hot_rows: np.ndarray
 
 
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[bytes, int]
-    word_rows: np.ndarray
-    grams: dict[str, int]
-    gram_rows: np.ndarray
+    words: Table
+    grams: Table
     prior: np.ndarray
 
-    def unseen(self, word: bytes) -> np.ndarray:
-        """Row of a word that has none of its own."""
-        text = word.decode()
-        for n in range(LONGEST, 0, -1):
-            known = [self.grams[g] for g in grams_of(text, n) if g in self.grams]
-            if known:
-                return self.gram_rows[known].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+
+def _values(langs: list[str]) -> list[str]:
+    return [f"v{i}" for i in range(len(langs))]
 
 
-def _most_frequent(counts: DataFrame, key: str, langs: list[str], limit: int, total: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The most frequent keys and the logarithms of their frequencies by language, half a count added to each."""
-    by = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)]
-    found = counts.groupBy(key).agg(F.sum("n").alias("all"), *by).orderBy(F.desc("all"), key).limit(limit).drop("all").toPandas()
-    n = found.drop(columns=key).to_numpy(np.float64)
-    return found[key].tolist(), np.log((n + 0.5) / (total + 0.5 * max(1, len(n)))).astype(np.float32)
+def _by_language(counts: DataFrame, key: str, langs: list[str]) -> DataFrame:
+    return counts.groupBy(key).agg(*(F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(langs)))
+
+
+def _table(counts: DataFrame, key: str, langs: list[str], hot: int, as_key) -> Table:
+    """Rows are the logarithms of frequencies by language, half a count added to each."""
+    names = [f"n{i}" for i in range(len(langs))]
+    size, *totals = counts.agg(F.count("*"), *(F.sum(n) for n in names)).first()
+    row = [F.round(F.log((F.col(n) + 0.5) / F.lit((total or 0) + 0.5 * max(1, size))) * UNIT).cast("long").alias(v) for n, total, v in zip(names, totals, _values(langs))]
+    most = counts.orderBy(F.desc(sum(map(F.col, names), F.lit(0))), key).limit(hot).select(key, *row).toPandas()
+    nothing = np.zeros((1, len(langs)), np.int64)
+    return Table(counts.select(key, *row), {as_key(k): i for i, k in enumerate(most[key])}, np.concatenate([most.drop(columns=key).to_numpy(np.int64), nothing]))
 
 
 def fit(docs: DataFrame) -> Model | None:
     """Learns from all rows of (text, lang) whose lang is not null; None without any word."""
     scratch = Scratch(docs.sparkSession, "langid")
     docs = docs.filter("lang is not null")
-    words, _ = scratch.write(docs.select("text", "lang").mapInArrow(_count_words, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")), "words")
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    if not totals:
-        return None
-    langs = sorted(totals)
-    grams = words.mapInArrow(_count_grams, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
-    grams, _ = scratch.write(grams, "grams")
-    gram_totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    total, gram_total = (np.array([t.get(x, 0) for x in langs], float) for t in (totals, gram_totals))
-    names, rows = _most_frequent(words, "word", langs, MAX_WORDS, total)
-    gram_names, gram_rows = _most_frequent(grams, "gram", langs, MAX_GRAMS, gram_total)
     n_docs = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    langs = sorted(n_docs)
+    if not langs:
+        return None
+    words, _ = scratch.write(_by_language(docs.select("text", "lang").mapInArrow(_count_words, "word string, lang string, n long"), "word", langs), "words")
+    met = words.agg(*(F.sum(f"n{i}") for i in range(len(langs)))).first()
+    if not any(met):
+        return None
+    # A language without a word cannot be told from others.
+    words = words.select("word", *(F.col(f"n{i}").alias(f"n{k}") for k, i in enumerate(i for i, n in enumerate(met) if n)))
+    langs = [lang for lang, n in zip(langs, met) if n]
+    grams, _ = scratch.write(_by_language(words.mapInArrow(_count_grams(langs), "gram string, lang string, n long"), "gram", langs), "grams")
     prior = np.log(np.array([n_docs[x] for x in langs], float) / sum(n_docs.values()))
-    return Model(langs, {w.encode(): i for i, w in enumerate(names)}, rows, {g: i for i, g in enumerate(gram_names)}, gram_rows, prior)
+    return Model(langs, _table(words, "word", langs, HOT_WORDS, str.encode), _table(grams, "gram", langs, HOT_GRAMS, str), prior)
 
 
-class _Index(dict):
-    """Word to row of a matrix; a word that is not there yet gets the row that backoff gives it."""
+class _Hot(dict):
+    """Word to row of a matrix; words that are not there get the last row, of zeros, and are noted."""
 
-    def __init__(self, model: Model):
-        super().__init__(model.words)
-        self.model, self.known = model, len(model.words)
-        self.rows = np.concatenate([model.word_rows, np.zeros((CACHE_WORDS, len(model.langs)), np.float32)])
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__(known)
+        self.others, self.nothing = [], len(known)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])  # within one text; between texts it is emptied
-        self.rows[len(self)] = self.model.unseen(word)
-        self[word] = len(self)
-        return self[word]
+        self.others.append(word)
+        return self.nothing
+
+
+def _batch(columns: dict[str, list], kinds: dict[str, pa.DataType], sums: list[np.ndarray], langs: int) -> pa.RecordBatch:
+    matrix = np.array(sums, np.int64).reshape(-1, langs)
+    arrays = {c: pa.array(columns[c], kind) for c, kind in kinds.items()} | {f"v{i}": pa.array(matrix[:, i]) for i in range(langs)}
+    return pa.RecordBatch.from_pydict(arrays)
+
+
+def _look_up(shared, langs: int):
+    """A row (row, id, null, whether it has a letter, sum over hot words) for every text, and (row, null, word, times, zeros) for its other words."""
+    kinds = {"row": pa.int64(), "id": pa.int64(), "word": pa.string(), "k": pa.int64()}
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rows = shared.value
+        hot, nothing = _Hot(known), np.zeros(langs, np.int64)
+        for batch in source:
+            out, sums = {c: [] for c in kinds}, []
+            for row, i, text in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "text"))):
+                letters = text is not None and _LETTER.search(text) is not None
+                found = [(row, i, None, int(letters))]
+                sums.append(rows[list(map(hot.__getitem__, words_of(text)))].sum(axis=0) if letters else nothing)
+                if hot.others:
+                    found += [(row, None, w.decode(), n) for w, n in Counter(hot.others).items()]
+                    sums += [nothing] * (len(found) - 1)
+                    hot.others = []
+                for values, column in zip(out.values(), zip(*found)):
+                    values.extend(column)
+            yield _batch(out, kinds, sums, langs)
+
+    return run
 
-    def full(self) -> bool:
-        return len(self) >= self.known + CACHE_WORDS
 
+def _cut(shared, langs: int):
+    """For words that training never met: (word, size, null, known, sum) over the hot n-grams of a length, and (word, size, gram, times, zeros)
+    for other n-grams, from the longest length on until one has a hot n-gram."""
+    kinds = {"word": pa.string(), "size": pa.int32(), "gram": pa.string(), "k": pa.int64()}
 
-def _predict(model):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model | None = model.value
-        index = _Index(m) if m else None
+        known, rows = shared.value
+        nothing = np.zeros(langs, np.int64)
         for batch in source:
-            langs, scores = [], []
-            for text in batch.column("text").to_pylist():
-                if m is None or text is None or not _LETTER.search(text):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                if index.full():
-                    index = _Index(m)
-                own = list(map(index.__getitem__, words_of(text)))
-                total = m.prior + index.rows[own].sum(axis=0, dtype=np.float64)
-                best = int(total.argmax())
-                langs.append(m.langs[best])
-                scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
+            out, sums = {c: [] for c in kinds}, []
+            for word in batch.column("word").to_pylist():
+                for size in range(LONGEST, 0, -1):
+                    grams = grams_of(word, size)
+                    own = [known[g] for g in grams if g in known]
+                    found = [(word, size, g, n) for g, n in Counter(g for g in grams if g not in known).items()]
+                    sums += [nothing] * len(found)
+                    if own:
+                        found.append((word, size, None, len(own)))
+                        sums.append(rows[own].sum(axis=0))
+                    for values, column in zip(out.values(), zip(*found)):
+                        values.extend(column)
+                    if own:
+                        break
+            yield _batch(out, kinds, sums, langs)
 
     return run
 
 
+def _unmet(words: DataFrame, model: Model, scratch: Scratch) -> DataFrame:
+    """(word, v0, v1, ...) by backoff; words of which no character is known are left out."""
+    values = _values(model.langs)
+    shared = words.sparkSession.sparkContext.broadcast((model.grams.hot, model.grams.hot_rows))
+    longs = "".join(f", {v} long" for v in values)
+    cut, _ = scratch.write(words.mapInArrow(_cut(shared, len(values)), f"word string, size int, gram string, k long{longs}"), "cut")
+    rare = cut.filter("gram is not null").select("word", "size", "gram", "k").join(model.grams.rows, "gram")
+    parts = cut.filter("gram is null").drop("gram").unionByName(rare.select("word", "size", "k", *((F.col("k") * F.col(v)).alias(v) for v in values)))
+    by_size = parts.groupBy("word", "size").agg(F.sum("k").alias("k"), *(F.sum(v).alias(v) for v in values))
+    best = by_size.groupBy("word").agg(F.max_by(F.struct("k", *values), "size").alias("best"))
+    return best.select("word", *(F.round(F.col(f"best.{v}") / F.col("best.k")).cast("long").alias(v) for v in values))
+
+
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return X.columns_of(docs, id_col, text_col).mapInArrow(_predict(shared), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    docs = X.columns_of(docs, id_col, text_col)
+    if model is None:
+        return docs.select(F.col("id").alias(id_col), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    scratch = Scratch(docs.sparkSession, "langid")
+    values = _values(model.langs)
+    shared = docs.sparkSession.sparkContext.broadcast((model.words.hot, model.words.hot_rows))
+    longs = "".join(f", {v} long" for v in values)
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_look_up(shared, len(values)), f"row long, id long, word string, k long{longs}")
+    found, _ = scratch.write(rows, "found")
+    rare = found.filter("word is not null").select("row", "word", "k")
+    unmet = _unmet(rare.select("word").distinct().join(model.words.rows.select("word"), "word", "left_anti"), model, scratch)
+    scored = rare.join(model.words.rows.unionByName(unmet), "word")
+    parts = found.filter("word is null").drop("word").unionByName(scored.select("row", F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("k"), *((F.col("k") * F.col(v)).alias(v) for v in values)))
+    sums = parts.groupBy("row").agg(F.max("id").alias("id"), F.max("k").alias("k"), *(F.sum(v).alias(v) for v in values))
+    total = F.array(*(F.col(v) / UNIT + F.lit(float(p)) for v, p in zip(values, model.prior)))
+    best = sums.select("id", "k", total.alias("total")).withColumn("most", F.array_max("total"))
+    score = 1 / F.aggregate("total", F.lit(0.0), lambda s, t: s + F.exp(t - F.col("most")))
+    lang = F.element_at(F.array(*map(F.lit, model.langs)), F.array_position("total", F.col("most")).cast("int"))
+    return best.select(F.col("id").alias(id_col), F.when(F.col("k") > 0, lang).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("k") > 0, score).otherwise(0.0).alias("score"))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, held_out: int = 2) -> DataFrame:

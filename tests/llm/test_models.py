@@ -79,6 +79,26 @@ def test_language_backs_off(spark):
     assert {r["lang_pred"] for r in langid.predict(new, None).collect()} == {"und"}
 
 
+def test_language_of_few_documents_is_learned(spark):
+    """Words and n-grams of a small language count, whatever larger ones bring along."""
+    import itertools
+
+    many = ["".join(x) for x in itertools.product("bcdfghklmnprstvz", "aeiou", "bcdfghklmnprstvz", "aeiou", "bcdfghklmnprstvz")]
+    docs = [(i, " ".join(many[i::25]) + " " + " ".join(many[i::25]), "en") for i in range(25)] * 3 + [(100 + i, "жуков щёлк", "ru") for i in range(2)]
+    assert len(many) > 40_000 and all(len(set(many[i::25])) > 1000 for i in range(25))
+    model = langid.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string").select("text", "lang"))
+    new = spark.createDataFrame([(1, "жуков щёлк"), (2, "жуковый"), (3, "щ щ щ щ щ"), (4, " ".join(many[:20]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(new, model).collect()} == {1: "ru", 2: "ru", 3: "ru", 4: "en"}
+
+
+def test_what_is_broadcast_changes_no_language(spark, documents, monkeypatch):
+    scores = lambda: {r["doc_id"]: (r["lang_pred"], round(r["score"], 5)) for r in langid.identify(documents).collect()}
+    want = scores()
+    monkeypatch.setattr(langid, "HOT_WORDS", 50)
+    monkeypatch.setattr(langid, "HOT_GRAMS", 20)
+    assert scores() == want
+
+
 def test_language_takes_edge_rows(edge):
     rows = langid.identify(edge).collect()
     assert len(rows) == edge.count() and all(r["lang_pred"] in ("en", "und") for r in rows)
