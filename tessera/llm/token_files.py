@@ -13,6 +13,7 @@ task leaves the same files.
 Edge cases
 ----------
 * null or empty text: the end id alone;
+* special tokens that stand in a text get their own ids, as from the library's call without further settings;
 * null document ids sort first; equal ids stand next to each other, in the order of a hash of their text;
 * no document: a manifest without parts; extra columns are ignored.
 """
@@ -116,12 +117,12 @@ class WordEncoder:
         return np.concatenate(out) if out else np.zeros(0, np.uint32), bounds[offsets]
 
 
-def word_encoder(path: str) -> WordEncoder:
-    """Encodes whole texts; special tokens in a text are ordinary text."""
+def word_encoder(path: str, special_as_text: bool = True) -> WordEncoder:
+    """Encodes whole texts; special tokens in a text are ordinary text, or else get their own ids, as the library does unless told otherwise."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
     return WordEncoder(tokenizer)
 
 
@@ -137,7 +138,7 @@ def _write(path: str, root: str, end_id: int, kind: str):
         cache, sizes, ids, nulls = None, [np.zeros(1, np.int64)], [], 0
         with fs.open_output_stream(f"{own}.bin") as out:
             for rows in source:
-                cache = cache or word_encoder(path)
+                cache = cache or word_encoder(path, special_as_text=False)
                 texts = rows.column("text").cast(pa.large_string()).fill_null("")
                 nulls += rows.column("id").null_count
                 ids.append(rows.column("id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))

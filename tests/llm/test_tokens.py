@@ -77,6 +77,17 @@ def test_word_encoder_is_the_librarys():
     assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_files_have_the_librarys_special_tokens(spark, tmp_path):
+    """Nothing is set on the library: a special token in a text has its own id, wherever it stands."""
+    special = ["hello <|endoftext|> world", "a<|endoftext|>b", "<|startoftext|>", "x <|endoftext|><|startoftext|>!? y", "<|STARTOFTEXT|> <|endoftext", "é<|endoftext|>\u0301 it's", "<|endoftext|>\n<|endoftext|>"]
+    texts = [*special, *odd_texts()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = T.read_token_files(spark, T.write_token_files(df, WORDS, f"file://{tmp_path}/special"), with_ids=True).collect()
+    tokenizer = Tokenizer.from_file(WORDS)
+    assert tokenizer.encode(special[0], add_special_tokens=False).ids == [3306, 49407, 1002]
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in out} == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
 def test_files(spark, tmp_path, edge, edge_rows, documents):
     tokenizer = Tokenizer.from_file(WORDS)
     for n, (df, rows) in enumerate(((edge, [r[:2] for r in edge_rows]), (documents, [tuple(r) for r in documents.select("doc_id", "text").collect()]))):
