@@ -110,6 +110,40 @@ def test_replace_and_manifest(spark):
     assert I.manifest_totals(manifest.limit(0)).first()["total_chunks"] == 0
 
 
+def test_pdf_keeps_headings_and_tables(spark, tmp_path):
+    """A stand-in for the pdf library, which is not installed here: two pages with a title, a table, paragraphs, a footer and page numbers."""
+
+    def open_pdf(stream):
+        from contextlib import contextmanager
+        from types import SimpleNamespace as N
+
+        def line(text, top, size=10.0, font="Times"):
+            return {"text": text, "top": top, "bottom": top + size, "chars": [{"size": size, "fontname": font} for _ in text]}
+
+        table = N(bbox=(0, 200, 100, 240), extract=lambda: [["Plan", "Days"], ["Basic", None], [None, " "], ["Long\nterm", "30"]])
+        first = [line("Travel Policy", 100, 20.0), line("Plans are listed in the fol-", 140), line("lowing table for all.", 152), line("Plan Days", 205), line("Basic", 220), line("Applies to everyone here.", 260), line("ACME internal", 760), line("Page 1 of 3", 775)]
+        second = [line("Refunds", 100, 14.0), line("Refunds take a week.", 130), line("Run-in title", 150, font="Times-Bold"), line("Ask the desk.", 164), line("acme internal", 760), line("2", 775)]
+        pages = [(first, [table]), (second, []), ([], [])] if stream.read() == b"full" else [([], [])]
+
+        @contextmanager
+        def opened():
+            yield N(pages=[N(height=800, extract_text_lines=lambda return_chars, x=x: x, find_tables=lambda t=t: t) for x, t in pages])
+
+        return opened()
+
+    for name, content in (("a", b"full"), ("b", b"blank"), ("c", b"full")):
+        (tmp_path / f"{name}.pdf").write_bytes(content)
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.meta.yaml").write_text(f"title: {name}\n")
+    (tmp_path / "d.md").write_text("# As it is\n")
+    rows = {r["name"]: r for r in S.parse_corpus(S.scan_corpus(spark, str(tmp_path)), open_pdf).collect()}
+    assert {k: r["error"] for k, r in rows.items()} == {"a.pdf": None, "b.pdf": None, "c.pdf": "missing sidecar", "d.md": None}
+    text = rows["a.pdf"]["markdown"].split("---\n", 2)[2].strip()
+    table = "| Plan | Days |\n| --- | --- |\n| Basic |  |\n| Long term | 30 |"
+    assert text.split("\n\n") == ["# Travel Policy", "Plans are listed in the following table for all.", table, "Applies to everyone here.", "## Refunds", "Refunds take a week.", "### Run-in title", "Ask the desk."]
+    assert "title: b" in rows["b.pdf"]["markdown"] and "As it is" in rows["d.md"]["markdown"]
+
+
 def test_corpus_round_trip(spark, tmp_path):
     (tmp_path / "a.md").write_text(DOC.format(rivers="Wide re-\nport."))
     (tmp_path / "b.docx").write_bytes(b"not really")
