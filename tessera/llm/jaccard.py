@@ -291,8 +291,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of its component; rows without an id stay, and so does one of equal rows."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.filter(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("__tessera_id")).distinct()
-    named = docs.join(kept, F.col(f"`{id_col}`").cast("long") == F.col("__tessera_id"), "left_semi")
-    return named.dropDuplicates([id_col, text_col]).unionByName(docs.filter(F.col(f"`{id_col}`").isNull()))
+    """One row of each component, all columns: that of the smallest id; rows without an id stay. Of equal rows one stays.
+
+    Rows are numbered and told apart by their number, since an id may stand for several texts.
+    """
+    number, key = "__tessera_row", F.col(f"`{id_col}`").cast("long").alias("__tessera_id")
+    rows, _ = Scratch(docs.sparkSession, "numbered").write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    named = rows.filter(key.isNotNull())
+    found = near_duplicates(named, number, text_col, **options).join(named.select(number, key), number)
+    kept = found.groupBy("component_id").agg(F.min(F.struct("__tessera_id", number)).alias("x")).select(F.col(f"x.{number}").alias("__tessera_kept"))
+    one = named.join(kept, F.col(number) == F.col("__tessera_kept"), "left_semi").drop(number)
+    return one.dropDuplicates([id_col, text_col]).unionByName(rows.filter(key.isNull()).drop(number))

@@ -165,3 +165,10 @@ def test_keep_one(edge):
     ids = [i for i, _ in kept]
     assert 1 in ids and 2 not in ids and 3 not in ids and 11 not in ids and -17 in ids and 10 in ids and 7 in ids and 8 not in ids and 4 in ids and 5 in ids
     assert J.keep_one(edge).filter("doc_id is null").count() == 2
+
+
+def test_repeated_ids_keep_one_row_of_each_component(spark):
+    text = lambda name, end="": " ".join(f"{name}{i}" for i in range(60)) + end
+    rows = [(5, text("a")), (5, text("b")), (3, text("b", " end")), (7, text("c")), (7, text("c", " end")), (8, text("d")), (8, text("d")), (None, text("a"))]
+    got = [tuple(r) for r in J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted((i or 0, t[0]) for i, t in got) == [(0, "a"), (3, "b"), (5, "a"), (7, "c"), (8, "d")]
