@@ -1,13 +1,16 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows with documents.
 
-A window is ``window`` consecutive words of an item, or the whole item where it has fewer. A document contains a
-window only if it contains all its shingles, so its necessary prefix, with shingles in order of rarity, is one: the rarest.
-The join is on that shingle alone. Shingles are counted over all documents first. A match at position p of the shingle that
-stands j words into the window fixes where the window would begin: bounds on position and length (it must lie
-inside the document) drop what cannot fit, and the words are then compared one by one.
+A window is ``window`` consecutive words of an item, or the whole item where it has fewer. A document contains a window only if
+it contains all its shingles, so its necessary prefix, with shingles in order of rarity, is one: the rarest.
 
-The index is built from the benchmark in blocks of bounded size: a block is broadcast, and a benchmark of more than one block takes a
-pass over the documents for each.
+1. Shingles of the windows are counted over all documents; a window with a shingle that no document has is out.
+2. Positions of documents where a prefix shingle stands are joined with the windows on that shingle.
+3. A shingle at position p of a document that stands j words into the window fixes where the window would begin: bounds on position and
+   length (it must lie inside the document) drop what cannot fit.
+4. The words are compared, and the hits merged to intervals.
+
+Texts are read twice and never shuffled; a bitmap of at most 2^MAX_BITS bits tells tasks which shingles may matter. It only saves
+work: the joins decide. Nothing else of the benchmark is gathered, whatever its size.
 
 Edge cases
 ----------
@@ -20,12 +23,13 @@ Edge cases
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -36,209 +40,189 @@ WINDOW = 13
 SHINGLE = 5
 #: A document is contaminated when SHARE * (words hit) reaches its number of words.
 SHARE = 20
-#: Bytes of benchmark text in one broadcast block of the index.
-BLOCK_BYTES = 2 << 20
-_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-_FOUND = "id long, n_words long, n_hit long, item_ids array<string>, hits array<struct<start:int,end:int>>"
-
-
-class Index:
-    """Windows of the items, and the shingle under which each is looked for."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int, shingle: int):
-        ids, texts = zip(*items) if items else ((), ())
-        data, offsets = W.buffers(pa.array(texts, pa.string()))
-        w = W.split(data, offsets, W.ALNUM, True)
-        seen: dict[bytes, int] = {}
-        owners: list[set[str]] = []
-        start, length = [], []
-        for item, a, b in zip(ids, w.doc[:-1].tolist(), w.doc[1:].tolist()):
-            n = min(window, b - a)
-            for at in range(a, b - n + 1) if n else ():
-                key = w.hash[at : at + n].tobytes()
-                if key not in seen:
-                    seen[key] = len(owners)
-                    owners.append(set())
-                    start.append(at)
-                    length.append(n)
-                owners[seen[key]].add(item)
-        self.words, self.owners = w.hash, [sorted(x) for x in owners]
-        self.start, self.length = np.array(start, np.int64), np.array(length, np.int64)
-        self.shingle = shingle
-        full = self.length >= shingle
-        rolled = W.rolling(w.hash, shingle)
-        self.candidates = np.unique(np.concatenate([rolled[a : a + n - shingle + 1] for a, n in zip(self.start[full], self.length[full])])) if full.any() else np.zeros(0, np.uint64)
-        self._rolled = rolled
-
-    def choose(self, count: dict[int, int]) -> None:
-        """The prefix of every window: its rarest shingle, the smaller hash among equals. ``count``: occurrences in the documents."""
-        rows: dict[int, list] = {}
-        for i, (a, n) in enumerate(zip(self.start.tolist(), self.length.tolist())):
-            k = min(self.shingle, n)
-            options = self._rolled[a : a + n - k + 1].tolist() if k == self.shingle else W.rolling(self.words[a : a + n], n).tolist()
-            j = min(range(len(options)), key=lambda j: (count.get(options[j], 0), options[j]))
-            if k < self.shingle or count.get(options[j], 0):  # a shingle that no document has rules its windows out
-                rows.setdefault(k, []).append((options[j], i, j))
-        self.by_length = {}
-        for k, found in rows.items():
-            found.sort()
-            token, at = np.unique(np.array([x[0] for x in found], np.uint64), return_index=True)
-            seen = np.zeros(1 << 20, bool)
-            seen[(token >> np.uint64(44)).astype(np.int64)] = True
-            self.by_length[k] = (token, np.r_[at, len(found)], np.array([x[1] for x in found]), np.array([x[2] for x in found]), seen)
-        self.candidates = self._rolled = None
-
-    def find(self, w: W.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(window, first word) of every occurrence in the texts."""
-        window, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, (token, at, number, inside, seen) in self.by_length.items():
-            position, _ = W.window_index(w.counts(), w.doc[:-1], k)
-            if not len(position):
-                continue
-            h = W.rolling(w.hash, k)[position]
-            maybe = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)])
-            where = np.searchsorted(token, h[maybe])
-            where[where == len(token)] = 0
-            hit = token[where] == h[maybe]
-            position, where = position[maybe[hit]], where[hit]
-            times = at[where + 1] - at[where]
-            row = np.repeat(at[where] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
-            begin = np.repeat(position, times) - inside[row]
-            text = np.searchsorted(w.doc, np.repeat(position, times), side="right") - 1
-            fits = (begin >= w.doc[text]) & (begin + self.length[number[row]] <= w.doc[text + 1])
-            number_, begin = number[row[fits]], begin[fits]
-            for n in np.unique(self.length[number_]).tolist():
-                own = self.length[number_] == n
-                same = np.ones(int(own.sum()), bool)
-                for j in range(n):
-                    same &= w.hash[begin[own] + j] == self.words[self.start[number_[own]] + j]
-                window.append(number_[own][same])
-                first.append(begin[own][same])
-        return np.concatenate(window), np.concatenate(first)
-
-
-def _count(wanted, shingle: int):
+#: The bitmap has 2^MAX_BITS bits at most (16 MiB), 16 for each shingle below that.
+MAX_BITS = 27
+#: Distinct shingles that a task counts before it hands them on.
+COUNTER = 1 << 20
+
+
+#: Separators of words become blanks.
+_BLANKS = bytes(0x20 if x else b for b, x in enumerate(W.ALNUM))
+
+
+def _plain(raw: bytes) -> str:
+    return b" ".join(raw.translate(_BLANKS).split()).decode()
+
+
+def _tokens(w: W.Words, k: int) -> np.ndarray:
+    """Hashes of all ``k`` consecutive words, different for each k."""
+    return W.mix(W.windows(w, k) ^ np.uint64(k))
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, at: int, to: int) -> W.Words:
+    return W.split(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], W.ALNUM, True)
+
+
+def _item_windows(window: int, shingle: int):
+    """(item, n, k, words, tokens): each window's words joined by one space, and its shingles of k words in their order."""
+    schema = pa.schema([("item", pa.string()), ("n", pa.int32()), ("k", pa.int32()), ("words", pa.string()), ("tokens", pa.list_(pa.int64()))])
+
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = wanted.value
-        total = np.zeros(len(tokens), np.int64)
-        seen = np.zeros(1 << 20, bool)
-        seen[(tokens >> np.uint64(44)).astype(np.int64)] = True
         for rows in source:
             data, offsets = W.buffers(rows.column("text"))
             for at, to in W.chunks(offsets):
-                w = W.split(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], W.ALNUM, True)
-                position, _ = W.window_index(w.counts(), w.doc[:-1], shingle)
-                if not len(position):
-                    continue
-                h = W.rolling(w.hash, shingle)[position]
-                h = h[seen[(h >> np.uint64(44)).astype(np.int64)]]
-                where = np.searchsorted(tokens, h)
-                where[where == len(tokens)] = 0
-                total += np.bincount(where[tokens[where] == h], minlength=len(tokens))
-        some = total > 0
-        yield pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(total[some])], names=["token", "n"])
+                w = _words(data, offsets, at, to)
+                tokens, out = {}, []
+                for item, a, b in zip(rows.column("id")[at:to].to_pylist(), w.doc[:-1].tolist(), w.doc[1:].tolist()):
+                    n = min(window, b - a)
+                    k = min(shingle, n)
+                    if n and k not in tokens:
+                        tokens[k] = _tokens(w, k).view(np.int64)
+                    words = [w.bytes_of(i).decode() for i in range(a, b)]
+                    out += [(item, n, k, " ".join(words[i : i + n]), tokens[k][a + i : a + i + n - k + 1]) for i in range(b - a - n + 1) if n]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
-def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [tuple(x) for x in out]
+def _bitmap(tokens: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """Bits for the leading bits of ``n`` tokens, and how many leading bits are looked at."""
+    bits = min(MAX_BITS, max(16, math.ceil(math.log2(16 * max(1, n)))))
+    bit = F.shiftrightunsigned("token", 64 - bits) + 1
+    parts = tokens.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("part"))
+    out = np.zeros((1 << bits >> 15 or 1, 4096), np.uint8)
+    for r in parts.collect():
+        out[r["bucket"] - 1] = np.frombuffer(r["part"], np.uint8)
+    return out.ravel(), bits
+
+
+def _marked(tokens: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    bit = (tokens >> np.uint64(64 - bits)).astype(np.int64)
+    return np.flatnonzero(bitmap[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+
 
+def _count(shared, lengths: list[int]):
+    """(token, n): occurrences of marked shingles."""
 
-def _match(index, keep_text: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = index.value
+        bitmap, bits = shared.value
+        found, held = [], 0
+
+        def batch() -> pa.RecordBatch:
+            token, n = (np.concatenate(x) for x in zip(*found))
+            token, inverse = np.unique(token, return_inverse=True)
+            total = np.bincount(inverse, weights=n, minlength=len(token)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(total)], names=["token", "n"])
+
         for rows in source:
             data, offsets = W.buffers(rows.column("text"))
-            before = rows.schema.names
             for at, to in W.chunks(offsets):
-                w = W.split(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], W.ALNUM, True)
-                window, first = ix.find(w)
-                spans: dict[int, list] = {}
-                items: dict[int, set] = {}
-                text = np.searchsorted(w.doc, first, side="right") - 1
-                for k, i, a in zip(text.tolist(), window.tolist(), first.tolist()):
-                    a -= int(w.doc[k])
-                    spans.setdefault(k, []).append((a, a + int(ix.length[i])))
-                    items.setdefault(k, set()).update(ix.owners[i])
-                if "hits" in before:  # what earlier blocks found
-                    for k in range(to - at):
-                        old = rows.column("hits")[at + k].as_py()
-                        if old:
-                            spans.setdefault(k, []).extend((x["start"], x["end"]) for x in old)
-                            items.setdefault(k, set()).update(rows.column("item_ids")[at + k].as_py())
-                merged = {k: _merge(v) for k, v in spans.items()}
-                n = to - at
-                columns = {
-                    "id": rows.column("id")[at:to], "n_words": pa.array(w.counts(), pa.int64()),
-                    "n_hit": pa.array([sum(b - a for a, b in merged.get(k, ())) for k in range(n)], pa.int64()),
-                    "item_ids": pa.array([sorted(items.get(k, ())) for k in range(n)], pa.list_(pa.string())),
-                    "hits": pa.array([[{"start": a, "end": b} for a, b in merged.get(k, ())] for k in range(n)], _SPAN),
-                }
-                if keep_text:
-                    columns["text"] = rows.column("text")[at:to]
-                yield pa.RecordBatch.from_pydict(columns)
+                w = _words(data, offsets, at, to)
+                for k in lengths:
+                    position, _ = W.window_index(w.counts(), w.doc[:-1], k)
+                    if len(position):
+                        tokens = _tokens(w, k)[position]
+                        found.append(np.unique(tokens[_marked(tokens, bitmap, bits)], return_counts=True))
+                        held += len(found[-1][0])
+                if held > COUNTER:
+                    yield batch()
+                    found, held = [], 0
+        if held:
+            yield batch()
+
+    return run
+
+
+def _places(shared, lengths: list[int], window: int):
+    """A row (row, id, n_words) for each document, and (row, n_words, token, at, first, words) for each place ``at`` of a marked shingle: the
+    words around it, of which the first is word ``first`` of the document."""
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_words", pa.int64()), ("token", pa.int64()), ("at", pa.int32()), ("first", pa.int32()), ("words", pa.string())])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, bits = shared.value
+        row = TaskContext.get().partitionId() << 40
+        for rows in source:
+            data, offsets = W.buffers(rows.column("text"))
+            for at, to in W.chunks(offsets):
+                w = _words(data, offsets, at, to)
+                size, number = w.counts(), np.arange(row, row + to - at)
+                row += to - at
+                nothing = pa.nulls(to - at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(number), rows.column("id")[at:to], pa.array(size), nothing, *(pa.nulls(to - at, schema.field(c).type) for c in ("at", "first", "words"))], schema=schema)
+                for k in lengths:
+                    position, n = W.window_index(size, w.doc[:-1], k)
+                    if not len(position):
+                        continue
+                    tokens = _tokens(w, k)[position]
+                    marked = _marked(tokens, bitmap, bits)
+                    text = np.repeat(np.arange(to - at), n)[marked]
+                    for i in range(0, len(marked), 20_000):
+                        some = slice(i, i + 20_000)
+                        owner, place = text[some], position[marked[some]]
+                        begin, end = np.maximum(place - window + 1, w.doc[owner]), np.minimum(place + window, w.doc[owner + 1])
+                        words = [_plain(w.data[x:y].tobytes()) for x, y in zip(w.start[begin].tolist(), w.end[end - 1].tolist())]
+                        first = w.doc[owner]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(number[owner]), pa.nulls(len(owner), pa.int64()), pa.array(size[owner]), pa.array(tokens[marked[some]].view(np.int64)), pa.array((place - first).astype(np.int32)), pa.array((begin - first).astype(np.int32)), pa.array(words, pa.string())],
+                            schema=schema,
+                        )
         W.release()
 
     return run
 
 
-def _items(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
-    """The items that take part, and in how many blocks they are indexed."""
-    items = X.columns_of(benchmark, item_col, text_col, "string").dropna()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return items, max(1, -(-size // block_bytes))
+def _words_of_window(found: DataFrame) -> DataFrame:
+    """(row, n_words, begin, end, items): joined places whose words are the window's."""
+    begin = F.col("at") - F.col("j")
+    fits = (begin >= F.col("first")) & (begin + F.col("n") <= F.col("n_words"))
+    words = F.array_join(F.slice(F.split("words", " "), begin - F.col("first") + 1, F.col("n")), " ")
+    return found.filter(fits).filter(words == F.col("window")).select("row", "n_words", begin.alias("begin"), (begin + F.col("n")).alias("end"), "items")
 
 
-def _index(docs: DataFrame, items: DataFrame, blocks: int, k: int, window: int):
-    """The index of block ``k``, broadcast. Its shingles are counted over all of ``docs`` (a column text)."""
-    context = docs.sparkSession.sparkContext
-    part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-    index = Index([tuple(r) for r in part.select("id", "text").collect()], window, SHINGLE)
-    count = {}
-    if len(index.candidates):
-        rows = docs.select("text").mapInArrow(_count(context.broadcast(index.candidates), SHINGLE), "token long, n long")
-        count = {r["token"] % (1 << 64): r["n"] for r in rows.groupBy("token").agg(F.sum("n").alias("n")).collect()}
-    index.choose(count)
-    return context.broadcast(index)
+def _merged(hits: DataFrame) -> DataFrame:
+    """(row, n_hit, hits): overlapping and touching intervals of each row put together."""
+    order = Window.partitionBy("row").orderBy("begin", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.groupBy("row", "begin").agg(F.max("end").alias("end")).withColumn("new", F.when(F.col("begin") <= before, 0).otherwise(1))
+    spans = spans.withColumn("island", F.sum("new").over(order)).groupBy("row", "island").agg(F.min("begin").alias("start"), F.max("end").alias("end"))
+    return spans.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hits"))
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(id_col, n_words, n_hit, item_ids, hits, contaminated): item_ids sorted as strings, hits as word intervals [start, end)."""
-    scratch = Scratch(docs.sparkSession, "decontamination")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "decontamination")
     docs = X.columns_of(docs, id_col, text_col)
-    items, blocks = _items(benchmark, item_col, item_text_col, block_bytes)
-    out = docs
-    for k in range(blocks):
-        last = k == blocks - 1
-        out = out.mapInArrow(_match(_index(docs, items, blocks, k, window), not last), _FOUND + ("" if last else ", text string"))
-        if not last:
-            out, _ = scratch.write(out, "block")
-            out = out.select("id", "text", "item_ids", "hits")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))).withColumnRenamed("id", id_col)
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, that are not contaminated."""
-    items, blocks = _items(benchmark, item_col, item_text_col, block_bytes)
-    if blocks > 1:  # hits of several blocks add up: rows are told apart by a number of the written input
-        number = "__tessera_row"
-        rows, _ = Scratch(docs.sparkSession, "decontamination").write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
-        found = find_benchmark(rows, benchmark, number, text_col, item_col, item_text_col, window, block_bytes)
-        return rows.join(found.filter("contaminated").select(number), number, "left_anti").drop(number)
-    match = _match(_index(X.columns_of(docs, id_col, text_col), items, 1, 0, window), False)
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in source:
-            only = pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows), rows.column(text_col)], names=["id", "text"])
-            found = list(match(iter([only])))
-            n_words, n_hit = (np.concatenate([f.column(c).to_numpy() for f in found]) for c in ("n_words", "n_hit"))
-            yield rows.filter(pa.array(~((n_hit > 0) & (n_hit * SHARE >= n_words))))
-
-    return docs.mapInArrow(run, docs.schema)
+    items = X.columns_of(benchmark, item_col, item_text_col, "string").dropna()
+    windows = items.mapInArrow(_item_windows(window, shingle), "item string, n int, k int, words string, tokens array<long>")
+    windows = windows.groupBy("words").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.first("tokens").alias("tokens"), F.sort_array(F.collect_set("item")).alias("items"))
+    windows, _ = scratch.write(windows.select(F.col("words").alias("window"), "n", "k", "tokens", "items"), "windows")
+    lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())  # SHINGLE of them at most
+
+    def share(tokens: DataFrame):
+        return spark.sparkContext.broadcast(_bitmap(tokens, tokens.count()))
+
+    shingles, _ = scratch.write(windows.select(F.explode("tokens").alias("token")).distinct(), "shingles")
+    counts = docs.select("text").mapInArrow(_count(share(shingles), lengths), "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
+    placed = windows.select("window", F.posexplode("tokens").alias("j", "token")).join(counts, "token", "left")
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token", "j")).alias("x")
+    prefix = placed.groupBy("window").agg(rarest).filter("x.count > 0").select("window", "x.token", "x.j").join(windows.select("window", "n", "items"), "window")
+    prefix, _ = scratch.write(prefix, "prefix")
+    chosen, _ = scratch.write(prefix.select("token").distinct(), "chosen")
+    found, _ = scratch.write(docs.mapInArrow(_places(share(chosen), lengths, window), "row long, id long, n_words long, token long, at int, first int, words string"), "places")
+    hits, _ = scratch.write(_words_of_window(found.filter("token is not null").join(prefix, "token")), "hits")
+    item_ids = hits.groupBy("row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    per_row = _merged(hits).join(item_ids, "row")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    out = found.filter("token is null").select("row", "id", "n_words").join(per_row, "row", "left")
+    out = out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("hits", none).alias("hits"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated; each row is judged by its own text, also where ids repeat or are null."""
+    number = "__tessera_row"
+    rows, _ = Scratch(docs.sparkSession, "decontamination").write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    found = find_benchmark(rows, benchmark, number, text_col, **options)
+    return rows.join(found.filter("contaminated").select(number), number, "left_anti").drop(number)

@@ -5,8 +5,8 @@ task that owns a bucket sees every batch's part of it, counts with one sort, and
 each needs to know; a batch then puts its replies together per document. A hash that a third of all documents
 hold costs one entry per batch, not one per document, so no bucket grows hot.
 
-Batches are told apart by task and position, so the input must be read the same way again when a task is repeated:
-files or a written table, not the output of a nondeterministic expression.
+Batches are told apart by task and position, so the input must be read the same way again when a task is repeated: ``settled``
+writes what comes out of a shuffle, the rest are files. Expressions that give other values when repeated are the caller's to write first.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .words import buffers, release
 
 #: Bytes of text in one batch.
@@ -92,6 +93,13 @@ def unpack(data: bytes, low: int, width: int, bucket: int, bits: int) -> np.ndar
     return (out & keep) | np.uint64(bucket << (64 - bits))
 
 
+def settled(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` or, where a shuffle gives its rows in an order that may change, a written copy."""
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs, _ = scratch.write(docs, "settled")
+    return docs
+
+
 def exchange(docs: DataFrame, mapper: Callable, reducer: Callable, assembler: Callable, schema: str) -> DataFrame:
     """``mapper(batches)`` gives ROWs, ``reducer(rows of one bucket)`` gives REPLY rows, ``assembler(rows of one batch)`` gives ``schema``.
 

@@ -1,21 +1,26 @@
 """N-gram Jaccard join: an exact metric-space join of shingle sets.
 
-Jaccard distance is a metric, so pivots can divide documents into regions. Pivots drawn from the documents cannot
-do so at the top level: nearly all texts share nothing, every distance to such a pivot is 1, and a triangle window
-of any width then holds all of them. The pivots of the top level are therefore the smallest points of the space, sets of
-one shingle: d(x, {s}) = 1 - 1/|x| if x holds s and 1 otherwise, so a document is nearest to the shingles it holds, and
-its home is the rarest of them. Documents at distance r = 0.25 at most differ in at most a quarter of either, so
-the boundary documents of a region are those that hold its pivot among their first |x| - ceil(0.75 |x|) + 1 shingles by
-rarity: they are replicated there, and every linked pair meets in a region.
-
-Shingles that only one document holds cannot be shared: they count for a set's size alone, and a document whose
-other shingles are fewer than 0.75 |x| is alone for certain. That leaves near-copies.
-
-Within regions, pivots are documents. Round one takes one centre for each region and the distance of every member
-from it; links to centres join what they link. Regions whose members then lie in different components are put together where they
-share members, and join recursively: a pivot's ball is linked to it, members whose distances from the pivot differ
-by over r cannot link, rings of width r with their neighbour ring recur, until one component or one member is left.
-Large ones are dealt in blocks and pairs of blocks. No pair is left out and no region has a cap.
+Jaccard distance is a metric. Documents at distance r = 0.25 at most are linked.
+
+1. *Nodes.* Shingles that only one document holds count for a set's size alone; a document whose other shingles are fewer than
+   0.75 |x| is alone for certain. Equal sets are one node.
+2. *Pivots.* Documents that share nothing are all at distance 1, so pivots must come from a document's surroundings. Linked documents
+   share one of their first |x| - ceil(0.75 |x|) + 1 shingles by rarity; the holders of such a shingle are a neighbourhood, and it
+   elects the document with the largest share of shared shingles (the original among edited copies) as its pivot. Neighbourhoods with
+   the same pivot are one region: any linked pair meets in one. Distances to its pivots are taken for every document; those within r link.
+3. *Regions* whose members are not all in one component by then are joined exactly. A small one goes to one task, where pivots, balls
+   and rings divide it further (``join_sets``). A large one is dealt in chunks to many tasks, each with the same new pivots, drawn from
+   outside the region's largest component (of any two members in different components one is outside it). Pivots are compared with
+   all members and are then done with. If they were not all such members, the others go to the Voronoi region of their nearest
+   pivot; a boundary document also goes to each later pivot p with d(x, p) <= d(x, nearest) + 2 r, since
+   d(x, p) <= d(x, y) + d(y, p) <= r + d(y, nearest of x) <= 2 r + d(x, nearest of x) for every y of region p within r of x.
+   These regions are joined in the same way, level by level.
+4. *Regions that do not divide* (the Voronoi regions together would leave over half of the pairs: many documents, none linked, and all
+   at much the same distance of each other) take all members outside the largest component as pivots, some for each task, without
+   a further level. No exact join avoids comparing these; time and rows sent grow with the square of such a region, memory of
+   a task stays bounded by chunk and pivots.
+
+No pair is left out and no region has a cap.
 
 Edge cases
 ----------
@@ -26,7 +31,8 @@ Edge cases
 * null id: the row is returned with its size and a null component, and takes no part;
 * empty table: empty result; extra columns are ignored.
 
-Shingles are compared by 48 bits of a 64-bit hash, which is read within one pair of documents only.
+Shingles are compared by a 61-bit Rabin-Karp residue whose bases are drawn anew for each job, so that no text can be made to
+collide; it is read within one pair of documents only. Words themselves are not compared.
 """
 
 from __future__ import annotations
@@ -36,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -47,34 +53,41 @@ from .scratch import Scratch
 SHINGLE = 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Members of a region that one task takes at a time.
-BLOCK = 512
+#: A region of up to BLOCK members and WEIGHT shingles in all is joined in one task.
+BLOCK = 192
+WEIGHT = 4_000_000
+#: Of a larger one a task gets CHUNK members (or WEIGHT shingles) and PIVOTS pivots.
+CHUNK = 160
+PIVOTS = 32
+#: A region divides if its Voronoi regions have GROWTH times its members at most and, in all, WORK times its pairs.
+GROWTH, WORK = 2, 0.5
 _MANY = 0xFFFF
 _DOCS = "id long, n int, s1 long, s2 long, tokens array<long>"
 
 
-def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """Per text, its distinct shingles (48 high bits of the hash), ascending."""
-    keep = np.uint64(0xFFFFFFFFFFFF0000)
+def _sets(data: np.ndarray, offsets: np.ndarray, k: int, key: W.Key) -> Iterator[np.ndarray]:
+    """Per text, the hashes of its distinct shingles, ascending."""
     for at, to in W.chunks(offsets):
         w = W.split(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], W.SPACE, True)
-        full = W.rolling(w.hash, k) & keep
+        values = w.values(key.word[0])
+        full = W.mix(W.rolling(values, k, key.window[0]))
         for a, b in zip(w.doc[:-1].tolist(), w.doc[1:].tolist()):
             if b - a >= k:
                 yield np.unique(full[a : b - k + 1])
             elif b > a:
-                yield W.rolling(w.hash[a:b], b - a) & keep
+                # With the length as first digit: a sequence of fewer words is no shingle of k words.
+                yield W.mix(W.rolling(np.concatenate([[np.uint64(b - a)], values[a:b]]), b - a + 1, key.window[0]))
             else:
                 yield np.zeros(0, np.uint64)
 
 
-def _mapper(bits: int, k: int):
+def _mapper(bits: int, k: int, key: W.Key):
     salt = np.uint64(0xA5A5A5A55A5A5A5A)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows, data, offsets in X.batches(source):
             ids = rows.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
-            sets = list(_sets(data, offsets, k))
+            sets = list(_sets(data, offsets, k, key))
             n = np.array([len(s) for s in sets], dtype=np.int32)
             token = np.concatenate(sets)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
@@ -95,10 +108,10 @@ def _mapper(bits: int, k: int):
             if len(token):
                 token, doc = token[begin], np.where(many, _MANY, doc[begin]).astype(np.uint16)
                 order, buckets, begin = X.by_bucket(token, bits)
-                packed, doc, size = X.pack(token[order], 2, 6), doc[order], size[order].astype(np.uint32)
-                for key, a, b in zip(buckets.tolist(), begin[:-1].tolist(), begin[1:].tolist()):
+                packed, doc, size = X.pack(token[order], 0, 7), doc[order], size[order].astype(np.uint32)
+                for bucket, a, b in zip(buckets.tolist(), begin[:-1].tolist(), begin[1:].tolist()):
                     counts = size[a:b][doc[a:b] == _MANY]
-                    out.append((key, batch, X.PART, packed[a:b].tobytes(), doc[a:b].tobytes(), counts.tobytes(), None))
+                    out.append((bucket, batch, X.PART, packed[a:b].tobytes(), doc[a:b].tobytes(), counts.tobytes(), None))
             yield X.as_rows(out)
 
     return run
@@ -108,7 +121,7 @@ def _reducer(bits: int):
     """Replies with the shingles that more than one document holds, and in how many."""
 
     def run(bucket: int, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [X.unpack(a, 2, 6, bucket, bits) for a in rows["a"]]
+        parts = [X.unpack(a, 0, 7, bucket, bits) for a in rows["a"]]
         docs = [np.frombuffer(b, np.uint16) for b in rows["b"]]
         counts = [np.ones(len(p), np.int64) for p in parts]
         for c, d, given in zip(counts, docs, rows["c"]):
@@ -121,7 +134,7 @@ def _reducer(bits: int):
             at += len(part)
             mine = df > 1
             if mine.any():
-                out.append((-1, batch, X.REPLY, X.pack(part[mine], 2, 6).tobytes(), doc[mine].tobytes(), np.minimum(df[mine], 0xFFFFFFFF).astype(np.uint32).tobytes(), None))
+                out.append((-1, batch, X.REPLY, X.pack(part[mine], 0, 8).tobytes(), doc[mine].tobytes(), np.minimum(df[mine], 0xFFFFFFFF).astype(np.uint32).tobytes(), None))
         return pd.DataFrame(out, columns=["key", "batch", "kind", "a", "b", "c", "d"])
 
     return run
@@ -135,7 +148,7 @@ def _assembler(percent: int):
         sums = np.frombuffer(meta["c"], np.int64).reshape(2, -1)
         tokens: list = [None] * len(ids)
         if len(replies):
-            token = np.concatenate([X.unpack(a, 2, 6, 0, 64) for a in replies["a"]])
+            token = np.concatenate([X.unpack(a, 0, 8, 0, 64) for a in replies["a"]])
             doc = np.concatenate([np.frombuffer(b, np.uint16) for b in replies["b"]])
             df = np.concatenate([np.frombuffer(c, np.uint32) for c in replies["c"]])
             m = int(np.frombuffer(meta["d"], np.int64, 1)[0])
@@ -205,9 +218,8 @@ def join_sets(sets: list[np.ndarray], sizes: np.ndarray, component: np.ndarray,
     return found
 
 
-def _join_block(percent: int):
+def _join_region(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("node")
         node = rows["node"].to_numpy()
         sets = [np.asarray(t, dtype=np.int64) for t in rows["tokens"]]
         W.release()
@@ -217,17 +229,114 @@ def _join_block(percent: int):
     return run
 
 
-def shared_sets(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def voronoi(distance: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(member, pivot) pairs of a matrix of distances, one row for each member: its nearest pivot, and the later ones in whose regions a
+    document within ``radius`` of it may lie."""
+    home = distance.argmin(axis=1)
+    near = distance[np.arange(len(distance)), home]
+    later = np.arange(distance.shape[1]) > home[:, None]
+    into = later & (distance <= near[:, None] + 2 * radius)
+    into[np.arange(len(distance)), home] = True
+    return np.nonzero(into)
+
+
+def _meet_pivots(percent: int):
+    """Links of one chunk of members with some pivots (rows with ``pivot``) and, where the region divides, each other member's regions."""
+    radius = 1 - percent / 100 + 1e-9
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        pivots, members = rows[rows["pivot"]].sort_values("node"), rows[~rows["pivot"]]
+        out = []
+        if len(members) and len(pivots):
+            sets = [np.asarray(t, dtype=np.int64) for t in members["tokens"]]
+            length = np.array([len(s) for s in sets])
+            flat, begin, n = np.concatenate(sets), np.cumsum(length) - length, members["n"].to_numpy().astype(np.int64)
+            common = np.stack([_overlap(flat, begin, np.sort(np.asarray(t, dtype=np.int64))) for t in pivots["tokens"]], axis=1)
+            union = n[:, None] + pivots["n"].to_numpy().astype(np.int64) - common
+            differ = members["component"].to_numpy()[:, None] != pivots["component"].to_numpy()
+            node, other = members["node"].to_numpy(), pivots["node"].to_numpy()
+            for i, k in zip(*np.nonzero((100 * common >= percent * union) & differ)):
+                out.append((False, int(node[i]), int(other[k])))
+            if rows["divides"].iloc[0]:
+                rest = np.flatnonzero(~np.isin(node, other))
+                out += [(True, int(node[rest[i]]), int(other[k])) for i, k in zip(*voronoi(1 - common[rest] / union[rest], radius))] if len(rest) else []
+        W.release()
+        return pd.DataFrame(out, columns=["region", "a", "b"]).astype({"region": bool, "a": "int64", "b": "int64"})
+
+    return run
+
+
+def _relabel(known: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``known`` with the components that ``links`` put together."""
+    a, b = known.select(F.col("node").alias("a"), F.col("component").alias("x")), known.select(F.col("node").alias("b"), F.col("component").alias("y"))
+    merged = components(links.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    known = known.join(merged, "component", "left").select("node", "n", "weight", F.coalesce("merged", "component").alias("component"))
+    return scratch.write(known, "known")[0]
+
+
+def _join_regions(regions: DataFrame, nodes: DataFrame, known: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Components after all links within ``regions`` (region, node, stuck) are found, level by level."""
+    sets = nodes.select("node", "tokens")
+    while True:
+        members = regions.join(known, "node")
+        parts = members.groupBy("region", "stuck", "component").agg(F.count("*").alias("c"), F.sum("weight").alias("w"))
+        sizes = parts.groupBy("region", "stuck").agg(F.sum("c").alias("members"), F.sum("w").alias("weight"), F.max(F.struct("c", "component")).alias("most"))
+        sizes = sizes.select("region", "stuck", "members", "weight", (F.col("members") - F.col("most.c")).alias("outside"), F.col("most.component").alias("main")).filter("outside > 0")
+        sizes = sizes.withColumn("large", (F.col("members") > BLOCK) | ((F.col("weight") > WEIGHT) & (F.col("members") > 2)))
+        sizes, sizes_at = scratch.write(sizes, "sizes")
+        n_all, n_large = sizes.agg(F.count("*"), F.sum(F.col("large").cast("int"))).first()
+        if not n_all:
+            return known
+        small = members.join(sizes.filter("not large").select("region"), "region", "left_semi").join(sets, "node")
+        links, links_at = scratch.write(small.select("region", "node", "n", "component", "tokens").groupBy("region").applyInPandas(_join_region(percent), "a long, b long").distinct(), "links")
+        if not n_large:
+            return _relabel(known, links, scratch)
+        most = F.least(F.lit(PIVOTS), F.greatest(F.lit(1), F.floor(F.lit(WEIGHT) * F.col("members") / F.greatest("weight", F.lit(1))))).cast("long")
+        large = sizes.filter("large").withColumn("most", most)
+        # Few outside members are all pivots of one group; those of a region that does not divide make many groups.
+        large = large.withColumn("divides", ~F.col("stuck") & (F.col("outside") > F.col("most"))).withColumn("groups", F.when(F.col("divides"), 1).otherwise(F.ceil(F.col("outside") / F.col("most"))).cast("int"))
+        large = large.withColumn("chunks", F.ceil(F.greatest(F.col("members") / CHUNK, F.col("weight") / WEIGHT)).cast("int"))
+        met = members.drop("stuck", "weight").join(large.select("region", "main", "most", "divides", "groups", "chunks", F.col("members").alias("size")), "region")
+        hashed = F.xxhash64("node")
+        order = F.row_number().over(Window.partitionBy("region").orderBy(hashed, "node"))
+        outside = met.filter("component <> main")
+        pivots = outside.filter("not divides").withColumn("group", F.pmod(hashed, F.col("groups")).cast("int"))
+        drawn = outside.filter("divides").withColumn("rank", order).filter(F.col("rank") <= PIVOTS).filter("rank <= most").drop("rank").withColumn("group", F.lit(0))
+        pivots = pivots.unionByName(drawn).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("pivot", F.lit(True))
+        dealt = met.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")).withColumn("pivot", F.lit(False))
+        columns = ["region", "group", "chunk", "pivot", "divides", "node", "n", "component", "tokens"]
+        task = dealt.unionByName(pivots).join(sets, "node").select(*columns)
+        # Rows carry the region they come from along, for the names of the new ones.
+        meet = _meet_pivots(percent)
+        found = task.groupBy("region", "group", "chunk").applyInPandas(lambda key, rows: meet(rows).assign(parent=key[0])[["parent", "region", "a", "b"]], "parent string, region boolean, a long, b long")
+        found, found_at = scratch.write(found, "found")
+        known = _relabel(known, links.unionByName(found.filter("not region").select("a", "b").distinct()), scratch)
+        inner = found.filter("region").select(F.concat_ws(".", "parent", "b").alias("region"), "parent", F.col("a").alias("node"))
+        parents = large.filter("divides").select(F.col("region").alias("parent"), F.col("members").alias("size"))
+        grown = inner.groupBy("parent", "region").agg(F.count("*").alias("c")).groupBy("parent").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("pairs"))
+        worth = (F.col("all") <= GROWTH * F.col("size")) & (F.col("pairs") <= WORK * F.col("size") * F.col("size"))
+        judged = parents.join(grown, "parent", "left").select("parent", F.coalesce(worth, F.lit(True)).alias("worth"))
+        judged, judged_at = scratch.write(judged, "judged")
+        inner = inner.join(judged.filter("worth"), "parent", "left_semi").select("region", "node", F.lit(False).alias("stuck"))
+        whole = regions.join(judged.filter("not worth").withColumnRenamed("parent", "region"), "region", "left_semi").select("region", "node", F.lit(True).alias("stuck"))
+        regions, _ = scratch.write(inner.unionByName(whole), "regions")
+        scratch.drop(judged_at)
+        scratch.drop(sizes_at, links_at, found_at)
+
+
+def shared_sets(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, n, s1, s2, tokens): the size and fingerprint of each set and, where links are possible, its shared shingles, rarest first."""
+    docs = X.settled(docs.filter("id is not null"), scratch)
     bits = X.bucket_bits(docs)
-    return X.exchange(docs.filter("id is not null"), _mapper(bits, shingle), _reducer(bits), _assembler(percent), _DOCS)
+    return X.exchange(docs, _mapper(bits, shingle, W.new_key()), _reducer(bits), _assembler(percent), _DOCS)
 
 
 def _sizes(k: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in source:
             data, offsets = W.buffers(rows.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in _sets(data, offsets, k)], pa.int32())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in _sets(data, offsets, k, W.FIXED)], pa.int32())], names=["n"])
 
     return run
 
@@ -235,54 +344,38 @@ def _sizes(k: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row."""
     docs = X.columns_of(docs, id_col, text_col)
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    table, _ = scratch.write(shared_sets(docs, shingle, percent), "sets")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    table, _ = scratch.write(shared_sets(docs, scratch, shingle, percent), "sets")
     close = table.filter("tokens is not null")
     nodes = close.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "tokens")).alias("x"))
-    nodes, _ = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "x.id", "x.tokens"), "nodes")
+    nodes, nodes_at = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "x.id", "x.tokens"), "nodes")
 
     need = F.ceil(F.col("n") * percent / 100)
-    homes = nodes.select("node", (F.size("tokens") / F.col("n")).alias("share"), F.explode(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - need + 1).cast("int"))).alias("pivot"))
-    homes, _ = scratch.write(homes, "homes")
-    # A region's centre is the member with the largest share of shared shingles: the original among edited copies.
-    regions = homes.groupBy("pivot").agg(F.max(F.struct("share", -F.col("node"))).alias("x"), F.count("*").alias("members")).filter("members > 1")
-    regions, _ = scratch.write(regions.select("pivot", (-F.col("x.col2")).alias("centre")), "regions")
-    pairs = homes.join(regions, "pivot").filter("node <> centre").select("node", "centre").distinct()
+    homes = nodes.select("node", (F.size("tokens") / F.col("n")).alias("share"), F.explode(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - need + 1).cast("int"))).alias("shingle"))
+    homes, homes_at = scratch.write(homes, "homes")
+    elected = homes.groupBy("shingle").agg(F.max(F.struct("share", -F.col("node"))).alias("x"), F.count("*").alias("members")).filter("members > 1")
+    elected, elected_at = scratch.write(elected.select("shingle", (-F.col("x.col2")).alias("pivot")), "pivots")
+    pairs = homes.join(elected, "shingle").filter("node <> pivot").select("node", "pivot").distinct()
     left = nodes.select("node", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
-    right = nodes.select(F.col("node").alias("centre"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
+    right = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
     common = F.size(F.array_intersect("t1", "t2"))
     fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    links = pairs.join(left, "node").join(right, "centre").filter(fits).filter(common * 100 >= (F.col("n1") + F.col("n2") - common) * percent)
-    links, _ = scratch.write(links.select(F.col("node").alias("a"), F.col("centre").alias("b")), "links")
-    joined, _ = scratch.write(components(links, scratch), "joined")
-
-    # Regions whose members are not all in one component yet. Those that share members go together, so that a set is
-    # sent to one place however many regions it is in.
-    known = nodes.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    links = pairs.join(left, "node").join(right, "pivot").filter(fits).filter(common * 100 >= (F.col("n1") + F.col("n2") - common) * percent)
+    links, links_at = scratch.write(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "links")
+    joined = components(links, scratch)
+    known = nodes.select("node", "n", F.size("tokens").alias("weight")).join(joined, "node", "left").select("node", "n", "weight", F.coalesce("component", "node").alias("component"))
     known, _ = scratch.write(known, "known")
-    mixed = homes.select("pivot", "node").join(known, "node").groupBy("pivot").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    mixed, _ = scratch.write(mixed.join(regions, "pivot").select("pivot", "centre"), "mixed")
-    areas = components(homes.join(mixed, "pivot").select(F.col("node").alias("a"), F.col("centre").alias("b")), scratch)
-    areas, _ = scratch.write(areas.select("node", F.col("component").alias("area")), "areas")
-    blocks = areas.groupBy("area").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks, _ = scratch.write(blocks, "blocks")
-    members = areas.join(blocks, "area").join(known, "node").join(nodes.select("node", "n", "tokens"), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")
-    members = members.select("*", own).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    members = members.select("area", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "n", "component", "tokens")
-    late = members.groupBy("area", "low", "high").applyInPandas(_join_block(percent), "a long, b long")
-    late, _ = scratch.write(late.distinct(), "late")
-    if late.isEmpty():
-        final = known
-    else:
-        a, b = known.select(F.col("node").alias("a"), F.col("component").alias("x")), known.select(F.col("node").alias("b"), F.col("component").alias("y"))
-        merged = components(late.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")), scratch)
-        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("merged"))
-        final = known.join(merged, "component", "left").select("node", F.coalesce("merged", "component").alias("component"))
+
+    # Neighbourhoods whose members are not all in one component yet.
+    mixed = homes.select("shingle", "node").join(known, "node").groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    regions = homes.select("shingle", "node").join(mixed.select("shingle").join(elected, "shingle"), "shingle").select(F.col("pivot").cast("string").alias("region"), "node", F.lit(False).alias("stuck")).distinct()
+    regions, _ = scratch.write(regions, "regions")
+    final = _join_regions(regions, nodes, known, percent, scratch)
+
     class_of = nodes.select("node", "s1", "s2", "id").join(final.select("node", "component"), "node")
-    least, _ = scratch.write(class_of.groupBy("component").agg(F.min("id").alias("least")), "least")
+    least, least_at = scratch.write(class_of.groupBy("component").agg(F.min("id").alias("least")), "least")
     class_of, _ = scratch.write(class_of.join(least, "component").select("s1", "s2", "least"), "classes")
+    scratch.drop(nodes_at, homes_at, elected_at, links_at, least_at)
     linked = close.select("id", "n", "s1", "s2").join(class_of, ["s1", "s2"]).select("id", "n", "least")
     alone = table.filter("tokens is null").select("id", "n", F.col("id").alias("least"))
     nameless = docs.filter("id is null").select("text").mapInArrow(_sizes(shingle), "n int").select(F.lit(None).cast("long").alias("id"), "n", F.lit(None).cast("long").alias("least"))

@@ -65,7 +65,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         base, own = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         w = W.split(base, own, W.SPACE, True)
         length = (w.end - w.start).astype(float)
-        triples = W.rolling(w.hash, 3)
+        values, triples = w.values(), W.windows(w, 3)
         for k in range(to - at):
             raw = base[own[k] : own[k + 1]]
             a, b = int(w.doc[k]), int(w.doc[k + 1])
@@ -74,7 +74,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
                 continue
             histogram = np.bincount(raw, minlength=256)
             share = histogram[histogram > 0] / len(raw)
-            h, size = w.hash[a:b], length[a:b]
+            h, size = values[a:b], length[a:b]
             counts = np.unique(h, return_counts=True)[1]
             n, lines = b - a, histogram[10] + 1
             distinct = len(np.unique(triples[a : b - 2])) / (n - 2) if n > 2 else 1.0

@@ -12,9 +12,11 @@ _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "tr
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The cluster's shared folder: spark.checkpoint.dir, or a folder of our own where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,9 +47,12 @@ class Scratch:
                 conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(at), at
 
-    def drop(self, at: str | None) -> None:
-        if at is None:
-            return
+    def drop(self, *tables: str | None) -> None:
+        for at in tables:
+            if at is not None:
+                self._delete(at)
+
+    def _delete(self, at: str) -> None:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(at)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

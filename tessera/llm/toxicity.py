@@ -61,13 +61,10 @@ class Model:
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, W.Words]:
     """Features of all words, sentence by sentence: (hash, word) pairs and the words."""
     w = W.split(data, offsets, W.ALNUM, True)
-    hashes, word = [w.hash], [np.arange(len(w.start))]
-    length = w.end - w.start
+    hashes, word = [W.mix(w.values())], [np.arange(len(w.start))]
     for n in PREFIXES:
-        value = np.zeros(len(w.start), np.uint64)
-        for j in range(n):
-            value += np.where(j < length, W.BYTE_VALUE[w.data[np.minimum(w.start + j, w.end - 1)]] * W.word_powers(n)[j], np.uint64(0))
-        hashes.append(W.mix(value ^ np.uint64(n * 0x9E3779B1)))
+        size = np.minimum(w.end - w.start, n)
+        hashes.append(W.mix(w.lane(w.start, size) | np.uint64((n << 3) + 7 << 56)))
         word.append(np.arange(len(w.start)))
     return np.concatenate(hashes), np.concatenate(word), w
 

@@ -8,20 +8,40 @@ stay whole.
 from __future__ import annotations
 
 import ctypes
-import hashlib
+import secrets
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 
 #: Texts are handled in chunks of about this many bytes, so that the per-byte arrays stay small; one longer text is a chunk.
 CHUNK_BYTES = 2 << 20
-#: Words of more bytes are hashed one by one.
-LONG_WORD = 1 << 16
-RANDOM = np.random.default_rng(20240229)
-BYTE_VALUE = RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
-WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93)
+#: Values are residues modulo this prime.
+PRIME = (1 << 61) - 1
+#: Bytes of a word that make one digit, and digits up to which words are taken together.
+LANE, LANES = 7, 32
+
+
+@dataclass(frozen=True)
+class Key:
+    """Bases of the polynomials for words and windows, one for each of two independent values of a window.
+
+    For any two distinct words or windows, the share of bases that give both the same value is at most their number of digits / 2^61.
+    """
+
+    word: tuple[int, int]
+    window: tuple[int, int]
+
+
+def new_key() -> Key:
+    """Drawn anew for each job on the driver and sent along with its tasks: no text can be made to fit it, and repeated tasks use the same."""
+    a, b, c, d = ((1 << 32) + secrets.randbelow(PRIME - (1 << 33)) for _ in range(4))
+    return Key((a, b), (c, d))
+
+
+#: For counts and features, where values must be the same in every job.
+FIXED = Key((0x1E3779B97F4A7C15, 0x0A0761D6478BD642), (0x16E8FEB86659FD93, 0x0B492B66BE98F273))
 
 
 def separator_table(separators) -> np.ndarray:
@@ -48,14 +68,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers = np.ones(1, dtype=np.uint64)
+def reduce(x: np.ndarray) -> np.ndarray:
+    """Residues modulo PRIME of any 64-bit values."""
+    p = np.uint64(PRIME)
+    x = (x & p) + (x >> np.uint64(61))
+    return np.where(x >= p, x - p, x)
+
 
+def times(x: np.ndarray, by: int) -> np.ndarray:
+    """Products of residues with one residue, modulo PRIME, by halves of 32 bits; less than 2^64 but not reduced."""
+    low, high = np.uint64(by & 0xFFFFFFFF), np.uint64(by >> 32)
+    x0, x1 = x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)
+    middle = x1 * low + x0 * high
+    lowest = x0 * low
+    out = ((x1 * high) << np.uint64(3)) + (middle >> np.uint64(29)) + ((middle & np.uint64(0x1FFFFFFF)) << np.uint64(32))
+    return out + (lowest & np.uint64(PRIME)) + (lowest >> np.uint64(61))
 
-def word_powers(n: int) -> np.ndarray:
-    global _powers
-    while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * WORD_BASE ** np.uint64(len(_powers))])
-    return _powers
+
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(LANE + 1)], np.uint64)
 
 
 @dataclass
@@ -65,12 +95,63 @@ class Words:
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
-    hash: np.ndarray
     doc: np.ndarray
 
     def counts(self) -> np.ndarray:
         return np.diff(self.doc)
 
+    @cached_property
+    def _wide(self) -> np.ndarray:
+        """Eight bytes from every position on, as one number."""
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        return np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+
+    def lane(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ``size`` (LANE at most) bytes from each ``start`` on as one number."""
+        return self._wide[start] & _MASKS[size]
+
+    def values(self, base: int = FIXED.word[0]) -> np.ndarray:
+        """A residue for each word: that of words of up to LANE bytes tells their bytes and length, that of longer ones is a polynomial in ``base``."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        size = self.end - self.start
+        out = self.lane(self.start, np.minimum(size, LANE)) | np.minimum(size, LANE + 1).astype(np.uint64) << np.uint64(56)
+        some = np.flatnonzero(size > LANE)
+        digits = -(-size[some] // LANE)
+        for i in some[digits > LANES].tolist():
+            word, value = self.bytes_of(i), 0
+            for at in range(0, len(word), LANE):
+                value = (value * base + int.from_bytes(word[at : at + LANE], "little")) % PRIME
+            out[i] = (value * base + len(word)) % PRIME
+        some, digits = some[digits <= LANES], digits[digits <= LANES]
+        if len(some):
+            order = np.argsort(-digits, kind="stable")
+            some, digits = some[order], digits[order]
+            value = np.zeros(len(some), np.uint64)
+            for j in range(int(digits[0])):
+                n = int(np.searchsorted(-digits, -j))  # the words that have a digit j come first
+                at = self.start[some[:n]] + j * LANE
+                value[:n] = reduce(times(value[:n], base) + self.lane(at, np.minimum(self.end[some[:n]] - at, LANE)))
+            out[some] = reduce(times(value, base) + size[some].astype(np.uint64))
+        return out
+
+    def bytes_of(self, i: int) -> bytes:
+        return self.data[self.start[i] : self.end[i]].tobytes()
+
+    def equal(self, mine: np.ndarray, other: Words, others: np.ndarray) -> np.ndarray:
+        """Whether the words ``mine`` are the words ``others`` of ``other``, byte for byte."""
+        size = self.end[mine] - self.start[mine]
+        same = size == other.end[others] - other.start[others]
+        for i in np.flatnonzero(same & (size > LANE * LANES)).tolist():
+            same[i] = self.bytes_of(mine[i]) == other.bytes_of(others[i])
+        for at in range(0, LANE * LANES, LANE):
+            left = np.flatnonzero(same & (size > at) & (size <= LANE * LANES))
+            if not len(left):
+                break
+            n = np.minimum(size[left] - at, LANE)
+            same[left] = self.lane(self.start[mine[left]] + at, n) == other.lane(other.start[others[left]] + at, n)
+        return same
+
 
 def release() -> None:
     """Hands freed memory back to the system: Python workers live on, and share an executor's memory with its other processes."""
@@ -117,38 +198,11 @@ def split(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lower:
     after[-1], after[:-1] = False, word
     end = np.flatnonzero(word & (~after[1:] | edge[1:])) + 1
     doc = np.searchsorted(start, offsets)
-    if not len(start):
-        return Words(data, start, end, np.zeros(0, np.uint64), doc)
-    return Words(data, start, end, _word_hashes(data, word, start, end), doc)
-
-
-def _word_hashes(data: np.ndarray, word: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each word. Words are taken some CHUNK_BYTES at a time, so that memory by byte stays bounded also in one huge text."""
-    length = end - start
-    before = np.cumsum(length) - length
-    long = np.flatnonzero(length > LONG_WORD)
-    out = np.empty(len(start), np.uint64)
-    at = 0
-    while at < len(start):
-        if length[at] > LONG_WORD:
-            out[at] = int.from_bytes(hashlib.blake2b(data[start[at] : end[at]].tobytes(), digest_size=8).digest(), "little")
-            at += 1
-            continue
-        to = max(at + 1, int(np.searchsorted(before, before[at] + CHUNK_BYTES)))
-        following = long[np.searchsorted(long, at)] if len(long) and long[-1] > at else to
-        to = min(to, int(following))
-        part = slice(start[at], end[to - 1])
-        size = length[at:to]
-        first = before[at:to] - before[at]
-        inside = np.arange(int(size.sum())) - np.repeat(first, size)
-        value = BYTE_VALUE[data[part][word[part]]] * word_powers(int(size.max()))[inside]
-        out[at:to] = mix(np.add.reduceat(value, first) + size.astype(np.uint64) * WINDOW_BASE)
-        at = to
-    return out
+    return Words(data, start, end, doc)
 
 
-def rolling(h: np.ndarray, k: int) -> np.ndarray:
-    """Rabin-Karp value of every ``k`` consecutive hashes (``len(h) - k + 1`` of them), modulo 2^64, then mixed.
+def rolling(h: np.ndarray, k: int, base: int = FIXED.window[0]) -> np.ndarray:
+    """Rabin-Karp residue of every ``k`` consecutive residues (``len(h) - k + 1`` of them).
 
     The polynomial of k terms is put together from those of powers of two: p(a+b) = p(a) * base^b + p(b).
     """
@@ -164,13 +218,35 @@ def rolling(h: np.ndarray, k: int) -> np.ndarray:
             else:
                 shifted = part[done:]
                 m = min(len(out), len(shifted))
-                out = out[:m] * WINDOW_BASE ** np.uint64(width) + shifted[:m]
+                out = reduce(times(out[:m], pow(base, width, PRIME)) + shifted[:m])
                 done += width
         left >>= 1
         if left:
-            part = part[:-width] * WINDOW_BASE ** np.uint64(width) + part[width:]
+            part = reduce(times(part[:-width], pow(base, width, PRIME)) + part[width:])
             width *= 2
-    return mix(out[:n] + np.uint64(k))
+    return out[:n]
+
+
+def windows(w: Words, k: int, key: Key = FIXED) -> np.ndarray:
+    """A 64-bit hash, one to one with the residue, of every ``k`` consecutive words, over the ends of texts too."""
+    return mix(rolling(w.values(key.word[0]), k, key.window[0]))
+
+
+def wide_windows(w: Words, k: int, key: Key) -> tuple[np.ndarray, np.ndarray]:
+    """The same hash, and 32 bits of a second, independent residue."""
+    return windows(w, k, key), rolling(w.values(key.word[1]), k, key.window[1]).astype(np.uint32)
+
+
+def group(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal pairs together, and where each pair begins in it."""
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], second[order]
+    same, differ = a[1:] == a[:-1], b[1:] != b[:-1]
+    if (same & differ).any():  # one 64-bit hash of two windows
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        same, differ = a[1:] == a[:-1], b[1:] != b[:-1]
+    return order, np.flatnonzero(np.r_[True, ~same | differ]) if len(order) else np.zeros(0, np.int64)
 
 
 def window_index(counts: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -65,10 +65,11 @@ def test_edges(edge, edge_rows):
     assert J.near_duplicates(edge.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_families(spark, monkeypatch, tmp_path, block):
-    """Chains of edits, copies and texts that share a passage but no link; small blocks deal large regions to many tasks."""
-    monkeypatch.setattr(J, "BLOCK", block)
+@pytest.mark.parametrize(("block", "pivots"), [(512, 32), (3, 2), (3, 100)])
+def test_families(spark, monkeypatch, tmp_path, block, pivots):
+    """Chains of edits, copies and texts that share a passage but no link; small blocks deal large regions to many tasks and levels."""
+    for name, value in (("BLOCK", block), ("PIVOTS", pivots), ("CHUNK", max(2, block))):
+        monkeypatch.setattr(J, name, value)
     random.seed(block)
     rows, n = [], 0
     passage = [f"p{i}" for i in range(60)]
@@ -90,6 +91,80 @@ def test_families(spark, monkeypatch, tmp_path, block):
     assert 8 < len({c for _, _, c in got}) < len(rows)
 
 
+def test_chain_of_shared_passages_stays_linear(spark, monkeypatch, tmp_path):
+    """Each text shares a passage with the one before and another with the next; none link. Rows sent to tasks grow with the texts."""
+    sent = []
+    real = J.Scratch.write
+    monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "CHUNK", 4)
+
+    def write(self, df, name):
+        out = real(self, df, name)
+        if name == "regions":
+            sent.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(J.Scratch, "write", write)
+    for n in (60, 240):
+        rows = [(i, " ".join([f"p{i}x{j}" for j in range(30)] + [f"p{i + 1}x{j}" for j in range(30)])) for i in range(n)]
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / f"chain{n}"))
+        sent.append(0)
+        assert found(spark.read.parquet(str(tmp_path / f"chain{n}"))) == brute_components(rows)
+    first, second = sum(sent[1 : sent.index(0, 1)]), sum(sent[sent.index(0, 1) :])
+    assert 0 < second <= 4.5 * first
+
+
+def test_region_that_does_not_divide(spark, monkeypatch, tmp_path):
+    """Many texts that are all about as far from each other: all outside members meet all others, in groups and chunks."""
+    for name, value in (("BLOCK", 4), ("PIVOTS", 3), ("CHUNK", 5)):
+        monkeypatch.setattr(J, name, value)
+    random.seed(4)
+    paragraphs = [[f"t{i}x{j}" for j in range(9)] for i in range(12)]
+    rows = [(i, " ".join(w for k in sorted(random.sample(range(12), 8)) for w in paragraphs[k])) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    real, stuck = J.Scratch.write, []
+
+    def write(self, df, name):
+        out = real(self, df, name)
+        if name == "regions":
+            stuck.append(out[0].filter("stuck").count())
+        return out
+
+    monkeypatch.setattr(J.Scratch, "write", write)
+    got = found(spark.read.parquet(str(tmp_path / "d")))
+    assert got == brute_components(rows) and any(stuck)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.frozensets(st.integers(0, 14), min_size=1), min_size=3, max_size=14), st.integers(1, 4))
+def test_linked_members_meet_in_a_voronoi_region(sets, k):
+    distance = np.array([[1 - len(a & b) / len(a | b) for b in sets[:k]] for a in sets])
+    regions = defaultdict(set)
+    for i, p in zip(*J.voronoi(distance, 0.25)):
+        regions[p].add(i)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if 100 * len(a & b) >= 75 * len(a | b):
+                assert any({i, j} <= members for members in regions.values())
+
+
+def test_made_collisions_do_not_link_nor_remove(spark):
+    """Words that have one value in every polynomial modulo 2^64."""
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = "".join("ba"[i.bit_count() % 2] for i in range(1024))
+    tail = " ".join(f"w{i}" for i in range(12))
+    df = spark.createDataFrame([(1, one), (2, other), (3, f"{one} {tail}"), (4, f"{other} {tail}")], "doc_id long, text string")
+    assert {i: c for i, _, c in found(df)} == {1: 1, 2: 2, 3: 3, 4: 3}  # 8 of 10 shingles
+    assert {r["doc_id"]: r["n_removed"] for r in S.remove_repeated(df).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert [n for _, n, _ in found(df)] == [1, 1, 9, 9]
+
+
+def test_equal_first_hashes_are_told_apart():
+    first, second = np.array([5, 3, 5, 5, 3], np.uint64), np.array([1, 0, 2, 1, 0], np.uint32)
+    order, begin = S.W.group(first, second)
+    assert [list(zip(first[x].tolist(), second[x].tolist())) for x in np.split(order, begin[1:])] == [[(3, 0)] * 2, [(5, 1)] * 2, [(5, 2)]]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.frozensets(st.integers(0, 14), min_size=1), min_size=2, max_size=14))
 def test_join_sets_joins_all_that_link(sets):
