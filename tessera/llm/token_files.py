@@ -117,13 +117,11 @@ class WordEncoder:
         return np.concatenate(out) if out else np.zeros(0, np.uint32), bounds[offsets]
 
 
-def word_encoder(path: str, special_as_text: bool = True) -> WordEncoder:
-    """Encodes whole texts; special tokens in a text are ordinary text, or else get their own ids, as the library does unless told otherwise."""
+def word_encoder(path: str) -> WordEncoder:
+    """Encodes whole texts as the library does when nothing is set: special tokens in a text get their own ids, none is added."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = special_as_text
-    return WordEncoder(tokenizer)
+    return WordEncoder(Tokenizer.from_file(path))
 
 
 def _write(path: str, root: str, end_id: int, kind: str):
@@ -138,7 +136,7 @@ def _write(path: str, root: str, end_id: int, kind: str):
         cache, sizes, ids, nulls = None, [np.zeros(1, np.int64)], [], 0
         with fs.open_output_stream(f"{own}.bin") as out:
             for rows in source:
-                cache = cache or word_encoder(path, special_as_text=False)
+                cache = cache or word_encoder(path)
                 texts = rows.column("text").cast(pa.large_string()).fill_null("")
                 nulls += rows.column("id").null_count
                 ids.append(rows.column("id").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))

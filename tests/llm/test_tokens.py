@@ -66,12 +66,19 @@ def test_tables(edge, edge_rows, documents, library):
     assert B.encode(edge.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def special_texts(tokenizer):
+    """Each added token alone, in words, repeated, beside blanks, marks and other characters, in other case, and cut short."""
+    forms = ["{}", "a{}b", "{0}{0}", "{0} {0}\n{0}", " {} ", "x {}", "{} x", "don{}'t", "é{}\u0301 it's", "!?{}...", "日本{}тест", "0{}1", "\x00{}\t", "<{}>", "{0}<|{0}"]
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    assert len(added) >= 2
+    return [f.format(t) for f in forms for token in added for t in (token, token.upper(), token[:-1], token[1:])] + ["".join(added), " ".join(added)]
+
+
 def test_word_encoder_is_the_librarys():
     import pyarrow as pa
 
-    texts = odd_texts()
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
+    texts = [*odd_texts(), *special_texts(tokenizer)]
     flat, begin = T.word_encoder(WORDS).encode(pa.array(texts, pa.large_string()))
     got = [flat[a:b].tolist() for a, b in zip(begin[:-1], begin[1:])]
     assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -80,7 +87,7 @@ def test_word_encoder_is_the_librarys():
 def test_files_have_the_librarys_special_tokens(spark, tmp_path):
     """Nothing is set on the library: a special token in a text has its own id, wherever it stands."""
     special = ["hello <|endoftext|> world", "a<|endoftext|>b", "<|startoftext|>", "x <|endoftext|><|startoftext|>!? y", "<|STARTOFTEXT|> <|endoftext", "é<|endoftext|>\u0301 it's", "<|endoftext|>\n<|endoftext|>"]
-    texts = [*special, *odd_texts()]
+    texts = [*special, *odd_texts(), *special_texts(Tokenizer.from_file(WORDS))]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = T.read_token_files(spark, T.write_token_files(df, WORDS, f"file://{tmp_path}/special"), with_ids=True).collect()
     tokenizer = Tokenizer.from_file(WORDS)
