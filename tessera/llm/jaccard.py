@@ -59,6 +59,8 @@ WEIGHT = 4_000_000
 #: Of a larger one a task gets CHUNK members (or WEIGHT shingles) and PIVOTS pivots.
 CHUNK = 160
 PIVOTS = 32
+#: Shares of a region from which pivots are drawn first.
+SHARES = 8
 #: A region divides if its Voronoi regions have GROWTH times its members at most and, in all, WORK times its pairs.
 GROWTH, WORK = 2, 0.5
 _MANY = 0xFFFF
@@ -299,10 +301,12 @@ def _join_regions(regions: DataFrame, nodes: DataFrame, known: DataFrame, percen
         large = large.withColumn("chunks", F.ceil(F.greatest(F.col("members") / CHUNK, F.col("weight") / WEIGHT)).cast("int"))
         met = members.drop("stuck", "weight").join(large.select("region", "main", "most", "divides", "groups", "chunks", F.col("members").alias("size")), "region")
         hashed = F.xxhash64("node")
-        order = F.row_number().over(Window.partitionBy("region").orderBy(hashed, "node"))
+        # Drawn from shares of a region first, so that a large region's members stay where they are.
+        rank = lambda *by: F.row_number().over(Window.partitionBy("region", *by).orderBy(hashed, "node"))
         outside = met.filter("component <> main")
         pivots = outside.filter("not divides").withColumn("group", F.pmod(hashed, F.col("groups")).cast("int"))
-        drawn = outside.filter("divides").withColumn("rank", order).filter(F.col("rank") <= PIVOTS).filter("rank <= most").drop("rank").withColumn("group", F.lit(0))
+        drawn = outside.filter("divides").withColumn("share", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(SHARES))).withColumn("rank", rank("share")).filter(F.col("rank") <= PIVOTS)
+        drawn = drawn.withColumn("rank", rank()).filter(F.col("rank") <= PIVOTS).filter("rank <= most").drop("rank", "share").withColumn("group", F.lit(0))
         pivots = pivots.unionByName(drawn).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("pivot", F.lit(True))
         dealt = met.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")).withColumn("pivot", F.lit(False))
         columns = ["region", "group", "chunk", "pivot", "divides", "node", "n", "component", "tokens"]
