@@ -13,7 +13,7 @@ Edge cases
 ----------
 * null text, or a text without a letter: ``und`` with score 0; so is every text when nothing can be learned;
 * a word of which not even a character was met adds nothing;
-* labels that are null teach nothing; repeated rows are counted and predicted each;
+* rows whose label or id is null teach nothing; repeated rows are counted and predicted each;
 * equal scores: the language that sorts first; empty table: empty result; extra columns are ignored.
 """
 
@@ -259,4 +259,4 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, held_out: int = 2) -> DataFrame:
     """Learns from the labelled rows whose crc32(id) mod ``parts`` is not ``held_out`` and predicts all."""
     rows = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
-    return predict(docs, fit(rows.filter(F.coalesce(crc() % parts != held_out, F.lit(True)))), id_col, text_col)
+    return predict(docs, fit(rows.filter(crc() % parts != held_out)), id_col, text_col)

@@ -13,7 +13,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out(parts: int, rest: int):
-    return (F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == rest).alias("held_out")
+    """False for a null id: it teaches nothing, but is not of the held-out part either."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == rest, F.lit(False)).alias("held_out")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,22 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, are learned from document labels.
 
 A sentence has probability sigmoid(bias + sum of the weights of its features); its features are its words and their
-first 4 and 5 bytes (of shorter words, all), so inflected forms of a known stem count and every word has as many features. A document's probability is
+first 4 and 5 bytes (of shorter words, all), so inflected forms of a known stem count. A document's probability is
 1 - prod(1 - p(sentence)): one offending sentence is enough, and the gradient of the document's likelihood falls on the
 sentences that explain it. Scoring gives the document's probability and locates the sentences.
 
-Features are chosen, and weights fitted, on at most ``MAX_ROWS`` labelled rows (a documented bound).
+Features are chosen, and weights fitted, on at most ``MAX_ROWS`` labelled rows of ``MAX_BYTES`` in all (documented bounds). Which of
+the ``GRID`` of settings is used (with or without prefixes, how much evidence a feature needs, the penalty of weights) is decided by
+folds of these teachable rows alone: the setting of the least log-loss on the folds left out, the first among equals.
 
 Edge cases
 ----------
 * null or empty text, or no word: no sentence; the score is 0;
 * a whole text is scored, whatever its length;
-* repeated rows are scored each; null ids too; extra columns are ignored;
-* no label of either kind to learn from: every score is the share of positive labels, 0 without labels.
+* repeated rows are scored each; extra columns are ignored; rows with a null id are scored and teach nothing;
+* no label of either kind to learn from: every score is the share of positive labels, 0 without labels;
+* empty documents: empty result; ``keep_clean`` keeps every row of a score below the threshold, also null texts, null ids and repeated
+  rows, with all its columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +35,16 @@ from . import words as W
 from .labelled import training_rows
 from .scratch import Scratch
 
-#: Labelled rows used for fitting, at most.
+#: Labelled rows used for fitting, and bytes of their texts, at most.
 MAX_ROWS = 30_000
+MAX_BYTES = 256 << 20
 #: Features of a model, at most: those that tell the labels apart best.
 MAX_FEATURES = 20_000
-#: Least evidence for a feature, n ln(share / usual share) for n documents of label 1 that have it: beyond what
-#: chance gives to one of some hundred thousand words.
-EVIDENCE = 12.0
 PREFIXES = (4, 5)
+FOLDS = 3
+#: Settings to choose from: whether prefixes are features besides words; the least evidence for a feature, n ln(share / usual share) for n
+#: documents of label 1 that have it; the strength of the penalty.
+GRID = [(prefixes, evidence, strength) for prefixes in (False, True) for evidence in (24.0, 12.0, 6.0) for strength in (1600.0, 400.0, 100.0, 25.0)]
 #: Largest weight to begin with.
 START = 2.0
 #: A sentence is reported when its own probability reaches this.
@@ -52,6 +58,7 @@ class Model:
     weights: np.ndarray
     bias: float
     base: float  # for a model without features
+    setting: tuple | None = None
 
     def __post_init__(self):
         self.filter = np.zeros(1 << 20, dtype=bool)
@@ -59,7 +66,7 @@ class Model:
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, W.Words]:
-    """Features of all words, sentence by sentence: (hash, word) pairs and the words."""
+    """Features of all words: hashes and the words they belong to (first all words, then prefixes), and the words."""
     w = W.split(data, offsets, W.ALNUM, True)
     hashes, word = [W.mix(w.values())], [np.arange(len(w.start))]
     for n in PREFIXES:
@@ -76,18 +83,25 @@ def _sentences(w: W.Words, offsets: np.ndarray) -> np.ndarray:
     return ends[w.start] + texts if len(w.start) else np.zeros(0, np.int64)
 
 
+def fold_of(column: str = "id"):
+    """The fold of a teachable row, by a hash of its id."""
+    return F.pmod(F.xxhash64(column), F.lit(FOLDS)).cast("int")
+
+
 def _counts(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(feature, positive, negative): in how many documents of either label."""
+    """(feature, prefix, fold, positive, negative): in how many documents of either label."""
     for rows in source:
         data, offsets = W.buffers(rows.column("text"))
         label = rows.column("label").to_numpy(zero_copy_only=False).astype(bool)
+        fold = rows.column("fold").to_numpy(zero_copy_only=False)
         for at, to in W.chunks(offsets):
             hashes, word, w = _features(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
             text = np.repeat(np.arange(to - at), w.counts())[word]
-            pairs = pd.DataFrame({"h": hashes, "t": text}).drop_duplicates()
-            positive = label[at:to][pairs["t"].to_numpy()].astype(np.int64)
-            found = pd.DataFrame({"feature": pairs["h"].to_numpy().view(np.int64), "positive": positive, "negative": 1 - positive}).groupby("feature", as_index=False).sum()
-            yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+            pairs = pd.DataFrame({"h": hashes, "t": text, "prefix": np.arange(len(hashes)) >= len(w.start)}).drop_duplicates(["h", "t"])
+            text = pairs["t"].to_numpy()
+            positive = label[at:to][text].astype(np.int64)
+            found = pd.DataFrame({"feature": pairs["h"].to_numpy().view(np.int64), "prefix": pairs["prefix"], "fold": fold[at:to][text], "positive": positive, "negative": 1 - positive})
+            yield pa.RecordBatch.from_pandas(found.groupby(["feature", "prefix", "fold"], as_index=False).sum(), preserve_index=False)
     W.release()
 
 
@@ -126,61 +140,144 @@ def _training_bags(model: Model):
                     out.append((sentence[mine].astype(np.int32).tobytes(), feature[mine].astype(np.int32).tobytes(), int(total[k])))
             if out:
                 s, f, n = zip(*out)
-                yield pa.RecordBatch.from_arrays([rows.column("label").cast(pa.int32()), pa.array(n, pa.int32()), pa.array(s, pa.binary()), pa.array(f, pa.binary())], names=["label", "n", "sentence", "feature"])
+                yield pa.RecordBatch.from_arrays([rows.column("label").cast(pa.int32()), rows.column("fold"), pa.array(n, pa.int32()), pa.array(s, pa.binary()), pa.array(f, pa.binary())], names=["label", "fold", "n", "sentence", "feature"])
 
     return run
 
 
-def noisy_or(bags: pd.DataFrame, start: np.ndarray, strength: float = 400.0, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+@dataclass
+class Bags:
+    """Documents as bags of sentences, sentences as sets of features: a label and a number of sentences for each document, and one entry (document, sentence,
+    feature) for each feature, in this order."""
+
+    label: np.ndarray
+    n: np.ndarray
+    document: np.ndarray
+    sentence: np.ndarray
+    feature: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame) -> Bags:
+        size = [len(f) // 4 for f in rows["feature"]]
+        sentence, feature = (np.frombuffer(b"".join(rows[c]), np.int32).astype(np.int64) for c in ("sentence", "feature"))
+        return cls(rows["label"].to_numpy().astype(float), rows["n"].to_numpy().astype(np.int64), np.repeat(np.arange(len(rows)), size), sentence, feature)
+
+    def part(self, documents: np.ndarray, features: np.ndarray) -> Bags:
+        """Only these documents (a mask) and features (numbered anew)."""
+        number = np.full(int(max(self.feature.max(initial=-1), features.max(initial=-1))) + 2, -1)
+        number[features] = np.arange(len(features))
+        keep = documents[self.document] & (number[self.feature] >= 0)
+        return Bags(self.label[documents], self.n[documents], (np.cumsum(documents) - 1)[self.document[keep]], self.sentence[keep], number[self.feature[keep]])
+
+    def sentences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the sentences with a feature: the one of each entry, and the document of each; and the documents' numbers of other sentences."""
+        begin = np.flatnonzero(np.r_[True, (np.diff(self.document) != 0) | (np.diff(self.sentence) != 0)]) if len(self.document) else np.zeros(0, np.int64)
+        owner = self.document[begin]
+        return np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(self.document)])), owner, self.n - np.bincount(owner, minlength=len(self.n))
+
+
+def noisy_or(bags: Bags, start: np.ndarray, strength: float = 400.0, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias that maximise the likelihood of the document labels, less ``strength`` / (2 n) |w|^2 for n documents (Adam, full batch)."""
-    label = bags["label"].to_numpy().astype(float)
-    feature = np.concatenate([np.frombuffer(f, np.int32) for f in bags["feature"]])
-    size = np.array([len(f) // 4 for f in bags["feature"]])
-    document = np.repeat(np.arange(len(bags)), size)
-    sentence = np.concatenate([np.frombuffer(s, np.int32) for s in bags["sentence"]])
-    begin = np.flatnonzero(np.r_[True, (document[1:] != document[:-1]) | (sentence[1:] != sentence[:-1])]) if len(document) else np.zeros(0, np.int64)
-    bag = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(document)]))
-    owner = document[begin]
-    plain = bags["n"].to_numpy() - np.bincount(owner, minlength=len(bags))  # sentences without a feature: the bias alone
+    n = len(bags.label)
+    bag, owner, plain = bags.sentences()  # plain: sentences without a feature have the bias alone
     w = np.r_[start, np.log(1e-4)]
-    penalty = min(0.5, strength / max(1, len(bags)))  # words that few documents support count for less where there are few documents
+    penalty = min(0.5, strength / max(1, n))  # words that few documents support count for less where there are few documents
     m, v = np.zeros(len(w)), np.zeros(len(w))
     for t in range(1, rounds + 1):
-        z = w[-1] + np.bincount(bag, weights=w[feature], minlength=len(begin))
+        z = w[-1] + np.bincount(bag, weights=w[bags.feature], minlength=len(owner))
         p, q = 1 / (1 + np.exp(-z)), 1 / (1 + np.exp(-w[-1]))
-        clean = np.bincount(owner, weights=np.logaddexp(0, z), minlength=len(bags)) + plain * np.logaddexp(0, w[-1])  # -log P(label 0)
+        clean = np.bincount(owner, weights=np.logaddexp(0, z), minlength=n) + plain * np.logaddexp(0, w[-1])  # -log P(label 0)
         # d(-log likelihood)/d(clean): 1 for label 0, -1/(e^clean - 1) for label 1; d(clean)/dz = p.
-        slope = np.where(label > 0, -1 / np.expm1(np.clip(clean, 1e-9, 500)), 1.0)
+        slope = np.where(bags.label > 0, -1 / np.expm1(np.clip(clean, 1e-9, 500)), 1.0)
         each = slope[owner] * p
-        grad = np.r_[np.bincount(feature, weights=each[bag], minlength=len(start)) + penalty * w[:-1], each.sum() + (slope * plain).sum() * q]
+        grad = np.r_[np.bincount(bags.feature, weights=each[bag], minlength=len(start)) + penalty * w[:-1], each.sum() + (slope * plain).sum() * q]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int = 3, held_out: int = 1, max_rows: int = MAX_ROWS) -> Model:
-    """Fits on labelled rows outside the held-out part. ``docs`` has columns id, text."""
-    scratch = Scratch(docs.sparkSession, "toxicity")
-    rows = training_rows(docs, labels, label_col, parts, held_out, max_rows, scratch)
+def log_loss(bags: Bags, weights: np.ndarray, bias: float) -> float:
+    bag, owner, plain = bags.sentences()
+    z = bias + np.bincount(bag, weights=weights[bags.feature], minlength=len(owner))
+    clean = np.bincount(owner, weights=np.logaddexp(0, z), minlength=len(bags.n)) + plain * np.logaddexp(0, bias)
+    return float(np.where(bags.label > 0, -np.log(np.maximum(-np.expm1(-clean), 1e-12)), clean).sum())
+
+
+def choose(features: pd.DataFrame, positive: np.ndarray, negative: np.ndarray, totals: tuple[int, int], prefixes: bool, evidence: float, most: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the features that a setting takes, given in how many documents of each label they are, and their log odds."""
+    odds = np.log((positive + 0.5) / (totals[0] + 1)) - np.log((negative + 0.5) / (totals[1] + 1))
+    share = positive / np.maximum(positive + negative, 1) / (totals[0] / sum(totals))
+    weight = np.log(np.maximum(share, 1e-12)) * positive
+    found = np.flatnonzero((weight >= evidence) & (odds > 0.7) & (prefixes | ~features["prefix"].to_numpy()))
+    found = np.sort(found[np.lexsort((features["feature"].to_numpy()[found], -weight[found]))][:most])
+    return found, odds[found]
+
+
+def _judge(shared):
+    """(setting, loss): the log-loss on one fold of a model of the others, for each row (setting, fold)."""
+
+    def run(source: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features, bags, folds, settings = shared.value
+        for rows in source:
+            out = []
+            for setting, fold in zip(rows["setting"], rows["fold"]):
+                prefixes, evidence, strength = settings[setting]
+                held = folds == fold
+                totals = (int((bags.label[~held] > 0).sum()), int((bags.label[~held] == 0).sum()))
+                if not min(totals) or not held.any():
+                    continue
+                counts = (features[name].sum(axis=1).to_numpy() - features[name][fold].to_numpy() for name in ("positive", "negative"))
+                found, odds = choose(features["of"], *counts, totals, prefixes, evidence)
+                weights, bias = noisy_or(bags.part(~held, found), np.clip(odds, 0, START), strength)
+                out.append((setting, log_loss(bags.part(held, found), weights, bias)))
+            yield pd.DataFrame(out, columns=["setting", "loss"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int = 3, held_out: int = 1, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, max_features: int = MAX_FEATURES, grid: list[tuple[bool, float, float]] | None = None) -> Model:
+    """Fits on labelled rows outside the held-out part, with the setting of ``grid`` that folds of these rows favour. ``docs`` has columns id, text."""
+    spark, grid = docs.sparkSession, grid or GRID
+    scratch = Scratch(spark, "toxicity")
+    rows = training_rows(docs, labels, label_col, parts, held_out, max_rows, scratch, max_bytes=max_bytes).withColumn("fold", fold_of())
     totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     positive, negative = sum(n for k, n in totals.items() if k), totals.get(0, 0)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, positive / max(1, positive + negative))
     if not positive or not negative:
         return none
-    odds = F.log((F.col("positive") + 0.5) / (positive + 1.0)) - F.log((F.col("negative") + 0.5) / (negative + 1.0))
-    chosen = rows.select("text", "label").mapInArrow(_counts, "feature long, positive long, negative long").groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
-    share = F.col("positive") / (F.col("positive") + F.col("negative")) / none.base
-    chosen = chosen.select("feature", odds.alias("odds"), (F.log(share) * F.col("positive")).alias("evidence")).filter((F.col("evidence") >= EVIDENCE) & (F.col("odds") > 0.7))
-    chosen = chosen.orderBy(F.desc("evidence"), "feature").limit(MAX_FEATURES).toPandas()
-    features = chosen["feature"].to_numpy().view(np.uint64)
-    order = np.argsort(features)
-    model = Model(features[order], chosen["odds"].to_numpy()[order], 0.0, none.base)
-    if not len(features):
+    counted = rows.select("text", "label", "fold").mapInArrow(_counts, "feature long, prefix boolean, fold int, positive long, negative long")
+    by_fold = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in ("positive", "negative") for k in range(FOLDS)]
+    counted = counted.groupBy("feature", "prefix").agg(*by_fold)
+    # Only features that some setting may take, in all rows or in those outside a fold: their evidence has a simple upper bound.
+    all_positive = sum((F.col(f"positive{k}") for k in range(FOLDS)), F.lit(0))
+    all_negative = sum((F.col(f"negative{k}") for k in range(FOLDS)), F.lit(0))
+    share = all_positive / F.greatest(all_positive + all_negative, F.lit(1)) / none.base
+    bound = F.greatest(F.log(F.greatest(share, F.lit(1e-12))) * all_positive, *(
+        F.log(F.greatest((all_positive - F.col(f"positive{k}")) / F.greatest(all_positive + all_negative - F.col(f"positive{k}") - F.col(f"negative{k}"), F.lit(1)) / none.base, F.lit(1e-12))) * (all_positive - F.col(f"positive{k}"))
+        for k in range(FOLDS)
+    ))
+    least = min(evidence for _, evidence, _ in grid)
+    counted = counted.withColumn("bound", bound).filter(F.col("bound") >= 0.8 * least).orderBy(F.desc("bound"), "feature").limit(2 * max_features).toPandas()
+    if not len(counted):
+        return none
+    counted = counted.assign(feature=counted["feature"].to_numpy().view(np.uint64)).sort_values("feature", ignore_index=True)
+    model = Model(counted["feature"].to_numpy(), np.zeros(len(counted)), 0.0, none.base)
+    found = rows.select("label", "fold", "text").mapInArrow(_training_bags(model), "label int, fold int, n int, sentence binary, feature binary").toPandas()
+    bags, folds = Bags.of(found), found["fold"].to_numpy()
+    per_fold = {c: counted[[f"{c}{k}" for k in range(FOLDS)]].set_axis(range(FOLDS), axis=1) for c in ("positive", "negative")}
+    best = 0
+    if len(grid) > 1:
+        shared = spark.sparkContext.broadcast((per_fold | {"of": counted[["feature", "prefix"]]}, bags, folds, grid))
+        tasks = spark.range(len(grid) * FOLDS).select((F.col("id") % len(grid)).cast("int").alias("setting"), F.floor(F.col("id") / len(grid)).cast("int").alias("fold"))
+        losses = tasks.repartition(len(grid) * FOLDS, "setting", "fold").mapInPandas(_judge(shared), "setting int, loss double").groupBy("setting").agg(F.sum("loss").alias("loss"), F.count("*").alias("n")).collect()
+        best = min(losses, key=lambda r: (-r["n"], r["loss"], r["setting"]))["setting"] if losses else 0
+    prefixes, evidence, strength = grid[best]
+    taken, odds = choose(counted, *(per_fold[c].sum(axis=1).to_numpy() for c in ("positive", "negative")), (positive, negative), prefixes, evidence, max_features)
+    if not len(taken):
         return none
-    bags = rows.select("label", "text").mapInArrow(_training_bags(model), "label int, n int, sentence binary, feature binary").toPandas()
-    weights, bias = noisy_or(bags, np.clip(model.weights, 0, START))
+    weights, bias = noisy_or(bags.part(np.ones(len(bags.n), bool), taken), np.clip(odds, 0, START), strength)
     used = np.abs(weights) > 0.05
-    return Model(model.features[used], weights[used], bias, none.base)
+    return Model(model.features[taken][used], weights[used], bias, none.base, grid[best])
 
 
 def _score(model: Model):

@@ -1,10 +1,17 @@
 """Classifiers: held-out accuracy, what they may see, and edge rows."""
 
+import bisect
+import decimal
+import math
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, quality, queries, toxicity
+from tessera.llm import words as W
 
 LARGER = "/root/testdata/sf0.1"
 
@@ -66,7 +73,7 @@ def test_noisy_or_puts_the_weight_on_what_explains_a_label():
 
     pack = lambda x: np.array(x, np.int32).tobytes()
     bags = pd.DataFrame([(1, 3, pack([0, 1]), pack([0, 1])), (0, 3, pack([2]), pack([1])), (1, 2, pack([1]), pack([0])), (0, 2, pack([0]), pack([1]))] * 10, columns=["label", "n", "sentence", "feature"])
-    w, bias = toxicity.noisy_or(bags, np.zeros(2))
+    w, bias = toxicity.noisy_or(toxicity.Bags.of(bags), np.zeros(2))
     assert w[0] > 3 > w[1] and bias < -2
 
 
@@ -113,9 +120,130 @@ def test_boosting_finds_an_interaction():
     assert set(model.pairs[0]) == {0, 1} and ((model.score(x) > 0.5) == y).mean() > 0.95
 
 
-def test_held_out_rows_teach_nothing(spark, documents, sf_dir):
+@pytest.mark.parametrize(("op", "label", "parts", "rest"), [(toxicity.toxicity, "toxic", 3, 1), (quality.quality, "quality", 5, 0)])
+def test_held_out_rows_teach_nothing(spark, documents, sf_dir, op, label, parts, rest):
     """Other labels in the held-out part leave every score as it was."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    turned = F.when(queries.held_out(3, 1), 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic")
-    scores = lambda table: {r["doc_id"]: round(r["score"], 9) for r in toxicity.toxicity(documents, table).collect()}
+    turned = F.when(queries.held_out(parts, rest), 1 - F.col(label)).otherwise(F.col(label)).alias(label)
+    scores = lambda table: {r["doc_id"]: round(r["score"], 9) for r in op(documents, table).collect()}
     assert scores(labels) == scores(labels.select("doc_id", turned))
+
+
+def test_held_out_languages_teach_nothing(documents):
+    turned = documents.withColumn("lang", F.when(queries.held_out(4, 2), F.lit("xx")).otherwise(F.col("lang"))).withColumn("text", F.col("text"))
+    scores = lambda docs: {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.identify(docs).collect()}
+    assert scores(documents) == scores(turned)
+
+
+ITEM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+ODD = [None, "", " \n", "Idiot!", "you are an idiot. fine day.\nSecond line? yes", "é" * 30 + " " + "x" * 600 + ". tail", "word " * 3000, "a|b|c 1,2;3 #tag", "日本語 тест. ok"]
+
+
+def plain_mix(h):
+    m = (1 << 64) - 1
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & m
+    return h ^ h >> 31
+
+
+def plain_value(word, base):
+    if len(word) <= 7:
+        return int.from_bytes(word, "little") + (len(word) << 56)
+    value = 0
+    for at in range(0, len(word), 7):
+        value = (value * base + int.from_bytes(word[at : at + 7], "little")) % W.PRIME
+    return (value * base + len(word)) % W.PRIME
+
+
+def test_toxicity_scores_are_the_plain_ones(spark, documents, sf_dir):
+    """Noisy-or by hand over the sentences of each text."""
+    model = toxicity.fit(documents.selectExpr("doc_id as id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"), grid=[(True, 6.0, 400.0)])
+    weights = dict(zip(model.features.tolist(), model.weights.tolist()))
+    texts = [*ODD, *(r["text"] for r in documents.select("text").limit(100).collect())]
+    assert len(weights) > 3
+    for r in toxicity.score(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), model).collect():
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", re.sub("[A-Z]", lambda m: m[0].lower(), texts[r["id"]] or "")):
+            words = [x.encode() for x in ITEM.findall(sentence)]
+            if words:
+                found = {plain_mix(plain_value(x, W.FIXED.word[0])) for x in words}
+                found |= {plain_mix(int.from_bytes(x[:n], "little") | ((n << 3) + 7) << 56) for x in words for n in (4, 5)}
+                z = model.bias + sum(weights.get(f, 0.0) for f in found)
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        assert r["score"] == pytest.approx(1 - clean, abs=1e-9)
+
+
+def test_toxicity_settings_come_from_the_teachable_rows(spark, documents, sf_dir):
+    """A setting that cannot explain the labels does not win, whichever comes first; training rows are bounded by bytes too."""
+    docs = spark.createDataFrame([(i, f"a quiet sentence number {i} here. {'You blockhead.' if i % 4 == 0 else 'Well then.'}") for i in range(400)], "id long, text string")
+    own = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int")
+    useless, useful = (True, 1e9, 400.0), (True, 6.0, 400.0)
+    assert [toxicity.fit(docs, own, grid=g).setting for g in ([useless, useful], [useful, useless])] == [useful, useful]
+    ids, labels = documents.selectExpr("doc_id as id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = toxicity.training_rows(ids, labels, "toxic", 3, 1, 100, toxicity.Scratch(spark, "test"), max_bytes=20_000)
+    assert 0 < rows.agg(F.sum(F.octet_length("text"))).first()[0] <= 20_000 and rows.filter("crc32(cast(cast(id as string) as binary)) % 3 = 1").isEmpty()
+
+
+def test_quality_scores_are_the_plain_ones(spark, documents, sf_dir):
+    """The features of each text by plain counting, and the sum of one table entry for each feature and pair."""
+    texts = [*ODD, *(r["text"] for r in documents.select("text").limit(60).collect())]
+    got = quality.features(*W.buffers(pa.array(texts, pa.string())))
+    classes = [r"[A-Z]", r"[a-z]", r"[0-9]", r"[ \t\r\x0b\x0c]", r"\n", None, r"[.!?]", r"[,;:]", r"['\"()\[\]-]", r"[#$%&*@^~_=+<>{}\\/]", r"[|]"]
+    for text, row in zip(texts, got):
+        raw = (text or "").encode()
+        words = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+        if not words:
+            assert not row.any()
+            continue
+        size, n = [len(x) for x in words], len(words)
+        share = [raw.count(b) / len(raw) for b in set(raw)]
+        triples = [tuple(words[i : i + 3]) for i in range(n - 2)]
+        mean = sum(size) / n
+        want = [math.log1p(len(raw)), math.log1p(n), mean, math.sqrt(sum((x - mean) ** 2 for x in size) / n)]
+        want += [(len(re.findall(c, text)) if c else sum(b > 127 for b in raw)) / len(raw) for c in classes]
+        want += [-sum(x * math.log2(x) for x in share), len(set(words)) / n, max(map(words.count, set(words))) / n if n < 4000 else row[17], sum(a == b for a, b in zip(words, words[1:])) / (n - 1) if n > 1 else 0]
+        want += [len(set(triples)) / len(triples) if triples else 1.0, math.log1p(n / (raw.count(b"\n") + 1)), sum(x > 15 for x in size) / n]
+        assert row == pytest.approx(want, abs=1e-9)
+    rng = np.random.default_rng(5)
+    x = rng.random((2000, 4))
+    model = quality.boost(x, ((x[:, 0] > 0.4) & (x[:, 1] + x[:, 2] > 0.9)).astype(float))
+    for row, score in zip(x[:200], model.score(x[:200])):
+        z = model.intercept + sum(table[bisect.bisect_right(edges.tolist(), v)] for edges, table, v in zip(model.edges, model.tables, row))
+        for (i, j), table in zip(model.pairs, model.pair_tables):
+            z += table[bisect.bisect_right(model.coarse[i].tolist(), row[i]), bisect.bisect_right(model.coarse[j].tolist(), row[j])]
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+
+
+def test_language_scores_are_the_plain_ones(spark, documents):
+    """Words one by one, unknown ones by their longest known n-grams."""
+    some = documents.filter("doc_id % 3 > 0")
+    model = langid.fit(some.select("text", "lang"))
+    values = [f"v{i}" for i in range(len(model.langs))]
+    words, grams = ({r[0]: [r[v] for v in values] for r in t.rows.collect()} for t in (model.words, model.grams))
+    texts = [*ODD, "zzyzx qwv", *(r["text"] for r in documents.filter("doc_id % 3 = 0").select("text").limit(40).collect())]
+    unknown = 0
+    for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect():
+        text = texts[r["doc_id"]]
+        if not re.search(r"[^\W\d_]", text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total = [0] * len(values)
+        for word in langid.words_of(text):
+            row = words.get(word.decode())
+            if row is None:
+                unknown += 1
+                for size in range(5, 0, -1):
+                    own = [grams[g] for g in langid.grams_of(word.decode(), size) if g in grams]
+                    if own:
+                        row = [int(decimal.Decimal(sum(x) / len(own)).quantize(decimal.Decimal(1), decimal.ROUND_HALF_UP)) for x in zip(*own)]
+                        break
+            total = [a + b for a, b in zip(total, row or [0] * len(values))]
+        z = [t / langid.UNIT + float(p) for t, p in zip(total, model.prior)]
+        assert r["lang_pred"] == model.langs[z.index(max(z))] and r["score"] == pytest.approx(1 / sum(math.exp(x - max(z)) for x in z), abs=1e-9)
+    assert unknown > 3
+
+
+def test_equal_languages_the_first_by_name(spark):
+    docs = spark.createDataFrame([(1, "same words here", "nl"), (2, "same words here", "de"), (3, "same words here", "sv")], "doc_id long, text string, lang string")
+    model = langid.fit(docs.select("text", "lang"))
+    assert {r["lang_pred"] for r in langid.predict(docs.select("doc_id", "text"), model).collect()} == {"de"}
