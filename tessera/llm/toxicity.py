@@ -43,8 +43,8 @@ MAX_FEATURES = 20_000
 PREFIXES = (4, 5)
 FOLDS = 3
 #: Settings to choose from: whether prefixes are features besides words; the least evidence for a feature, n ln(share / usual share) for n
-#: documents of label 1 that have it; the strength of the penalty.
-GRID = [(prefixes, evidence, strength) for prefixes in (False, True) for evidence in (24.0, 12.0, 6.0) for strength in (1600.0, 400.0, 100.0, 25.0)]
+#: documents of label 1 that have it (chance gives some 12 to the best of a few hundred thousand words); the strength of the penalty.
+GRID = [(prefixes, evidence, strength) for prefixes in (False, True) for evidence in (48.0, 24.0, 12.0) for strength in (1600.0, 400.0, 100.0, 25.0)]
 #: Largest weight to begin with.
 START = 2.0
 #: A sentence is reported when its own probability reaches this.
@@ -159,15 +159,15 @@ class Bags:
     @classmethod
     def of(cls, rows: pd.DataFrame) -> Bags:
         size = [len(f) // 4 for f in rows["feature"]]
-        sentence, feature = (np.frombuffer(b"".join(rows[c]), np.int32).astype(np.int64) for c in ("sentence", "feature"))
-        return cls(rows["label"].to_numpy().astype(float), rows["n"].to_numpy().astype(np.int64), np.repeat(np.arange(len(rows)), size), sentence, feature)
+        sentence, feature = (np.frombuffer(b"".join(rows[c]), np.int32) for c in ("sentence", "feature"))
+        return cls(rows["label"].to_numpy().astype(float), rows["n"].to_numpy().astype(np.int64), np.repeat(np.arange(len(rows), dtype=np.int32), size), sentence, feature)
 
     def part(self, documents: np.ndarray, features: np.ndarray) -> Bags:
         """Only these documents (a mask) and features (numbered anew)."""
-        number = np.full(int(max(self.feature.max(initial=-1), features.max(initial=-1))) + 2, -1)
+        number = np.full(int(max(self.feature.max(initial=-1), features.max(initial=-1))) + 2, -1, np.int32)
         number[features] = np.arange(len(features))
         keep = documents[self.document] & (number[self.feature] >= 0)
-        return Bags(self.label[documents], self.n[documents], (np.cumsum(documents) - 1)[self.document[keep]], self.sentence[keep], number[self.feature[keep]])
+        return Bags(self.label[documents], self.n[documents], (np.cumsum(documents, dtype=np.int32) - 1)[self.document[keep]], self.sentence[keep], number[self.feature[keep]])
 
     def sentences(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the sentences with a feature: the one of each entry, and the document of each; and the documents' numbers of other sentences."""
@@ -264,6 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int
     model = Model(counted["feature"].to_numpy(), np.zeros(len(counted)), 0.0, none.base)
     found = rows.select("label", "fold", "text").mapInArrow(_training_bags(model), "label int, fold int, n int, sentence binary, feature binary").toPandas()
     bags, folds = Bags.of(found), found["fold"].to_numpy()
+    del found
     per_fold = {c: counted[[f"{c}{k}" for k in range(FOLDS)]].set_axis(range(FOLDS), axis=1) for c in ("positive", "negative")}
     best = 0
     if len(grid) > 1:
