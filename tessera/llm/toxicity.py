@@ -45,6 +45,8 @@ FOLDS = 3
 #: Settings to choose from: whether prefixes are features besides words; the least evidence for a feature, n ln(share / usual share) for n
 #: documents of label 1 that have it (chance gives some 12 to the best of a few hundred thousand words); the strength of the penalty.
 GRID = [(prefixes, evidence, strength) for prefixes in (False, True) for evidence in (48.0, 24.0, 12.0) for strength in (1600.0, 400.0, 100.0, 25.0)]
+#: Least log odds of a feature.
+LEAST_ODDS = 0.7
 #: Largest weight to begin with.
 START = 2.0
 #: A sentence is reported when its own probability reaches this.
@@ -208,7 +210,7 @@ def choose(features: pd.DataFrame, positive: np.ndarray, negative: np.ndarray, t
     odds = np.log((positive + 0.5) / (totals[0] + 1)) - np.log((negative + 0.5) / (totals[1] + 1))
     share = positive / np.maximum(positive + negative, 1) / (totals[0] / sum(totals))
     weight = np.log(np.maximum(share, 1e-12)) * positive
-    found = np.flatnonzero((weight >= evidence) & (odds > 0.7) & (prefixes | ~features["prefix"].to_numpy()))
+    found = np.flatnonzero((weight >= evidence) & (odds > LEAST_ODDS) & (prefixes | ~features["prefix"].to_numpy()))
     found = np.sort(found[np.lexsort((features["feature"].to_numpy()[found], -weight[found]))][:most])
     return found, odds[found]
 
@@ -240,24 +242,26 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", parts: int
     spark, grid = docs.sparkSession, grid or GRID
     scratch = Scratch(spark, "toxicity")
     rows = training_rows(docs, labels, label_col, parts, held_out, max_rows, scratch, max_bytes=max_bytes).withColumn("fold", fold_of())
-    totals = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    positive, negative = sum(n for k, n in totals.items() if k), totals.get(0, 0)
+    per_label = {(r["fold"], r["label"] > 0): r["n"] for r in rows.groupBy("fold", (F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
+    totals = [[per_label.get((k, which), 0) for k in range(FOLDS)] for which in (True, False)]
+    positive, negative = map(sum, totals)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, positive / max(1, positive + negative))
     if not positive or not negative:
         return none
     counted = rows.select("text", "label", "fold").mapInArrow(_counts, "feature long, prefix boolean, fold int, positive long, negative long")
     by_fold = [F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}") for c in ("positive", "negative") for k in range(FOLDS)]
     counted = counted.groupBy("feature", "prefix").agg(*by_fold)
-    # Only features that some setting may take, in all rows or in those outside a fold: their evidence has a simple upper bound.
-    all_positive = sum((F.col(f"positive{k}") for k in range(FOLDS)), F.lit(0))
-    all_negative = sum((F.col(f"negative{k}") for k in range(FOLDS)), F.lit(0))
-    share = all_positive / F.greatest(all_positive + all_negative, F.lit(1)) / none.base
-    bound = F.greatest(F.log(F.greatest(share, F.lit(1e-12))) * all_positive, *(
-        F.log(F.greatest((all_positive - F.col(f"positive{k}")) / F.greatest(all_positive + all_negative - F.col(f"positive{k}") - F.col(f"negative{k}"), F.lit(1)) / none.base, F.lit(1e-12))) * (all_positive - F.col(f"positive{k}"))
-        for k in range(FOLDS)
-    ))
-    least = min(evidence for _, evidence, _ in grid)
-    counted = counted.withColumn("bound", bound).filter(F.col("bound") >= 0.8 * least).orderBy(F.desc("bound"), "feature").limit(2 * max_features).toPandas()
+    # Only features that some setting takes, in all rows or in those outside a fold.
+    least, taken = min(evidence for _, evidence, _ in grid), []
+    for left in (None, *range(FOLDS)):
+        p, n = (sum((F.col(f"{c}{k}") for k in range(FOLDS) if k != left), F.lit(0)) for c in ("positive", "negative"))
+        all_p, all_n = (sum(t) - (0 if left is None else t[left]) for t in totals)
+        if all_p and all_n:
+            odds = F.log((p + 0.5) / (all_p + 1.0)) - F.log((n + 0.5) / (all_n + 1.0))
+            evidence = F.log(F.greatest(p / F.greatest(p + n, F.lit(1)) / (all_p / (all_p + all_n)), F.lit(1e-12))) * p
+            taken.append(F.when(odds > LEAST_ODDS, evidence).otherwise(0.0))
+    counted = counted.withColumn("evidence", F.greatest(F.lit(0.0), *taken)).filter(F.col("evidence") >= least * (1 - 1e-9))
+    counted = counted.orderBy(F.desc("evidence"), "feature").limit(2 * max_features).toPandas()
     if not len(counted):
         return none
     counted = counted.assign(feature=counted["feature"].to_numpy().view(np.uint64)).sort_values("feature", ignore_index=True)
