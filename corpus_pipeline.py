@@ -2,6 +2,16 @@
 
 Documents that are toxic go; of each group of near-duplicates the document with the smallest id stays; word windows that
 a smaller id holds are cut out; documents contaminated by the benchmark go; what is left is encoded to token ids and decoded again.
+
+Edge cases
+----------
+* null, empty or blank texts are neither toxic, near-duplicates nor contaminated: they stay and encode to no ids;
+* a null id: the row is judged by its own text where a stage needs no other rows (toxicity, benchmark) and is left as it is by the others;
+* repeated ids: rows are told apart by themselves. Of near-duplicate rows one stays, of equal rows one; rows with one id and different texts all
+  stay, and no row of an id loses windows to another of the same id;
+* a text that loses all words stays as an empty one, and so does its row;
+* texts of any length are taken whole; empty tables give empty results, and without labels or items nothing goes for their sake;
+* extra columns of documents pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,19 +27,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose score stays below the operator's threshold."""
     from tessera.llm.toxicity import keep_clean
 
     return keep_clean(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of linked rows, that of the smallest id; rows without an id."""
     from tessera.llm.jaccard import keep_one
 
     return keep_one(docs)
 
 
 def cut_repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars, where there is one, follows the text."""
+    """All rows; n_chars, where there is one, follows the text."""
     from tessera.llm.substring import cut_repeated
 
     out = cut_repeated(docs)
@@ -37,13 +49,15 @@ def cut_repeated_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose text holds item windows for less than a twentieth of its words."""
     from tessera.llm.decontamination import keep_clean
 
     return keep_clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): ids as little-endian unsigned 32-bit integers."""
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row, no other column; ids as little-endian unsigned 32-bit integers, a null
+    text as an empty one."""
     import public_tokenizers
 
     from tessera.llm.bpe import encode
