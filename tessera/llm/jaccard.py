@@ -31,8 +31,9 @@ Edge cases
 * null id: the row is returned with its size and a null component, and takes no part;
 * empty table: empty result; extra columns are ignored.
 
-Shingles are compared by a 61-bit Rabin-Karp residue whose bases are drawn anew for each job, so that no text can be made to
-collide; it is read within one pair of documents only. Words themselves are not compared.
+Shingles are compared by at least 58 bits of a Rabin-Karp residue whose bases are drawn anew for each job, so that no text can be made to
+collide; they are read within one pair of documents only. A set's size is counted on the whole residue of 61 bits. Words themselves
+are not compared.
 """
 
 from __future__ import annotations
@@ -85,13 +86,14 @@ def _sets(data: np.ndarray, offsets: np.ndarray, k: int, key: W.Key) -> Iterator
 
 def _mapper(bits: int, k: int, key: W.Key):
     salt = np.uint64(0xA5A5A5A55A5A5A5A)
+    kept = np.uint64((1 << 64) - (1 << (64 - bits)) | (1 << 48) - 1)  # the bucket's bits and those that are sent
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows, data, offsets in X.batches(source):
             ids = rows.column("id").to_numpy(zero_copy_only=False).astype(np.int64)
             sets = list(_sets(data, offsets, k, key))
             n = np.array([len(s) for s in sets], dtype=np.int32)
-            token = np.concatenate(sets)
+            token = np.concatenate(sets) & kept
             doc = np.repeat(np.arange(len(sets), dtype=np.uint16), n)
             sums = np.zeros((2, len(sets)), np.uint64)
             some = n > 0
@@ -110,7 +112,7 @@ def _mapper(bits: int, k: int, key: W.Key):
             if len(token):
                 token, doc = token[begin], np.where(many, _MANY, doc[begin]).astype(np.uint16)
                 order, buckets, begin = X.by_bucket(token, bits)
-                packed, doc, size = X.pack(token[order], 0, 7), doc[order], size[order].astype(np.uint32)
+                packed, doc, size = X.pack(token[order], 0, 6), doc[order], size[order].astype(np.uint32)
                 for bucket, a, b in zip(buckets.tolist(), begin[:-1].tolist(), begin[1:].tolist()):
                     counts = size[a:b][doc[a:b] == _MANY]
                     out.append((bucket, batch, X.PART, packed[a:b].tobytes(), doc[a:b].tobytes(), counts.tobytes(), None))
@@ -123,7 +125,7 @@ def _reducer(bits: int):
     """Replies with the shingles that more than one document holds, and in how many."""
 
     def run(bucket: int, rows: pd.DataFrame) -> pd.DataFrame:
-        parts = [X.unpack(a, 0, 7, bucket, bits) for a in rows["a"]]
+        parts = [X.unpack(a, 0, 6, bucket, bits) for a in rows["a"]]
         docs = [np.frombuffer(b, np.uint16) for b in rows["b"]]
         counts = [np.ones(len(p), np.int64) for p in parts]
         for c, d, given in zip(counts, docs, rows["c"]):
@@ -299,7 +301,8 @@ def _join_regions(regions: DataFrame, nodes: DataFrame, known: DataFrame, percen
         # Few outside members are all pivots of one group; those of a region that does not divide make many groups.
         large = large.withColumn("divides", ~F.col("stuck") & (F.col("outside") > F.col("most"))).withColumn("groups", F.when(F.col("divides"), 1).otherwise(F.ceil(F.col("outside") / F.col("most"))).cast("int"))
         large = large.withColumn("chunks", F.ceil(F.greatest(F.col("members") / CHUNK, F.col("weight") / WEIGHT)).cast("int"))
-        met = members.drop("stuck", "weight").join(large.select("region", "main", "most", "divides", "groups", "chunks", F.col("members").alias("size")), "region")
+        met = members.drop("stuck", "weight").join(large.select("region", "main", "most", "divides", "groups", "chunks"), "region")
+        met, met_at = scratch.write(met, "met")  # so that a large region's rows need not be in one place for what follows
         hashed = F.xxhash64("node")
         # Drawn from shares of a region first, so that a large region's members stay where they are.
         rank = lambda *by: F.row_number().over(Window.partitionBy("region", *by).orderBy(hashed, "node"))
@@ -326,7 +329,7 @@ def _join_regions(regions: DataFrame, nodes: DataFrame, known: DataFrame, percen
         whole = regions.join(judged.filter("not worth").withColumnRenamed("parent", "region"), "region", "left_semi").select("region", "node", F.lit(True).alias("stuck"))
         regions, _ = scratch.write(inner.unionByName(whole), "regions")
         scratch.drop(judged_at)
-        scratch.drop(sizes_at, links_at, found_at)
+        scratch.drop(sizes_at, links_at, found_at, met_at)
 
 
 def shared_sets(docs: DataFrame, scratch: Scratch, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -349,7 +352,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id_col, n_shingles, component_id) for every row."""
     docs = X.columns_of(docs, id_col, text_col)
     scratch = Scratch(docs.sparkSession, "jaccard")
-    table, _ = scratch.write(shared_sets(docs, scratch, shingle, percent), "sets")
+    table, table_at = scratch.write(shared_sets(docs, scratch, shingle, percent), "sets")
     close = table.filter("tokens is not null")
     nodes = close.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "tokens")).alias("x"))
     nodes, nodes_at = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "x.id", "x.tokens"), "nodes")
@@ -378,12 +381,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     class_of = nodes.select("node", "s1", "s2", "id").join(final.select("node", "component"), "node")
     least, least_at = scratch.write(class_of.groupBy("component").agg(F.min("id").alias("least")), "least")
-    class_of, _ = scratch.write(class_of.join(least, "component").select("s1", "s2", "least"), "classes")
-    scratch.drop(nodes_at, homes_at, elected_at, links_at, least_at)
+    class_of, classes_at = scratch.write(class_of.join(least, "component").select("s1", "s2", "least"), "classes")
     linked = close.select("id", "n", "s1", "s2").join(class_of, ["s1", "s2"]).select("id", "n", "least")
     alone = table.filter("tokens is null").select("id", "n", F.col("id").alias("least"))
     nameless = docs.filter("id is null").select("text").mapInArrow(_sizes(shingle), "n int").select(F.lit(None).cast("long").alias("id"), "n", F.lit(None).cast("long").alias("least"))
-    out = linked.unionByName(alone).unionByName(nameless)
+    out, _ = scratch.write(linked.unionByName(alone).unionByName(nameless), "result")
+    scratch.drop(table_at, nodes_at, homes_at, elected_at, links_at, least_at, classes_at)
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"))
 
 
