@@ -197,26 +197,28 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     items = X.columns_of(benchmark, item_col, item_text_col, "string").dropna()
     windows = items.mapInArrow(_item_windows(window, shingle), "item string, n int, k int, words string, tokens array<long>")
     windows = windows.groupBy("words").agg(F.first("n").alias("n"), F.first("k").alias("k"), F.first("tokens").alias("tokens"), F.sort_array(F.collect_set("item")).alias("items"))
-    windows, _ = scratch.write(windows.select(F.col("words").alias("window"), "n", "k", "tokens", "items"), "windows")
+    windows, windows_at = scratch.write(windows.select(F.col("words").alias("window"), "n", "k", "tokens", "items"), "windows")
     lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())  # SHINGLE of them at most
 
     def share(tokens: DataFrame):
         return spark.sparkContext.broadcast(_bitmap(tokens, tokens.count()))
 
-    shingles, _ = scratch.write(windows.select(F.explode("tokens").alias("token")).distinct(), "shingles")
+    shingles, shingles_at = scratch.write(windows.select(F.explode("tokens").alias("token")).distinct(), "shingles")
     counts = docs.select("text").mapInArrow(_count(share(shingles), lengths), "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
     placed = windows.select("window", F.posexplode("tokens").alias("j", "token")).join(counts, "token", "left")
     rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "token", "j")).alias("x")
     prefix = placed.groupBy("window").agg(rarest).filter("x.count > 0").select("window", "x.token", "x.j").join(windows.select("window", "n", "items"), "window")
-    prefix, _ = scratch.write(prefix, "prefix")
-    chosen, _ = scratch.write(prefix.select("token").distinct(), "chosen")
-    found, _ = scratch.write(docs.mapInArrow(_places(share(chosen), lengths, window), "row long, id long, n_words long, token long, at int, first int, words string"), "places")
-    hits, _ = scratch.write(_words_of_window(found.filter("token is not null").join(prefix, "token")), "hits")
+    prefix, prefix_at = scratch.write(prefix, "prefix")
+    chosen, chosen_at = scratch.write(prefix.select("token").distinct(), "chosen")
+    found, found_at = scratch.write(docs.mapInArrow(_places(share(chosen), lengths, window), "row long, id long, n_words long, token long, at int, first int, words string"), "places")
+    hits, hits_at = scratch.write(_words_of_window(found.filter("token is not null").join(prefix, "token")), "hits")
     item_ids = hits.groupBy("row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
     per_row = _merged(hits).join(item_ids, "row")
     none = F.array().cast("array<struct<start:int,end:int>>")
     out = found.filter("token is null").select("row", "id", "n_words").join(per_row, "row", "left")
     out = out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("hits", none).alias("hits"))
+    out, _ = scratch.write(out, "result")
+    scratch.drop(windows_at, shingles_at, prefix_at, chosen_at, found_at, hits_at)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
 
