@@ -27,7 +27,12 @@ def normalize(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Similarity; 0 with a zero vector, null with a null one or where lengths differ."""
+    return _over(dot(a, b), norm(a) * norm(b))
+
+
+def _over(product: Column, size: Column) -> Column:
+    return F.when(product.isNotNull(), F.coalesce(F.try_divide(product, size), F.lit(0.0)))
 
 
 def similarity_of(distance: Column) -> Column:
@@ -35,7 +40,7 @@ def similarity_of(distance: Column) -> Column:
 
 
 def top_k(vectors: DataFrame, query: list[float], k: int = TOP_K, where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k rows nearest to one query vector with their ``similarity``; ``where`` filters before ranking. Ties go to the smaller id."""
+    """The k rows nearest to one query vector with their ``similarity``; ``where`` filters before ranking. Ties go to the smaller id, nulls come last."""
     found = vectors if where is None else vectors.filter(where)
     q = F.array(*(F.lit(float(x)) for x in query))
     return found.withColumn("similarity", cosine(F.col(vector_col), q)).orderBy(F.desc("similarity"), id_col).limit(k)
@@ -59,7 +64,7 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col:
     rows = vectors.withColumn("_n", norm(F.col(vector_col))).withColumn("_salt", part(id_col, salts)).withColumn("_block", each(blocks))
     asked = queries.select(F.col(query_id), F.col(query_vector).alias("_q"), norm(F.col(query_vector)).alias("_qn"), part(query_id, blocks).alias("_block")).withColumn("_salt", each(salts))
     met = rows.join(asked, ["_block", "_salt"]).filter(F.col(query_id) != F.col(id_col))
-    met = met.withColumn("similarity", dot(F.col(vector_col), F.col("_q")) / (F.col("_n") * F.col("_qn"))).drop("_q", "_qn", "_n", "_block", "_salt")
+    met = met.withColumn("similarity", _over(dot(F.col(vector_col), F.col("_q")), F.col("_n") * F.col("_qn"))).drop("_q", "_qn", "_n", "_block", "_salt")
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col)
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

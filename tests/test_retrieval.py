@@ -16,11 +16,20 @@ def vectors(spark):
 
 
 def test_ties_go_to_the_smaller_id_and_the_floor_comes_last(spark):
-    found = V.top_k(vectors(spark).filter("vec_id < 5"), [1.0, 0.0], 3)
+    found = V.top_k(vectors(spark), [1.0, 0.0], 3)
     assert [r["vec_id"] for r in found.collect()] == [1, 4, 3]
     assert [r["vec_id"] for r in V.apply_floor(found, 0.9).collect()] == [1, 4]
 
 
+def test_zero_vectors_have_similarity_0(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [-1.0, 0.0]), (4, None)], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["similarity"]) for r in V.top_k(rows, [2.0, 0.0], 4).collect()] == [(1, 1.0), (2, 0.0), (3, -1.0), (4, None)]
+    assert {r["similarity"] for r in V.top_k(rows, [0.0, 0.0], 4).filter("vec_id < 4").collect()} == {0.0}
+    asked = spark.createDataFrame([(9, [1.0, 0.0]), (8, [0.0, 0.0])], "query_id long, query array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["similarity"]) for r in V.batch_top_k(rows, asked, 2).collect()}
+    assert got == {(9, 1): (1, 1.0), (9, 2): (2, 0.0), (8, 1): (1, 0.0), (8, 2): (2, 0.0)}
+
+
 def test_normalize_keeps_zero(spark):
     rows = {r["vec_id"]: r["u"] for r in vectors(spark).select("vec_id", V.normalize(F.col("embedding")).alias("u")).collect()}
     assert rows[5] == [0.0, 0.0] and rows[2] == [0.0, 1.0]
