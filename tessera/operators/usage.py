@@ -37,10 +37,11 @@ def turn_usage(turns: DataFrame, rows: DataFrame) -> DataFrame:
     """(session_id, turn_index, sums) of what a session used from a turn's start (started_at) until its next turn."""
     from pyspark.sql import Window
 
-    ends = F.lead("started_at").over(Window.partitionBy("session_id").orderBy("started_at", "turn_index"))
-    spans = turns.select("session_id", "turn_index", "started_at", ends.alias("_end"))
-    inside = (rows.session_id == spans.session_id) & (rows.created_at >= spans.started_at) & (spans._end.isNull() | (rows.created_at < spans._end))
-    met = spans.join(rows, inside, "left").select(spans.session_id, spans.turn_index, *(rows[c] for c in COUNTS))
+    # Both kinds of rows in one order: a usage row belongs to the last turn that started before it or with it.
+    starts = turns.select("session_id", F.col("started_at").alias("_at"), F.lit(0).alias("_kind"), "turn_index", *(F.lit(0).cast("long").alias(c) for c in COUNTS))
+    used = rows.select("session_id", F.col("created_at").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(turns.schema["turn_index"].dataType).alias("turn_index"), *(F.col(c).cast("long").alias(c) for c in COUNTS))
+    order = Window.partitionBy("session_id").orderBy("_at", "_kind", "turn_index").rowsBetween(Window.unboundedPreceding, 0)
+    met = starts.unionByName(used).withColumn("turn_index", F.last("turn_index", ignorenulls=True).over(order)).filter("turn_index is not null")
     return met.groupBy("session_id", "turn_index").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTS))
 
 
@@ -51,8 +52,10 @@ def file_tickets(tickets: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def escalate_tickets(tickets: DataFrame, events: DataFrame) -> DataFrame:
-    """Updates by key: tickets with an event (ticket_id, rule, deadline, summary) become escalated; the rest stay."""
-    e = events.select("ticket_id", F.col("rule").alias("_rule"), F.col("deadline").alias("_deadline"), F.col("summary").alias("_summary"), F.lit(True).alias("_hit"))
+    """Updates by key: tickets with an event (ticket_id, rule, deadline, summary) become escalated; the rest stay. Of several events of a
+    ticket the one of the latest deadline counts, of equal ones that of the greater rule."""
+    latest = events.groupBy("ticket_id").agg(F.max(F.struct("deadline", "rule", "summary")).alias("_e"))
+    e = latest.select("ticket_id", F.col("_e.rule").alias("_rule"), F.col("_e.deadline").alias("_deadline"), F.col("_e.summary").alias("_summary"), F.lit(True).alias("_hit"))
     rows = tickets.join(e, "ticket_id", "left")
     hit = F.coalesce("_hit", F.lit(False))
     new = {"escalated": hit | F.col("escalated"), "status": F.when(hit, "escalated").otherwise(F.col("status")), "trigger_rule": F.coalesce("_rule", "trigger_rule"), "sla_deadline": F.coalesce("_deadline", "sla_deadline"), "redacted_summary": F.coalesce("_summary", "redacted_summary")}

@@ -1,5 +1,6 @@
 """Session state, rules and patterns; the streaming state machine gives what the batch fold gives."""
 
+import datetime
 import random
 
 from pyspark.sql import functions as F
@@ -118,3 +119,21 @@ def test_outbox_and_answers(spark, tmp_path):
     files.write_documents(spark.createDataFrame([("a", "1"), ("b", "2")], "doc_id string, markdown string"), str(tmp_path / "d"))
     files.write_documents(spark.createDataFrame([("a", "3")], "doc_id string, markdown string"), str(tmp_path / "d"))
     assert {(r["doc_id"], r["markdown"]) for r in spark.read.parquet(str(tmp_path / "d")).collect()} == {("a", "3"), ("b", "2")}
+    files.write_documents(spark.createDataFrame([("c", "4")], "doc_id string, markdown string"), str(tmp_path / "d"), gone=spark.createDataFrame([("b",)], "doc_id string"))
+    assert {(r["doc_id"], r["markdown"]) for r in spark.read.parquet(str(tmp_path / "d")).collect()} == {("a", "3"), ("c", "4")}
+
+
+def test_several_events_of_a_ticket_make_one_update(spark):
+    tickets = U.file_tickets(spark.createDataFrame([], "ticket_id string, parties_involved string, status string, escalated boolean, trigger_rule string, sla_deadline timestamp, redacted_summary string"), spark.createDataFrame([("1", ["x"]), ("2", ["y"])], "ticket_id string, parties_involved array<string>"))
+    day = lambda d: datetime.datetime(2024, 1, d)
+    events = spark.createDataFrame([("1", "first", day(1), "a"), ("1", "second", day(2), "b"), ("1", "second", day(2), "b")], "ticket_id string, rule string, deadline timestamp, summary string")
+    rows = sorted((r["ticket_id"], r["status"], r["trigger_rule"]) for r in U.escalate_tickets(tickets, events).collect())
+    assert rows == [("1", "escalated", "second"), ("2", "open", None)]
+
+
+def test_usage_goes_to_the_last_turn_that_started(spark):
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    starts = spark.createDataFrame([("s", 0, at(1)), ("s", 1, at(5)), ("s", 2, at(5)), ("t", 0, at(3))], "session_id string, turn_index int, started_at timestamp")
+    rows = spark.createDataFrame([("s", at(0), 9, 9, 9), ("s", at(1), 1, 0, 1), ("s", at(4), 2, 0, 2), ("s", at(5), 4, 0, None), ("s", at(9), 8, 0, 8), ("u", at(1), 7, 7, 7)], "session_id string, created_at timestamp, prompt_tokens int, completion_tokens int, total_tokens int")
+    got = {(r["session_id"], r["turn_index"]): (r["prompt_tokens"], r["total_tokens"]) for r in U.turn_usage(starts, rows).collect()}
+    assert got == {("s", 0): (3, 3), ("s", 1): (0, 0), ("s", 2): (12, 8), ("t", 0): (0, 0)}
