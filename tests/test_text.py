@@ -1,4 +1,4 @@
-"""Text folds against small models in Python, and the borders of each function."""
+"""Text folds by the properties of their results, and the borders of each function."""
 
 import re
 
@@ -19,29 +19,8 @@ def tokens(s):
     return max(1, round(len(s) / 4))
 
 
-def sentence_model(block, target):
-    out, held = [], ""
-    for s in re.split(r"(?<=[.!?])\s+", block):
-        if held and tokens(held + " " + s) > target:
-            out, held = out + [held], s
-        else:
-            held = (held + " " + s).strip()
-    return out + ([held] if held else [])
-
-
-def block_model(parts, target, overlap):
-    windows, held = [], []
-    for b in parts:
-        if held and sum(map(tokens, held)) + tokens(b) > target:
-            windows.append(held)
-            carry = []
-            for p in held[::-1]:
-                if sum(map(tokens, carry)) + tokens(p) > overlap:
-                    break
-                carry = [p] + carry
-            held = carry
-        held = held + [b]
-    return ["\n\n".join(w) for w in windows + ([held] if held else [])]
+def tokens(s):
+    return max(1, round(len(s) / 4))
 
 
 @pytest.mark.parametrize(("text", "n"), [("", 1), ("ab", 1), ("a" * 6, 2), ("a" * 10, 2), ("a" * 14, 4), ("é" * 400, 100)])
@@ -52,17 +31,40 @@ def test_token_estimate_rounds_half_to_even(spark, text, n):
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text("ab .!?\n", max_size=40), min_size=1, max_size=12), st.integers(1, 12))
 def test_pack_sentences(spark, texts, target):
+    """Parts are runs of sentences in their order; each is as long as it can be, and over the target only if it is one sentence."""
     texts = [t.strip() for t in texts]
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.pack_sentences(F.col("t"), target).alias("r")).collect()
-    assert {r["i"]: r["r"] for r in rows} == {i: sentence_model(t, target) for i, t in enumerate(texts)}
+    for r in rows:
+        sentences = re.split(r"(?<=[.!?])\s+", texts[r["i"]])
+        assert " ".join(r["r"]) == " ".join(sentences).strip()
+        ends = [len(" ".join(r["r"][: k + 1])) for k in range(len(r["r"]))]
+        borders = [len(" ".join(sentences[: k + 1])) for k in range(len(sentences))]
+        assert set(ends) <= set(borders)  # parts end where sentences end
+        for end, part, following in zip(ends, r["r"], [*r["r"][1:], None]):
+            inside = [b for b in borders if end - len(part) < b < end]
+            assert tokens(part) <= target or not inside
+            if following is not None:
+                longer = next(b for b in borders if b > end)
+                assert tokens(" " * (len(part) + longer - end)) > target
 
 
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.integers(1, 60), max_size=10), min_size=1, max_size=8), st.integers(1, 20), st.integers(0, 10))
 def test_pack_blocks(spark, sizes, target, overlap):
-    lists = [["x" * n for n in row] for row in sizes]
+    """Windows are runs of blocks that begin where the overlap of the one before says and end before the block that would not fit."""
+    lists = [[f"{k:02d}" + "x" * n for k, n in enumerate(row)] for row in sizes]
     rows = spark.createDataFrame(list(enumerate(lists)), "i int, b array<string>").select("i", T.pack_blocks(F.col("b"), target, overlap).alias("r")).collect()
-    assert {r["i"]: r["r"] for r in rows} == {i: block_model(b, target, overlap) for i, b in enumerate(lists)}
+    for r in rows:
+        n = [tokens(b) for b in lists[r["i"]]]
+        runs = [(int(w.split("\n\n")[0][:2]), int(w.split("\n\n")[-1][:2]) + 1, w) for w in r["r"]]
+        assert all(w == "\n\n".join(lists[r["i"]][a:b]) for a, b, w in runs)
+        assert [b for _, b, _ in runs][-1:] == [len(n)][: len(n)] and (not runs or runs[0][0] == 0)
+        for (a, b, _), (c, d, _) in zip(runs, runs[1:]):
+            assert a <= c <= b < d and sum(n[a : b + 1]) > target  # the next block did not fit
+            assert sum(n[c:b]) <= overlap and (c == a or sum(n[c - 1 : b]) > overlap)  # as much as fits is handed on
+        for k, (a, b, _) in enumerate(runs):
+            begin = runs[k - 1][1] if k else a  # blocks that were not handed on; the first of them needs no room
+            assert sum(n[a:b]) <= target or b == begin + 1
 
 
 def test_clean_text(spark):
