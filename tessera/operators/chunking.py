@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import lines, split_text, strip, token_estimate
 
 TARGET, OVERLAP, SMALLEST = 400, 50, 80
+# What is a heading and what is a header.
 HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
 HEADER = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 # The categories a document may have.
@@ -19,12 +20,14 @@ _SECTION = "struct<path:array<string>,text:string>"
 
 
 def header_of(markdown: Column) -> Column:
-    """The header's keys as a map; null without a header. Flat ``key: value`` lines; one pair of quotes around a value goes."""
+    """The header's keys as a map; null without a header. Flat ``key: value`` lines; one pair of quotes around a value goes; of a repeated key the last counts."""
     inner = F.regexp_extract(markdown, HEADER, 1)
     pairs = F.filter(F.transform(F.split(inner, "\n"), lambda x: F.regexp_extract_all(x, F.lit(r"^([^:#\s][^:]*):\s*(.*?)\s*$"), F.lit(1))), lambda x: F.size(x) > 0)
     keys = F.transform(pairs, lambda x: strip(x[0]))
     values = F.filter(F.transform(F.split(inner, "\n"), lambda x: F.when(x.rlike(r"^([^:#\s][^:]*):"), F.regexp_replace(F.regexp_extract(x, r"^[^:]*:\s*(.*?)\s*$", 1), r"^(['\"])(.*)\1$", "$2"))), lambda x: x.isNotNull())
-    return F.when(markdown.rlike(HEADER), F.map_from_entries(F.array_distinct(F.arrays_zip(keys.alias("k"), values.alias("v")))))
+    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
+    return F.when(markdown.rlike(HEADER), F.map_from_entries(last))
 
 
 def body_of(markdown: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunking import chunk_markdown, header_of
+
 MANIFEST = "name string, sha256 string, doc_id string, processed_file string, chunk_count long"
 
 
@@ -30,6 +32,19 @@ def delete_documents(chunks: DataFrame, gone: DataFrame, key: str = "doc_id") ->
     return chunks.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def ingested(parsed: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of parsed documents (name, sha256, markdown, error): their chunks, their rows of MANIFEST, and (name, error) of those that give none."""
+    fine = parsed.filter("error is null")
+    chunks, refused = chunk_markdown(fine, **options)
+    counts = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
+    accepted = fine.join(refused.select("name"), "name", "left_anti").select("name", "sha256", header_of(F.col("markdown"))["doc_id"].alias("doc_id"))
+    rows = accepted.join(counts, "doc_id", "left")
+    errors = parsed.filter("error is not null").select("name", "error").unionByName(refused.select("name", F.array_join("errors", ", ").alias("error")))
+    errors = errors.unionByName(rows.filter("chunk_count is null").select("name", F.lit("no chunks").alias("error")))
+    rows = rows.filter("chunk_count is not null").select("name", "sha256", "doc_id", F.concat("doc_id", F.lit(".md")).alias("processed_file"), "chunk_count")
+    return chunks, rows, errors
+
+
 def next_manifest(manifest: DataFrame, plan: DataFrame, ingested: DataFrame) -> DataFrame:
     """The manifest after a run: deleted names go, ingested ones (rows of MANIFEST) replace theirs."""
     kept = manifest.join(plan.filter("status = 'deleted'").select("name"), "name", "left_anti")

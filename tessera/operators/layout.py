@@ -17,13 +17,25 @@ LARGER, LONGEST, DEEPEST = 0.9, 90, 3
 GAP = 4.0
 
 
+def line_size(sizes: Column) -> Column:
+    """The mean of the characters' sizes to half points; 0 where none has one."""
+    known = F.filter(sizes, lambda x: x.isNotNull() & (x != 0))
+    return F.coalesce(F.bround(2 * F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known))) / 2, F.lit(0.0))
+
+
+def line_bold(fonts: Column) -> Column:
+    """Whether half of the characters' fonts are bold ones."""
+    bold = F.size(F.filter(fonts, lambda f: F.coalesce(F.lower(f).contains("bold"), F.lit(False))))
+    return (F.size(fonts) > 0) & (bold * 2 >= F.size(fonts))
+
+
 def line_rows(chars: DataFrame) -> DataFrame:
-    """Lines from characters (doc, page, line, pos, char, top, bottom, size, font, height): mean size to half points, bold if half of it is."""
+    """Lines from characters (doc, page, line, pos, char, top, bottom, size, font, height)."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "char"))), lambda c: c["char"]), "")
-    bold = F.sum(F.when(F.lower("font").contains("bold"), 1).otherwise(0)) * 2 >= F.count("*")
+    fonts = F.collect_list(F.coalesce("font", F.lit("")))
     rows = chars.groupBy("doc", "page", "line").agg(
         strip(text).alias("text"), F.min("top").alias("top"), F.max("bottom").alias("bottom"),
-        F.coalesce(F.bround(2 * F.avg(F.when(F.col("size") != 0, F.col("size")))) / 2, F.lit(0.0)).alias("size"), bold.alias("bold"), F.max("height").alias("height"),
+        line_size(F.collect_list("size")).alias("size"), line_bold(fonts).alias("bold"), F.max("height").alias("height"),
     )
     return rows.filter("text <> ''")
 

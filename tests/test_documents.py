@@ -1,5 +1,6 @@
 """Chunking, ingestion, layout and sources on fixtures of our own."""
 
+import datetime
 import re
 
 import pytest
@@ -38,31 +39,41 @@ Short.
 """
 
 
-def section_model(body, title):
-    out, stack, text = [], [], ""
-    for line in body.splitlines() + ["# end"]:
-        m = re.match(r"^(#{1,6})\s+(.*\S)\s*$", line)
-        if not m:
-            text += line + "\n"
-        elif len(m[1]) == 1 and not stack and not out and m[2].lower() == title.lower():
-            pass
-        else:
-            if text.strip():
-                out.append(([n for _, n in stack], text.strip()))
-            stack = [s for s in stack if s[0] < len(m[1])] + [(len(m[1]), m[2])]
-            text = ""
-    return out
-
-
-def merge_model(sections, least):
-    out = []
-    for path, text in sections:
-        if out and max(1, round(len(text) / 4)) < least:
-            into = next((k for k in out[::-1] if path[: len(k[0])] == k[0]), out[-1])
-            into[1] += "\n\n" + (f"**{path[-1]}:** {text}" if path and path[-1] else text)
-        else:
-            out.append([path, text])
-    return [(p, t) for p, t in out]
+HEADING = re.compile(r"^(#{1,6})\s+(.*\S)\s*$")
+
+
+def tokens(s):
+    return max(1, round(len(s) / 4))
+
+
+def expected_sections(body, title):
+    """By definition: a line of text belongs to the headings above it that no later heading of the same or a higher level ends."""
+    lines = body.splitlines()
+    heads = {i: (len(m[1]), m[2]) for i, m in ((i, HEADING.match(x)) for i, x in enumerate(lines)) if m}
+    first = min((i for i in heads), default=len(lines))
+    if first in heads and heads[first][0] == 1 and heads[first][1].lower() == title.lower() and not any(x.strip() for x in lines[:first]):
+        del heads[first]  # the title line
+        lines[first] = ""
+        again = min(heads, default=len(lines))
+        while again in heads and heads[again][0] == 1 and heads[again][1].lower() == title.lower() and not any(x.strip() for x in lines[:again]):
+            del heads[again]
+            lines[again] = ""
+            again = min(heads, default=len(lines))
+    open_at = lambda i: [h for h in sorted(heads) if h < i and not any(h < g < i and heads[g][0] <= heads[h][0] for g in heads)]
+    groups = {}
+    for i, line in enumerate(lines):
+        if i not in heads:
+            groups.setdefault(max((h for h in heads if h < i), default=-1), []).append((i, line))
+    texts = [([heads[h][1] for h in open_at(rows[0][0])], "\n".join(x for _, x in rows).strip()) for _, rows in sorted(groups.items())]
+    return [(path, text) for path, text in texts if text]
+
+
+def expected_merge(sections, least):
+    """By definition: the first and the larger sections stay; any other goes to the nearest of these before it whose path begins its own, else to the last."""
+    stay = [i for i, (_, t) in enumerate(sections) if i == 0 or tokens(t) >= least]
+    goes = {i: max([k for k in stay if k < i and sections[i][0][: len(sections[k][0])] == sections[k][0]] or [max(k for k in stay if k < i)]) for i in range(len(sections)) if i not in stay}
+    labelled = lambda i: f"**{sections[i][0][-1]}:** {sections[i][1]}" if sections[i][0] else sections[i][1]
+    return [(sections[k][0], "\n\n".join([sections[k][1], *(labelled(i) for i in sorted(goes) if goes[i] == k)])) for k in stay]
 
 
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -71,10 +82,65 @@ def test_sections_and_merging(spark, lines, least):
     body = "\n".join(("#" * n + " " if n else "") + t for n, t in lines)
     row = spark.createDataFrame([(body, "abc")], "body string, title string")
     parts = row.select(C.sections(F.col("body"), F.col("title")).alias("s")).first()["s"]
-    want = section_model(body, "abc")
+    want = expected_sections(body, "abc")
     assert [(list(p["path"]), p["text"]) for p in parts] == want
     merged = row.select(C.merge_small(C.sections(F.col("body"), F.col("title")), least).alias("s")).first()["s"]
-    assert [(list(p["path"]), p["text"]) for p in merged] == merge_model(want, least)
+    assert [(list(p["path"]), p["text"]) for p in merged] == expected_merge(want, least)
+
+
+def test_repeated_header_keys(spark):
+    text = "---\ndoc_id: a\ntitle: one\ncategory: leave\ntitle: 'two'\ndoc_id: a\n---\nbody"
+    chunks, refused = C.chunk_markdown(spark.createDataFrame([(text,)], "markdown string"))
+    assert [(r["doc_id"], r["title"]) for r in chunks.collect()] == [("a", "two")] and refused.count() == 0
+
+
+def test_ingest_runs(spark, tmp_path):
+    """Four runs: all new, nothing to do, one changed and one gone, and forced; and the three errors."""
+    raw, store = tmp_path / "raw", f"file://{tmp_path}/store"
+    raw.mkdir()
+    with pytest.raises(ValueError, match="no source documents"):
+        S.ingest(spark, str(raw), store)
+    page = lambda k, body: f"---\ndoc_id: {k}\ntitle: Page {k}\ncategory: leave\n---\n{body}\n"
+    for k in "abc":
+        (raw / f"{k}.md").write_text(page(k, f"Words of {k}."))
+    day = datetime.datetime(2024, 5, 6, 7, 8)
+    status = lambda **o: {r["name"]: r["status"] for r in S.ingest(spark, str(raw), store, {"embedding_model": "m", "embedding_dim": 3}, now=day, **o).collect()}
+    header = lambda: spark.read.json(f"{store}/manifest/header").first()
+    rows = lambda: {r["name"]: (r["doc_id"], r["chunk_count"]) for r in S.load_manifest(spark, f"{store}/manifest").collect()}
+    texts = lambda: {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{store}/chunks-{header()['run']}").collect()}
+    assert status() == {f"{k}.md": "new" for k in "abc"}
+    assert (header()["embedding_model"], header()["embedding_dim"], header()["files"], header()["total_chunks"], header()["ingested_at"][:16]) == ("m", 3, 3, 3, "2024-05-06T07:08")
+    assert rows() == {f"{k}.md": (k, 1) for k in "abc"}
+    assert status() == {f"{k}.md": "unchanged" for k in "abc"} and len(texts()) == 3
+    (raw / "a.md").write_text(page("a", "Other words."))
+    (raw / "b.md").unlink()
+    assert status() == {"a.md": "changed", "b.md": "deleted", "c.md": "unchanged"}
+    assert {k: t.split("\n\n")[1] for k, t in texts().items()} == {"a": "Other words.", "c": "Words of c."} and set(rows()) == {"a.md", "c.md"}
+    kept = {r["doc_id"]: r["markdown"] for r in spark.read.parquet(f"{store}/documents").collect()}
+    assert set(kept) == {"a", "c"} and "source_file: a.md" in kept["a"] and "Other words." in kept["a"]
+    assert status(force=True) == {"a.md": "changed", "c.md": "changed"} and len(texts()) == 2
+    for name, content, error in (("d.md", page("d", ""), "no chunks"), ("d.md", "no header", "missing header"), ("d.docx", "broken", "cannot be read")):
+        (raw / name).write_text(content)
+        (raw / "d.meta.yaml").write_text("title: d")
+        with pytest.raises(ValueError, match=error):
+            S.ingest(spark, str(raw), store)
+        (raw / name).unlink()
+    assert set(rows()) == {"a.md", "c.md"}
+
+
+def test_broken_pdf_is_reported_not_raised(spark, tmp_path):
+    def open_pdf(stream):
+        raise OSError("not a pdf")
+
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    (tmp_path / "a.meta.yaml").write_text("title: a")
+    (tmp_path / "b.md").write_text("# fine")
+    assert {r["name"]: r["error"] for r in S.parse_corpus(S.scan_corpus(spark, str(tmp_path)), open_pdf).collect()} == {"a.pdf": "cannot be read here", "b.md": None}
+
+
+def test_report(spark, tmp_path):
+    at = S.write_report(spark.createDataFrame([(0.5,)], "mrr double"), spark.createDataFrame([(1, None)], "id int, first_rank int"), str(tmp_path), now=datetime.datetime(2024, 1, 2, 3, 4, 5))
+    assert at.endswith("retrieval_eval_20240102T030405Z") and spark.read.json(f"{at}/metrics").first()["mrr"] == 0.5 and spark.read.json(f"{at}/per_question").count() == 1
 
 
 def test_chunk_markdown(spark):
