@@ -62,8 +62,17 @@ PROBES = [
 ]
 
 
-def probes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PROBES, "id long, text string, category string, severity string")
+_CATEGORIES = ["harassment", "payroll", "safety", "benefits", "other", "policy_violation", "unheard_of"]
+_SEVERITIES = ["low", "medium", "high", "critical"]
 
 
-PROBES_SQL = "(select cast(id as bigint) as id, text, category, severity from (values " + ", ".join(f"({i}, '{t}', '{c}', '{s}')" for i, t, c, s in PROBES) + ") as t(id, text, category, severity))"
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probes and, numbered from 1000, every turn of every conversation, with a category and a severity that its place gives."""
+    n, t = F.col("conv_id"), F.col("turn")
+    pick = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (by % len(names) + 1).cast("int"))
+    said = table(spark, sf_dir, "conversations").select((1000 + n * 1000 + t).cast("long").alias("id"), "text", pick(_CATEGORIES, n + t).alias("category"), pick(_SEVERITIES, n).alias("severity"))
+    return spark.createDataFrame(PROBES, "id long, text string, category string, severity string").unionByName(said)
+
+
+PROBES_SQL = "(select cast(id as bigint) as id, text, category, severity from (values " + ", ".join(f"({i}, '{t}', '{c}', '{s}')" for i, t, c, s in PROBES) + f""") as t(id, text, category, severity)
+  union all select 1000 + conv_id * 1000 + turn, text, {_CATEGORIES}[(conv_id + turn) % {len(_CATEGORIES)} + 1], {_SEVERITIES}[conv_id % {len(_SEVERITIES)} + 1] from conversations)"""

@@ -62,7 +62,22 @@ def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum(F.length("part")).alias("chars"), F.max(F.length("part")).cast("long").alias("longest"))
 
 
-@query()
+def _packed_sql(source: str, key: str, target: int, overlap: int) -> str:
+    """Common table expressions over ``source`` (key, blocks): runs of blocks from a to b, by sums of estimates up to each block. A run ends before the block
+    that would not fit, but holds one block more than the run before; the next begins where what is handed on fits the overlap."""
+    last = f"list_max(list_filter(generate_series({{0}}, len(blocks)), lambda k: upto[k + 1] - upto[{{0}}] <= {target}))"
+    first = f"list_min(list_filter(generate_series(a, b + 1), lambda c: upto[b + 1] - upto[c] <= {overlap}))"
+    return f"""sums as (
+  select {key}, blocks, list_transform(generate_series(0, len(blocks)), lambda k: cast(coalesce(list_sum(list_transform(blocks[1:k], lambda x: greatest(1, round_even(length(x) / 4.0, 0)))), 0) as bigint)) as upto from {source} where len(blocks) > 0
+), runs as (
+  select {key}, blocks, upto, cast(0 as bigint) as n, cast(1 as bigint) as a, cast(greatest(1, coalesce({last.format(1)}, 0)) as bigint) as b from sums
+  union all
+  select {key}, blocks, upto, n + 1, c, cast(greatest(b + 1, coalesce({last.format("c")}, 0)) as bigint) from (select *, cast({first} as bigint) as c from runs where b < len(blocks))
+), packed as (select {key}, n, array_to_string(blocks[a:b], chr(10) || chr(10)) as piece from runs)"""
+
+
+@query(rf"""with recursive given as (select doc_id, list_filter(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: x <> '') as blocks from documents), {_packed_sql("given", "doc_id", 60, 20)}
+select doc_id, cast(n as integer) as n, sha256(piece) as window_sha256 from packed""")
 def block_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as blocks, packed to 60 tokens with 20 carried over."""
     packed = T.pack_blocks(F.filter(T.lines(F.col("text")), lambda x: x != ""), 60, 20)
@@ -151,7 +166,7 @@ def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""select id, regexp_replace(regexp_replace(regexp_replace(text, '{_EMAIL}', '[REDACTED_EMAIL]', 'g'), '{_PHONE}', '[REDACTED_PHONE]', 'g'), '{_ID}', '[REDACTED_EMPLOYEE_ID]', 'g') as redacted from {PROBES_SQL}""")
 def redact_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probes(spark).select("id", P.redact(F.col("text")).alias("redacted"))
+    return probes(spark, sf_dir).select("id", P.redact(F.col("text")).alias("redacted"))
 
 
 @query(r"""with l as (select lower(unnest(string_split(regexp_replace(text, '\n$', ''), chr(10)))) as folded from documents)
@@ -171,6 +186,11 @@ def _layout_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc", page.cast("int").alias("page"), F.trim("text").alias("text"), top.alias("top"), (top + 10).alias("bottom"), size.alias("size"), (F.length("text") % 6 == 0).alias("bold"), F.lit(140.0).alias("height"))
 
 
+def _texts():
+    """All lines of a group, in their order, as one hash."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "top", "text"))), lambda x: x["text"]), "\n"), 256)
+
+
 _LAYOUT_SQL = r"""lines as (
   select doc, cast(floor(i / 10) as integer) as page, trim(text) as text, cast((i % 10) * 12 + case when i % 10 >= 7 then 20 else 0 end as double) as top,
     cast(10 + case when length(text) % 5 = 0 then length(text) % 3 else 0 end as double) as size, length(text) % 6 = 0 as bold
@@ -196,39 +216,44 @@ def heading_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
   select *, level is not null as alone, lag(page) over w as before_page, lag(top) over w + 10 as before_bottom, lag(level is not null) over w as before_alone from leveled window w as (partition by doc order by page, top)
 ), islands as (
   select *, sum(case when coalesce(alone or before_page is null or before_alone or before_page <> page or top - before_bottom > greatest(4, 0.5 * size), true) then 1 else 0 end) over (partition by doc order by page, top) as island from marked
+), pieces as (
+  select *, row_number() over w as k, count(*) over (partition by doc, island) as n, coalesce(ends_with(text, '-') and regexp_matches(lead(text) over w, '^\\p{{Ll}}'), false) as broken from islands window w as (partition by doc, island order by page, top, text)
+), texts as (
+  select doc, island, bool_or(alone) as alone, max(level) as level, string_agg(case when broken then left(text, -1) when k < n then text || ' ' else text end, '' order by k) as text from pieces group by doc, island
 )
-select doc, cast(count(distinct island) as bigint) as blocks, cast(count(distinct case when alone then island end) as bigint) as headings from islands group by doc""")
+select doc, cast(count(*) as bigint) as blocks, cast(count(*) filter (alone) as bigint) as headings, sha256(string_agg(case when alone then repeat('#', cast(level as integer)) || ' ' || text else text end, chr(10) || chr(10) order by island) || chr(10)) as markdown_sha256 from texts group by doc""")
 def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings and paragraphs of the rendered text, counted in its Markdown."""
+    """Headings and paragraphs of the rendered text, counted in its Markdown, and the Markdown itself."""
     out = layout.render(_layout_lines(table(spark, sf_dir, "documents")))
     blocks = F.split(F.regexp_replace("markdown", r"\n$", ""), "\n\n")
-    return out.select("doc", F.size(blocks).cast("long").alias("blocks"), F.size(F.filter(blocks, lambda b: b.rlike(r"^#{1,3} "))).cast("long").alias("headings"))
+    return out.select("doc", F.size(blocks).cast("long").alias("blocks"), F.size(F.filter(blocks, lambda b: b.rlike(r"^#{1,3} "))).cast("long").alias("headings"), F.sha2("markdown", 256).alias("markdown_sha256"))
 
 
 @query(f"""with {_LAYOUT_SQL}, margin as (select doc, lower(text) as folded, count(*) as n from lines where top + 10 <= 14 or top >= 126 group by doc, lower(text)),
 pages as (select doc, count(distinct page) as pages from lines group by doc)
-select l.doc, count(*) as kept from lines l where not ((top + 10 <= 14 or top >= 126) and (regexp_matches(l.text, '(?i)^(page\\s+)?\\d+(\\s+of\\s+\\d+)?$')
+select l.doc, count(*) as kept, sha256(string_agg(l.text, chr(10) order by l.page, l.top, l.text)) as kept_sha256 from lines l where not ((top + 10 <= 14 or top >= 126) and (regexp_matches(l.text, '(?i)^(page\\s+)?\\d+(\\s+of\\s+\\d+)?$')
   or lower(l.text) in (select folded from margin m join pages p using (doc) where m.doc = l.doc and m.n >= greatest(2, 0.6 * p.pages)))) group by l.doc""")
 def page_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.drop_chrome(_layout_lines(table(spark, sf_dir, "documents"))).groupBy("doc").agg(F.count("*").alias("kept"))
+    return layout.drop_chrome(_layout_lines(table(spark, sf_dir, "documents"))).groupBy("doc").agg(F.count("*").alias("kept"), _texts().alias("kept_sha256"))
 
 
 @query(f"""with {_LAYOUT_SQL}, boxes as (select distinct doc, page, 24.0 as top, 58.0 as bottom from lines where page % 2 = 0)
-select doc, count(*) as outside from lines l where not exists (select 1 from boxes b where b.doc = l.doc and b.page = l.page and l.top + 5 between b.top - 1 and b.bottom + 1) group by doc""")
+select doc, count(*) as outside, sha256(string_agg(text, chr(10) order by page, top, text)) as outside_sha256 from lines l where not exists (select 1 from boxes b where b.doc = l.doc and b.page = l.page and l.top + 5 between b.top - 1 and b.bottom + 1) group by doc""")
 def outside_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _layout_lines(table(spark, sf_dir, "documents"))
     boxes = lines.filter("page % 2 = 0").select("doc", "page", F.lit(24.0).alias("top"), F.lit(58.0).alias("bottom")).distinct()
-    return layout.outside_tables(lines, boxes).groupBy("doc").agg(F.count("*").alias("outside"))
+    return layout.outside_tables(lines, boxes).groupBy("doc").agg(F.count("*").alias("outside"), _texts().alias("outside_sha256"))
 
 
 @query(r"""with r as (select doc_id, list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: list_transform(string_split(x, ' | '), lambda c: trim(c, ' ' || chr(9) || chr(13)))) as rows from documents where contains(text, ' | ')),
 c as (select doc_id, list_filter(rows, lambda r: len(list_filter(r, lambda c: c <> '')) > 0) as rows from r), w as (select *, list_max(list_transform(rows, lambda r: len(r))) as width from c)
-select doc_id, cast(width as integer) as columns, cast(len(rows) as integer) as lines, sha256('| ' || array_to_string(list_resize(rows[1], width, ''), ' | ') || ' |') as header_sha256 from w""")
+, t as (select *, list_transform(rows, lambda r: '| ' || array_to_string(list_resize(r, width, ''), ' | ') || ' |') as shown from w)
+select doc_id, cast(width as integer) as columns, cast(len(rows) as integer) as lines, sha256(array_to_string(list_concat([shown[1], '|' || repeat(' --- |', width)], shown[2:]), chr(10))) as table_sha256 from t""")
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with bars as tables: their Markdown's width, lines and header."""
+    """Documents with bars as tables: their Markdown's width, lines and whole text."""
     rows = table(spark, sf_dir, "documents").filter(F.col("text").contains(" | ")).select("doc_id", F.transform(T.lines(F.col("text")), lambda x: F.split(x, r" \| ")).alias("rows"))
-    shown = rows.select("doc_id", F.split(layout.table_markdown(F.col("rows")), "\n").alias("m"))
-    return shown.select("doc_id", (F.size(F.split(F.col("m")[1], r"---")) - 1).alias("columns"), (F.size("m") - 1).alias("lines"), F.sha2(F.col("m")[0], 256).alias("header_sha256"))
+    shown = rows.select("doc_id", layout.table_markdown(F.col("rows")).alias("text")).withColumn("m", F.split("text", "\n"))
+    return shown.select("doc_id", (F.size(F.split(F.col("m")[1], r"---")) - 1).alias("columns"), (F.size("m") - 1).alias("lines"), F.sha2("text", 256).alias("table_sha256"))
 
 
 @query(r"""select doc_id, length(text) as chars, cast(len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) as integer) as words from documents""")
@@ -248,7 +273,7 @@ _ESCALATION_SQL = f"""(select id, text, category, severity, case when regexp_mat
 @query(f"""select id, rule is not null as escalate, rule, case when rule = 'danger_scan' then 'critical' when rule in ('mandatory_category', 'retaliation_floor') and severity in ('low', 'medium') then 'high' else severity end as severity from {_ESCALATION_SQL}""")
 def escalation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rules.escalation(F.col("text"), F.col("category"), F.col("severity"))
-    return probes(spark).select("id", d.alias("d")).select("id", "d.escalate", "d.rule", "d.severity")
+    return probes(spark, sf_dir).select("id", d.alias("d")).select("id", "d.escalate", "d.rule", "d.severity")
 
 
 @query(f"""select id, 'category=' || category || '; severity=' || case when rule = 'danger_scan' then 'critical' when rule in ('mandatory_category', 'retaliation_floor') and severity in ('low', 'medium') then 'high' else severity end
@@ -256,14 +281,14 @@ def escalation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def escalation_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rules.escalation(F.col("text"), F.col("category"), F.col("severity"))
     event = rules.escalation_event(F.col("id").cast("string"), F.col("category"), F.col("d"), F.lit("2024-03-01 09:30:00").cast("timestamp"))
-    rows = probes(spark).withColumn("d", d).select("id", event.alias("e")).filter("e is not null")
+    rows = probes(spark, sf_dir).withColumn("d", d).select("id", event.alias("e")).filter("e is not null")
     return rows.select("id", "e.summary", F.col("e.deadline").cast("timestamp_ntz").alias("deadline"))
 
 
 @query(f"""select id, case when regexp_matches(text, '{_RE["danger"]}') then 'danger_scan' when regexp_matches(text, '{_RE["retaliation"]}') then 'retaliation_floor' else 'employee_requested' end as rule,
   case when regexp_matches(text, '{_RE["danger"]}') then 'critical' else 'high' end as severity from {PROBES_SQL}""")
 def direct_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probes(spark).select("id", rules.direct_request(F.col("text")).alias("d")).select("id", "d.rule", "d.severity")
+    return probes(spark, sf_dir).select("id", rules.direct_request(F.col("text")).alias("d")).select("id", "d.rule", "d.severity")
 
 
 @query(f"""select id, coalesce(case when regexp_matches(text, '{_RE["injection"]}') then 'injection' end, case when regexp_matches(text, '{_RE["abuse"]}') then 'abuse' end, case when id % 4 = 0 then 'judge' end) as reason,
@@ -272,37 +297,37 @@ def direct_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def input_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     judge = F.when(F.col("id") % 4 == 0, "judge")
-    return probes(spark).select("id", P.first_block(t, judge).alias("reason"), P.consent_choice(t).alias("choice"), P.is_cancel(t).alias("cancels"), P.ticket_id(t).alias("ticket"), P.intake_pending(t).alias("intake"))
+    return probes(spark, sf_dir).select("id", P.first_block(t, judge).alias("reason"), P.consent_choice(t).alias("choice"), P.is_cancel(t).alias("cancels"), P.ticket_id(t).alias("ticket"), P.intake_pending(t).alias("intake"))
 
 
 @query(f"""select id, case when id % 3 = 0 then id % 6 = 0 else regexp_matches(text, '{_RE["abuse"]}') or id % 6 = 0 end as blocked from {PROBES_SQL}""")
 def abuse_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     intent = F.when(F.col("id") % 3 == 0, "complaint").otherwise("faq")
-    return probes(spark).select("id", P.is_abusive_in_context(F.col("text"), intent, F.col("id") % 6 == 0).alias("blocked"))
+    return probes(spark, sf_dir).select("id", P.is_abusive_in_context(F.col("text"), intent, F.col("id") % 6 == 0).alias("blocked"))
 
 
 @query(f"""select id, concat_ws(',', case when category not in ('harassment', 'discrimination', 'safety', 'legal', 'payroll', 'benefits', 'workplace_conflict', 'policy_violation', 'other') then 'category' end,
-  case when length(text) < 10 then 'description' end) as errors from {PROBES_SQL}""")
+  case when id % 5 = 0 or severity not in ('low', 'medium', 'high', 'critical') then 'severity' end, case when length(text) < 10 then 'description' end) as errors from {PROBES_SQL}""")
 def ticket_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probes(spark).select("id", F.array_join(rules.ticket_errors(F.col("category"), F.col("severity"), F.col("text")), ",").alias("errors"))
+    return probes(spark, sf_dir).select("id", F.array_join(rules.ticket_errors(F.col("category"), F.when(F.col("id") % 5 != 0, F.col("severity")).when(F.col("id") % 10 == 0, "urgent"), F.col("text")), ",").alias("errors"))
 
 
-@query("""with v as (select doc_id, toxic = 1 as toxicity, quality = 0 as off_topic, doc_id % 13 = 0 as jailbreak, (doc_id % 10) / 10.0 as confidence from labels)
-select doc_id, case when confidence < 0.6 then null when jailbreak then 'jailbreak' when toxicity then 'toxicity' when off_topic then 'off_topic' end as violation from v""")
+@query("""with v as (select doc_id, toxic = 1 as toxicity, quality = 0 as off_topic, doc_id % 13 = 0 as jailbreak, doc_id % 11 = 0 as injection, (doc_id % 10) / 10.0 as confidence from labels)
+select doc_id, case when confidence < 0.6 then null when jailbreak then 'jailbreak' when injection then 'injection' when toxicity then 'toxicity' when off_topic then 'off_topic' end as violation from v""")
 def verdict_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as a judge's verdict."""
-    v = F.struct((F.col("toxic") == 1).alias("toxicity"), (F.col("quality") == 0).alias("off_topic"), (F.col("doc_id") % 13 == 0).alias("jailbreak"), F.lit(False).alias("injection"), (F.col("doc_id") % 10 / 10.0).alias("confidence"))
+    v = F.struct((F.col("toxic") == 1).alias("toxicity"), (F.col("quality") == 0).alias("off_topic"), (F.col("doc_id") % 13 == 0).alias("jailbreak"), (F.col("doc_id") % 11 == 0).alias("injection"), (F.col("doc_id") % 10 / 10.0).alias("confidence"))
     return table(spark, sf_dir, "labels").select("doc_id", rules.verdict_block(v).alias("violation"))
 
 
-@query("""with e as (select event_id, case when event_id % 17 = 0 then null else event_type end as intent, (event_id % 10) / 10.0 as confidence, case when event_id % 4 = 0 then 'Which one?' end as question from events),
+@query("""with e as (select event_id, case when event_id % 17 = 0 then null when event_type = 'purchase' then 'complaint' when event_type = 'error' then 'out_of_scope' else event_type end as intent, (event_id % 10) / 10.0 as confidence, case when event_id % 4 = 0 then 'Which one?' end as question from events),
 w as (select *, intent is null or (confidence < 0.6 and question is null) as weak from e), r as (select event_id, case when weak then 'ambiguous' else intent end as intent, case when intent is null then 0.0 else confidence end as confidence from w)
 select event_id, intent, intent = 'ambiguous' or confidence < 0.6 as asks,
   case when event_id % 19 = 0 then 'blocked' when event_id % 23 = 0 then 'flow' when intent = 'ambiguous' or confidence < 0.6 then 'clarify' when intent = 'out_of_scope' then 'decline' when intent = 'complaint' and event_id % 2 = 0 then 'consent_gate' else 'tool_loop' end as route from r""")
 def turn_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types as intents, with classifications and open flows that the event's number gives."""
     n = F.col("event_id")
-    intent = F.when(n % 17 != 0, F.col("event_type"))
+    intent = F.when(n % 17 != 0, F.when(F.col("event_type") == "purchase", "complaint").when(F.col("event_type") == "error", "out_of_scope").otherwise(F.col("event_type")))
     policy = rules.route_policy(intent, n % 10 / 10.0, F.when(n % 4 == 0, "Which one?"))
     rows = table(spark, sf_dir, "events").select("event_id", policy.alias("p"))
     route = rules.turn_route(F.when(n % 19 == 0, "reason"), F.when(n % 23 == 0, "awaiting_form"), F.col("p.intent"), F.col("p.confidence"), n % 2 != 0)
@@ -331,7 +356,7 @@ def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def email_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ticket's fields as escaped table rows; its text as a comma list."""
     html = T.detail_rows(category=T.humanize(F.col("category")), raw_text=F.col("text"))
-    return probes(spark).select("id", html.alias("html"), F.array_join(T.name_list(F.col("text")), "|").alias("names"))
+    return probes(spark, sf_dir).select("id", html.alias("html"), F.array_join(T.name_list(F.col("text")), "|").alias("names"))
 
 
 @query("""select event_id, case when event_id % 5 = 0 then 0 else cast(event_id % 4 as integer) end as citation_count, case event_id % 3 when 0 then 0 else cast(event_id % 3 as integer) end as action_count, event_id % 3 > 0 and event_id % 2 = 0 as escalated,
@@ -347,3 +372,54 @@ def reply_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", ids.alias("ids"), acts.alias("acts"))
     rows = rows.select("event_id", telemetry.chat_metrics(F.col("ids"), F.col("ids"), F.lit(None).cast("array<string>"), F.col("acts")).alias("m"), F.try_element_at(F.col("acts"), F.lit(1))["action"].alias("first_action"))
     return rows.select("event_id", "m.citation_count", "m.action_count", "m.escalated", "m.trigger_rule", "first_action")
+
+
+@query("""with r as (select doc_id, case when doc_id % 10 = 0 then text else '---' || chr(10) || 'title: t' || chr(10) || '---' || chr(10) || text end as markdown from documents), a as (select *, instr(substr(markdown, 4), chr(10) || '---') + 3 as place from r)
+select doc_id, sha256(case when place > 3 then substr(markdown, 1, place - 1) || chr(10) || 'source_file: f' || doc_id || '.md' || substr(markdown, place) else markdown end) as tagged_sha256 from a""")
+def source_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file's name as a last key of the header of documents that have one."""
+    n = F.col("doc_id")
+    markdown = F.when(n % 10 == 0, F.col("text")).otherwise(F.concat(F.lit("---\ntitle: t\n---\n"), "text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.tag_source(markdown, F.concat(F.lit("f"), n, F.lit(".md"))), 256).alias("tagged_sha256"))
+
+
+@query(r"""with c as (select doc_id as doc, i as line, p as pos, substr(x, p, 1) as char, case when (p + i) % 7 = 0 then 0.0 else 9.0 + (i % 4) end as size, case when p % 3 < i % 4 then 'Times-Bold' else 'Times' end as font
+  from (select doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) as x, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) - 1 as i from documents where doc_id % 10 = 0), unnest(generate_series(1, length(x))) as u(p)),
+g as (select doc, line, regexp_replace(string_agg(char, '' order by pos), '^\s+|\s+$', '', 'g') as text, coalesce(round_even(2 * avg(size) filter (size <> 0), 0) / 2, 0) as size, 2 * count(*) filter (contains(lower(font), 'bold')) >= count(*) as bold from c group by doc, line)
+select doc, cast(line as integer) as line, sha256(text) as text_sha256, size, bold from g where text <> ''""")
+def character_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document letter by letter, set in sizes and fonts that the letters' places give: the lines they make."""
+    rows = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("doc"), F.posexplode(T.lines(F.col("text"))).alias("line", "x"))
+    chars = rows.select("doc", "line", F.posexplode(F.filter(F.split("x", ""), lambda c: c != "")).alias("pos", "char")).withColumn("pos", F.col("pos") + 1)
+    size = F.when((F.col("pos") + F.col("line")) % 7 == 0, 0.0).otherwise(9.0 + F.col("line") % 4)
+    font = F.when(F.col("pos") % 3 < F.col("line") % 4, "Times-Bold").otherwise("Times")
+    given = chars.select("doc", F.lit(0).alias("page"), "line", "pos", "char", F.lit(0.0).alias("top"), F.lit(1.0).alias("bottom"), size.alias("size"), font.alias("font"), F.lit(9.0).alias("height"))
+    return layout.line_rows(given).select("doc", "line", F.sha2("text", 256).alias("text_sha256"), "size", "bold")
+
+
+@query("""select doc_id, true as escalate, 'parse_failure' as rule, 'high' as severity from documents""")
+def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is decided where nothing could be read."""
+    return table(spark, sf_dir, "documents").select("doc_id", rules.fail_safe().alias("d")).select("doc_id", "d.escalate", "d.rule", "d.severity")
+
+
+@query(f"""with {_MANIFEST_SQL}, cur as (select cast(doc_id as varchar) as name, sha256(text) as sha256, text, lang, doc_id from documents where length(text) > 0),
+plan as (select coalesce(c.name, m.name) as name, case when c.name is null then 'deleted' when m.name is null then 'new' when c.sha256 = m.sha256 then 'unchanged' else 'changed' end as status from cur c full outer join manifest m on c.name = m.name),
+todo as (select c.* from cur c join plan p using (name) where p.status in ('new', 'changed'))
+select p.name, p.status, case when p.status = 'unchanged' then 'old' when p.status <> 'deleted' and t.lang in ('en', 'de') then 'd' || t.name end as doc_id,
+  case when p.status not in ('unchanged', 'deleted') and t.lang not in ('en', 'de') then 'unknown category' end as error from plan p left join todo t using (name)""")
+def ingest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run over documents as Markdown files of one short section: the plan, the manifest after it, and what was refused."""
+    docs = table(spark, sf_dir, "documents").filter("length(text) > 0")
+    n = F.col("doc_id")
+    now = docs.select(n.cast("string").alias("name"), F.sha2("text", 256).alias("sha256"), "lang")
+    manifest = _manifest(docs).select("name", "sha256", F.lit("old").alias("doc_id"), F.lit("old.md").alias("processed_file"), F.lit(1).cast("long").alias("chunk_count"))
+    plan = ingest.plan_changes(now, manifest)
+    category = F.when(F.col("lang") == "en", "leave").when(F.col("lang") == "de", "payroll").otherwise(F.col("lang"))
+    markdown = F.concat(F.lit("---\ndoc_id: d"), "name", F.lit("\ntitle: T\ncategory: "), category, F.lit("\n---\nSome words.\n"))
+    todo = now.join(plan.filter("status in ('new', 'changed')"), "name", "left_semi").select("name", "sha256", markdown.alias("markdown"), F.lit(None).cast("string").alias("error"))
+    _, rows, errors = ingest.ingested(todo)
+    after = ingest.next_manifest(manifest, plan, rows).filter("chunk_count = 1").select("name", F.col("doc_id").alias("doc_id"))
+    # A refused file that was there before keeps its old row until it can be read.
+    refused = errors.select("name", "error")
+    return plan.join(after, "name", "left").join(refused, "name", "left").select("name", "status", F.when(F.col("error").isNull(), F.col("doc_id")).alias("doc_id"), "error")

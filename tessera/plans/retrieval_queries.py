@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import grounding, metrics, rules, vector
 from .common import PROBES_SQL, probes, table
-from .document_queries import _ESCALATION_SQL, _RE
+from .document_queries import _EMAIL, _ESCALATION_SQL, _ID, _PHONE, _RE
 
 QUERIES, ORACLE_SQL = {}, {}
 _COS = "list_cosine_similarity(cast({a} as double[]), cast({b} as double[]))"
@@ -59,10 +59,49 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.retrieval_metrics(ranks, 8).withColumn("mrr", F.round("mrr", 9))
 
 
-@query("""select vec_id, round(list_aggregate(list_transform(cast(embedding as double[]), lambda x: x / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[])))), 'sum'), 6) as total from embeddings""")
+@query("""select v.vec_id, i - 1 as position, round(v.e[i] / sqrt(list_dot_product(v.e, v.e)), 6) + 0.0 as component from (select vec_id, cast(embedding as double[]) as e from embeddings) v, unnest(generate_series(1, len(v.e))) as u(i)""")
 def normalized_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = F.aggregate(vector.normalize(F.col("embedding")), F.lit(0.0), lambda s, x: s + x)
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(total, 6).alias("total"))
+    """Every component of every vector at unit length."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vector.normalize(F.col("embedding"))).alias("position", "x"))
+    return rows.select("vec_id", F.col("position").cast("long").alias("position"), (F.round("x", 6) + 0.0).alias("component"))
+
+
+_ZERO = "select cast(-1 as bigint) as vec_id, list_transform(embedding, lambda x: cast(0 as double)) as e, 3 as label from embeddings where vec_id = 0 union all select vec_id, cast(embedding as double[]), label from embeddings"
+
+
+@query(f"""with v as ({_ZERO}), q as (select e from v where vec_id = 0), s as (select vec_id, label, case when list_dot_product(v.e, v.e) = 0 then 0.0 else list_cosine_similarity(v.e, q.e) end as s from v, q where label = 3)
+select vec_id, round(s, 6) + 0.0 as similarity, round(1 - s, 6) + 0.0 as distance, round(1 - (1 - s), 6) + 0.0 as again from s""")
+def similarity_with_zero_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of one label and a zero vector by similarity to vector 0, and back from the distance."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    zero = v.filter("vec_id = 0").select(F.lit(-1).cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.lit(0.0)).alias("embedding"), F.lit(3).cast(v.schema["label"].dataType).alias("label"))
+    asked = v.filter("vec_id = 0").select(F.lit(-2).cast("long").alias("query_id"), F.col("embedding").alias("query"))
+    found = vector.batch_top_k(v.unionByName(zero).filter("label = 3"), asked, 1 << 30)
+    distance = 1 - F.col("similarity")
+    return found.select("vec_id", (F.round("similarity", 6) + 0.0).alias("similarity"), (F.round(distance, 6) + 0.0).alias("distance"), (F.round(vector.similarity_of(distance), 6) + 0.0).alias("again"))
+
+
+_HITS = """hits as (select doc_id, 'd' || (doc_id % 7) as doc, 'd' || (doc_id % 5) as expected_doc, lang || ' > Part ' || (doc_id % 3) as path, text, case doc_id % 4 when 0 then null when 1 then '' when 2 then 'PART 1' else 'The' end as section from documents),
+judged as (select *, doc = expected_doc and (coalesce(section, '') = '' or contains(lower(path), lower(section)) or contains(lower(text), lower(section))) as hit from hits)"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as retrieved chunks, with a document and a section that their number says to expect."""
+    n = F.col("doc_id")
+    section = F.when(n % 4 == 1, "").when(n % 4 == 2, "PART 1").when(n % 4 == 3, "The")
+    path = F.concat(F.col("lang"), F.lit(" > Part "), n % 3)
+    hit = metrics.is_hit(F.concat(F.lit("d"), n % 7), path, F.col("text"), F.concat(F.lit("d"), n % 5), section)
+    return table(spark, sf_dir, "documents").select("doc_id", hit.alias("hit"))
+
+
+@query(f"with {_HITS} select doc_id, coalesce(hit, false) as hit from judged")
+def expected_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir)
+
+
+@query(f"with {_HITS} select doc_id from judged where not coalesce(hit, false)")
+def missed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.misses(_judged(spark, sf_dir).withColumnRenamed("hit", "correct")).select("doc_id")
 
 
 _CITED_SQL = """cited as (select vec_id, case when vec_id % 6 = 0 then [] when vec_id % 6 = 1 then [vec_id + 1, vec_id + 2] when vec_id % 6 = 2 then [vec_id, -1] else [-vec_id - 1] end as cites,
@@ -150,18 +189,18 @@ def escalation_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = rules.escalation(F.col("text"), F.col("category"), F.col("severity"))
     odd = F.col("id") % 2 == 1
     expected = F.when(odd, F.when(F.col("id") % 3 == 0, "mandatory_category").otherwise("danger_scan"))
-    rows = probes(spark).select("id", d.alias("d"), expected.alias("expected"), odd.alias("odd")).select("id", F.col("d.escalate").alias("flag"), "d.rule", "odd", "expected")
+    rows = probes(spark, sf_dir).select("id", d.alias("d"), expected.alias("expected"), odd.alias("odd")).select("id", F.col("d.escalate").alias("flag"), "d.rule", "odd", "expected")
     return rows.select("id", "flag", "rule", metrics.escalation_correct(F.col("odd"), F.col("expected"), F.col("flag"), F.col("rule")).alias("correct"))
 
 
-@query(f"""with p as (select id, case id % 4 when 0 then 'injection' when 1 then 'toxicity' when 2 then 'pii' else 'complaint_exempt' end as category, regexp_matches(text, '{_RE["injection"]}') or regexp_matches(text, '{_RE["abuse"]}') as blocked, id > 12 as expected_blocked,
-  regexp_matches(text, '@') as found, id = 15 as expected from {PROBES_SQL})
+@query(f"""with p as (select id, case id % 5 when 0 then 'injection' when 1 then 'toxicity' when 2 then 'pii' when 3 then 'complaint_exempt' else 'off_topic' end as category, regexp_matches(text, '{_RE["injection"]}') or regexp_matches(text, '{_RE["abuse"]}') as blocked, id > 12 as expected_blocked,
+  concat_ws(',', case when regexp_matches(text, '{_EMAIL}') then 'email' end, case when regexp_matches(text, '{_PHONE}') then 'phone' end, case when regexp_matches(text, '{_ID}') then 'employee_id' end) as found, case when id in (15, 12) then 'email,phone,employee_id' else '' end as expected from {PROBES_SQL})
 select coalesce(avg(case when category in ('injection', 'toxicity') then case when blocked = expected_blocked then 1.0 else 0.0 end end), 0) as block_rate, coalesce(avg(case when category = 'pii' then case when found = expected then 1.0 else 0.0 end end), 0) as pii_rate,
-  coalesce(avg(case when category = 'complaint_exempt' then case when blocked = expected_blocked then 1.0 else 0.0 end end), 0) as exempt_rate, 0.0::double as off_topic_rate from p""")
+  coalesce(avg(case when category = 'complaint_exempt' then case when blocked = expected_blocked then 1.0 else 0.0 end end), 0) as exempt_rate, coalesce(avg(case when category = 'off_topic' then case when blocked then 1.0 else 0.0 end end), 0) as off_topic_rate from p""")
 def guardrail_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions import patterns as P
 
     t, n = F.col("text"), F.col("id")
-    category = F.when(n % 4 == 0, "injection").when(n % 4 == 1, "toxicity").when(n % 4 == 2, "pii").otherwise("complaint_exempt")
-    expected = F.when(n == 15, F.array(F.lit("phone"), F.lit("employee_id"), F.lit("email"))).otherwise(F.array().cast("array<string>"))
-    return metrics.guardrail_metrics(probes(spark).select(category.alias("category"), (P.is_injection(t) | P.is_abusive(t)).alias("blocked"), (n > 12).alias("expected_blocked"), P.personal_labels(t).alias("labels"), expected.alias("expected_labels")))
+    category = F.when(n % 5 == 0, "injection").when(n % 5 == 1, "toxicity").when(n % 5 == 2, "pii").when(n % 5 == 3, "complaint_exempt").otherwise("off_topic")
+    expected = F.when(n.isin(15, 12), F.array(F.lit("phone"), F.lit("employee_id"), F.lit("email"))).otherwise(F.array().cast("array<string>"))
+    return metrics.guardrail_metrics(probes(spark, sf_dir).select(category.alias("category"), (P.is_injection(t) | P.is_abusive(t)).alias("blocked"), (n > 12).alias("expected_blocked"), P.personal_labels(t).alias("labels"), expected.alias("expected_labels")))

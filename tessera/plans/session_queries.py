@@ -237,3 +237,23 @@ def unsummarized_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     left = delete_documents(turns(spark, sf_dir), _summaries(spark, sf_dir), "session_id")
     return left.groupBy("session_id").agg(F.count("*").alias("turns"))
+
+
+@query("""select event_id, case when event_id % 5 = 0 or event_id % 3 = 0 then 0 else event_id end as prompt_tokens, case when event_id % 5 = 0 then 0 else event_id % 7 end as completion_tokens, case when event_id % 5 = 0 then 0 else event_id + event_id % 7 end as total_tokens from events""")
+def reported_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts as a model reports them: a fifth has none at all, a third lacks one."""
+    n = F.col("event_id")
+    given = F.struct(F.when(n % 3 != 0, n).alias("prompt_tokens"), (n % 7).alias("completion_tokens"), (n + n % 7).alias("total_tokens"))
+    return table(spark, sf_dir, "events").withColumn("usage", F.when(n % 5 != 0, given)).select("event_id", *U.counts_of(F.col("usage")))
+
+
+@query("""select user_id, count(*) as events, max(ts) filter (event_type = 'purchase') as deadline from events group by user_id having count(*) filter (event_type = 'purchase') > 0""")
+def repeated_escalations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ticket for each user, and an event for every purchase: each ticket is updated once, by the latest."""
+    e = table(spark, sf_dir, "events")
+    key = F.col("user_id").cast("string")
+    empty = e.limit(0).select(key.alias("ticket_id"), "user_id", F.lit(0).cast("long").alias("events"), F.lit("").alias("parties_involved"), F.lit("").alias("status"), F.lit(False).alias("escalated"), F.lit("").alias("trigger_rule"), F.col("ts").alias("sla_deadline"), F.lit("").alias("redacted_summary"))
+    new = e.groupBy("user_id").agg(F.count("*").alias("events")).select(key.alias("ticket_id"), "user_id", "events", F.array(F.lit("x")).alias("parties_involved"))
+    events = e.filter("event_type = 'purchase'").select(key.alias("ticket_id"), F.lit("danger_scan").alias("rule"), F.col("ts").alias("deadline"), F.lit("").alias("summary"))
+    done = U.escalate_tickets(U.file_tickets(empty, new), events)
+    return done.filter("escalated").select("user_id", "events", F.col("sla_deadline").cast("timestamp_ntz").alias("deadline"))
