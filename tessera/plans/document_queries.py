@@ -23,6 +23,20 @@ def query(sql: str | None = None):
     return add
 
 
+def _packed_sql(source: str, key: str, target: int, overlap: int) -> str:
+    """Common table expressions over ``source`` (key, blocks): runs of blocks from a to b, by sums of estimates up to each block. A run ends before the block
+    that would not fit, but holds one block more than the run before; the next begins where what is handed on fits the overlap."""
+    last = f"list_max(list_filter(generate_series({{0}}, len(blocks)), lambda k: upto[k + 1] - upto[{{0}}] <= {target}))"
+    first = f"list_min(list_filter(generate_series(a, b + 1), lambda c: upto[b + 1] - upto[c] <= {overlap}))"
+    return f"""sums as (
+  select {key}, blocks, list_transform(generate_series(0, len(blocks)), lambda k: cast(coalesce(list_sum(list_transform(blocks[1:k], lambda x: greatest(1, round_even(length(x) / 4.0, 0)))), 0) as bigint)) as upto from {source} where len(blocks) > 0
+), runs as (
+  select {key}, blocks, upto, cast(0 as bigint) as n, cast(1 as bigint) as a, cast(greatest(1, coalesce({last.format(1)}, 0)) as bigint) as b from sums
+  union all
+  select {key}, blocks, upto, n + 1, c, cast(greatest(b + 1, coalesce({last.format("c")}, 0)) as bigint) from (select *, cast({first} as bigint) as c from runs where b < len(blocks))
+), packed as (select {key}, n, array_to_string(blocks[a:b], chr(10) || chr(10)) as piece from runs)"""
+
+
 @query("select lang, count(*) as documents, cast(sum(greatest(1, cast(round_even(length(text) / 4.0, 0) as bigint))) as bigint) as tokens from documents group by lang")
 def token_estimate_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.sum(T.token_estimate(F.col("text"))).alias("tokens"))
@@ -62,20 +76,6 @@ def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum(F.length("part")).alias("chars"), F.max(F.length("part")).cast("long").alias("longest"))
 
 
-def _packed_sql(source: str, key: str, target: int, overlap: int) -> str:
-    """Common table expressions over ``source`` (key, blocks): runs of blocks from a to b, by sums of estimates up to each block. A run ends before the block
-    that would not fit, but holds one block more than the run before; the next begins where what is handed on fits the overlap."""
-    last = f"list_max(list_filter(generate_series({{0}}, len(blocks)), lambda k: upto[k + 1] - upto[{{0}}] <= {target}))"
-    first = f"list_min(list_filter(generate_series(a, b + 1), lambda c: upto[b + 1] - upto[c] <= {overlap}))"
-    return f"""sums as (
-  select {key}, blocks, list_transform(generate_series(0, len(blocks)), lambda k: cast(coalesce(list_sum(list_transform(blocks[1:k], lambda x: greatest(1, round_even(length(x) / 4.0, 0)))), 0) as bigint)) as upto from {source} where len(blocks) > 0
-), runs as (
-  select {key}, blocks, upto, cast(0 as bigint) as n, cast(1 as bigint) as a, cast(greatest(1, coalesce({last.format(1)}, 0)) as bigint) as b from sums
-  union all
-  select {key}, blocks, upto, n + 1, c, cast(greatest(b + 1, coalesce({last.format("c")}, 0)) as bigint) from (select *, cast({first} as bigint) as c from runs where b < len(blocks))
-), packed as (select {key}, n, array_to_string(blocks[a:b], chr(10) || chr(10)) as piece from runs)"""
-
-
 @query(rf"""with recursive given as (select doc_id, list_filter(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: x <> '') as blocks from documents), {_packed_sql("given", "doc_id", 60, 20)}
 select doc_id, cast(n as integer) as n, sha256(piece) as window_sha256 from packed""")
 def block_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ def block_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(packed).alias("n", "window")).select("doc_id", "n", F.sha2("window", 256).alias("window_sha256"))
 
 
-@query(r"""with l as (
+_SECTIONS_SQL = r"""l as (
   select doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) as line, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) as pos from documents
 ), h as (
   select *, case when length(line) % 4 = 0 and length(line) > 0 and trim(line, ' ' || chr(9)) <> '' then 1 + (length(line) // 4) % 3 end as level, trim(line, ' ' || chr(9)) as name from l
@@ -96,14 +96,51 @@ def block_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 ), f as (
   select g.doc_id, g.k, g.text, a.name as n1, case when g.p2 > coalesce(g.p1, 0) then b.name end as n2, case when g.p3 > greatest(coalesce(g.p1, 0), coalesce(g.p2, 0)) then c.name end as n3
   from g left join h a on g.doc_id = a.doc_id and g.p1 = a.pos left join h b on g.doc_id = b.doc_id and g.p2 = b.pos left join h c on g.doc_id = c.doc_id and g.p3 = c.pos
-)
+)"""
+
+
+@query(rf"""with {_SECTIONS_SQL}
 select doc_id, row_number() over (partition by doc_id order by k) - 1 as n, concat_ws(' > ', n1, n2, n3) as path, sha256(text) as text_sha256 from f where coalesce(text, '') <> ''""")
 def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = promoted(spark, sf_dir).select("doc_id", F.posexplode(chunking.sections(F.col("body"), F.col("title"))).alias("n", "s"))
     return found.select("doc_id", F.col("n").cast("long").alias("n"), F.array_join("s.path", " > ").alias("path"), F.sha2("s.text", 256).alias("text_sha256"))
 
 
-@query()
+_BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+@query(rf"""with recursive {_SECTIONS_SQL}, sec as (
+  select doc_id, row_number() over (partition by doc_id order by k) - 1 as i, list_filter([n1, n2, n3], lambda x: x is not null) as path, text from f where coalesce(text, '') <> ''
+), staying as (
+  select *, i = 0 or greatest(1, round_even(length(text) / 4.0, 0)) >= 80 as stays from sec
+), goes as (
+  select a.doc_id, a.i, coalesce(max(case when a.path[1:len(b.path)] = b.path then b.i end), max(b.i)) as into_i from staying a join staying b on a.doc_id = b.doc_id and b.stays and b.i < a.i where not a.stays group by a.doc_id, a.i
+), merged as (
+  select k.doc_id, k.i, k.path, k.text || coalesce((select string_agg(chr(10) || chr(10) || case when len(x.path) > 0 then '**' || x.path[-1] || ':** ' else '' end || x.text, '' order by x.i) from goes g join staying x on x.doc_id = g.doc_id and x.i = g.i where g.doc_id = k.doc_id and g.into_i = k.i), '') as text
+  from staying k where k.stays
+), raw as (
+  select doc_id, i, unnest(bs) as block, generate_subscripts(bs, 1) as p from (select doc_id, i, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(x, {_BLANK})), lambda x: x <> '') as bs from merged)
+), lengths as (
+  select *, string_split(block, chr(10)) as ls, greatest(1, round_even(length(block) / 4.0, 0)) > 400 as large from raw
+), kinds as (
+  select doc_id, i, p, block, large and not (len(ls) >= 2 and len(list_filter(ls, lambda x: not starts_with(ltrim(x, ' ' || chr(9)), '|'))) = 0) as is_cut from lengths
+), walk as (
+  select doc_id, i, p, string_split(regexp_replace(block, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as parts, 1 as q, '' as buf, cast(null as varchar) as done from kinds where is_cut
+  union all
+  select doc_id, i, p, parts, q + 1,
+    case when q > len(parts) then '' when buf = '' then trim(parts[q], {_BLANK}) when greatest(1, round_even((length(buf) + 1 + length(parts[q])) / 4.0, 0)) > 400 then parts[q] else trim(buf || ' ' || parts[q], {_BLANK}) end,
+    case when q > len(parts) then nullif(buf, '') when buf <> '' and greatest(1, round_even((length(buf) + 1 + length(parts[q])) / 4.0, 0)) > 400 then buf end
+  from walk where q <= len(parts) + 1
+), cut as (
+  select doc_id, i, p, 0 as q, block from kinds where not is_cut union all select doc_id, i, p, q, done from walk where done is not null
+), given as (
+  select doc_id, i, list(block order by p, q) as blocks from cut group by doc_id, i
+), {_packed_sql("given", "doc_id, i", 400, 50)}, named as (
+  select doc_id, row_number() over (partition by doc_id order by i, n) - 1 as number, case when len(path) = 0 then 'General' else array_to_string(path, ' > ') end as section_path, piece from packed join merged using (doc_id, i)
+), texts as (
+  select *, 'Document ' || doc_id || ' > ' || section_path || chr(10) || chr(10) || piece as text from named
+)
+select doc_id || '#' || case when number < 1000 then lpad(cast(number as varchar), 3, '0') else cast(number as varchar) end as chunk_id, doc_id, section_path, cast(greatest(1, round_even(length(text) / 4.0, 0)) as integer) as token_count, sha256(text) as text_sha256 from texts""")
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chunker: sections, small ones merged, packed to 400 tokens with 50 carried over, under their header line."""
     return chunking.chunk(promoted(spark, sf_dir)).select("chunk_id", "doc_id", "section_path", "token_count", F.sha2("text", 256).alias("text_sha256"))
