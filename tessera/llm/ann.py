@@ -18,26 +18,33 @@ Edge cases
 * null or zero vectors, and those with a null or non-finite component, take no part; nor do vectors of another length than the
   most frequent one (the smaller length among equally frequent);
 * null ids take no part; rows that repeat an id are candidates of their own, but never for a query of the same id;
-* ties in the score go to the smaller id; fewer than k candidates: all of them; no query: empty result; extra columns are ignored.
+* ties in the score go to the smaller id; fewer than k candidates: all of them; no query: empty result; extra columns are ignored;
+* components so large that squares overflow: the estimate says nothing then, and such a vector is scored exactly.
+
+A vector is coded once. Blocks are sorted, and the rounding of a query is drawn from its id, so a repeated task gives the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
+
 #: Width of the error bound in standard deviations of the estimate.
 EPSILON = 2.5
 QUERY_BITS = 6
 #: Times k candidates are scored exactly to begin with.
 FIRST = 4
-#: Queries and vectors of one block.
+#: Queries and vectors of one block, and bytes of its vectors in double precision, at most.
 QUERY_BLOCK = 1024
 VECTOR_BLOCK = 16_384
+BLOCK_BYTES = 64 << 20
 SEED = 17
 
 
@@ -55,16 +62,24 @@ def _pack(bits: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
 
+@dataclass
 class Codes:
     """One-bit codes of the rows of a matrix and their correction scalars."""
 
-    def __init__(self, vectors: np.ndarray, p: np.ndarray):
-        self.norm = np.linalg.norm(vectors, axis=1)
-        turned = (vectors / self.norm[:, None]) @ p.T
-        bits = turned > 0
-        self.code = _pack(bits)
-        self.ones = bits.sum(axis=1)
-        self.c = np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1])
+    code: np.ndarray  # packed bits, a row for each vector
+    norm: np.ndarray
+    c: np.ndarray
+
+    def __post_init__(self):
+        self.ones = np.bitwise_count(self.code).sum(axis=1, dtype=np.int64)
+
+    @classmethod
+    def of(cls, vectors: np.ndarray, p: np.ndarray) -> Codes:
+        most = np.abs(vectors).max(axis=1, keepdims=True)  # squares of scaled components stay in range
+        scaled = np.linalg.norm(vectors / most, axis=1)
+        turned = (vectors / most / scaled[:, None]) @ p.T
+        with np.errstate(over="ignore"):
+            return cls(_pack(turned > 0), most[:, 0] * scaled, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1]))
 
     def bounds(self, query: np.ndarray, p: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Estimates of the inner products with ``query`` and how far off they may be."""
@@ -86,17 +101,17 @@ class Codes:
         return estimate, self.norm * EPSILON * (size * spread + rounding)
 
 
-def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors: np.ndarray, p: np.ndarray, k: int, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors: np.ndarray, codes: Codes, p: np.ndarray, k: int, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, vector ids, scores) of each query's nearest in this block, nearest first."""
-    codes, random = Codes(vectors, p), np.random.default_rng(seed)
     for i, q in zip(qid.tolist(), queries):
-        estimate, error = codes.bounds(q, p, random)
+        estimate, error = codes.bounds(q, p, np.random.default_rng([seed, i % (1 << 64)]))
         other = np.flatnonzero(vid != i)
         if len(other) > FIRST * k:
             # The best by estimate set a score to reach; whoever's upper bound falls short of it stays out.
+            estimate = np.nan_to_num(estimate, nan=np.inf, posinf=np.inf, neginf=-np.inf)
             first = other[np.argpartition(-estimate[other], FIRST * k)[: FIRST * k]]
             reach = np.partition((vectors[first] * q).sum(axis=1), FIRST * k - k)[FIRST * k - k]
-            other = other[estimate[other] + error[other] >= reach]
+            other = other[~(estimate[other] + error[other] < reach)]  # what cannot be told stays
         some = other
         score = (vectors[some] * q).sum(axis=1)  # row by row in one order, so that equal vectors tie
         best = np.lexsort((vid[some], -score))[:k]
@@ -106,9 +121,12 @@ def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """(query_id, rank, id_col, score): the k nearest of ``vectors`` for every row of ``queries``."""
     spark = vectors.sparkSession
+    scratch = Scratch(spark, "neighbours")
 
     def clean(df: DataFrame) -> DataFrame:
-        v = F.col(f"`{vector_col}`").cast("array<double>")
+        v = F.col(f"`{vector_col}`")
+        kind = df.select(v).schema[0].dataType.elementType.typeName()
+        v = v if kind in ("float", "double") else v.cast("array<double>")
         df = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null and size(v) > 0")
         fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
         return df.filter(fine & F.exists("v", lambda x: x != 0))
@@ -120,13 +138,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     d = lengths["d"]
 
     def blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-        """Rows gathered to blocks of about ``size``, dealt by a hash of their id, and how many blocks there are."""
-        df = df.filter(F.size("v") == d)
+        """Rows gathered to blocks of about ``size``, dealt by a hash of their number, so that one id may be on any number of rows."""
+        df, _ = scratch.write(df.filter(F.size("v") == d).withColumn("row", F.monotonically_increasing_id()), name)
         n = max(1, -(-df.count() // size))
-        df = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "v")).alias("s"))
+        df = df.groupBy(F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias(f"{name}_block")).agg(F.sort_array(F.collect_list(F.struct("id", "row", "v"))).alias("s"))
         return df.select(f"{name}_block", F.col("s.id").alias(f"{name}_ids"), F.flatten("s.v").alias(f"{name}_rows")), n
 
-    (asked, q_blocks), (rows, v_blocks) = blocks(asked, query_block, "q"), blocks(rows, vector_block, "v")
+    def matrix(part: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+        return part.column(name)[i].values.to_numpy(zero_copy_only=False).reshape(-1, d).astype(np.float64)
+
+    def code(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = rotation(d)
+        for part in source:
+            for i in range(part.num_rows):
+                found = Codes.of(matrix(part, "v_rows", i), p)
+                given = {name: part.column(name)[i : i + 1] for name in part.schema.names}
+                yield pa.RecordBatch.from_pydict({**given, "code": [found.code.tobytes()], "norm": [found.norm.tobytes()], "c": [found.c.tobytes()]})
+
+    (asked, q_blocks), (rows, v_blocks) = blocks(asked, query_block, "q"), blocks(rows, min(vector_block, max(1, BLOCK_BYTES // (8 * d))), "v")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    rows, _ = scratch.write(rows.mapInArrow(code, f"{kinds}, code binary, norm binary, c binary"), "coded")
     # Every block of queries meets every block of vectors in a task of their own: the query set against all rows, in blocks.
     asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))).alias("v_block"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block"))
@@ -135,12 +166,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         p = rotation(d)
         for part in source:
             for i in range(part.num_rows):
-                qid, q, vid, v = (part.column(x)[i].values.to_numpy(zero_copy_only=False) for x in ("q_ids", "q_rows", "v_ids", "v_rows"))
-                found = list(search_block(qid, q.reshape(-1, d), vid, v.reshape(-1, d), p, k))
+                qid, vid = (part.column(x)[i].values.to_numpy(zero_copy_only=False) for x in ("q_ids", "v_ids"))
+                code, norm, c = (np.frombuffer(part.column(x)[i].as_py(), kind) for x, kind in (("code", np.uint64), ("norm", np.float64), ("c", np.float64)))
+                codes = Codes(code.reshape(len(vid), -1), norm, c)
+                found = list(search_block(qid, matrix(part, "q_rows", i), vid, matrix(part, "v_rows", i), codes, p, k))
                 times = [len(x[1]) for x in found]
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat([x[0] for x in found], times).astype(np.int64), "vec": np.concatenate([x[1] for x in found]), "score": np.concatenate([x[2] for x in found])})
 
-    met = rows.join(asked, ["q_block", "v_block"]).select("q_ids", "q_rows", "v_ids", "v_rows").mapInArrow(search, "query_id long, vec long, score double")
+    met = rows.join(asked, ["q_block", "v_block"]).select("q_ids", "q_rows", "v_ids", "v_rows", "code", "norm", "c").mapInArrow(search, "query_id long, vec long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec")
     ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("vec").alias(id_col), "score")

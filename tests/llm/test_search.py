@@ -50,13 +50,32 @@ def test_bounds_hold():
     x = rng.standard_normal((4000, 64)) * rng.random((4000, 1))
     p = ann.rotation(64)
     assert np.allclose(p @ p.T, np.eye(64))
-    codes, outside = ann.Codes(x, p), []
+    codes, outside = ann.Codes.of(x, p), []
     for q in x[:20]:
         estimate, error = codes.bounds(q, p, rng)
         outside.append((np.abs(x @ q - estimate) > error).mean())
     assert np.mean(outside) < 0.03
 
 
+def test_runs_agree_whatever_the_blocks_and_huge_components_are_scored(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.standard_normal(16) * (1e200 if i % 50 == 7 else 1)).tolist()) for i in range(600)] + [(9, rng.standard_normal(16).tolist()) for _ in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = v.filter("vec_id % 20 = 0")
+    got = [nearest(v, asked, 5, query_block=q, vector_block=b) for q, b in ((1024, 16384), (7, 200), (7, 200))]
+    assert got[1] == got[2]
+    want = brute(rows, [r for r in rows if r[0] % 20 == 0], 5)
+    for found in got:
+        assert found.keys() == want.keys() and np.mean([len({j for j, _ in found[i]} & {j for j, _ in want[i]}) / 5 for i in want]) > 0.97
+
+
+def test_vectors_of_floats_and_numbers(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)]
+    for kind in ("float", "int"):
+        v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+        assert nearest(v, v.filter("vec_id % 20 = 0"), 3) == brute(rows, [r for r in rows if r[0] % 20 == 0], 3)
+
+
 def test_urls_against_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{sf_dir}/pages.parquet'")
