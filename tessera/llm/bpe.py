@@ -79,6 +79,8 @@ class PairTable:
             self.values[slot[done]] = value[done]
             left, value, slot = left[~done], value[~done], (slot[~done] + 1) & ((1 << self.bits) - 1)
         self.single = np.array([rank.get(bytes([b]), -1) for b in range(256)], np.int32)
+        if (self.single < 0).any():
+            raise ValueError(f"the vocabulary lacks the bytes {np.flatnonzero(self.single < 0).tolist()}: no text that holds one could be encoded")
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)

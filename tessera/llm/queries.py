@@ -109,7 +109,7 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filters import evaluate, host_of
 
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int")).alias("fetched"))
-    fixed = spark.createDataFrame(URL_ENTRIES, "list string, kind string, pattern string, action string, at string").withColumn("at", F.col("at").cast("date"))
+    fixed = spark.sql("select list, kind, pattern, action, cast(at as date) as at from values " + ", ".join(map(str, URL_ENTRIES)) + " as t(list, kind, pattern, action, at)")
     hosts = pages.select(host_of(F.col("url")).alias("host")).filter("host is not null and length(host) % 2 = 1").distinct()
     begin = F.date_add(F.lit("2024-01-01").cast("date"), (F.length("host") * 37 + F.ascii("host") * 11) % 300)
     states = F.array(F.struct(F.lit("add").alias("action"), begin.alias("at")), F.struct(F.lit("remove").alias("action"), F.date_add(begin, 60).alias("at")))

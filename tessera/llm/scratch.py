@@ -41,7 +41,7 @@ class Scratch:
         for k, v in _WHILE_WRITING.items():
             conf.set(k, v)
         try:
-            df.write.mode("overwrite").parquet(at)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(at)
         finally:
             for k, v in before.items():
                 conf.set(k, v)

@@ -16,7 +16,7 @@ Edge cases
 * null or malformed url (no ``scheme://host``): no host, no keys, never blocked; null fetch time: no entry is active;
 * scheme, user, port, a final dot of the host and upper case do not matter for hosts; paths match as written;
 * several entries of one pattern at one time: ``add`` wins; entries that repeat the state before change nothing;
-* null list, pattern, action or time: the entry is ignored; an action other than add or remove too;
+* null list, pattern, action or time: the entry is ignored; an action other than add or remove and a kind other than the three too;
 * repeated captures: each is returned; empty lists leave all unblocked; extra columns are ignored.
 """
 

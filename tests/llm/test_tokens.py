@@ -40,6 +40,11 @@ def test_encoding_is_the_librarys(codec, library):
     assert [codec.decode(g).decode() for g in got] == texts
 
 
+def test_a_vocabulary_without_a_byte_is_refused():
+    with pytest.raises(ValueError, match="lacks the bytes"):
+        B.PairTable([bytes([b]) for b in range(255)])
+
+
 def test_heap_and_matrix_agree(codec):
     pieces = [t.encode() for t in odd_texts() if t]
     for p in pieces:
