@@ -69,9 +69,14 @@ class Codes:
     code: np.ndarray  # packed bits, a row for each vector
     norm: np.ndarray
     c: np.ndarray
+    dimension: int
 
     def __post_init__(self):
+        self.words = np.ascontiguousarray(self.code.T)
         self.ones = np.bitwise_count(self.code).sum(axis=1, dtype=np.int64)
+        with np.errstate(all="ignore"):
+            self.scale = self.norm / (np.sqrt(self.dimension) * self.c)
+            self.spread = np.sqrt(np.maximum(1 - self.c**2, 0)) / (self.c * np.sqrt(max(self.dimension - 1, 1)))
 
     @classmethod
     def of(cls, vectors: np.ndarray, p: np.ndarray) -> Codes:
@@ -79,7 +84,7 @@ class Codes:
         scaled = np.linalg.norm(vectors / most, axis=1)
         turned = (vectors / most / scaled[:, None]) @ p.T
         with np.errstate(over="ignore"):
-            return cls(_pack(turned > 0), most[:, 0] * scaled, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1]))
+            return cls(_pack(turned > 0), most[:, 0] * scaled, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1]), vectors.shape[1])
 
     def bounds(self, query: np.ndarray, p: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Estimates of the inner products with ``query`` and how far off they may be."""
@@ -89,16 +94,24 @@ class Codes:
         step = max((turned.max() - low) / levels, 1e-300)
         level = np.clip(np.floor((turned - low) / step + random.random(d)), 0, levels).astype(np.int64)
         planes = _pack((level >> np.arange(QUERY_BITS)[:, None] & 1).astype(bool))
-        dot = np.zeros(len(self.code), np.int64)
+        dot = np.zeros(len(self.code), np.int32)
         for b in range(QUERY_BITS):
-            dot += np.bitwise_count(self.code & planes[b]).sum(axis=1, dtype=np.int64) << b
+            for word, bits in zip(self.words, planes[b]):
+                dot += np.bitwise_count(word & bits).astype(np.int32) << b
         # signs = 2 bits - 1: <signs, low + step level> = 2 (low ones + step dot) - (d low + step sum(level))
         signed = 2 * (low * self.ones + step * dot) - (d * low + step * level.sum())
-        size = np.linalg.norm(query)
-        estimate = self.norm * signed / (np.sqrt(d) * self.c)
-        spread = np.sqrt(np.maximum(1 - self.c**2, 0)) / (self.c * np.sqrt(max(d - 1, 1)))
         rounding = step / (2 * self.c)  # of the query's levels
-        return estimate, self.norm * EPSILON * (size * spread + rounding)
+        return self.scale * signed, self.norm * EPSILON * (np.linalg.norm(query) * self.spread + rounding)
+
+
+def _close_to_best(vectors: np.ndarray, norm: np.ndarray, query: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
+    """The numbers of those that may be among the k best by inner product: a matrix product rounds otherwise than the final score does."""
+    if len(number) <= k:
+        return number
+    with np.errstate(all="ignore"):
+        score = vectors @ query
+        slack = 1e-15 * len(query) * norm.max() * np.linalg.norm(query)
+        return number[~(score < np.partition(score, len(score) - k)[len(score) - k] - slack)]
 
 
 def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors: np.ndarray, codes: Codes, p: np.ndarray, k: int, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -112,7 +125,7 @@ def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors:
             first = other[np.argpartition(-estimate[other], FIRST * k)[: FIRST * k]]
             reach = np.partition((vectors[first] * q).sum(axis=1), FIRST * k - k)[FIRST * k - k]
             other = other[~(estimate[other] + error[other] < reach)]  # what cannot be told stays
-        some = other
+        some = _close_to_best(vectors[other], codes.norm[other], q, other, k)
         score = (vectors[some] * q).sum(axis=1)  # row by row in one order, so that equal vectors tie
         best = np.lexsort((vid[some], -score))[:k]
         yield i, vid[some][best], score[best]
@@ -168,7 +181,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             for i in range(part.num_rows):
                 qid, vid = (part.column(x)[i].values.to_numpy(zero_copy_only=False) for x in ("q_ids", "v_ids"))
                 code, norm, c = (np.frombuffer(part.column(x)[i].as_py(), kind) for x, kind in (("code", np.uint64), ("norm", np.float64), ("c", np.float64)))
-                codes = Codes(code.reshape(len(vid), -1), norm, c)
+                codes = Codes(code.reshape(len(vid), -1), norm, c, d)
                 found = list(search_block(qid, matrix(part, "q_rows", i), vid, matrix(part, "v_rows", i), codes, p, k))
                 times = [len(x[1]) for x in found]
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat([x[0] for x in found], times).astype(np.int64), "vec": np.concatenate([x[1] for x in found]), "score": np.concatenate([x[2] for x in found])})
