@@ -111,6 +111,11 @@ def is_page_number(text: Column) -> Column:
     return text.rlike("(?i)" + PAGE_NUMBER)
 
 
+def flagged_block(flagged: Column) -> Column:
+    """``injection`` where a classifier's flag is set; null where it is not or is missing."""
+    return F.when(flagged, "injection")
+
+
 def first_block(text: Column, judge_reason: Column) -> Column:
     """The reason of the first check that blocks (injection, abuse, the judge's), or null."""
     return F.coalesce(F.when(is_injection(text), "injection"), F.when(is_abusive(text), "abuse"), judge_reason)

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 SPACE_ENDS = r"^\s+|\s+$"
+#: The colour of a notice by severity, and of any other.
+SEVERITY_COLOURS = {"low": "#6b7280", "medium": "#d97706", "high": "#ea580c", "critical": "#dc2626"}
+OTHER_COLOUR = "#6b7280"
 
 
 def strip(text: Column) -> Column:
@@ -164,6 +167,35 @@ def detail_rows(**fields: Column) -> Column:
     return F.concat_ws("", *rows)
 
 
+def notice_text(ticket: Column, category: Column, severity: Column, trigger: Column, deadline: Column, filed: Column, description: Column, parties: Column, incident: Column, outcome: Column) -> Column:
+    """The plain body of an escalation notice; parts without a value (``parties``: an array of names) are left out, times are given as text.
+    A null in one of the required fields counts as empty."""
+    given = lambda v: v.isNotNull() & (v != "")
+    filled = lambda v: F.coalesce(v, F.lit(""))
+    field = lambda name, v: F.concat(F.rpad(F.lit(f"{name}:"), 16, " "), filled(v))
+    headed = lambda name, v: F.concat(F.lit(f"{name}\n{'-' * len(name)}\n"), filled(v))
+    people = F.array_join(parties, ", ")
+    facts = [("Ticket ID", ticket), ("Category", humanize(category)), ("Severity", humanize(severity)), ("Trigger", humanize(trigger)), ("SLA deadline", deadline)]
+    return F.concat_ws(
+        "\n\n",
+        F.lit("An HR complaint has been escalated for human review."),
+        F.concat_ws("\n", *(field(*f) for f in facts)),
+        headed("What happened", description),
+        F.when(given(people), headed("People involved", people)),
+        F.when(given(incident), field("Incident date", incident)),
+        F.when(given(outcome), headed("Desired outcome", outcome)),
+        field("Filed at", filed),
+    )
+
+
+def notice_html(ticket: Column, category: Column, severity: Column, trigger: Column, deadline: Column, filed: Column, description: Column, parties: Column, incident: Column, outcome: Column) -> Column:
+    """The same notice as an escaped HTML page; the heading has the colour of the severity."""
+    colour = F.coalesce(*(F.when(severity == k, v) for k, v in SEVERITY_COLOURS.items()), F.lit(OTHER_COLOUR))
+    title = F.concat(F.lit("<h1 style=\"color:"), colour, F.lit("\">HR Escalation: "), escape_html(F.coalesce(humanize(category), F.lit(""))), F.lit("</h1>"))
+    rows = detail_rows(ticket_id=ticket, severity=humanize(severity), trigger=humanize(trigger), sla_deadline=deadline, incident_date=incident, people_involved=F.array_join(parties, ", "), what_happened=description, desired_outcome=outcome, filed_at=filed)
+    return F.concat(F.lit("<html><body>"), title, F.lit("<table>"), rows, F.lit("</table></body></html>"))
+
+
 def name_list(text: Column) -> Column:
     """Comma-separated names, stripped, without empty ones."""
     return F.filter(F.transform(F.split(text, ","), strip), lambda x: x != "")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COUNTS = ["prompt_tokens", "completion_tokens", "total_tokens"]
+#: Where tickets are looked for, and under which keys, in this order.
+TABLES = ("tickets", "complaint_tickets")
+KEYS = ("ticket_id", "id")
 
 
 def counts_of(usage: Column) -> list[Column]:
@@ -63,10 +66,19 @@ def escalate_tickets(tickets: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def find_tickets(tables: list[DataFrame], ticket_id: Column) -> DataFrame:
-    """Looks a ticket up in tables of different layouts (key ``ticket_id`` or ``id``): the first table that has it wins."""
+    """Looks a ticket up in tables of different layouts: the first table that has it wins, and in one with both keys ``ticket_id`` before ``id``."""
     found = None
     for k, table in enumerate(tables):
-        table = table if "ticket_id" in table.columns else table.withColumnRenamed("id", "ticket_id")
-        rows = table.filter(F.col("ticket_id") == ticket_id).withColumn("_table", F.lit(k))
+        keys = [c for c in KEYS if c in table.columns]
+        place = F.coalesce(*(F.when(F.col(c) == ticket_id, j) for j, c in enumerate(keys)))
+        rows = table.withColumns({"_table": F.lit(k), "_key": place}).filter("_key is not null")
+        rows = rows if "ticket_id" in keys else rows.withColumnRenamed("id", "ticket_id")
         found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
-    return found.orderBy("_table").limit(1).drop("_table")
+    return found.orderBy("_table", "_key").limit(1).drop("_table", "_key")
+
+
+def catalog_ticket(spark: SparkSession, ticket_id: Column, names: tuple[str, ...] = TABLES) -> DataFrame | None:
+    """``find_tickets`` over those of the named tables that the catalog has and that hold a key column; None where there is none."""
+    tables = [spark.table(n) for n in names if spark.catalog.tableExists(n)]
+    tables = [t for t in tables if set(KEYS) & set(t.columns)]
+    return find_tickets(tables, ticket_id) if tables else None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOP_K = 8
@@ -11,6 +11,12 @@ FLOOR = 0.5
 QUERY_BLOCK = 2048
 
 
+def collection(spark: SparkSession, name: str, schema: str = "id string, text string, embedding array<float>, metadata map<string,string>") -> DataFrame:
+    """The named table of vectors; created empty, marked as one of cosine space, where the catalog has none."""
+    spark.sql(f"create table if not exists {name} ({schema}) using parquet tblproperties ('space' = 'cosine')")
+    return spark.table(name)
+
+
 def dot(a: Column, b: Column) -> Column:
     product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(product, F.lit(0.0), lambda s, x: s + x)

@@ -396,6 +396,30 @@ def email_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes(spark, sf_dir).select("id", html.alias("html"), F.array_join(T.name_list(F.col("text")), "|").alias("names"))
 
 
+_TITLED = "array_to_string(list_transform(string_split({}, '_'), lambda w: upper(w[1]) || w[2:]), ' ')"
+_ESCAPED = """replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')"""
+
+
+@query(f"""with p as (select id, text, category, severity, case when id % 2 = 0 then 'Ana, Bo' else '' end as people, case when id % 3 = 0 then '2024-05-01' end as incident, case when id % 5 = 0 then 'A talk' end as outcome from {PROBES_SQL}),
+n as (select *, '<tr><th>' as a, '</th><td>' as b, '</td></tr>' as c from p)
+select id, 'An HR complaint has been escalated for human review.' || chr(10) || chr(10) || 'Ticket ID:      t' || id || chr(10) || 'Category:       ' || {_TITLED.format("category")} || chr(10) || 'Severity:       ' || {_TITLED.format("severity")} || chr(10)
+  || 'Trigger:        Danger Scan' || chr(10) || 'SLA deadline:   2024-05-03' || chr(10) || chr(10) || 'What happened' || chr(10) || '-------------' || chr(10) || text || chr(10) || chr(10)
+  || case when people <> '' then 'People involved' || chr(10) || '---------------' || chr(10) || people || chr(10) || chr(10) else '' end || case when incident <> '' then 'Incident date:  ' || incident || chr(10) || chr(10) else '' end
+  || case when outcome <> '' then 'Desired outcome' || chr(10) || '---------------' || chr(10) || outcome || chr(10) || chr(10) else '' end || 'Filed at:       2024-05-02' as body,
+  '<html><body><h1 style="color:' || case severity when 'medium' then '#d97706' when 'high' then '#ea580c' when 'critical' then '#dc2626' else '#6b7280' end || '">HR Escalation: ' || {_TITLED.format("category")} || '</h1><table>'
+  || a || 'Ticket Id' || b || 't' || id || c || a || 'Severity' || b || {_TITLED.format("severity")} || c || a || 'Trigger' || b || 'Danger Scan' || c || a || 'Sla Deadline' || b || '2024-05-03' || c
+  || case when incident <> '' then a || 'Incident Date' || b || incident || c else '' end || case when people <> '' then a || 'People Involved' || b || people || c else '' end
+  || case when text <> '' then a || 'What Happened' || b || {_ESCAPED.format("text")} || c else '' end || case when outcome <> '' then a || 'Desired Outcome' || b || outcome || c else '' end || a || 'Filed At' || b || '2024-05-02' || c || '</table></body></html>' as page from n""")
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both bodies of an escalation notice, with and without the optional parts."""
+    n = F.col("id")
+    fields = {
+        "ticket": F.concat(F.lit("t"), n), "category": F.col("category"), "severity": F.col("severity"), "trigger": F.lit("danger_scan"), "deadline": F.lit("2024-05-03"), "filed": F.lit("2024-05-02"), "description": F.col("text"),
+        "parties": F.when(n % 2 == 0, F.array(F.lit("Ana"), F.lit("Bo"))), "incident": F.when(n % 3 == 0, "2024-05-01"), "outcome": F.when(n % 5 == 0, "A talk"),
+    }
+    return probes(spark, sf_dir).select("id", T.notice_text(**fields).alias("body"), T.notice_html(**fields).alias("page"))
+
+
 @query("""select event_id, case when event_id % 5 = 0 then 0 else cast(event_id % 4 as integer) end as citation_count, case event_id % 3 when 0 then 0 else cast(event_id % 3 as integer) end as action_count, event_id % 3 > 0 and event_id % 2 = 0 as escalated,
   case when event_id % 3 > 0 and event_id % 2 = 0 then 'danger_scan' end as trigger_rule, case when event_id % 3 > 0 then 'complaint_filed' end as first_action from events""")
 def reply_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

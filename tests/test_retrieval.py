@@ -67,3 +67,14 @@ def test_metrics_count_misses(spark):
 def test_correctness_of_nothing_is_zero(spark):
     empty = spark.createDataFrame([], "category string, correct boolean")
     assert [tuple(r) for r in M.correctness(empty).collect()] == [(None, 0, 0, 0.0, True)]
+
+
+def test_collection_is_created_once(spark, tmp_path):
+    spark.sql(f"create database probe_vectors location '{tmp_path}'")
+    try:
+        assert V.collection(spark, "probe_vectors.chunks").count() == 0
+        spark.sql("insert into probe_vectors.chunks values ('a', 't', array(1.0f), map('k', 'v'))")
+        assert [r["id"] for r in V.collection(spark, "probe_vectors.chunks").collect()] == ["a"]
+        assert spark.sql("show tblproperties probe_vectors.chunks ('space')").first()["value"] == "cosine"
+    finally:
+        spark.sql("drop database probe_vectors cascade")

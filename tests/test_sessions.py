@@ -56,6 +56,33 @@ def test_find_ticket_takes_the_first_table(spark):
     assert U.find_tickets([a, b], F.lit("2")).first()["state"] == "z"
 
 
+def test_find_ticket_by_either_key_of_a_table(spark):
+    both = spark.createDataFrame([("1", "9", "by id"), ("9", "1", "by ticket_id")], "id string, ticket_id string, status string")
+    assert U.find_tickets([both], F.lit("1")).first()["status"] == "by ticket_id"
+    assert U.find_tickets([both], F.lit("8")).count() == 0
+    assert U.find_tickets([both], F.lit(None).cast("string")).count() == 0
+
+
+def test_catalog_ticket_looks_in_the_tables_that_exist(spark):
+    names = ("probe_tickets", "probe_absent", "probe_keyless", "probe_complaints")
+    assert U.catalog_ticket(spark, F.lit("1"), names) is None
+    spark.createDataFrame([("1", "open")], "ticket_id string, status string").createOrReplaceTempView("probe_tickets")
+    spark.createDataFrame([("1",)], "name string").createOrReplaceTempView("probe_keyless")
+    spark.createDataFrame([("1", "b"), ("2", "c")], "id string, state string").createOrReplaceTempView("probe_complaints")
+    try:
+        assert U.catalog_ticket(spark, F.lit("1"), names).first()["status"] == "open"
+        assert U.catalog_ticket(spark, F.lit("2"), names).first()["state"] == "c"
+        assert U.catalog_ticket(spark, F.lit("3"), names).count() == 0
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(name)
+
+
+def test_a_flag_blocks_alone(spark):
+    rows = spark.createDataFrame([(1, True), (2, False), (3, None)], "id int, flag boolean")
+    assert [r[0] for r in rows.select(P.flagged_block(F.col("flag"))).collect()] == ["injection", None, None]
+
+
 def test_telemetry_drops_what_is_not_listed(spark):
     row = spark.createDataFrame([({"route": "faq", "text": "secret"}, {"latency_ms": "1.5", "total_tokens": "x", "action_count": "true", "age": "4"})], "t map<string,string>, m map<string,string>")
     got = row.select(L.allowed_tags(F.col("t")).alias("t"), L.allowed_metrics(F.col("m")).alias("m")).first()

@@ -98,3 +98,26 @@ def test_formatters(spark):
     assert one(spark, T.detail_rows(summary=F.col("t"), other=F.lit(None).cast("string")), t="<b>&") == "<tr><th>Summary</th><td>&lt;b&gt;&amp;</td></tr>"
     empty = F.lit(None).cast("array<struct<role:string,content:string>>")
     assert one(spark, T.history_block(empty), t="x") == "(none)"
+
+
+def notice(spark, of, **changes):
+    fields = {"ticket": "t1", "category": "policy_violation", "severity": "high", "trigger": "danger_scan", "deadline": "2024-01-02", "filed": "2024-01-01", "description": "a < b", "parties": ["Ana", "Bo"], "incident": "May", "outcome": "rest"} | changes
+    schema = ", ".join(f"{k} {'array<string>' if k == 'parties' else 'string'}" for k in fields)
+    return spark.createDataFrame([tuple(fields.values())], schema).select(of(**{k: F.col(k) for k in fields})).first()[0]
+
+
+def test_notice_leaves_out_what_has_no_value(spark):
+    whole = notice(spark, T.notice_text)
+    assert whole.split("\n\n")[1].splitlines() == ["Ticket ID:      t1", "Category:       Policy Violation", "Severity:       High", "Trigger:        Danger Scan", "SLA deadline:   2024-01-02"]
+    assert whole.endswith("\n\nWhat happened\n-------------\na < b\n\nPeople involved\n---------------\nAna, Bo\n\nIncident date:  May\n\nDesired outcome\n---------------\nrest\n\nFiled at:       2024-01-01")
+    for parties, rest in (([], ""), (None, None)):
+        short = notice(spark, T.notice_text, parties=parties, incident=rest, outcome=rest)
+        assert short.endswith("\na < b\n\nFiled at:       2024-01-01")
+    assert notice(spark, T.notice_text, description=None) is not None
+
+
+def test_notice_page_is_escaped(spark):
+    page = notice(spark, T.notice_html, category="<x>")
+    assert "a &lt; b" in page and "&lt;x&gt;" in page and "<x>" not in page and "#ea580c" in page
+    bare = notice(spark, T.notice_html, severity="unknown", parties=None, incident=None, outcome=None, category=None)
+    assert "#6b7280" in bare and "People Involved" not in bare
