@@ -83,6 +83,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents")).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond 64 bits, which takes some million rows, is null here; the operator has it as a decimal."""
+    from .whitening import whitened_components
+
+    return whitened_components(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 #: A dated block list: (list, kind, pattern, action, day).
 URL_ENTRIES = [
     ("ads", "domain", "ads-track.example.com", "add", "2024-02-01"),
@@ -223,6 +230,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_url_filters": op9_url_filters,
     "op10_toxicity": op10_toxicity,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op4_substring_dedup": op4_substring_dedup,
 }
 
