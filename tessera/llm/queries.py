@@ -90,6 +90,32 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitened_components(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+_SPACED_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def with_planted_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of the documents, by the crc32 of the id, the words from one place on repeat with a period that the id gives."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", (F.coalesce(h % 10, F.lit(-1)) == 0).alias("chosen"), F.floor(h / 10).cast("long").alias("g"))
+    words = F.when(F.col("chosen"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_SPACED_WORD), F.lit(0)))
+    sized = chosen.withColumn("words", words).withColumn("n", F.size("words"))
+    placed = sized.withColumn("a", F.expr("if(n > 0, cast(g % n as int), null)")).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    tail = F.expr("slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)")
+    planted = F.array_join(F.concat(F.expr("slice(words, 1, a)"), tail), " ")
+    return placed.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import periodic_runs, strongest
+
+    out = periodic_runs(with_planted_tails(_table(spark, sf_dir, "documents"))).withColumn("best", strongest(F.col("runs")))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
 #: A dated block list: (list, kind, pattern, action, day).
 URL_ENTRIES = [
     ("ads", "domain", "ads-track.example.com", "add", "2024-02-01"),
@@ -231,6 +257,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filters": op9_url_filters,
     "op10_toxicity": op10_toxicity,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
     "op4_substring_dedup": op4_substring_dedup,
 }
 
