@@ -83,6 +83,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_table(spark, sf_dir, "documents")).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The old layout has 12 shards by a hash of the source, a hot source included; the new one 16 of near equal bytes."""
+    from .sharding import SHARD, SLOT, resharded
+
+    docs = _table(spark, sf_dir, "documents")
+    out = resharded(docs, F.coalesce(F.pmod(F.xxhash64("source"), F.lit(12)), F.lit(0)), 16)
+    text = F.coalesce("text", F.lit(""))
+    return out.select(
+        "doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col(SHARD).alias("shard"), F.col(SLOT).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deviation beyond 64 bits, which takes some million rows, is null here; the operator has it as a decimal."""
     from .whitening import whitened_components
@@ -256,6 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_url_filters": op9_url_filters,
     "op10_toxicity": op10_toxicity,
+    "op11_sharding": op11_sharding,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_periodic_runs": op13_periodic_runs,
     "op4_substring_dedup": op4_substring_dedup,

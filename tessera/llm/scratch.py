@@ -36,16 +36,21 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         at = self.path(name)
-        conf = self.spark.conf
+        self.save(df, at)
+        return self.spark.read.schema(df.schema).parquet(at), at
+
+    @staticmethod
+    def save(df: DataFrame, at: str, *by: str) -> None:
+        """Writes ``df`` with the settings of working tables, in folders by the columns ``by``."""
+        conf = df.sparkSession.conf
         before = {k: conf.get(k) for k in _WHILE_WRITING}
         for k, v in _WHILE_WRITING.items():
             conf.set(k, v)
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(at)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(at, partitionBy=list(by) or None)
         finally:
             for k, v in before.items():
                 conf.set(k, v)
-        return self.spark.read.schema(df.schema).parquet(at), at
 
     def drop(self, *tables: str | None) -> None:
         for at in tables:
