@@ -19,13 +19,15 @@ CATEGORIES = ["leave", "benefits", "payroll", "conduct", "complaints", "onboardi
 _SECTION = "struct<path:array<string>,text:string>"
 
 
+# A key and its value; a value may hold any character but LF.
+_FIELD = r"(?s)\A([^:#\s][^:]*):\s*(.*?)\s*\z"
+
+
 def header_of(markdown: Column) -> Column:
     """The header's keys as a map; null without a header. Flat ``key: value`` lines; one pair of quotes around a value goes; of a repeated key the last counts."""
-    inner = F.regexp_extract(markdown, HEADER, 1)
-    pairs = F.filter(F.transform(F.split(inner, "\n"), lambda x: F.regexp_extract_all(x, F.lit(r"^([^:#\s][^:]*):\s*(.*?)\s*$"), F.lit(1))), lambda x: F.size(x) > 0)
-    keys = F.transform(pairs, lambda x: strip(x[0]))
-    values = F.filter(F.transform(F.split(inner, "\n"), lambda x: F.when(x.rlike(r"^([^:#\s][^:]*):"), F.regexp_replace(F.regexp_extract(x, r"^[^:]*:\s*(.*?)\s*$", 1), r"^(['\"])(.*)\1$", "$2"))), lambda x: x.isNotNull())
-    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    inner = F.filter(F.split(F.regexp_extract(markdown, HEADER, 1), "\n"), lambda x: x.rlike(_FIELD))
+    value = lambda x: F.regexp_replace(F.regexp_extract(x, _FIELD, 2), r"(?s)\A(['\"])(.*)\1\z", "$2")
+    entries = F.transform(inner, lambda x: F.struct(strip(F.regexp_extract(x, _FIELD, 1)).alias("k"), value(x).alias("v")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
     return F.when(markdown.rlike(HEADER), F.map_from_entries(last))
 

@@ -39,10 +39,18 @@ def append_turns(turns: DataFrame, new: DataFrame, key: str = "session_id", turn
     return turns.unionByName(numbered, allowMissingColumns=True)
 
 
+def latest_summaries(summaries: DataFrame, key: str = "session_id") -> DataFrame:
+    """One summary of each session: the last by ``updated_at``, of equal ones that of the further watermark, then of the greater text and employee."""
+    names = summaries.columns
+    order = [c for c in ("updated_at", "summarized_through_turn", "summary_text", "employee_id") if c in names]
+    row = F.max_by(F.struct(*names), F.struct(*order)).alias("_s")
+    return summaries.groupBy(key).agg(row).select(*(F.col(f"_s.{c}").alias(c) for c in names))
+
+
 def due_summaries(turns: DataFrame, summaries: DataFrame, window: int = WINDOW, batch: int = BATCH, key: str = "session_id") -> DataFrame:
     """(key, total, through, watermark): sessions of which a batch of turns has left the window since the last summary."""
     totals = turns.groupBy(key).agg(F.count("*").alias("total"))
-    marks = summaries.select(key, F.col("summarized_through_turn").alias("_through"))
+    marks = latest_summaries(summaries, key).select(key, F.col("summarized_through_turn").alias("_through"))
     rows = totals.join(marks, key, "left").select(key, "total", F.coalesce("_through", F.lit(0)).cast("long").alias("through"), (F.col("total") - window).alias("watermark"))
     return rows.filter((F.col("watermark") > 0) & (F.col("watermark") - F.col("through") >= batch))
 
@@ -53,8 +61,10 @@ def evicted_turns(turns: DataFrame, due: DataFrame, key: str = "session_id", tur
 
 
 def upsert_summaries(summaries: DataFrame, new: DataFrame, key: str = "session_id") -> DataFrame:
-    """Keyed upsert: new values win, but a null employee keeps the old one and a null text keeps the old text; the watermark moves on all the same."""
-    old = summaries.select(F.col(key), *(F.col(c).alias(f"_{c}") for c in ("employee_id", "summary_text", "summarized_through_turn", "updated_at")))
+    """Keyed upsert: new values win, but a null employee keeps the old one and a null text keeps the old text; the watermark moves on all the same.
+    Of several rows of a session on either side the one that ``latest_summaries`` names counts."""
+    new = latest_summaries(new, key)
+    old = latest_summaries(summaries, key).select(F.col(key), *(F.col(c).alias(f"_{c}") for c in ("employee_id", "summary_text", "summarized_through_turn", "updated_at")))
     both = old.join(new, key, "full_outer")
     return both.select(key, *(F.coalesce(c, f"_{c}").alias(c) for c in ("employee_id", "summary_text", "summarized_through_turn", "updated_at")))
 
@@ -83,7 +93,7 @@ def context(turns: DataFrame, summaries: DataFrame, sessions: DataFrame, n: int
     A session with neither turns nor a summary of its own begins with its employee's latest summary.
     """
     recent = history(last_turns(turns, n, key), key)
-    own = summaries.select(key, F.col("summary_text").alias("_own"))
+    own = latest_summaries(summaries, key).select(key, F.col("summary_text").alias("_own"))
     other = latest_per_key(summaries.filter("employee_id is not null"), "employee_id", F.desc("updated_at"), F.col(key)).select("employee_id", F.col("summary_text").alias("_other"))
     rows = sessions.join(recent, key, "left").join(own, key, "left").join(other, "employee_id", "left")
     seed = F.when(F.col("_own").isNull() & F.col("turns").isNull(), F.col("_other"))

@@ -54,11 +54,17 @@ def file_tickets(tickets: DataFrame, new: DataFrame) -> DataFrame:
     return tickets.unionByName(rows, allowMissingColumns=True)
 
 
+def latest_events(events: DataFrame) -> DataFrame:
+    """One event (ticket_id, rule, deadline, summary and others) of each ticket: that of the latest deadline, of equal ones that of the greater rule."""
+    names = [c for c in events.columns if c != "ticket_id"]
+    value = F.struct(*names)
+    found = events.groupBy("ticket_id").agg(F.max_by(value, F.struct("deadline", "rule", "summary", F.to_json(value))).alias("_e"))
+    return found.select("ticket_id", *(F.col(f"_e.{c}").alias(c) for c in names))
+
+
 def escalate_tickets(tickets: DataFrame, events: DataFrame) -> DataFrame:
-    """Updates by key: tickets with an event (ticket_id, rule, deadline, summary) become escalated; the rest stay. Of several events of a
-    ticket the one of the latest deadline counts, of equal ones that of the greater rule."""
-    latest = events.groupBy("ticket_id").agg(F.max(F.struct("deadline", "rule", "summary")).alias("_e"))
-    e = latest.select("ticket_id", F.col("_e.rule").alias("_rule"), F.col("_e.deadline").alias("_deadline"), F.col("_e.summary").alias("_summary"), F.lit(True).alias("_hit"))
+    """Updates by key: tickets with an event become escalated; the rest stay. Of several events of a ticket the one that ``latest_events`` names counts."""
+    e = latest_events(events).select("ticket_id", F.col("rule").alias("_rule"), F.col("deadline").alias("_deadline"), F.col("summary").alias("_summary"), F.lit(True).alias("_hit"))
     rows = tickets.join(e, "ticket_id", "left")
     hit = F.coalesce("_hit", F.lit(False))
     new = {"escalated": hit | F.col("escalated"), "status": F.when(hit, "escalated").otherwise(F.col("status")), "trigger_rule": F.coalesce("_rule", "trigger_rule"), "sla_deadline": F.coalesce("_deadline", "sla_deadline"), "redacted_summary": F.coalesce("_summary", "redacted_summary")}

@@ -33,12 +33,12 @@ def normalize(v: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Similarity; 0 with a zero vector, null with a null one or where lengths differ."""
+    """Similarity; 0 with a zero vector, null with a null one, where lengths differ and where a norm is not finite (NaN, infinite or huge components)."""
     return _over(dot(a, b), norm(a) * norm(b))
 
 
 def _over(product: Column, size: Column) -> Column:
-    return F.when(product.isNotNull(), F.coalesce(F.try_divide(product, size), F.lit(0.0)))
+    return F.when(product.isNotNull() & (size < float("inf")), F.coalesce(F.try_divide(product, size), F.lit(0.0)))
 
 
 def similarity_of(distance: Column) -> Column:

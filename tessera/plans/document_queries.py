@@ -371,16 +371,18 @@ def turn_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "p.intent", rules.needs_clarification(F.col("p.intent"), F.col("p.confidence")).alias("asks"), route.alias("route"))
 
 
-_HEADED = """(select doc_id, case when doc_id % 10 = 0 then text else '---' || chr(10) || 'doc_id: d' || doc_id || chr(10) || 'title: "Text ' || doc_id || '"' || chr(10) || 'category: ' || lang || chr(10) || case when doc_id % 3 = 0 then 'version: 2' || chr(10) else '' end || '---' || chr(10) || text end as markdown,
+_ODD = "case doc_id % 4 when 0 then chr(8232) when 1 then chr(133) when 2 then chr(8233) else '' end"
+_HEADED = f"""(select doc_id, case when doc_id % 10 = 0 then text else '---' || chr(10) || 'doc_id: d' || doc_id || chr(10) || 'title: "Text ' || {_ODD} || doc_id || '"' || chr(10) || 'note: a' || {_ODD} || 'b' || chr(10) || 'category: ' || lang || chr(10) || case when doc_id % 3 = 0 then 'version: 2' || chr(10) else '' end || '---' || chr(10) || text end as markdown,
   doc_id % 10 <> 0 as headed, lang, text from documents)"""
 
 
-@query(f"""select doc_id, case when headed then 'Text ' || doc_id end as title, case when headed and doc_id % 3 = 0 then '2' end as version,
+@query(f"""select doc_id, case when headed then 'Text ' || {_ODD} || doc_id end as title, case when headed and doc_id % 3 = 0 then '2' end as version,
   case when not headed then 'missing header' when lang not in ('en', 'de') then 'unknown category' else '' end as errors, sha256(text) as body_sha256 from {_HEADED}""")
 def header_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents under a header, but for a tenth: its fields, what is wrong with it, and the body."""
+    """Documents under a header, but for a tenth: its fields, some with line ends of other kinds, what is wrong with it, and the body."""
     n = F.col("doc_id")
-    head = F.concat(F.lit("---\ndoc_id: d"), n, F.lit('\ntitle: "Text '), n, F.lit('"\ncategory: '), F.col("lang"), F.lit("\n"), F.when(n % 3 == 0, "version: 2\n").otherwise(""), F.lit("---\n"))
+    odd = F.when(n % 4 == 0, "\u2028").when(n % 4 == 1, "\x85").when(n % 4 == 2, "\u2029").otherwise("")
+    head = F.concat(F.lit("---\ndoc_id: d"), n, F.lit('\ntitle: "Text '), odd, n, F.lit('"\nnote: a'), odd, F.lit("b\ncategory: "), F.col("lang"), F.lit("\n"), F.when(n % 3 == 0, "version: 2\n").otherwise(""), F.lit("---\n"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.when(n % 10 == 0, F.col("text")).otherwise(F.concat(head, "text")).alias("markdown"))
     h = docs.select("doc_id", "markdown", chunking.header_of(F.col("markdown")).alias("h"))
     errors = F.array_join(chunking.header_errors(F.col("h"), ["en", "de"]), ",")

@@ -66,17 +66,21 @@ def normalized_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.col("position").cast("long").alias("position"), (F.round("x", 6) + 0.0).alias("component"))
 
 
-_ZERO = "select cast(-1 as bigint) as vec_id, list_transform(embedding, lambda x: cast(0 as double)) as e, 3 as label from embeddings where vec_id = 0 union all select vec_id, cast(embedding as double[]), label from embeddings"
+_ZERO = """select cast(-1 as bigint) as vec_id, list_transform(embedding, lambda x: cast(0 as double)) as e, 3 as label from embeddings where vec_id = 0 union all select cast(-2 as bigint), list_transform(embedding, lambda x, i: case when i = 2 then cast('nan' as double) else x end), 3 from embeddings where vec_id = 0
+  union all select cast(-3 as bigint), list_transform(embedding, lambda x, i: case when i = 2 then cast('inf' as double) else x end), 3 from embeddings where vec_id = 0 union all select vec_id, cast(embedding as double[]), label from embeddings"""
 
 
-@query(f"""with v as ({_ZERO}), q as (select e from v where vec_id = 0), s as (select vec_id, label, case when list_dot_product(v.e, v.e) = 0 then 0.0 else list_cosine_similarity(v.e, q.e) end as s from v, q where label = 3)
+@query(f"""with v as ({_ZERO}), q as (select e from v where vec_id = 0), s as (select vec_id, label, case when len(list_filter(v.e, lambda x: not isfinite(x))) > 0 then null when list_dot_product(v.e, v.e) = 0 then 0.0 else list_cosine_similarity(v.e, q.e) end as s from v, q where label = 3)
 select vec_id, round(s, 6) + 0.0 as similarity, round(1 - s, 6) + 0.0 as distance, round(1 - (1 - s), 6) + 0.0 as again from s""")
 def similarity_with_zero_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All vectors of one label and a zero vector by similarity to vector 0, and back from the distance."""
+    """All vectors of one label, a zero vector and two with a component that is not finite by similarity to vector 0, and back from the distance."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    zero = v.filter("vec_id = 0").select(F.lit(-1).cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.lit(0.0)).alias("embedding"), F.lit(3).cast(v.schema["label"].dataType).alias("label"))
-    asked = v.filter("vec_id = 0").select(F.lit(-2).cast("long").alias("query_id"), F.col("embedding").alias("query"))
-    found = vector.batch_top_k(v.unionByName(zero).filter("label = 3"), asked, 1 << 30)
+    first, three = v.filter("vec_id = 0"), F.lit(3).cast(v.schema["label"].dataType).alias("label")
+    made = lambda i, change: first.select(F.lit(i).cast("long").alias("vec_id"), F.transform("embedding", change).alias("embedding"), three)
+    odd = made(-1, lambda x: F.lit(0.0))
+    odd = odd.unionByName(made(-2, lambda x, k: F.when(k == 1, float("nan")).otherwise(x))).unionByName(made(-3, lambda x, k: F.when(k == 1, float("inf")).otherwise(x)))
+    asked = first.select(F.lit(-9).cast("long").alias("query_id"), F.col("embedding").alias("query"))
+    found = vector.batch_top_k(v.unionByName(odd).filter("label = 3"), asked, 1 << 30)
     distance = 1 - F.col("similarity")
     return found.select("vec_id", (F.round("similarity", 6) + 0.0).alias("similarity"), (F.round(distance, 6) + 0.0).alias("distance"), (F.round(vector.similarity_of(distance), 6) + 0.0).alias("again"))
 

@@ -12,6 +12,7 @@ from tessera.operators import chunking as C
 from tessera.operators import ingest as I
 from tessera.operators import layout as L
 from tessera.sources import files as S
+from tessera.sources.store import Store
 
 DOC = """---
 doc_id: guide
@@ -94,6 +95,16 @@ def test_repeated_header_keys(spark):
     assert [(r["doc_id"], r["title"]) for r in chunks.collect()] == [("a", "two")] and refused.count() == 0
 
 
+@pytest.mark.parametrize("title", ["a\u2028b", "a\u2029", "\x85a", "a\x0bb", "a\x0cb", "a\x1cb", "a\rb", "'a\u2028b'", ""])
+def test_no_header_fails_the_job(spark, title):
+    """Line ends of every kind in a value, and a key without one; rows that follow are chunked all the same."""
+    odd = f"---\ndoc_id: x\ntitle: {title}\ncategory: leave\nempty:\n: no key\n\u2028: odd\n---\nbody"
+    fine = "---\ndoc_id: y\ntitle: t\ncategory: leave\n---\nbody"
+    chunks, refused = C.chunk_markdown(spark.createDataFrame([(odd,), (fine,)], "markdown string"))
+    assert sorted(r["doc_id"] for r in chunks.collect()) == ["x", "y"] and refused.count() == 0
+    assert chunks.filter("doc_id = 'x'").first()["title"] == title.strip(" \x0b\x0c\r").strip("'")
+
+
 def test_ingest_runs(spark, tmp_path):
     """Four runs: all new, nothing to do, one changed and one gone, and forced; and the three errors."""
     raw, store = tmp_path / "raw", f"file://{tmp_path}/store"
@@ -105,19 +116,20 @@ def test_ingest_runs(spark, tmp_path):
         (raw / f"{k}.md").write_text(page(k, f"Words of {k}."))
     day = datetime.datetime(2024, 5, 6, 7, 8)
     status = lambda **o: {r["name"]: r["status"] for r in S.ingest(spark, str(raw), store, {"embedding_model": "m", "embedding_dim": 3}, now=day, **o).collect()}
-    header = lambda: spark.read.json(f"{store}/manifest/header").first()
-    rows = lambda: {r["name"]: (r["doc_id"], r["chunk_count"]) for r in S.load_manifest(spark, f"{store}/manifest").collect()}
-    texts = lambda: {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{store}/chunks-{header()['run']}").collect()}
+    kept = Store(spark, store)
+    rows = lambda: {r["name"]: (r["doc_id"], r["chunk_count"]) for r in S.load_manifest(kept).collect()}
+    texts = lambda: {r["doc_id"]: r["text"] for r in kept.read("chunks").collect()}
     assert status() == {f"{k}.md": "new" for k in "abc"}
-    assert (header()["embedding_model"], header()["embedding_dim"], header()["files"], header()["total_chunks"], header()["ingested_at"][:16]) == ("m", 3, 3, 3, "2024-05-06T07:08")
+    header = kept.properties()
+    assert (header["embedding_model"], header["embedding_dim"], header["files"], header["total_chunks"], header["ingested_at"][:16]) == ("m", 3, 3, 3, "2024-05-06T07:08")
     assert rows() == {f"{k}.md": (k, 1) for k in "abc"}
     assert status() == {f"{k}.md": "unchanged" for k in "abc"} and len(texts()) == 3
     (raw / "a.md").write_text(page("a", "Other words."))
     (raw / "b.md").unlink()
     assert status() == {"a.md": "changed", "b.md": "deleted", "c.md": "unchanged"}
     assert {k: t.split("\n\n")[1] for k, t in texts().items()} == {"a": "Other words.", "c": "Words of c."} and set(rows()) == {"a.md", "c.md"}
-    kept = {r["doc_id"]: r["markdown"] for r in spark.read.parquet(f"{store}/documents").collect()}
-    assert set(kept) == {"a", "c"} and "source_file: a.md" in kept["a"] and "Other words." in kept["a"]
+    pages = {r["doc_id"]: r["markdown"] for r in kept.read("documents").collect()}
+    assert set(pages) == {"a", "c"} and "source_file: a.md" in pages["a"] and "Other words." in pages["a"]
     assert status(force=True) == {"a.md": "changed", "c.md": "changed"} and len(texts()) == 2
     for name, content, error in (("d.md", page("d", ""), "no chunks"), ("d.md", "no header", "missing header"), ("d.docx", "broken", "cannot be read")):
         (raw / name).write_text(content)
@@ -219,10 +231,7 @@ def test_corpus_round_trip(spark, tmp_path):
     rows = {r["name"]: r for r in S.parse_corpus(files).collect()}
     assert "source_file: a.md" in rows["a.md"]["markdown"] and "Wide report." in rows["a.md"]["markdown"]
     assert rows["b.docx"]["error"] == "missing sidecar"
-    assert S.load_manifest(spark, f"file://{tmp_path}/none").count() == 0
-    manifest = spark.createDataFrame([("x", "1", "a", "a.md", 3)], I.MANIFEST)
-    S.write_manifest(manifest, f"file://{tmp_path}/manifest")
-    assert S.load_manifest(spark, f"file://{tmp_path}/manifest").collect() == manifest.collect()
+    assert S.load_manifest(Store(spark, f"file://{tmp_path}/none")).count() == 0
     (tmp_path / "p.jsonl").write_text('{"id": "1"}\n\n{"id": "2"}\n')
     assert [r["id"] for r in S.read_json_lines(spark, f"{tmp_path}/p.jsonl", "id string").filter("id is not null").collect()] == ["1", "2"]
 

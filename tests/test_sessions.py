@@ -143,11 +143,20 @@ def test_outbox_and_answers(spark, tmp_path):
     files.append_json(records, str(tmp_path / "o"))
     files.append_json(records, str(tmp_path / "o"))
     assert [r["channel"] for r in spark.read.json(str(tmp_path / "o")).collect()] == ["mock", "mock"]
-    files.write_documents(spark.createDataFrame([("a", "1"), ("b", "2")], "doc_id string, markdown string"), str(tmp_path / "d"))
-    files.write_documents(spark.createDataFrame([("a", "3")], "doc_id string, markdown string"), str(tmp_path / "d"))
-    assert {(r["doc_id"], r["markdown"]) for r in spark.read.parquet(str(tmp_path / "d")).collect()} == {("a", "3"), ("b", "2")}
-    files.write_documents(spark.createDataFrame([("c", "4")], "doc_id string, markdown string"), str(tmp_path / "d"), gone=spark.createDataFrame([("b",)], "doc_id string"))
-    assert {(r["doc_id"], r["markdown"]) for r in spark.read.parquet(str(tmp_path / "d")).collect()} == {("a", "3"), ("c", "4")}
+    repeated = events.unionByName(events).unionByName(spark.createDataFrame([("1", "severity", "high", "2024-01-01", "earlier", True)], events.schema))
+    assert [(r["rule"], r["severity"], r["channel"]) for r in files.outbox_records(tickets, repeated).collect()] == [("danger_scan", "critical", "mock")]
+
+
+def test_repeated_summaries_of_a_session_count_once(spark):
+    kind = "session_id string, employee_id string, summary_text string, summarized_through_turn long, updated_at string"
+    old = spark.createDataFrame([("a", "e", "old", 1, "2024-01-01"), ("a", None, "older", 0, "2023-01-01"), ("b", "f", "b", 2, "2024-01-01")], kind)
+    new = spark.createDataFrame([("a", None, "first", 5, "2024-02-01"), ("a", None, None, 7, "2024-02-02"), ("a", None, None, 6, "2024-02-02")], kind)
+    got = sorted(tuple(r) for r in S.upsert_summaries(old, new).collect())
+    assert got == [("a", "e", "old", 7, "2024-02-02"), ("b", "f", "b", 2, "2024-01-01")]
+    turns = spark.createDataFrame([("a", i, "user", "x") for i in range(30)], "session_id string, turn_index long, role string, content string")
+    assert [tuple(r) for r in S.due_summaries(turns, old).collect()] == [("a", 30, 1, 10)]
+    sessions = spark.createDataFrame([("a", "e")], "session_id string, employee_id string")
+    assert S.context(turns, old, sessions).count() == 1
 
 
 def test_several_events_of_a_ticket_make_one_update(spark):
