@@ -57,20 +57,22 @@ def apply_floor(ranked: DataFrame, floor: float = FLOOR) -> DataFrame:
     return ranked.filter(F.col("similarity") >= floor)
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query", salts: int = 64) -> DataFrame:
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query", salts: int = 64, where: Column | None = None, carry: list[str] = ()) -> DataFrame:
     """Every query's k nearest rows: (query_id, rank, similarity and the columns of ``vectors``).
 
     Queries are dealt into blocks of QUERY_BLOCK and rows into ``salts`` parts; every block meets every part through an equi-join on both
     numbers. One block of queries is small enough for Spark to broadcast by its own size check, and then no row moves; beyond,
-    rows are sent once for each block. A query whose id equals a row's id does not meet itself.
+    rows are sent once for each block. A query whose id equals a row's id does not meet itself. ``where`` filters pairs before ranking; it may
+    name the rows' columns and those that ``carry`` takes along from the queries.
     """
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = vectors.withColumn("_n", norm(F.col(vector_col))).withColumn("_salt", part(id_col, salts)).withColumn("_block", each(blocks))
-    asked = queries.select(F.col(query_id), F.col(query_vector).alias("_q"), norm(F.col(query_vector)).alias("_qn"), part(query_id, blocks).alias("_block")).withColumn("_salt", each(salts))
+    asked = queries.select(F.col(query_id), F.col(query_vector).alias("_q"), norm(F.col(query_vector)).alias("_qn"), part(query_id, blocks).alias("_block"), *carry).withColumn("_salt", each(salts))
     met = rows.join(asked, ["_block", "_salt"]).filter(F.col(query_id) != F.col(id_col))
-    met = met.withColumn("similarity", _over(dot(F.col(vector_col), F.col("_q")), F.col("_n") * F.col("_qn"))).drop("_q", "_qn", "_n", "_block", "_salt")
+    met = met if where is None else met.filter(where)
+    met = met.withColumn("similarity", _over(dot(F.col(vector_col), F.col("_q")), F.col("_n") * F.col("_qn"))).drop("_q", "_qn", "_n", "_block", "_salt", *carry)
     order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col)
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

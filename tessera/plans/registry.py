@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import document_queries, retrieval_queries, session_queries
+from . import document_queries, retrieval_queries, session_queries, tool_queries
 
-_PARTS = (retrieval_queries, document_queries, session_queries)
+_PARTS = (retrieval_queries, document_queries, session_queries, tool_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
 
