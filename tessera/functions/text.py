@@ -1,13 +1,14 @@
 """Text functions on columns: normalisation, token estimates, block and sentence packing, previews and formatters.
 
-All are built from Spark expressions, but for Unicode NFKC, which Spark lacks and an Arrow function supplies. A fold over an
-array (``F.aggregate``) is used where what has been put out so far decides what comes next.
+All are built from Spark expressions, but for Unicode NFKC, which Spark lacks and an Arrow function supplies. Where what has been put out so far decides
+what comes next, a fold over an array (``F.aggregate``) finds the borders from sizes alone, and texts are cut and joined once they are known. So
+time grows with a text's length, not with its square.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +21,28 @@ SEVERITY_COLOURS = {"low": "#6b7280", "medium": "#d97706", "high": "#ea580c", "c
 OTHER_COLOUR = "#6b7280"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where ``body`` names it in lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str, width: int = 128) -> Column:
+    """An array of what ``step(state, item)``, a struct(state, out), puts out for each item; ``kind`` is its type.
+
+    Items put out are gathered ``width`` at a time, so that none is copied more than some ``width`` times.
+    """
+    begin = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("open"))
+
+    def go(a: Column, x: Column) -> Column:
+        over = F.size(a["open"]) >= width
+        return let(step(a["state"], x), lambda r: F.struct(
+            r["state"].alias("state"), F.when(over, F.concat(a["full"], F.array(a["open"]))).otherwise(a["full"]).alias("full"),
+            F.when(over, F.array(r["out"])).otherwise(F.concat(a["open"], F.array(r["out"]))).alias("open"),
+        ))
+
+    return F.aggregate(items, begin, go, lambda a: F.flatten(F.concat(a["full"], F.array(a["open"]))))
+
+
 def strip(text: Column) -> Column:
     """All white space off both ends."""
     return F.regexp_replace(text, SPACE_ENDS, "")
@@ -60,7 +83,7 @@ def digest(document: Column, sidecar: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """A quarter of the characters, rounded half to even, one at least."""
-    return F.greatest(F.lit(1), F.bround(F.length(text) / F.lit(4.0)).cast("int"))
+    return _tokens(F.length(text))
 
 
 def blocks(text: Column) -> Column:
@@ -68,9 +91,13 @@ def blocks(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), strip), lambda b: b != "")
 
 
+_LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
 def lines(text: Column) -> Column:
-    """Lines of a text; a line end at the very end opens no further line."""
-    return F.split(F.regexp_replace(text, r"\n$", ""), "\n")
+    """Lines of a text, whatever ends them; a line end at the very end opens no further line."""
+    plain = F.when(text.rlike("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), F.regexp_replace(text, _LINE_END, "\n")).otherwise(text)
+    return F.split(F.regexp_replace(plain, r"\n\z", ""), "\n")
 
 
 def is_table(block: Column) -> Column:
@@ -83,48 +110,67 @@ def sentences(block: Column) -> Column:
     return F.split(block, r"(?<=[.!?])\s+")
 
 
+def _tokens(chars: Column) -> Column:
+    return F.greatest(F.lit(1), F.bround(chars / F.lit(4.0)).cast("int"))
+
+
 def pack_sentences(block: Column, target: Column | int) -> Column:
-    """Sentences packed greedily: a part is closed when the next sentence would take its estimate over ``target``."""
+    """Sentences packed greedily: a part is closed when the next sentence would take its estimate over ``target``.
+
+    Only the first sentence may begin with white space and only the last end with it, so a part's size is the sum of its sentences' and of the blanks between.
+    """
     target = F.lit(target) if isinstance(target, int) else target
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
-    def step(state: Column, sentence: Column) -> Column:
-        longer = F.when(state["open"] == "", sentence).otherwise(F.concat(state["open"], F.lit(" "), sentence))
-        full = (state["open"] != "") & (token_estimate(longer) > target)
-        done = F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"])
-        return F.struct(done.alias("done"), F.when(full, sentence).otherwise(strip(longer)).alias("open"))
+    def cut(s: Column) -> Column:
+        start = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("size"))
+
+        def step(state: Column, n: Column) -> Column:
+            longer = state["size"] + 1 + n
+            full = (state["size"] > 0) & (_tokens(longer) > target)
+            starts = F.when(full, F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"])
+            return F.struct(starts.alias("starts"), (state["at"] + 1).alias("at"), F.when(full | (state["size"] == 0), n).otherwise(longer).alias("size"))
+
+        sizes = F.transform(s, lambda x, i: F.when(i == 0, F.length(strip(x))).otherwise(F.length(x)))
 
-    return F.aggregate(sentences(block), start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"]))))
+        def part(starts: Column, a: Column, j: Column) -> Column:
+            inside = F.slice(s, a + 1, F.coalesce(F.try_element_at(starts, j + 2), F.size(s)) - a)
+            return let(inside, lambda p: F.when((j > 0) & (F.size(p) == 1), p[0]).otherwise(strip(F.array_join(p, " "))))
+
+        parts = let(F.aggregate(sizes, start, step, lambda a: a["starts"]), lambda starts: F.transform(starts, lambda a, j: part(starts, a, j)))
+        return F.filter(parts, lambda p: p != "")
+
+    return let(sentences(block), cut)
 
 
 def pack_blocks(parts: Column, target: Column | int, overlap: Column | int) -> Column:
     """Blocks packed greedily by the sum of their estimates; a closed window hands its last blocks, of no more than
     ``overlap`` in all, to the next. Windows are joined by an empty line."""
     target, overlap = (F.lit(x) if isinstance(x, int) else x for x in (target, overlap))
-    block = "struct<text:string,n:int>"
-    empty = F.array().cast(f"array<{block}>")
-    start = F.struct(F.array().cast("array<string>").alias("done"), empty.alias("open"), F.lit(0).alias("n"))
-    joined = lambda open_: F.array_join(F.transform(open_, lambda b: b["text"]), "\n\n")
-
-    def carried(open_: Column) -> Column:
-        begin = F.struct(empty.alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("over"))
-
-        def back(s: Column, b: Column) -> Column:
-            over = s["over"] | (s["n"] + b["n"] > overlap)
-            return F.struct(F.when(over, s["kept"]).otherwise(F.concat(F.array(b), s["kept"])).alias("kept"), F.when(over, s["n"]).otherwise(s["n"] + b["n"]).alias("n"), over.alias("over"))
-
-        return F.aggregate(F.reverse(open_), begin, back)
-
-    def step(s: Column, b: Column) -> Column:
-        full = (F.size(s["open"]) > 0) & (s["n"] + b["n"] > target)
-        carry = carried(s["open"])
-        open_ = F.when(full, carry["kept"]).otherwise(s["open"])
-        n = F.when(full, carry["n"]).otherwise(s["n"])
-        done = F.when(full, F.concat(s["done"], F.array(joined(s["open"])))).otherwise(s["done"])
-        return F.struct(done.alias("done"), F.concat(open_, F.array(b)).alias("open"), (n + b["n"]).cast("int").alias("n"))
-
-    sized = F.transform(parts, lambda t: F.struct(t.alias("text"), token_estimate(t).alias("n")))
-    return F.aggregate(sized, start, step, lambda s: F.when(F.size(s["open"]) == 0, s["done"]).otherwise(F.concat(s["done"], F.array(joined(s["open"])))))
+
+    def windows(blocks_: Column, sizes: Column) -> Column:
+        def handed(a: Column, at: Column) -> Column:
+            """How many of the blocks from a up to at are handed on, and their estimate."""
+            begin = F.struct(F.lit(0).alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+
+            def back(s: Column, n: Column) -> Column:
+                over = s["over"] | (s["n"] + n > overlap)
+                return F.struct((s["kept"] + F.when(over, 0).otherwise(1)).alias("kept"), (s["n"] + F.when(over, 0).otherwise(n)).alias("n"), over.alias("over"))
+
+            return F.aggregate(F.reverse(F.slice(sizes, a + 1, at - a)), begin, back)
+
+        def step(s: Column, n: Column) -> Column:
+            full = (s["at"] > s["a"]) & (s["n"] + n > target)
+            run = F.array(F.struct(s["a"].alias("a"), s["at"].alias("b")))
+            state = lambda done, a, n_: F.struct(done.alias("done"), a.alias("a"), (s["at"] + 1).alias("at"), n_.cast("int").alias("n"))
+            closed = let(handed(s["a"], s["at"]), lambda h: state(F.concat(s["done"], run), s["at"] - h["kept"], h["n"] + n))
+            return F.when(full, closed).otherwise(state(s["done"], s["a"], s["n"] + n))
+
+        none = F.array().cast("array<struct<a:int,b:int>>")
+        start = F.struct(none.alias("done"), F.lit(0).alias("a"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+        last = lambda s: F.when(s["at"] > s["a"], F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["at"].alias("b"))))).otherwise(s["done"])
+        return F.transform(F.aggregate(sizes, start, step, last), lambda r: F.array_join(F.slice(blocks_, r["a"] + 1, r["b"] - r["a"]), "\n\n"))
+
+    return let(parts, lambda p: let(F.transform(p, token_estimate), lambda sizes: windows(p, sizes)))
 
 
 def split_text(text: Column, target: int, overlap: int) -> Column:

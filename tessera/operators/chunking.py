@@ -1,6 +1,6 @@
 """Section-aware chunking of Markdown documents: headings to sections, small sections merged, sections packed to chunks.
 
-Each step is a fold over an array column, so a document is one row until its chunks are exploded and nothing is shuffled.
+Each step works on array columns, so a document is one row until its chunks are exploded and nothing is shuffled; see ``functions.text`` for the folds.
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines, split_text, strip, token_estimate
+from ..functions.text import let, lines, scan, split_text, strip, token_estimate
 
 TARGET, OVERLAP, SMALLEST = 400, 50, 80
 # What is a heading and what is a header.
@@ -16,7 +16,6 @@ HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
 HEADER = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
 # The categories a document may have.
 CATEGORIES = ["leave", "benefits", "payroll", "conduct", "complaints", "onboarding", "labor_law"]
-_SECTION = "struct<path:array<string>,text:string>"
 
 
 # A key and its value; a value may hold any character but LF.
@@ -46,45 +45,83 @@ def header_errors(header: Column, categories: list[str] = CATEGORIES) -> Column:
 def sections(body: Column, title: Column) -> Column:
     """array<struct<path, text>>: text between headings with the headings above it; sections without text are left out.
 
-    A first level-1 heading equal to the title, before any section, is the document's title line.
+    Level-1 headings equal to the title, before any other heading, are the document's title lines. Headings are found first; what is above each is kept
+    as one name for each level, and a section's lines are joined once.
     """
-    state = F.struct(
-        F.array().cast(f"array<{_SECTION}>").alias("done"),
-        F.array().cast("array<struct<level:int,name:string>>").alias("stack"),
-        F.lit("").alias("text"),
-    )
 
-    def close(s: Column) -> Column:
-        text = strip(s["text"])
-        path = F.transform(s["stack"], lambda h: h["name"])
-        return F.when(text == "", s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(path.alias("path"), text.alias("text")))))
+    def headings(all_lines: Column) -> Column:
+        one = lambda x, i: F.when(x.startswith("#"), F.struct(i.alias("at"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), strip(F.regexp_extract(x, HEADING, 2)).alias("name")))
+        return F.filter(F.transform(all_lines, one), lambda h: h.isNotNull() & (h["level"] > 0))
 
-    def step(s: Column, line: Column) -> Column:
-        level = F.length(F.regexp_extract(line, HEADING, 1))
-        name = strip(F.regexp_extract(line, HEADING, 2))
-        is_title = (level == 1) & (F.size(s["stack"]) == 0) & (F.size(s["done"]) == 0) & (F.lower(name) == F.lower(title))
-        heading = (level > 0) & ~is_title
-        above = F.concat(F.filter(s["stack"], lambda h: h["level"] < level), F.array(F.struct(level.alias("level"), name.alias("name"))))
-        text = F.when(heading, F.lit("")).when(is_title, s["text"]).otherwise(F.concat(s["text"], line, F.lit("\n")))
-        return F.struct(F.when(heading, close(s)).otherwise(s["done"]).alias("done"), F.when(heading, above).otherwise(s["stack"]).alias("stack"), text.alias("text"))
+    def without_titles(found: Column) -> Column:
+        other = F.array_position(F.transform(found, lambda h: (h["level"] > 1) | (F.lower(h["name"]) != F.lower(title))), True)
+        return F.when(other == 0, F.slice(found, 1, 0)).otherwise(F.slice(found, other.cast("int"), F.size(found)))
 
-    return F.aggregate(lines(body), state, step, close)
+    def paths(found: Column) -> Column:
+        def step(above: Column, h: Column) -> Column:
+            now = F.transform(above, lambda name, k: F.when(k + 1 < h["level"], name).when(k + 1 == h["level"], h["name"]))
+            return let(now, lambda names: F.struct(names.alias("state"), F.array_compact(names).alias("out")))
+
+        return scan(found, F.array_repeat(F.lit(None).cast("string"), 6), step, "array<string>")
+
+    def cut(all_lines: Column, found: Column, above: Column) -> Column:
+        until = lambda k: F.coalesce(F.try_element_at(found, k + 1)["at"], F.size(all_lines))
+        joined = lambda some: strip(F.array_join(some, "\n"))
+        opening = F.filter(F.slice(all_lines, F.lit(1), until(F.lit(0))), lambda x: ~x.rlike(HEADING))
+        first = F.struct(F.array().cast("array<string>").alias("path"), joined(opening).alias("text"))
+        rest = F.transform(found, lambda h, k: F.struct(above[k].alias("path"), joined(F.slice(all_lines, h["at"] + 2, until(k + 1) - h["at"] - 1)).alias("text")))
+        return F.filter(F.concat(F.array(first), rest), lambda s: s["text"] != "")
+
+    return let(lines(body), lambda all_lines: let(without_titles(headings(all_lines)), lambda found: let(paths(found), lambda above: cut(all_lines, found, above))))
 
 
 def merge_small(parts: Column, smallest: Column | int = SMALLEST) -> Column:
-    """Sections under ``smallest`` tokens, but for the first, go to the nearest kept one before whose path begins theirs, else to the last kept."""
+    """Sections under ``smallest`` tokens, but for the first, go to the nearest kept one before whose path begins theirs, else to the last kept.
+
+    Kept sections by their path and small ones by each beginning of theirs are sorted together; in that order a small one comes right after the kept one that it asks for.
+    """
     smallest = F.lit(smallest) if isinstance(smallest, int) else smallest
 
-    def step(kept: Column, part: Column) -> Column:
-        small = (F.size(kept) > 0) & (token_estimate(part["text"]) < smallest)
-        fits = F.transform(kept, lambda k, i: F.when(F.slice(part["path"], F.lit(1), F.size(k["path"])) == k["path"], i))
-        into = F.coalesce(F.array_max(fits), F.size(kept) - 1)
-        label = F.try_element_at(part["path"], F.lit(-1))
-        added = F.when(F.coalesce(label, F.lit("")) != "", F.concat(F.lit("**"), label, F.lit(":** "), part["text"])).otherwise(part["text"])
-        merged = F.transform(kept, lambda k, i: F.when(i == into, F.struct(k["path"].alias("path"), F.concat(k["text"], F.lit("\n\n"), added).alias("text"))).otherwise(k))
-        return F.when(small, merged).otherwise(F.concat(kept, F.array(part)))
+    def targets(p: Column, small: Column) -> Column:
+        """(at, into) of every small section, ``into`` the number of a kept one or null."""
+        entry = lambda path, i, asks: F.struct(path.alias("path"), i.alias("at"), F.lit(asks).alias("asks"))
+        asked = lambda x, i: F.transform(F.sequence(F.lit(0), F.size(x["path"])), lambda m: entry(F.slice(x["path"], F.lit(1), m), i, True))
+        entries = F.array_sort(F.flatten(F.transform(p, lambda x, i: F.when(small[i], asked(x, i)).otherwise(F.array(entry(x["path"], i, False))))))
+
+        def step(last: Column, e: Column) -> Column:
+            answer = F.struct(e["at"].alias("at"), F.when(e["asks"] & (last["path"] == e["path"]), last["at"]).alias("into"), e["asks"].alias("asks"))
+            return F.struct(F.when(e["asks"], last).otherwise(F.struct(e["path"].alias("path"), e["at"].alias("at"))).alias("state"), answer.alias("out"))
+
+        none = F.lit(None).cast("struct<path:array<string>,at:int>")
+        answers = F.array_sort(F.filter(scan(entries, none, step, "struct<at:int,into:int,asks:boolean>"), lambda a: a["asks"]))
+        # Of each small section the last answer is the greatest; nulls come first.
+        return let(answers, lambda found: F.filter(found, lambda a, k: F.coalesce(F.try_element_at(found, k + 2)["at"] != a["at"], F.lit(True))))
+
+    def merged(p: Column, small: Column, found: Column) -> Column:
+        own = F.filter(F.transform(p, lambda x, i: F.when(~small[i], F.struct(i.alias("into"), i.alias("at"), x["text"].alias("text")))), lambda x: x.isNotNull())
+
+        def added(a: Column, before: Column) -> Column:
+            part = p[a["at"]]
+            label = F.coalesce(F.try_element_at(part["path"], F.lit(-1)), F.lit(""))
+            text = F.when(label != "", F.concat(F.lit("**"), label, F.lit(":** "), part["text"])).otherwise(part["text"])
+            return F.struct(F.coalesce(a["into"], before[a["at"]]).alias("into"), a["at"].alias("at"), text.alias("text"))
+
+        kept_before = scan(F.transform(small, lambda x, i: F.when(~x, i)), F.lit(0), lambda n, i: let(F.coalesce(i, n), lambda k: F.struct(k.alias("state"), k.alias("out"))), "int")
+        pieces = F.array_sort(F.concat(own, let(kept_before, lambda before: F.transform(found, lambda a: added(a, before)))))
+
+        def joined(all_: Column, begins: Column) -> Column:
+            to = lambda k: F.coalesce(F.try_element_at(begins, k + 2), F.size(all_))
+            text = lambda b, k: F.array_join(F.transform(F.slice(all_, b + 1, to(k) - b), lambda x: x["text"]), "\n\n")
+            return F.transform(begins, lambda b, k: F.struct(p[all_[b]["at"]]["path"].alias("path"), text(b, k).alias("text")))
+
+        begins = lambda all_: F.filter(F.transform(all_, lambda x, k: F.when(x["at"] == x["into"], k)), lambda k: k.isNotNull())
+        return let(pieces, lambda all_: let(begins(all_), lambda b: joined(all_, b)))
+
+    def all_(p: Column) -> Column:
+        small = F.transform(p, lambda x, i: (i > 0) & (token_estimate(x["text"]) < smallest))
+        return let(small, lambda s: F.when(~F.exists(s, lambda x: x), p).otherwise(let(targets(p, s), lambda found: merged(p, s, found))))
 
-    return F.aggregate(parts, F.array().cast(f"array<{_SECTION}>"), step)
+    return let(parts, all_)
 
 
 def chunk(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP, smallest: int = SMALLEST) -> DataFrame:

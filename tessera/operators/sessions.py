@@ -145,3 +145,73 @@ def run_flow(turns: DataFrame, key: str = "session_id", turn: str = "turn_index"
 
     done = rows.select(key, F.explode(F.aggregate("t", start, fold, lambda s: s["out"])).alias("r"))
     return done.select(key, F.col("r.turn").alias(turn), "r.state", "r.misses", "r.action")
+
+
+#: What the machine can be in before a turn: (state, misses).
+_STATES = [(NORMAL, 0), (CONSENT, 0), *((FORM, m) for m in range(MISSES))]
+_BITS = (len(_STATES) - 1).bit_length()
+#: Turns, or chunks of them, that are composed in one row.
+CHUNK = 256
+
+
+def _picked(packed: Column, state: Column) -> Column:
+    """Where a packed map leads from a state's number."""
+    return F.call_function("shiftright", packed, (state * _BITS).cast("int")).bitwiseAND(F.lit((1 << _BITS) - 1).cast("long")).cast("int")
+
+
+def turn_map(signal: Column) -> Column:
+    """A turn as a map over all states, packed into one number: for each state the number of the one that ``step`` leads to."""
+    packed = F.lit(0).cast("long")
+    for k, (state, misses) in enumerate(_STATES):
+        after = step(F.lit(state), F.lit(misses), signal)
+        number = F.coalesce(*(F.when((after["state"] == s) & (after["misses"] == m), n) for n, (s, m) in enumerate(_STATES)))
+        packed = packed + F.shiftleft(number.cast("long"), k * _BITS)
+    return packed
+
+
+def _composed(maps: Column) -> Column:
+    """The map of all turns one after the other; composition is associative."""
+    same = sum(k << k * _BITS for k in range(len(_STATES)))
+
+    def then(done: Column, f: Column) -> Column:
+        packed = F.lit(0).cast("long")
+        for k in range(len(_STATES)):
+            packed = packed + F.shiftleft(_picked(f, _picked(done, F.lit(k))).cast("long"), k * _BITS)
+        return packed
+
+    return F.aggregate(maps, F.lit(same).cast("long"), then)
+
+
+def _before(maps: Column, start: Column) -> Column:
+    """The state's number before each of some maps, and after the last."""
+    return F.aggregate(maps, F.array(start), lambda seen, f: F.concat(seen, F.array(_picked(f, F.element_at(seen, -1)))))
+
+
+def _starts(totals: DataFrame, key: str, chunk: int, levels: int) -> DataFrame:
+    """(key, _at, _start): the state before each of the rows (key, _at, _map). Chunks of rows are composed apart, their totals scanned on the level above."""
+    entries = F.array_sort(F.collect_list(F.struct("_at", "_map"))).alias("_e")
+    maps = F.transform("_e", lambda e: e["_map"])
+    if levels == 0:
+        rows = totals.groupBy(key).agg(entries).withColumn("_start", F.lit(0))
+    else:
+        rows = totals.withColumn("_up", F.floor(F.col("_at") / chunk).cast("long")).groupBy(key, "_up").agg(entries)
+        above = _starts(rows.select(key, F.col("_up").alias("_at"), _composed(maps).alias("_map")), key, chunk, levels - 1)
+        rows = rows.join(above.withColumnRenamed("_at", "_up"), [key, "_up"])
+    return rows.select(key, F.inline(F.arrays_zip(F.transform("_e", lambda e: e["_at"]).alias("_at"), F.slice(_before(maps, F.col("_start")), F.lit(1), F.size("_e")).alias("_start"))))
+
+
+def scan_flow(turns: DataFrame, key: str = "session_id", turn: str = "turn_index", signal: str = "signal", chunk: int = CHUNK, levels: int = 2) -> DataFrame:
+    """``run_flow`` as a parallel scan: the same rows, with no session in one row or task.
+
+    Turns of a session go into chunks by ``turn`` div ``chunk``, which are composed apart; chunks of chunks, ``levels`` times, give the state at which each begins. A session of n
+    turns numbered without gaps has n / chunk^(levels + 1) entries in the widest row. A chunk is one row, so turns of one number are to be few; they are taken in the order of their signals.
+    """
+    rows = turns.select(key, F.col(turn).cast("bigint").alias("_turn"), F.floor(F.col(turn) / chunk).cast("long").alias("_at"), F.col(signal).alias("_signal"))
+    packed = F.array_sort(F.collect_list(F.struct(F.col("_turn").alias("turn"), F.col("_signal").alias("signal"), turn_map(F.col("_signal")).alias("map")))).alias("_t")
+    chunks = rows.groupBy(key, "_at").agg(packed)
+    maps = F.transform("_t", lambda t: t["map"])
+    starts = _starts(chunks.select(key, "_at", _composed(maps).alias("_map")), key, chunk, levels)
+    filled = chunks.join(starts, [key, "_at"]).select(key, F.inline(F.arrays_zip(F.col("_t").alias("t"), F.slice(_before(maps, F.col("_start")), F.lit(1), F.size("_t")).alias("s"))))
+    named = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in _STATES)), F.col("s") + 1)
+    done = filled.select(key, F.col("t.turn").alias(turn), step(named(0), named(1), F.col("t.signal")).alias("r"))
+    return done.select(key, turn, "r.state", "r.misses", "r.action")

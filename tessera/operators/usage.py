@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 COUNTS = ["prompt_tokens", "completion_tokens", "total_tokens"]
@@ -36,22 +36,25 @@ def today(rows: DataFrame, now: Column) -> DataFrame:
     return summary(rows, F.date_trunc("day", now))
 
 
-def turn_usage(turns: DataFrame, rows: DataFrame) -> DataFrame:
-    """(session_id, turn_index, sums) of what a session used from a turn's start (started_at) until its next turn."""
-    from pyspark.sql import Window
+def turn_usage(turns: DataFrame, rows: DataFrame, seconds: int = 3600) -> DataFrame:
+    """(session_id, turn_index, sums) of what a session used from a turn's start (started_at) until its next turn.
 
+    Rows of a session are ordered within spans of ``seconds`` only; the last turn of each span is carried on to later ones, of which there is one row each. So a session
+    that holds most rows is dealt over as many tasks as it has spans.
+    """
     # Both kinds of rows in one order: a usage row belongs to the last turn that started before it or with it.
     starts = turns.select("session_id", F.col("started_at").alias("_at"), F.lit(0).alias("_kind"), "turn_index", *(F.lit(0).cast("long").alias(c) for c in COUNTS))
     used = rows.select("session_id", F.col("created_at").alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(turns.schema["turn_index"].dataType).alias("turn_index"), *(F.col(c).cast("long").alias(c) for c in COUNTS))
-    order = Window.partitionBy("session_id").orderBy("_at", "_kind", "turn_index").rowsBetween(Window.unboundedPreceding, 0)
-    met = starts.unionByName(used).withColumn("turn_index", F.last("turn_index", ignorenulls=True).over(order)).filter("turn_index is not null")
-    return met.groupBy("session_id", "turn_index").agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTS))
-
-
-def file_tickets(tickets: DataFrame, new: DataFrame) -> DataFrame:
-    """Appends tickets: open, not escalated, the parties as JSON."""
-    rows = new.withColumn("parties_involved", F.to_json("parties_involved")).withColumns({"status": F.lit("open"), "escalated": F.lit(False), "trigger_rule": F.lit(None).cast("string"), "sla_deadline": F.lit(None).cast("timestamp"), "redacted_summary": F.lit(None).cast("string")})
-    return tickets.unionByName(rows, allowMissingColumns=True)
+    both = starts.unionByName(used).withColumn("_span", F.floor(F.unix_micros(F.col("_at").cast("timestamp")) / (seconds * 1_000_000)))
+    order = Window.partitionBy("session_id", "_span").orderBy("_at", "_kind", "turn_index").rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("turn_index", F.last("turn_index", ignorenulls=True).over(order))
+    sums = lambda df, *by: df.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in COUNTS))
+    here = sums(met, "session_id", "_span", "turn_index")
+    last = both.groupBy("session_id", "_span").agg(F.max(F.when(F.col("_kind") == 0, F.struct("_at", "turn_index")))["turn_index"].alias("_last"))
+    before = Window.partitionBy("session_id").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).select("session_id", "_span", "_carried")
+    late = here.filter("turn_index is null").join(carried, ["session_id", "_span"]).withColumn("turn_index", F.col("_carried")).select("session_id", "turn_index", *COUNTS)
+    return sums(here.select("session_id", "turn_index", *COUNTS).unionByName(late).filter("turn_index is not null"), "session_id", "turn_index")
 
 
 def latest_events(events: DataFrame) -> DataFrame:

@@ -70,10 +70,13 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     case when i > len(parts) then nullif(buf, '') when buf <> '' and greatest(1, round_even((length(buf) + 1 + length(parts[i])) / 4.0, 0)) > 400 then buf end
   from walk where i <= len(parts) + 1
 )
-select doc_id, count(*) as parts, cast(sum(length(done)) as bigint) as chars, cast(max(length(done)) as bigint) as longest from walk where done is not null group by doc_id""")
+select doc_id, count(*) as parts, cast(sum(length(done)) as bigint) as chars, cast(max(length(done)) as bigint) as longest, sha256(string_agg(sha256(done), '' order by i)) as parts_sha256 from walk where done is not null group by doc_id""")
 def sentence_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.pack_sentences(F.col("text"), 400)).alias("part"))
-    return packed.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum(F.length("part")).alias("chars"), F.max(F.length("part")).cast("long").alias("longest"))
+    packed = table(spark, sf_dir, "documents").select("doc_id", T.pack_sentences(F.col("text"), 400).alias("parts"))
+    sizes = F.transform("parts", F.length)
+    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda s, n: s + n)
+    shown = F.sha2(F.array_join(F.transform("parts", lambda x: F.sha2(x, 256)), ""), 256)
+    return packed.filter(F.size("parts") > 0).select("doc_id", F.size("parts").cast("long").alias("parts"), total.alias("chars"), F.array_max(sizes).cast("long").alias("longest"), shown.alias("parts_sha256"))
 
 
 @query(rf"""with recursive given as (select doc_id, list_filter(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda x: x <> '') as blocks from documents), {_packed_sql("given", "doc_id", 60, 20)}

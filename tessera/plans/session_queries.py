@@ -116,6 +116,12 @@ def session_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_flow(_signals(spark, sf_dir))
 
 
+@query(ORACLE_SQL["session_flow"])
+def session_flow_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by composing chunks of three turns."""
+    return S.scan_flow(_signals(spark, sf_dir), chunk=3)
+
+
 @query(f"""with old as (select session_id, max(turn_index) as m from {_TURNS} where turn_index < 3 group by session_id), n as (select session_id, turn_index as seq, content from {_TURNS} where turn_index >= 3)
 select session_id, turn_index, content from {_TURNS} where turn_index < 3
 union all select n.session_id, coalesce(o.m, -1) + row_number() over (partition by n.session_id order by n.seq) as turn_index, n.content from n left join old o using (session_id)""")

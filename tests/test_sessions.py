@@ -115,6 +115,27 @@ def test_stream_equals_fold(spark, tmp_path):
     assert got == want and len({r[4] for r in want}) >= 7
 
 
+def test_scan_equals_fold(spark):
+    """Sessions of one to fifty thousand turns, with gaps, by chunks of any width."""
+    flag = lambda k: F.pmod(F.xxhash64("session_id", "turn_index", F.lit(k)), F.lit(7)) < (k % 3 + 1)
+    signal = F.struct(flag(1).alias("cancel"), flag(2).alias("file"), flag(3).alias("complaint"), flag(5).alias("form"))
+    some = spark.range(4000).select((F.col("id") % 37).alias("session_id"), F.floor(F.col("id") / 37 * (F.col("id") % 37 + 1)).cast("long").alias("turn_index")).distinct()
+    some = some.withColumn("signal", F.when(F.col("turn_index") % 11 != 0, signal))
+    want = sorted(map(tuple, S.run_flow(some).collect()))
+    for chunk, levels in ((1, 0), (5, 3)):
+        assert sorted(map(tuple, S.scan_flow(some, chunk=chunk, levels=levels).collect())) == want
+    n = 50_000
+    long = spark.range(n).select(F.lit(1).alias("session_id"), F.col("id").alias("turn_index")).withColumn("signal", signal)
+    rows = S.scan_flow(long).orderBy("turn_index").collect()
+    state, misses = "normal", 0
+    for r, g in zip(rows, long.select("signal.*").collect()):
+        state, misses, action = flows.advance(state, misses, g["cancel"], g["file"], g["complaint"], g["form"])
+        assert (r["state"], r["misses"], r["action"]) == (state, misses, action)
+    assert len(rows) == n and len({r["action"] for r in rows}) == 8
+    widest = long.groupBy(F.floor(F.col("turn_index") / S.CHUNK)).count().agg(F.max("count")).first()[0]
+    assert widest == S.CHUNK
+
+
 def test_stream_documents(spark, tmp_path, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs.coalesce(1).write.parquet(str(tmp_path / "d"))
@@ -173,3 +194,19 @@ def test_usage_goes_to_the_last_turn_that_started(spark):
     rows = spark.createDataFrame([("s", at(0), 9, 9, 9), ("s", at(1), 1, 0, 1), ("s", at(4), 2, 0, 2), ("s", at(5), 4, 0, None), ("s", at(9), 8, 0, 8), ("u", at(1), 7, 7, 7)], "session_id string, created_at timestamp, prompt_tokens int, completion_tokens int, total_tokens int")
     got = {(r["session_id"], r["turn_index"]): (r["prompt_tokens"], r["total_tokens"]) for r in U.turn_usage(starts, rows).collect()}
     assert got == {("s", 0): (3, 3), ("s", 1): (0, 0), ("s", 2): (12, 8), ("t", 0): (0, 0)}
+    for seconds in (1, 60, 240, 10**6):
+        assert {(r["session_id"], r["turn_index"]): (r["prompt_tokens"], r["total_tokens"]) for r in U.turn_usage(starts, rows, seconds).collect()} == got
+
+
+def test_usage_of_one_long_session(spark):
+    """Spans without a turn's start, and rows before the first, in a session that holds all rows."""
+    second = lambda c: F.timestamp_seconds(F.lit(1_700_000_000) + c)
+    starts = spark.range(50).select(F.lit("s").alias("session_id"), F.col("id").alias("turn_index"), second(F.col("id") * F.col("id") * 97 + 500).alias("started_at"))
+    rows = spark.range(30_000).select(F.lit("s").alias("session_id"), second(F.col("id") * 9).alias("created_at"), *(F.col("id").alias(c) for c in U.COUNTS))
+    got = {r["turn_index"]: r["total_tokens"] for r in U.turn_usage(starts, rows).collect()}
+    want = dict.fromkeys(range(50), 0)
+    for i in range(30_000):
+        turn = max((k for k in range(50) if k * k * 97 + 500 <= i * 9), default=None)
+        if turn is not None:
+            want[turn] += i
+    assert got == want
