@@ -15,37 +15,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-SPACE_ENDS = r"^\s+|\s+$"
+_SPACE = " \t\n\x0b\x0c\r"
 #: The colour of a notice by severity, and of any other.
 SEVERITY_COLOURS = {"low": "#6b7280", "medium": "#d97706", "high": "#ea580c", "critical": "#dc2626"}
 OTHER_COLOUR = "#6b7280"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, also where ``body`` names it in lambdas."""
+    """``body`` of a value that is computed once, also where ``body`` names it in lambdas. The result is copied."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str, width: int = 128) -> Column:
+def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str, width: int = 32) -> Column:
     """An array of what ``step(state, item)``, a struct(state, out), puts out for each item; ``kind`` is its type.
 
     Items put out are gathered ``width`` at a time, so that none is copied more than some ``width`` times.
     """
-    begin = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("open"))
+    # What the last item gave is put away with the next one, so that ``step`` is evaluated once and nothing gathered passes through ``let``, which copies.
+    begin = F.struct(F.array().cast(f"array<array<{kind}>>").alias("full"), F.array().cast(f"array<{kind}>").alias("open"), F.struct(start.alias("state"), F.lit(None).cast(kind).alias("out")).alias("last"), F.lit(True).alias("first"))
 
     def go(a: Column, x: Column) -> Column:
-        over = F.size(a["open"]) >= width
-        return let(step(a["state"], x), lambda r: F.struct(
-            r["state"].alias("state"), F.when(over, F.concat(a["full"], F.array(a["open"]))).otherwise(a["full"]).alias("full"),
-            F.when(over, F.array(r["out"])).otherwise(F.concat(a["open"], F.array(r["out"]))).alias("open"),
-        ))
+        over, last = F.size(a["open"]) >= width, F.array(a["last"]["out"])
+        full = F.when(over, F.concat(a["full"], F.array(a["open"]))).otherwise(a["full"])
+        open_ = F.when(a["first"], a["open"]).when(over, last).otherwise(F.concat(a["open"], last))
+        return F.struct(full.alias("full"), open_.alias("open"), step(a["last"]["state"], x).alias("last"), F.lit(False).alias("first"))
 
-    return F.aggregate(items, begin, go, lambda a: F.flatten(F.concat(a["full"], F.array(a["open"]))))
+    def end(a: Column) -> Column:
+        return F.flatten(F.concat(a["full"], F.array(F.when(a["first"], a["open"]).otherwise(F.concat(a["open"], F.array(a["last"]["out"]))))))
+
+    return F.aggregate(items, begin, go, end)
 
 
 def strip(text: Column) -> Column:
     """All white space off both ends."""
-    return F.regexp_replace(text, SPACE_ENDS, "")
+    return F.btrim(text, F.lit(_SPACE))
 
 
 @F.pandas_udf(StringType())
@@ -97,7 +100,7 @@ _LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 def lines(text: Column) -> Column:
     """Lines of a text, whatever ends them; a line end at the very end opens no further line."""
     plain = F.when(text.rlike("[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), F.regexp_replace(text, _LINE_END, "\n")).otherwise(text)
-    return F.split(F.regexp_replace(plain, r"\n\z", ""), "\n")
+    return F.split(F.when(F.endswith(plain, F.lit("\n")), F.left(plain, F.length(plain) - 1)).otherwise(plain), "\n")
 
 
 def is_table(block: Column) -> Column:
@@ -162,8 +165,8 @@ def pack_blocks(parts: Column, target: Column | int, overlap: Column | int) -> C
             full = (s["at"] > s["a"]) & (s["n"] + n > target)
             run = F.array(F.struct(s["a"].alias("a"), s["at"].alias("b")))
             state = lambda done, a, n_: F.struct(done.alias("done"), a.alias("a"), (s["at"] + 1).alias("at"), n_.cast("int").alias("n"))
-            closed = let(handed(s["a"], s["at"]), lambda h: state(F.concat(s["done"], run), s["at"] - h["kept"], h["n"] + n))
-            return F.when(full, closed).otherwise(state(s["done"], s["a"], s["n"] + n))
+            h = handed(s["a"], s["at"])  # of a few blocks, so it is rather found twice than ``done`` copied
+            return F.when(full, state(F.concat(s["done"], run), s["at"] - h["kept"], h["n"] + n)).otherwise(state(s["done"], s["a"], s["n"] + n))
 
         none = F.array().cast("array<struct<a:int,b:int>>")
         start = F.struct(none.alias("done"), F.lit(0).alias("a"), F.lit(0).alias("at"), F.lit(0).alias("n"))

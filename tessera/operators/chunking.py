@@ -60,7 +60,7 @@ def sections(body: Column, title: Column) -> Column:
     def paths(found: Column) -> Column:
         def step(above: Column, h: Column) -> Column:
             now = F.transform(above, lambda name, k: F.when(k + 1 < h["level"], name).when(k + 1 == h["level"], h["name"]))
-            return let(now, lambda names: F.struct(names.alias("state"), F.array_compact(names).alias("out")))
+            return let(now, lambda names: F.struct(names.alias("state"), F.array_compact(names).alias("out")))  # six names at most
 
         return scan(found, F.array_repeat(F.lit(None).cast("string"), 6), step, "array<string>")
 
