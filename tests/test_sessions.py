@@ -136,6 +136,67 @@ def test_scan_equals_fold(spark):
     assert widest == S.CHUNK
 
 
+def test_stream_memory_equals_the_batch_operators(spark, tmp_path):
+    """Four triggers, each in a query of its own that starts from the checkpoint of the one before."""
+    random.seed(8)
+    kind = "session_id string, role string, content string, created_at long"
+    parts, at = [], 0
+    for _ in range(4):
+        rows = []
+        for s in range(6):
+            for _ in range(random.choice([0, 1, 4, 9])):
+                rows.append((f"s{s}", random.choice(["user", "assistant"]), f"m{at}", at))
+                at += 1
+        parts.append(rows)
+    turns = spark.createDataFrame([], "session_id string, turn_index long, role string, content string, created_at long")
+    summaries = spark.createDataFrame([], "session_id string, employee_id string, summary_text string, summarized_through_turn long, updated_at long")
+    want, total = [], 0
+    for n, rows in enumerate(parts):
+        turns = spark.createDataFrame(S.append_turns(turns, spark.createDataFrame(rows, kind)).select(*turns.columns).collect(), turns.schema)
+        due = S.due_summaries(turns, summaries, 4, 3)
+        want += [tuple(r) for r in S.evicted_turns(turns, due).select("session_id", "turn_index", "role", "content", "through", "watermark").collect()]
+        new = due.select("session_id", F.lit(None).cast("string").alias("employee_id"), F.lit("s").alias("summary_text"), F.col("watermark").alias("summarized_through_turn"), F.lit(n).cast("long").alias("updated_at"))
+        summaries = spark.createDataFrame(S.upsert_summaries(summaries, new).collect(), summaries.schema)
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = flows.stream_memory(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), 4, 3)
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = sorted(map(tuple, spark.read.schema(flows.EVICTED).parquet(str(tmp_path / "out")).collect()))
+        assert got == sorted(want)
+        total += len(rows)
+    assert len(want) > 20 and len({(r[0], r[1]) for r in want}) == len(want)
+
+
+def test_outbox_writes_each_record_once(spark, tmp_path):
+    """A batch that fails before and after its commit, a batch that comes twice, and a record that comes in two batches."""
+    from tessera.sources.store import Store
+
+    kind = "ticket_id string, rule string, severity string, deadline string, summary string, channel string"
+    record = lambda k: (f"t{k}", "danger_scan", "critical", "2024-01-01", f"s{k}", "mock")
+    failing = {"data of outbox", "snapshot put"}
+
+    def after(step):
+        if step in failing:
+            failing.remove(step)
+            raise RuntimeError(step)
+
+    store = Store(spark, f"file://{tmp_path}/store", after)
+    for rows in ([record(1), record(2)], [record(2), record(3)]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = lambda: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    failures = 0
+    for _ in range(4):
+        q = flows.stream_outbox(source(), store).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination(120)
+            break
+        except Exception:
+            failures += 1
+    assert failures == 2 and not failing
+    sent = sorted(r["ticket_id"] for r in store.read("outbox").collect())
+    assert sent == ["t1", "t2", "t3"] and store.properties()["batch.outbox"] == 1 and store.versions() == [1, 2]
+
+
 def test_stream_documents(spark, tmp_path, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs.coalesce(1).write.parquet(str(tmp_path / "d"))
