@@ -200,6 +200,17 @@ def history_block(turns: Column, empty: str = "(none)") -> Column:
     return F.when(F.coalesce(F.size(turns), F.lit(0)) > 0, shown).otherwise(F.lit(empty))
 
 
+#: Letters whose case folding has two letters, or that have two lower-case forms.
+_FOLDED = (("\u0130", "i\u0307"), ("\u1e9e", "ss"), ("\u00df", "ss"), ("\u03c2", "\u03c3"))
+
+
+def fold_case(text: Column) -> Column:
+    """Text for comparison without regard to case: a sharp s is two letters, both sigmas are one, a dotted I keeps its dot. Ligatures stay as they are."""
+    for letter, by in _FOLDED:
+        text = F.replace(text, F.lit(letter), F.lit(by))
+    return F.replace(F.lower(F.upper(text)), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def humanize(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import is_page_number
-from ..functions.text import strip
+from ..functions.text import fold_case, strip
 
 MARGIN, REPEATED = 0.10, 0.6
 LARGER, LONGEST, DEEPEST = 0.9, 90, 3
@@ -64,9 +64,9 @@ def in_margin(share: float = MARGIN) -> Column:
 
 
 def repeated_lines(lines: DataFrame, least: Column | int, key: str = "doc") -> DataFrame:
-    """(key, folded): lower-cased lines that occur at least so often for their key."""
+    """(key, folded): lines without regard to case that occur at least so often for their key."""
     least = F.lit(least) if isinstance(least, int) else least
-    return lines.groupBy(key, F.lower("text").alias("folded")).agg(F.count("*").alias("times")).filter(F.col("times") >= least)
+    return lines.groupBy(key, fold_case(F.col("text")).alias("folded")).agg(F.count("*").alias("times")).filter(F.col("times") >= least)
 
 
 def drop_chrome(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -76,9 +76,9 @@ def drop_chrome(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """
     pages = lines.groupBy("doc").agg(F.countDistinct("page").alias("pages")) if pages is None else pages
     margin = lines.filter(in_margin())
-    counts = margin.groupBy("doc", F.lower("text").alias("_folded")).agg(F.count("*").alias("_times"))
+    counts = margin.groupBy("doc", fold_case(F.col("text")).alias("_folded")).agg(F.count("*").alias("_times"))
     chrome = counts.join(pages, "doc").filter(F.col("_times") >= F.greatest(F.lit(2.0), F.lit(REPEATED) * F.col("pages"))).select("doc", "_folded", F.lit(True).alias("_chrome"))
-    marked = lines.withColumn("_folded", F.lower("text")).join(chrome, ["doc", "_folded"], "left")
+    marked = lines.withColumn("_folded", fold_case(F.col("text"))).join(chrome, ["doc", "_folded"], "left")
     drop = in_margin() & (F.col("_chrome").isNotNull() | is_page_number(F.col("text")))
     return marked.filter(~drop).drop("_folded", "_chrome")
 

@@ -29,12 +29,13 @@ def retrieval_metrics(ranks: DataFrame, top_k: int, depths: list[int] = DEPTHS)
 
 def correctness(results: DataFrame, group: str = "category") -> DataFrame:
     """(group, total, correct, rate) for every group and, with a null group, over all; empty input has no rows but the overall one of rate 0."""
-    right = F.sum(F.when(F.col("correct"), 1).otherwise(0))
-    groups = results.groupBy(group).agg(F.count("*").alias("total"), right.alias("correct"), F.lit(False).alias("overall"))
-    # Over the few rows of the groups; a global aggregate has its one row also where there is none.
-    everything = groups.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"), F.coalesce(F.sum("correct"), F.lit(0)).alias("correct"), F.lit(True).alias("overall"))
-    rows = groups.unionByName(everything.withColumn(group, F.lit(None).cast(results.schema[group].dataType)))
-    return rows.select(group, "total", "correct", F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(F.lit(0.0)).alias("rate"), "overall")
+    # A row that counts for nothing gives the total over all also where there is no other.
+    kind = results.schema[group].dataType
+    rows = results.select(F.col(group), F.coalesce(F.col("correct").cast("int"), F.lit(0)).alias("_right"), F.lit(1).alias("_n"))
+    none = results.sparkSession.range(1).select(F.lit(None).cast(kind).alias(group), F.lit(0).alias("_right"), F.lit(0).alias("_n"))
+    sets = rows.unionByName(none).groupingSets([[F.col(group)], []], F.col(group))
+    counted = sets.agg(F.sum("_n").alias("total"), F.sum("_right").alias("correct"), (F.grouping(group) == 1).alias("overall")).filter("overall or total > 0")
+    return counted.select(group, "total", "correct", F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(F.lit(0.0)).alias("rate"), "overall")
 
 
 def escalation_correct(expected_flag: Column, expected_rule: Column, flag: Column, rule: Column) -> Column:

@@ -209,7 +209,7 @@ def redact_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probes(spark, sf_dir).select("id", P.redact(F.col("text")).alias("redacted"))
 
 
-@query(r"""with l as (select lower(unnest(string_split(regexp_replace(text, '\n$', ''), chr(10)))) as folded from documents)
+@query(r"""with l as (select replace(lower(unnest(string_split(regexp_replace(text, '\n$', ''), chr(10)))), 'ß', 'ss') as folded from documents)
 select folded, count(*) as times from l where folded <> '' group by folded having count(*) >= 3""")
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that three documents or more share, as page chrome is found over pages."""
@@ -269,10 +269,10 @@ def paragraph_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc", F.size(blocks).cast("long").alias("blocks"), F.size(F.filter(blocks, lambda b: b.rlike(r"^#{1,3} "))).cast("long").alias("headings"), F.sha2("markdown", 256).alias("markdown_sha256"))
 
 
-@query(f"""with {_LAYOUT_SQL}, margin as (select doc, lower(text) as folded, count(*) as n from lines where top + 10 <= 14 or top >= 126 group by doc, lower(text)),
+@query(f"""with {_LAYOUT_SQL}, margin as (select doc, replace(lower(text), 'ß', 'ss') as folded, count(*) as n from lines where top + 10 <= 14 or top >= 126 group by doc, replace(lower(text), 'ß', 'ss')),
 pages as (select doc, count(distinct page) as pages from lines group by doc)
 select l.doc, count(*) as kept, sha256(string_agg(l.text, chr(10) order by l.page, l.top, l.text)) as kept_sha256 from lines l where not ((top + 10 <= 14 or top >= 126) and (regexp_matches(l.text, '(?i)^(page\\s+)?\\d+(\\s+of\\s+\\d+)?$')
-  or lower(l.text) in (select folded from margin m join pages p using (doc) where m.doc = l.doc and m.n >= greatest(2, 0.6 * p.pages)))) group by l.doc""")
+  or replace(lower(l.text), 'ß', 'ss') in (select folded from margin m join pages p using (doc) where m.doc = l.doc and m.n >= greatest(2, 0.6 * p.pages)))) group by l.doc""")
 def page_chrome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.drop_chrome(_layout_lines(table(spark, sf_dir, "documents"))).groupBy("doc").agg(F.count("*").alias("kept"), _texts().alias("kept_sha256"))
 
@@ -302,9 +302,16 @@ def message_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", shape["chars"].cast("long").alias("chars"), shape["words"].alias("words"))
 
 
-_ANY = {"danger": P.DANGER, "retaliation": P.RETALIATION, "injection": P.INJECTION, "escalate": P.CONSENT_ESCALATE, "file": P.CONSENT_FILE, "cancel": P.CANCEL}
-_RE = {k: "(?i)" + "|".join(v).replace("'", "''") for k, v in _ANY.items()}
-_RE["abuse"] = r"(?i)\b(?:" + "|".join(P.ABUSE) + ")"
+# The patterns as the rules define them, written out here so that the SQL does not depend on the library's own.
+_RE = {
+    "danger": r"(?i)\bweapon\b|\bgun\b|\bknife\b|\bhurt(?:ing)? (?:myself|someone|him|her|them)\b|\bkill(?:ing)? (?:myself|him|her|them|me)\b|\bsuicid\w*\b|\bself[- ]harm\w*\b|\bassault(?:ed|ing)?\b|\bthreaten(?:ed|ing)?\s+me\b|\bafraid for my (?:life|safety)\b|\bnot safe (?:here|at work|going back)\b|\bmight (?:hit|hurt|attack) me\b|\bknows? where i live\b",
+    "retaliation": r"(?i)\bfire(?:d)? (?:me )?for reporting\b|\bretaliat\w*\b|\bif i report\b|\bafraid (?:i''?ll|to) lose my job\b|\bpunish(?:ed|ing)? me\b",
+    "injection": r"(?i)ignore (all |any )?(previous|prior|above|earlier) instructions|disregard (your |the )?(system )?prompt|\byou are now\b|new instructions\s*:|(reveal|print|show|output) (your |the )?(system )?prompt",
+    "escalate": r"(?i)^\s*\(?b\)?\b|\boption b\b|\bescalate\b|\bstraight to hr\b|\bskip (?:the )?form\b|\bjust (?:escalate|get me to hr)\b",
+    "file": r"(?i)^\s*\(?a\)?\b|\boption a\b|\bfile (?:a |the )?(?:ticket|complaint)\b|\bfill (?:out|in) the form\b|\bdescribe it\b|\buse the form\b",
+    "cancel": r"(?i)\bcancel\b|\bnever ?mind\b|\bforget it\b",
+    "abuse": r"(?i)\b(?:fuck|fucking|shit|bitch|asshole|bastard|cunt|whore|retard|retarded)",
+}
 
 _ESCALATION_SQL = f"""(select id, text, category, severity, case when regexp_matches(text, '{_RE["danger"]}') then 'danger_scan' when category in ('harassment', 'discrimination', 'safety', 'legal') then 'mandatory_category'
   when regexp_matches(text, '{_RE["retaliation"]}') then 'retaliation_floor' when severity in ('high', 'critical') then 'severity_escalation' end as rule from {PROBES_SQL})"""
@@ -450,12 +457,12 @@ def source_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""with c as (select doc_id as doc, i as line, p as pos, substr(x, p, 1) as char, case when (p + i) % 7 = 0 then 0.0 else 9.0 + (i % 4) end as size, case when p % 3 < i % 4 then 'Times-Bold' else 'Times' end as font
-  from (select doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) as x, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) - 1 as i from documents where doc_id % 10 = 0), unnest(generate_series(1, length(x))) as u(p)),
+  from (select doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) as x, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) - 1 as i from documents), unnest(generate_series(1, length(x))) as u(p)),
 g as (select doc, line, regexp_replace(string_agg(char, '' order by pos), '^\s+|\s+$', '', 'g') as text, coalesce(round_even(2 * avg(size) filter (size <> 0), 0) / 2, 0) as size, 2 * count(*) filter (contains(lower(font), 'bold')) >= count(*) as bold from c group by doc, line)
 select doc, cast(line as integer) as line, sha256(text) as text_sha256, size, bold from g where text <> ''""")
 def character_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth document letter by letter, set in sizes and fonts that the letters' places give: the lines they make."""
-    rows = table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select(F.col("doc_id").alias("doc"), F.posexplode(T.lines(F.col("text"))).alias("line", "x"))
+    """Every document letter by letter, set in sizes and fonts that the letters' places give: the lines they make."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(T.lines(F.col("text"))).alias("line", "x"))
     chars = rows.select("doc", "line", F.posexplode(F.filter(F.split("x", ""), lambda c: c != "")).alias("pos", "char")).withColumn("pos", F.col("pos") + 1)
     size = F.when((F.col("pos") + F.col("line")) % 7 == 0, 0.0).otherwise(9.0 + F.col("line") % 4)
     font = F.when(F.col("pos") % 3 < F.col("line") % 4, "Times-Bold").otherwise("Times")
@@ -472,20 +479,20 @@ def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {_MANIFEST_SQL}, cur as (select cast(doc_id as varchar) as name, sha256(text) as sha256, text, lang, doc_id from documents where length(text) > 0),
 plan as (select coalesce(c.name, m.name) as name, case when c.name is null then 'deleted' when m.name is null then 'new' when c.sha256 = m.sha256 then 'unchanged' else 'changed' end as status from cur c full outer join manifest m on c.name = m.name),
 todo as (select c.* from cur c join plan p using (name) where p.status in ('new', 'changed'))
-select p.name, p.status, case when p.status = 'unchanged' then 'old' when p.status <> 'deleted' and t.lang in ('en', 'de') then 'd' || t.name end as doc_id,
-  case when p.status not in ('unchanged', 'deleted') and t.lang not in ('en', 'de') then 'unknown category' end as error from plan p left join todo t using (name)""")
+select p.name, p.status, case when p.status = 'unchanged' then 'old' when p.status <> 'deleted' and t.lang in ('en', 'de') and regexp_matches(t.text, '\\S') then 'd' || t.name end as doc_id,
+  case when p.status not in ('unchanged', 'deleted') then case when t.lang not in ('en', 'de') then 'unknown category' when not regexp_matches(t.text, '\\S') then 'no chunks' end end as error from plan p left join todo t using (name)""")
 def ingest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run over documents as Markdown files of one short section: the plan, the manifest after it, and what was refused."""
+    """A run over documents under a header as Markdown files: the plan, the manifest after it, and what was refused."""
     docs = table(spark, sf_dir, "documents").filter("length(text) > 0")
     n = F.col("doc_id")
-    now = docs.select(n.cast("string").alias("name"), F.sha2("text", 256).alias("sha256"), "lang")
+    now = docs.select(n.cast("string").alias("name"), F.sha2("text", 256).alias("sha256"), "lang", "text")
     manifest = _manifest(docs).select("name", "sha256", F.lit("old").alias("doc_id"), F.lit("old.md").alias("processed_file"), F.lit(1).cast("long").alias("chunk_count"))
     plan = ingest.plan_changes(now, manifest)
     category = F.when(F.col("lang") == "en", "leave").when(F.col("lang") == "de", "payroll").otherwise(F.col("lang"))
-    markdown = F.concat(F.lit("---\ndoc_id: d"), "name", F.lit("\ntitle: T\ncategory: "), category, F.lit("\n---\nSome words.\n"))
+    markdown = F.concat(F.lit("---\ndoc_id: d"), "name", F.lit("\ntitle: T\ncategory: "), category, F.lit("\n---\n"), F.col("text"))
     todo = now.join(plan.filter("status in ('new', 'changed')"), "name", "left_semi").select("name", "sha256", markdown.alias("markdown"), F.lit(None).cast("string").alias("error"))
     _, rows, errors = ingest.ingested(todo)
-    after = ingest.next_manifest(manifest, plan, rows).filter("chunk_count = 1").select("name", F.col("doc_id").alias("doc_id"))
+    after = ingest.next_manifest(manifest, plan, rows).select("name", "doc_id")
     # A refused file that was there before keeps its old row until it can be read.
     refused = errors.select("name", "error")
     return plan.join(after, "name", "left").join(refused, "name", "left").select("name", "status", F.when(F.col("error").isNull(), F.col("doc_id")).alias("doc_id"), "error")

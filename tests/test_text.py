@@ -121,3 +121,38 @@ def test_notice_page_is_escaped(spark):
     assert "a &lt; b" in page and "&lt;x&gt;" in page and "<x>" not in page and "#ea580c" in page
     bare = notice(spark, T.notice_html, severity="unknown", parties=None, incident=None, outcome=None, category=None)
     assert "#6b7280" in bare and "People Involved" not in bare
+
+
+def test_case_is_folded_as_by_definition(spark):
+    """Two texts are the same but for case where their full case foldings are; the folded texts themselves may look different."""
+    pairs = [("Stra\u00dfe", "STRASSE"), ("stra\u00dfe", "strasse"), ("\u03a3\u03af\u03c3\u03c5\u03c6\u03bf\u03c2", "\u03a3\u038a\u03a3\u03a5\u03a6\u039f\u03a3"), ("\u0130x", "i\u0307X"), ("\u00c9", "\u00e9"), ("I", "\u0131"), ("e", "\u00e9"), ("abc", "abd"), ("\u01c5", "\u01c6")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select((T.fold_case(F.col("a")) == T.fold_case(F.col("b"))).alias("same"), "a", "b").collect()
+    for r in rows:
+        if (r["a"], r["b"]) != ("I", "\u0131"):  # the dotless i shares its upper-case letter with i
+            assert r["same"] == (r["a"].casefold() == r["b"].casefold()), r
+
+
+def test_lines_end_as_they_do(spark):
+    ends = ["\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    texts = ["", "a", "\n", "a\n\nb", "a\r\r\nb\r", *(f"a{e}b{e}{e}c{e}" for e in ends)]
+    got = [r["l"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.lines(F.col("t")).alias("l")).collect()]
+    assert got == [t.splitlines() or [""] for t in texts]
+
+
+def test_time_grows_with_length(spark):
+    """Ten times the text may take some twenty times as long, not a hundred."""
+    import time
+
+    line = "Some words in a line of text that ends here. And another one follows it!\n\n## Part {}\n\n"
+    took = []
+    for n in (200, 2000):
+        text = "".join(line.format(i % 50) for i in range(n))
+        df = spark.createDataFrame([(text,)] * 2, "t string").coalesce(1)
+        from tessera.operators.chunking import merge_small, sections
+
+        column = F.size(F.flatten(F.transform(merge_small(sections(F.col("t"), F.lit("x"))), lambda s: T.split_text(s["text"], 60, 20))))
+        df.select(column).collect()
+        began = time.time()
+        df.select(column).collect()
+        took.append(time.time() - began)
+    assert took[1] < 25 * max(took[0], 0.2)
