@@ -358,16 +358,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes, nodes_at = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n", "x.id", "x.tokens"), "nodes")
 
     need = F.ceil(F.col("n") * percent / 100)
-    homes = nodes.select("node", (F.size("tokens") / F.col("n")).alias("share"), F.explode(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - need + 1).cast("int"))).alias("shingle"))
+    homes = nodes.select("node", "n", (F.size("tokens") / F.col("n")).alias("share"), F.explode(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - need + 1).cast("int"))).alias("shingle"))
     homes, homes_at = scratch.write(homes, "homes")
-    elected = homes.groupBy("shingle").agg(F.max(F.struct("share", -F.col("node"))).alias("x"), F.count("*").alias("members")).filter("members > 1")
-    elected, elected_at = scratch.write(elected.select("shingle", (-F.col("x.col2")).alias("pivot")), "pivots")
-    pairs = homes.join(elected, "shingle").filter("node <> pivot").select("node", "pivot").distinct()
+    elected = homes.groupBy("shingle").agg(F.max(F.struct("share", (-F.col("node")).alias("node"), "n")).alias("x"), F.count("*").alias("members")).filter("members > 1")
+    elected, elected_at = scratch.write(elected.select("shingle", (-F.col("x.node")).alias("pivot"), F.col("x.n").alias("pivot_n")), "pivots")
+    # Sizes rule most pairs out before any token array is sent.
+    fits = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
+    pairs = homes.join(elected, "shingle").filter("node <> pivot").filter(fits).select("node", "pivot").distinct()
     left = nodes.select("node", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
     right = nodes.select(F.col("node").alias("pivot"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
     common = F.size(F.array_intersect("t1", "t2"))
-    fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    links = pairs.join(left, "node").join(right, "pivot").filter(fits).filter(common * 100 >= (F.col("n1") + F.col("n2") - common) * percent)
+    links = pairs.join(left, "node").join(right, "pivot").filter(common * 100 >= (F.col("n1") + F.col("n2") - common) * percent)
     links, links_at = scratch.write(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "links")
     joined = components(links, scratch)
     known = nodes.select("node", "n", F.size("tokens").alias("weight")).join(joined, "node", "left").select("node", "n", "weight", F.coalesce("component", "node").alias("component"))
@@ -375,7 +376,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Neighbourhoods whose members are not all in one component yet.
     mixed = homes.select("shingle", "node").join(known, "node").groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    regions = homes.select("shingle", "node").join(mixed.select("shingle").join(elected, "shingle"), "shingle").select(F.col("pivot").cast("string").alias("region"), "node", F.lit(False).alias("stuck")).distinct()
+    regions = homes.select("shingle", "node").join(mixed.select("shingle").join(elected.drop("pivot_n"), "shingle"), "shingle").select(F.col("pivot").cast("string").alias("region"), "node", F.lit(False).alias("stuck")).distinct()
     regions, _ = scratch.write(regions, "regions")
     final = _join_regions(regions, nodes, known, percent, scratch)
 
@@ -391,9 +392,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component, all columns: that of the smallest id; rows without an id stay. Of equal rows one stays.
+    """One row of each component, all columns: that of the smallest id and, among its rows, of the smallest number; rows without an id or without words,
+    which link with nothing, all stay.
 
-    Rows are numbered and told apart by their number, since an id may stand for several texts.
+    Rows are numbered in the order in which they are read and told apart by their number, since an id may stand for several texts, and a text for rows that differ elsewhere.
     """
     number, key = "__tessera_row", F.col(f"`{id_col}`").cast("long").alias("__tessera_id")
     rows, _ = Scratch(docs.sparkSession, "numbered").write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
@@ -401,4 +403,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = near_duplicates(named, number, text_col, **options).join(named.select(number, key), number)
     kept = found.groupBy("component_id").agg(F.min(F.struct("__tessera_id", number)).alias("x")).select(F.col(f"x.{number}").alias("__tessera_kept"))
     one = named.join(kept, F.col(number) == F.col("__tessera_kept"), "left_semi").drop(number)
-    return one.dropDuplicates([id_col, text_col]).unionByName(rows.filter(key.isNull()).drop(number))
+    return one.unionByName(rows.filter(key.isNull()).drop(number))

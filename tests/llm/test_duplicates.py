@@ -247,3 +247,14 @@ def test_repeated_ids_keep_one_row_of_each_component(spark):
     rows = [(5, text("a")), (5, text("b")), (3, text("b", " end")), (7, text("c")), (7, text("c", " end")), (8, text("d")), (8, text("d")), (None, text("a"))]
     got = [tuple(r) for r in J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted((i or 0, t[0]) for i, t in got) == [(0, "a"), (3, "b"), (5, "a"), (7, "c"), (8, "d")]
+
+
+def test_rows_that_differ_elsewhere_are_told_apart(spark):
+    """Rows of one id and text with other columns: without words all stay, equal or not; of linked ones the first that is read."""
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(2, "", "u1"), (2, "", "u2"), (2, "", "u2"), (2, None, "u3"), (4, words, "u4"), (4, words, "u5"), (3, words + " end", "u6"), (9, "  ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, url string").coalesce(1)
+    got = sorted((tuple(r) for r in J.keep_one(df).collect()), key=repr)
+    assert got == sorted([*rows[:4], rows[6], rows[7]], key=repr)
+    same = J.keep_one(df.filter("doc_id = 4")).collect()
+    assert [tuple(r) for r in same] == [rows[4]]
