@@ -7,8 +7,8 @@ Edge cases
 ----------
 * null, empty or blank texts are neither toxic, near-duplicates nor contaminated: they stay and encode to no ids;
 * a null id: the row is judged by its own text where a stage needs no other rows (toxicity, benchmark) and is left as it is by the others;
-* repeated ids: rows are told apart by themselves. Of near-duplicate rows one stays, of equal rows one; rows with one id and different texts all
-  stay, and no row of an id loses windows to another of the same id;
+* repeated ids: rows are told apart by themselves. Of near-duplicate rows with words one stays, and all rows without words; rows with one id and
+  different texts all stay, and no row of an id loses windows to another of the same id;
 * a text that loses all words stays as an empty one, and so does its row;
 * texts of any length are taken whole; empty tables give empty results, and without labels or items nothing goes for their sake;
 * extra columns of documents pass all stages but the last, whatever their names.
