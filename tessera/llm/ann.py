@@ -86,8 +86,8 @@ class Codes:
         with np.errstate(over="ignore"):
             return cls(_pack(turned > 0), most[:, 0] * scaled, np.abs(turned).sum(axis=1) / np.sqrt(vectors.shape[1]), vectors.shape[1])
 
-    def bounds(self, query: np.ndarray, p: np.ndarray, random: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """Estimates of the inner products with ``query`` and how far off they may be."""
+    def bounds(self, query: np.ndarray, p: np.ndarray, random: np.random.Generator, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+        """Estimates of the inner products with ``query`` and how far off they may be, in ``epsilon`` standard deviations."""
         d = len(query)
         turned = p @ query
         low, levels = turned.min(), (1 << QUERY_BITS) - 1
@@ -101,7 +101,7 @@ class Codes:
         # signs = 2 bits - 1: <signs, low + step level> = 2 (low ones + step dot) - (d low + step sum(level))
         signed = 2 * (low * self.ones + step * dot) - (d * low + step * level.sum())
         rounding = step / (2 * self.c)  # of the query's levels
-        return self.scale * signed, self.norm * EPSILON * (np.linalg.norm(query) * self.spread + rounding)
+        return self.scale * signed, self.norm * epsilon * (np.linalg.norm(query) * self.spread + rounding)
 
 
 def _close_to_best(vectors: np.ndarray, norm: np.ndarray, query: np.ndarray, number: np.ndarray, k: int) -> np.ndarray:
@@ -114,10 +114,10 @@ def _close_to_best(vectors: np.ndarray, norm: np.ndarray, query: np.ndarray, num
         return number[~(score < np.partition(score, len(score) - k)[len(score) - k] - slack)]
 
 
-def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors: np.ndarray, codes: Codes, p: np.ndarray, k: int, seed: int = SEED) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors: np.ndarray, codes: Codes, p: np.ndarray, k: int, seed: int = SEED, epsilon: float = EPSILON) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, vector ids, scores) of each query's nearest in this block, nearest first."""
     for i, q in zip(qid.tolist(), queries):
-        estimate, error = codes.bounds(q, p, np.random.default_rng([seed, i % (1 << 64)]))
+        estimate, error = codes.bounds(q, p, np.random.default_rng([seed, i % (1 << 64)]), epsilon)
         other = np.flatnonzero(vid != i)
         if len(other) > FIRST * k:
             # The best by estimate set a score to reach; whoever's upper bound falls short of it stays out.
@@ -131,8 +131,9 @@ def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors:
         yield i, vid[some][best], score[best]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK) -> DataFrame:
-    """(query_id, rank, id_col, score): the k nearest of ``vectors`` for every row of ``queries``."""
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, vector_block: int = VECTOR_BLOCK, epsilon: float = EPSILON) -> DataFrame:
+    """(query_id, rank, id_col, score): the k nearest of ``vectors`` for every row of ``queries``. A wider ``epsilon`` finds more of them and reranks more
+    vectors; with an infinite one all are reranked and the result is exact."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
 
@@ -182,7 +183,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 qid, vid = (part.column(x)[i].values.to_numpy(zero_copy_only=False) for x in ("q_ids", "v_ids"))
                 code, norm, c = (np.frombuffer(part.column(x)[i].as_py(), kind) for x, kind in (("code", np.uint64), ("norm", np.float64), ("c", np.float64)))
                 codes = Codes(code.reshape(len(vid), -1), norm, c, d)
-                found = list(search_block(qid, matrix(part, "q_rows", i), vid, matrix(part, "v_rows", i), codes, p, k))
+                found = list(search_block(qid, matrix(part, "q_rows", i), vid, matrix(part, "v_rows", i), codes, p, k, epsilon=epsilon))
                 times = [len(x[1]) for x in found]
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat([x[0] for x in found], times).astype(np.int64), "vec": np.concatenate([x[1] for x in found]), "score": np.concatenate([x[2] for x in found])})
 

@@ -36,6 +36,14 @@ def test_recall(spark, sf_dir, blocks):
     assert all(list(x) == sorted(x, key=lambda y: (-y[1], y[0])) and len(x) == 20 for x in got.values())
 
 
+def test_an_infinite_width_is_exact(spark):
+    """The second scale, where the usual width misses one neighbour of 500."""
+    v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in v.collect()]
+    want = brute(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    assert nearest(v, v.filter("vec_id % 20 = 0"), 20, epsilon=float("inf")) == want
+
+
 def test_edges(spark):
     rows = [(0, [1.0, 2.0, 0.0]), (20, [1.0, 2.0, 0.0]), (1, [1.0, 2.0, 0.0]), (2, [0.0, 0.0, 0.0]), (3, None), (4, [1.0, None, 2.0]), (5, [float("nan"), 1.0, 1.0]), (6, [float("inf"), 1.0, 1.0]), (7, [1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (40, [-1.0, 0.0, 0.5]), (60, []), (8, [3.0, 0.0, 0.0]), (8, [3.0, 0.0, 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash")).withColumn("v", F.lit(1))
