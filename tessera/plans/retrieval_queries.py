@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import grounding, metrics, rules, vector
+from ..operators.vector_index import VectorIndex
+from ..sources.store import shared_folder
 from .common import PROBES_SQL, probes, table
 from .document_queries import _EMAIL, _ESCALATION_SQL, _ID, _PHONE, _RE
 
@@ -33,6 +35,16 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.apply_floor(found, 0.05).select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
+@query(ORACLE_SQL["vector_topk_filtered"])
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through an index of cells, built over all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.filter("vec_id = 0").select("embedding").first()
+    index = VectorIndex.build(vectors, shared_folder(spark, "index"))
+    found = index.search(asked["embedding"] if asked else [], 8, F.col("label") == 3)
+    return vector.apply_floor(found, 0.05).select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
 _RANKED = f"""ranked as (
   select q.vec_id as query_id, q.label as query_label, v.vec_id, v.label, row_number() over (partition by q.vec_id order by {_COS.format(a="v.embedding", b="q.embedding")} desc, v.vec_id) as rank,
     {_COS.format(a="v.embedding", b="q.embedding")} as similarity from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0)"""

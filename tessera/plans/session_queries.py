@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import sessions as S
 from ..operators import telemetry, usage as U
+from ..sources.store import Store, shared_folder
 from .common import USAGE_SQL, table, turns, usage
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -74,7 +75,26 @@ def upsert_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     due = S.due_summaries(turns(spark, sf_dir), old, 4, 2)
     text = F.when(F.col("session_id") % 2 == 0, F.concat(F.lit("new "), F.col("session_id")))
     new = due.select("session_id", F.lit(None).cast("string").alias("employee_id"), text.alias("summary_text"), F.col("watermark").alias("summarized_through_turn"), F.lit("2024-03-01").cast("timestamp").alias("updated_at"))
-    return S.upsert_summaries(old, new).drop("updated_at")
+    return S.upsert_summaries(_with_earlier(old), _with_earlier(new)).drop("updated_at")
+
+
+def _with_earlier(summaries: DataFrame) -> DataFrame:
+    """Each row twice, once as an earlier one of the same session that does not count."""
+    earlier = summaries.withColumns({"updated_at": F.col("updated_at") - F.expr("interval 1 day"), "summary_text": F.lit("earlier"), "employee_id": F.lit("nobody"), "summarized_through_turn": F.lit(0).cast("long")})
+    return summaries.unionByName(earlier)
+
+
+@query(ORACLE_SQL["upsert_summaries"])
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in a store: the old summaries are one version, the new ones the next, each session more than once in either."""
+    old = _summaries(spark, sf_dir)
+    due = S.due_summaries(turns(spark, sf_dir), old, 4, 2)
+    text = F.when(F.col("session_id") % 2 == 0, F.concat(F.lit("new "), F.col("session_id")))
+    new = due.select("session_id", F.lit(None).cast("string").alias("employee_id"), text.alias("summary_text"), F.col("watermark").alias("summarized_through_turn"), F.lit("2024-03-01").cast("timestamp").alias("updated_at"))
+    store = Store(spark, shared_folder(spark, "store"))
+    store.transaction().upsert("summaries", "session_id", _with_earlier(old), ["updated_at"]).commit()
+    store.transaction().upsert("summaries", "session_id", _with_earlier(new).select(old.columns), ["updated_at"], keep=["employee_id", "summary_text"]).commit()
+    return store.read("summaries").drop("updated_at")
 
 
 @query(f"""with sessions as (select session_id, 'e' || (session_id // 10) as employee_id from (select distinct session_id from {_TURNS} union select distinct session_id + 1000000 from {_TURNS})),
