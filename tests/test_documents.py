@@ -1,11 +1,10 @@
 """Chunking, ingestion, layout and sources on fixtures of our own."""
 
 import datetime
+import random
 import re
 
 import pytest
-from hypothesis import HealthCheck, given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking as C
@@ -52,14 +51,11 @@ def expected_sections(body, title):
     lines = body.splitlines()
     heads = {i: (len(m[1]), m[2]) for i, m in ((i, HEADING.match(x)) for i, x in enumerate(lines)) if m}
     first = min((i for i in heads), default=len(lines))
-    if first in heads and heads[first][0] == 1 and heads[first][1].lower() == title.lower() and not any(x.strip() for x in lines[:first]):
-        del heads[first]  # the title line
-        lines[first] = ""
-        again = min(heads, default=len(lines))
-        while again in heads and heads[again][0] == 1 and heads[again][1].lower() == title.lower() and not any(x.strip() for x in lines[:again]):
-            del heads[again]
-            lines[again] = ""
-            again = min(heads, default=len(lines))
+    while first in heads and heads[first][0] == 1 and heads[first][1].lower() == title.lower():
+        del heads[first]  # a title line
+        del lines[first]
+        heads = {i - (i > first): h for i, h in heads.items()}
+        first = min(heads, default=len(lines))
     open_at = lambda i: [h for h in sorted(heads) if h < i and not any(h < g < i and heads[g][0] <= heads[h][0] for g in heads)]
     groups = {}
     for i, line in enumerate(lines):
@@ -77,16 +73,26 @@ def expected_merge(sections, least):
     return [(sections[k][0], "\n\n".join([sections[k][1], *(labelled(i) for i in sorted(goes) if goes[i] == k)])) for k in stay]
 
 
-@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.integers(0, 4), st.text("abc", min_size=1, max_size=30)), max_size=14), st.integers(1, 6))
-def test_sections_and_merging(spark, lines, least):
-    body = "\n".join(("#" * n + " " if n else "") + t for n, t in lines)
-    row = spark.createDataFrame([(body, "abc")], "body string, title string")
-    parts = row.select(C.sections(F.col("body"), F.col("title")).alias("s")).first()["s"]
-    want = expected_sections(body, "abc")
-    assert [(list(p["path"]), p["text"]) for p in parts] == want
-    merged = row.select(C.merge_small(C.sections(F.col("body"), F.col("title")), least).alias("s")).first()["s"]
-    assert [(list(p["path"]), p["text"]) for p in merged] == expected_merge(want, least)
+def test_sections_and_merging(spark):
+    """Some hundred small documents at once: headings of any level, titles, repeated names, short sections."""
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        lines = []
+        for _ in range(rng.randrange(15)):
+            n, text = rng.randrange(5), "".join(rng.choice("abc") for _ in range(rng.choice([1, 1, 3, 3, 12, 30])))
+            lines.append(("#" * n + " " if n else "") + text)
+        heading = next((i for i, x in enumerate(lines) if x.startswith("#")), None)
+        if heading and rng.random() < 0.5:
+            lines[heading] = "# abc"
+            lines[:heading] = []
+        rows.append(("\n".join(lines), "ABC", rng.randrange(1, 7)))
+    df = spark.createDataFrame(rows, "body string, title string, least int")
+    parts = C.sections(F.col("body"), F.col("title"))
+    for r in df.select("*", parts.alias("s"), C.merge_small(parts, F.col("least")).alias("m")).collect():
+        want = expected_sections(r["body"], r["title"])
+        assert [(list(p["path"]), p["text"]) for p in r["s"]] == want, r["body"]
+        assert [(list(p["path"]), p["text"]) for p in r["m"]] == expected_merge(want, r["least"]), r["body"]
 
 
 def test_repeated_header_keys(spark):
