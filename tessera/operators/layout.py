@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.patterns import is_page_number
-from ..functions.text import fold_case, strip
+from ..functions.text import fold_case, let, strip
 
 MARGIN, REPEATED = 0.10, 0.6
 LARGER, LONGEST, DEEPEST = 0.9, 90, 3
@@ -19,8 +19,8 @@ GAP = 4.0
 
 def line_size(sizes: Column) -> Column:
     """The mean of the characters' sizes to half points; 0 where none has one."""
-    known = F.filter(sizes, lambda x: x.isNotNull() & (x != 0))
-    return F.coalesce(F.bround(2 * F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known))) / 2, F.lit(0.0))
+    mean = lambda known: F.try_divide(F.aggregate(known, F.lit(0.0), lambda s, x: s + x), F.size(known))
+    return F.coalesce(F.bround(2 * let(F.filter(sizes, lambda x: x != 0), mean)) / 2, F.lit(0.0))
 
 
 def line_bold(fonts: Column) -> Column:
@@ -30,16 +30,24 @@ def line_bold(fonts: Column) -> Column:
 
 
 def line_rows(chars: DataFrame) -> DataFrame:
-    """Lines from characters (doc, page, line, pos, char, top, bottom, size, font, height)."""
+    """Lines from characters (doc, page, line, pos, char, top, bottom, size, font, height) that lie in rows of their own: all of them are shuffled. ``lines_of`` is
+    for characters that come by the line."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "char"))), lambda c: c["char"]), "")
-    fonts = F.collect_list(F.coalesce("font", F.lit("")))
+    known = F.when(F.col("size") != 0, F.col("size"))
     rows = chars.groupBy("doc", "page", "line").agg(
-        strip(text).alias("text"), F.min("top").alias("top"), F.max("bottom").alias("bottom"),
-        line_size(F.collect_list("size")).alias("size"), line_bold(fonts).alias("bold"), F.max("height").alias("height"),
+        strip(text).alias("text"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.coalesce(F.bround(2 * F.avg(known)) / 2, F.lit(0.0)).alias("size"),
+        (F.count_if(F.lower("font").contains("bold")) * 2 >= F.count("*")).alias("bold"), F.max("height").alias("height"),
     )
     return rows.filter("text <> ''")
 
 
+def lines_of(lines: DataFrame) -> DataFrame:
+    """The same from lines (doc, page, line, chars, sizes, fonts, top, bottom, height) with arrays of their characters in order: each line is made in its row, nothing is shuffled."""
+    made = F.struct(strip(F.array_join("chars", "")).alias("text"), "top", "bottom", line_size(F.col("sizes")).alias("size"), line_bold(F.col("fonts")).alias("bold"), "height")
+    # A filter of rows would be pushed below the text, which would be made twice.
+    return lines.select("doc", "page", "line", F.inline(F.filter(F.array(made), lambda m: m["text"] != "")))
+
+
 def outside_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Lines whose middle lies in no table's box (doc, page, top, bottom) of their page, give or take one."""
     boxes = tables.select(F.col("doc").alias("_d"), F.col("page").alias("_p"), F.col("top").alias("_t"), F.col("bottom").alias("_b"))

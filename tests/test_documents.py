@@ -1,6 +1,7 @@
 """Chunking, ingestion, layout and sources on fixtures of our own."""
 
 import datetime
+import hashlib
 import random
 import re
 
@@ -267,3 +268,25 @@ def test_lines_of_characters_and_tables(spark):
     assert (row["text"], row["size"], row["bold"]) == ("Hey", 10.0, True)
     table = spark.createDataFrame([([["h", None], [" ", ""], ["a\nb", "c", "d"]],), ([[None]],)], "rows array<array<string>>")
     assert [r[0] for r in table.select(L.table_markdown(F.col("rows"))).collect()] == ["| h |  |  |\n| --- | --- | --- |\n| a b | c | d |", ""]
+
+
+def test_lines_of_documents_are_made_without_a_shuffle(spark, tmp_path):
+    from tessera.plans.document_queries import QUERIES
+
+    wide = chr(0x1F600)
+    spark.createDataFrame([(1, f"a{wide}b \n\nsecond\n"), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["character_lines"](spark, str(tmp_path))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    assert {(r["doc"], r["line"]): (r["text_sha256"], r["size"]) for r in found.collect()} == {(1, 0): (sha(f"a{wide}b"), 9.0), (1, 2): (sha("second"), 11.0)}
+
+
+def test_lines_from_rows_and_from_arrays_of_characters_agree(spark):
+    rng = random.Random(5)
+    chars = [(d, p, n, i, rng.choice("ab "), rng.random(), 2 + rng.random(), rng.choice([None, 0.0, 9.0, 10.5, 12.0]), rng.choice([None, "X", "X-BOLD"]), 50.0) for d in "de" for p in range(2) for n in range(30) for i in range(rng.randrange(1, 9))]
+    rng.shuffle(chars)
+    rows = spark.createDataFrame(chars, "doc string, page int, line int, pos int, char string, top double, bottom double, size double, font string, height double")
+    sorted_ = rows.groupBy("doc", "page", "line").agg(F.array_sort(F.collect_list(F.struct("pos", "char", "size", "font"))).alias("c"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.first("height").alias("height"))
+    lines = sorted_.select("doc", "page", "line", F.col("c.char").alias("chars"), F.col("c.size").alias("sizes"), F.col("c.font").alias("fonts"), "top", "bottom", "height")
+    by = lambda df: sorted(tuple(r) for r in df.select("doc", "page", "line", "text", "top", "bottom", "size", "bold", "height").collect())
+    assert by(L.lines_of(lines)) == by(L.line_rows(rows))
