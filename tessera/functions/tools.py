@@ -134,8 +134,8 @@ def run_calls(calls: DataFrame, tickets: DataFrame, vectors: DataFrame, question
     search = fine.filter("tool = 'search_kb'").select(*keys, arg("question").alias("question"), arg("category").alias("_category"))
     listed = F.col("_category").isNull() | F.col("_category").isin(SEARCH_CATEGORIES)
     pairs = search.filter(listed).select("question", F.coalesce("_category", F.lit("")).alias("_wanted")).distinct().join(questions, "question")
-    queries = pairs.select(F.to_json(F.struct("question", "_wanted")).alias("query_id"), F.col("vector").alias("query"), "_wanted")
-    found = batch_top_k(vectors, queries, k, id_col="chunk_id", carry=["_wanted"], where=(F.col("_wanted") == "") | (F.col("_wanted") == F.col("category")))
+    queries = pairs.select(F.to_json(F.struct("question", "_wanted")).alias("query_id"), F.col("vector").alias("query"), F.nullif("_wanted", F.lit("")).alias("_wanted"))
+    found = batch_top_k(vectors, queries, k, id_col="chunk_id", columns=[], match=("_wanted", "category"))
     counts = found.filter(F.col("similarity") >= floor).groupBy("query_id").agg(F.count("*").alias("_n"))
     search = search.withColumn("query_id", F.to_json(F.struct("question", F.coalesce("_category", F.lit("")).alias("_wanted")))).join(counts, "query_id", "left")
     n = F.coalesce("_n", F.lit(0))

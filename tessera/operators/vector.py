@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .vector_blocks import nearest_in_block
 
 TOP_K = 8
 FLOOR = 0.5
-#: Queries of one block of a batch.
-QUERY_BLOCK = 2048
+#: Queries and rows of one block of a batch, at most on average.
+QUERY_BLOCK = ROW_BLOCK = 16_384
 
 
 def collection(spark: SparkSession, name: str, schema: str = "id string, text string, embedding array<float>, metadata map<string,string>") -> DataFrame:
@@ -57,24 +62,40 @@ def apply_floor(ranked: DataFrame, floor: float = FLOOR) -> DataFrame:
     return ranked.filter(F.col("similarity") >= floor)
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query", salts: int = 64, where: Column | None = None, carry: list[str] = ()) -> DataFrame:
-    """Every query's k nearest rows: (query_id, rank, similarity and the columns of ``vectors``).
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query", columns: list[str] | None = None, match: tuple[str, str] | None = None, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
+    """Every query's k nearest rows: (query_id, rank, similarity and ``columns`` of ``vectors``, by default all but the vector).
 
-    Queries are dealt into blocks of QUERY_BLOCK and rows into ``salts`` parts; every block meets every part through an equi-join on both
-    numbers. One block of queries is small enough for Spark to broadcast by its own size check, and then no row moves; beyond,
-    rows are sent once for each block. A query whose id equals a row's id does not meet itself. ``where`` filters pairs before ranking; it may
-    name the rows' columns and those that ``carry`` takes along from the queries.
+    Queries and rows are dealt into blocks, and every block of queries meets every block of rows in a group of its own: a matrix product tells which pairs may be
+    among the best, and only these are scored, in the order of ``dot``. A group gives k rows a query at most. Pairs without a similarity come last, ties go to the smaller id.
+    A query whose id equals a row's id does not meet itself; rows and queries without an id take no part. ``match`` names a column of the queries and one of the rows: a
+    query with a value there meets only rows with the same one, a query with null meets all. The work is the number of pairs; what a task holds is bounded by the blocks.
     """
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    columns = [c for c in vectors.columns if c != vector_col] if columns is None else columns
+    query_key, row_key = F.col(query_id), F.col(id_col)
+    if queries.schema[query_id].dataType != vectors.schema[id_col].dataType:
+        query_key, row_key = query_key.cast("string"), row_key.cast("string")
+    wanted, given = (F.col(match[0]), F.col(match[1])) if match else (F.lit(None).cast("string"), F.lit(None).cast("string"))
+    asked = queries.filter(F.col(query_id).isNotNull()).select(F.col(query_id), F.col(query_vector).alias("_q"), norm(F.col(query_vector)).alias("_qn"), query_key.alias("_qkey"), wanted.alias("_qmatch"))
+    kept = [F.col(c).alias(f"_c{n}") for n, c in enumerate(columns)]
+    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"), norm(F.col(vector_col)).alias("_n"), row_key.alias("_key"), given.alias("_match"), *kept)
+    n_queries, n_rows = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (vectors, row_block)))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = vectors.withColumn("_n", norm(F.col(vector_col))).withColumn("_salt", part(id_col, salts)).withColumn("_block", each(blocks))
-    asked = queries.select(F.col(query_id), F.col(query_vector).alias("_q"), norm(F.col(query_vector)).alias("_qn"), part(query_id, blocks).alias("_block"), *carry).withColumn("_salt", each(salts))
-    met = rows.join(asked, ["_block", "_salt"]).filter(F.col(query_id) != F.col(id_col))
-    met = met if where is None else met.filter(where)
-    met = met.withColumn("similarity", _over(dot(F.col(vector_col), F.col("_q")), F.col("_n") * F.col("_qn"))).drop("_q", "_qn", "_n", "_block", "_salt", *carry)
-    order = Window.partitionBy(query_id).orderBy(F.desc("similarity"), id_col)
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked = asked.withColumn("_qb", part(query_id, n_queries)).withColumn("_rb", each(n_rows))
+    rows = rows.withColumn("_rb", part("_id", n_rows)).withColumn("_qb", each(n_queries))
+
+    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+        i, j, similarity = nearest_in_block(q, r, k) if q.num_rows and r.num_rows else ([], [], np.zeros(0))
+        i, j = pa.array(i, pa.int64()), pa.array(j, pa.int64())
+        out = {"_query": q.column(query_id).take(i), "_id": r.column("_id").take(j), "_similarity": pa.array(similarity, pa.float64(), mask=np.isnan(similarity))}
+        return pa.table(out | {f"_c{n}": r.column(f"_c{n}").take(j) for n in range(len(columns))})
+
+    field = lambda name, df, c: StructField(name, df.schema[c].dataType)
+    schema = StructType([field("_query", queries, query_id), field("_id", vectors, id_col), StructField("_similarity", DoubleType()), *(field(f"_c{n}", vectors, c) for n, c in enumerate(columns))])
+    met = asked.groupBy("_qb", "_rb").cogroup(rows.groupBy("_qb", "_rb")).applyInArrow(meet, schema)
+    order = Window.partitionBy("_query").orderBy(F.desc("_similarity"), "_id")
+    best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.select(F.col("_query").alias(query_id), *(F.col(f"_c{n}").alias(c) for n, c in enumerate(columns)), F.col("_similarity").alias("similarity"), "rank")
 
 
 def answer_gate(retrieved: Column, answer: Column, canned: str = "I could not find this in the documents.") -> Column:

@@ -1,5 +1,9 @@
 """Vectors, grounding and metrics: borders, and the shapes of plans that must hold at scale."""
 
+import random
+
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import grounding as G
@@ -78,3 +82,35 @@ def test_collection_is_created_once(spark, tmp_path):
         assert spark.sql("show tblproperties probe_vectors.chunks ('space')").first()["value"] == "cosine"
     finally:
         spark.sql("drop database probe_vectors cascade")
+
+
+def by_pairs(v, q, k, match=None):
+    """The same by all pairs and a window."""
+    met = v.join(q, F.col("query_id") != F.col("vec_id")).filter(match or "true").withColumn("s", V.cosine(F.col("embedding"), F.col("query")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))
+    return sorted((r["query_id"], r["rank"], r["vec_id"], repr(r["s"])) for r in met.withColumn("rank", rank).filter(F.col("rank") <= k).collect())
+
+
+def test_batches_by_matrix_products_are_exact(spark, monkeypatch):
+    """Copies, scaled copies, zeros, tiny and huge ones, other lengths, nulls and components that are not finite."""
+    rng = random.Random(3)
+    nan, inf = float("nan"), float("inf")
+    base = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(40)]
+    odd = [None, [0.0] * 5, [1e-200] * 5, [1e-150, 0.0, 0.0, 1e-151, 0.0], [1e160] * 5, [1e150, -1e150, 1.0, 0.0, 2.0], [1.0, 2.0], [nan] * 5, [inf, 0.0, 1.0, 1.0, 1.0], [1.0, None, 0.0, 1.0, 1.0], [], [-1e-310] * 5]
+    rows = base + odd * 2 + [[3.0 * x for x in b] for b in base] + base * 4
+    label = [rng.choice(["a", "b", None]) for _ in rows]
+    kinds = "vec_id long, embedding array<double>, label string"
+    v = spark.createDataFrame([(n, r, x) for n, (r, x) in enumerate(zip(rows, label))], kinds).cache()
+    q = v.filter("vec_id < 60").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.when(F.col("label") == "a", "a").alias("wanted"))
+    got = lambda **given: sorted((r["query_id"], r["rank"], r["vec_id"], repr(r["similarity"])) for r in V.batch_top_k(v, q, **given).collect())
+    for k in (1, 7, 1 << 30):
+        assert got(k=k, row_block=100, query_block=25) == by_pairs(v, q, k)
+    assert got(k=7, match=("wanted", "label"), row_block=100) == by_pairs(v, q, 7, "wanted is null or wanted = label")
+    v.unpersist()
+
+
+@pytest.mark.parametrize("name", ["batch_retrieval"])
+def test_queries_meet_rows_in_blocks(spark, sf_dir, name):
+    from tessera.plans.retrieval_queries import QUERIES
+
+    assert "FlatMapCoGroupsInArrow" in plan_of(QUERIES[name](spark, sf_dir))
