@@ -109,7 +109,7 @@ def test_batches_by_matrix_products_are_exact(spark, monkeypatch):
     v.unpersist()
 
 
-@pytest.mark.parametrize("name", ["batch_retrieval", "answer_gate", "retrieval_metrics"])
+@pytest.mark.parametrize("name", ["batch_retrieval", "answer_gate", "retrieval_metrics", "context_blocks"])
 def test_queries_meet_rows_in_blocks(spark, sf_dir, name):
     from tessera.plans.retrieval_queries import QUERIES
 
