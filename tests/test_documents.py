@@ -290,3 +290,21 @@ def test_lines_from_rows_and_from_arrays_of_characters_agree(spark):
     lines = sorted_.select("doc", "page", "line", F.col("c.char").alias("chars"), F.col("c.size").alias("sizes"), F.col("c.font").alias("fonts"), "top", "bottom", "height")
     by = lambda df: sorted(tuple(r) for r in df.select("doc", "page", "line", "text", "top", "bottom", "size", "bold", "height").collect())
     assert by(L.lines_of(lines)) == by(L.line_rows(rows))
+
+
+def test_an_ingest_run_chunks_each_document_once(spark, sf_dir):
+    from tessera.plans.document_queries import QUERIES
+
+    plan = QUERIES["ingest_run"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "Generate" not in plan
+
+
+def test_what_becomes_of_files_is_told_by_the_file(spark):
+    text = lambda doc, body, category="leave": f"---\ndoc_id: {doc}\ntitle: T\ncategory: {category}\n---\n{body}"
+    files = [("a", text("x", "Some words."), None), ("b", text("x", "# H\n\nMore words.\n"), None), ("c", text("x", " \n"), None), ("d", text("y", "Words", "z"), None), ("e", "Words", None), ("f", None, "cannot be read here"), ("g", "---\ntitle: T\n---\nWords", None)]
+    parsed = spark.createDataFrame([(n, n, m, e) for n, m, e in files], "name string, sha256 string, markdown string, error string")
+    times = []
+    chunks, rows, errors = I.ingested(parsed, lambda df: times.append(1) or df.cache())
+    assert {r["name"]: (r["doc_id"], r["chunk_count"]) for r in rows.collect()} == {"a": ("x", 1), "b": ("x", 1)} and len(times) == 1 and chunks.count() == 2
+    assert {r["name"]: r["error"] for r in errors.collect()} == {"c": "no chunks", "d": "unknown category", "e": "missing header", "f": "cannot be read here", "g": "missing doc_id, missing category"}
+    assert "Exchange" not in I.outcomes(parsed)._jdf.queryExecution().executedPlan().toString()
