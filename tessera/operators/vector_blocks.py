@@ -1,4 +1,4 @@
-"""The nearest rows of a block of queries in a block of rows, for tasks: scores by matrix product, then exactly for those that may be among the best."""
+"""The nearest rows of a block of queries in a block of rows, for tasks: scores by matrix product in single precision, then exactly for those that may be among the best."""
 
 from __future__ import annotations
 
@@ -9,33 +9,40 @@ import pyarrow as pa
 ROWS, QUERIES, PAIRS = 2048, 1024, 65_536
 #: Norms within which products neither overflow nor lose digits; beyond, a row is scored exactly against every query.
 SMALL, LARGE = 1e-140, 1e140
-#: The place of pairs without a similarity, below all others.
+#: The level of pairs without a similarity, below all others.
 NONE = -2.0
+#: Four times the rounding of single precision: of unit vectors of length n, products and what is asked of them are off by less than n + 16 of these, both together.
+ROUNDING = 2.0**-22
 
 
 class Vectors:
-    """Vectors of an Arrow table: which are usable (those with a finite norm), their lengths, and some of them as a matrix."""
+    """Vectors of an Arrow table: which are usable (those with a finite norm), which of these are scored by products alone, their lengths, and some of them as a matrix."""
 
     def __init__(self, table: pa.Table, vector: str, norm: str):
         self.lists = table.column(vector).combine_chunks()
         self.norm = table.column(norm).to_numpy(zero_copy_only=False).astype(np.float64)
         self.length = np.nan_to_num(self.lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64), nan=-1).astype(np.int64)
         self.fine = np.isfinite(self.norm)
+        self.plain = self.fine & (self.length > 0) & ((self.norm == 0) | ((self.norm >= SMALL) & (self.norm <= LARGE)))
 
     def matrix(self, at: np.ndarray) -> np.ndarray:
-        """Rows of one length."""
-        return self.lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), -1)
+        """Rows of one length, as they are given."""
+        return self.lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
 
 
 def _units(m: np.ndarray, norm: np.ndarray) -> np.ndarray:
-    with np.errstate(all="ignore"):
-        return np.where(norm[:, None] > 0, m / norm[:, None], 0.0)
+    """Unit vectors in single precision, made of some rows at a time."""
+    out = np.zeros(m.shape, np.float32)
+    for a in range(0, len(m), ROWS):
+        size = norm[a : a + ROWS, None]
+        np.divide(m[a : a + ROWS].astype(np.float64), size, out=out[a : a + ROWS], where=size > 0, casting="same_kind")
+    return out
 
 
 def _scores(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Similarities row by row, summed in the order of ``vector.dot``; NaN where there is none."""
     with np.errstate(all="ignore"):
-        product = np.add.accumulate(a * b, axis=1)[:, -1] + 0.0 if a.shape[1] else np.zeros(len(a))
+        product = np.add.accumulate(a.astype(np.float64) * b, axis=1)[:, -1] + 0.0 if a.shape[1] else np.zeros(len(a))
         return np.where(size < np.inf, np.where(size == 0, 0.0, product / size), np.nan)
 
 
@@ -56,54 +63,93 @@ def nearest_in_block(queries: pa.Table, rows: pa.Table, k: int) -> tuple[np.ndar
     q, r = Vectors(queries, "_q", "_qn"), Vectors(rows, "_v", "_n")
     (q_key, r_key), (q_match, r_match), (place,) = _codes(queries["_qkey"], rows["_key"]), _codes(queries["_qmatch"], rows["_match"]), _codes(rows["_id"])
     by_match = bool((q_match >= 0).any())
-    odd = r.fine & (r.norm > 0) & ((r.norm < SMALL) | (r.norm > LARGE))
-    odd_query = q.fine & (q.norm > 0) & ((q.norm < SMALL) | (q.norm > LARGE))
     found = []
-    kind = np.where(q.fine, q.length, -1)  # queries of one length meet together; those that cannot be used give no similarity
-    for length in np.unique(kind):
-        group = np.flatnonzero(kind == length)
-        slack = 4e-16 * (max(length, 0) + 8)
+
+    def bar(some: np.ndarray, part: np.ndarray, pairs: np.ndarray, value: float | bool) -> None:
+        """Pairs that may not meet get this value."""
+        pairs[_same(q_key[some], r_key[part])] = value
+        if by_match:
+            pairs[(q_match[some] >= 0)[:, None] & (q_match[some][:, None] != r_match[part][None, :])] = value
+
+    def first(alike: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """Of rows that no query tells apart those of the k + 1 smallest ids: a query meets all but its own, and the others come after these."""
+        return part[_leading(alike, r_match[part] if by_match else np.zeros(len(part), np.int64), place[part], k + 1)]
+
+    # Queries of one length meet together, zero ones apart; those that cannot be used give no similarity.
+    kind = np.where(q.fine, q.length, -1) * 3 + q.plain * np.where(q.norm == 0, 2, 1)
+    for length, state in (divmod(int(code), 3) for code in np.unique(kind)):
+        group = np.flatnonzero(kind == length * 3 + state)
+        plain = state > 0
+        same = r.fine & (r.length == length)
+        by_product = same & r.plain if plain else np.zeros(len(same), bool)
+        near = np.flatnonzero(by_product)
+        near = first(_copies(r.matrix(near)) if state == 1 and len(near) else np.zeros(len(near), np.int64), near)
+        apart = np.flatnonzero(~same)
+        rest = np.sort(np.concatenate([np.flatnonzero(same & ~by_product), first(np.zeros(len(apart), np.int64), apart)]))
+        given = r.matrix(near) if len(near) else None
+        unit = _units(given, r.norm[near]) if len(near) else None
         for qa in range(0, len(group), QUERIES):
             some = group[qa : qa + QUERIES]
-            unit = _units(q.matrix(some), q.norm[some]) if length > 0 else None
-            reach = np.full(len(some), -np.inf)
-            best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            for ra in range(0, rows.num_rows, ROWS):
-                part = np.arange(ra, min(ra + ROWS, rows.num_rows))
-                score = np.full((len(some), len(part)), NONE)
-                usable = np.flatnonzero(r.fine[part] & (r.length[part] == length))
-                if len(usable):
-                    score[:, usable] = 0.0 if unit is None else np.maximum(unit @ _units(r.matrix(part[usable]), r.norm[part[usable]]).T, -1.5)
-                exact = np.zeros(score.shape, bool)
-                if odd[part].any() or odd_query[some].any():
-                    exact = (odd[part][None, :] | odd_query[some][:, None]) & (score > NONE)
-                    score[exact] = NONE
-                barred = _same(q_key[some], r_key[part])
-                score[barred], exact[barred] = -np.inf, False
-                if by_match:
-                    other = (q_match[some] >= 0)[:, None] & (q_match[some][:, None] != r_match[part][None, :])
-                    score[other], exact[other] = -np.inf, False
-                level = reach
-                if k <= len(part):
-                    level = np.maximum(reach, np.partition(score, len(part) - k, axis=1)[:, len(part) - k])
-                i, j = np.nonzero(((score >= (level - slack)[:, None]) & (score > -np.inf)) | exact)
-                value = np.full(len(i), np.nan)
-                same = np.flatnonzero(np.isin(j, usable))
-                for a in range(0, len(same), PAIRS):
-                    at = same[a : a + PAIRS]
-                    x, y = some[i[at]], part[j[at]]
-                    with np.errstate(over="ignore"):
-                        value[at] = _scores(r.matrix(y), q.matrix(x), r.norm[y] * q.norm[x]) if length > 0 else 0.0
-                best = _best(np.concatenate([best[0], i]), np.concatenate([best[1], part[j]]), np.concatenate([best[2], value]), place, k)
-                reach = np.full(len(some), -np.inf)
-                count = np.bincount(best[0], minlength=len(some))
-                last = np.cumsum(count) - 1
-                full = count >= k
-                reach[full] = np.nan_to_num(best[2][last[full]], nan=NONE)
-            found.append((some[best[0]], best[1], best[2]))
+            asked = q.matrix(some) if length > 0 else None
+            best = _Best(len(some), k, place)
+            mine = _units(asked, q.norm[some]) if plain else None
+            for ra in range(0, len(near), ROWS):
+                part = near[ra : ra + ROWS]
+                score = mine @ unit[ra : ra + ROWS].T
+                bar(some, part, score, -np.inf)
+                i, j = _above(score, best.reach, k, ROUNDING * (length + 16))
+                best.add(i, part[j], _pairs(asked, q.norm[some], given[ra : ra + ROWS], r.norm[part], i, j))
+            for ra in range(0, len(rest), ROWS):
+                part = rest[ra : ra + ROWS]
+                scored = same[part]
+                # Pairs without a similarity count only where too few have one.
+                pairs = scored[None, :] | (best.reach <= NONE)[:, None]
+                bar(some, part, pairs, False)
+                i, j = np.nonzero(pairs)
+                value, at = np.full(len(i), np.nan), np.flatnonzero(scored[j])
+                if len(at):
+                    place_of = np.cumsum(scored) - 1
+                    value[at] = _pairs(asked, q.norm[some], r.matrix(part[scored]), r.norm[part[scored]], i[at], place_of[j[at]]) if length > 0 else 0.0
+                best.add(i, part[j], value)
+            found.append((some[best.i], best.j, best.value))
     return tuple(np.concatenate([f[n] for f in found]) for n in range(3))
 
 
+def _copies(m: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for the same bytes."""
+    m = np.ascontiguousarray(m)
+    return np.unique(m.view(np.dtype((np.void, m.itemsize * m.shape[1]))).ravel(), return_inverse=True)[1]
+
+
+def _leading(group: np.ndarray, match: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The positions, in order, of the rows of each group and match that have its k smallest places."""
+    order = np.lexsort((place, match, group))
+    new = np.append(True, (np.diff(group[order]) != 0) | (np.diff(match[order]) != 0))[: len(order)]
+    step = np.cumsum(new | np.append(True, np.diff(place[order]) != 0)[: len(order)])
+    return np.sort(order[step - np.maximum.accumulate(np.where(new, step, 0)) < k])
+
+
+def _above(score: np.ndarray, reach: np.ndarray, k: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that may be among their query's k best: of the level reached so far or, where there is none, of the k-th here, or above; ``score`` is -inf where a pair may not be."""
+    level = reach.copy()
+    new = np.flatnonzero(reach == -np.inf)
+    if len(new) and k <= score.shape[1]:
+        level[new] = np.partition(score[new], score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    # A bound below all products lets all pass but those that may not be.
+    bound = np.maximum(level - slack, NONE).astype(np.float32)
+    return np.divmod(np.flatnonzero((score >= bound[:, None]).ravel()), score.shape[1])
+
+
+def _pairs(a: np.ndarray, a_norm: np.ndarray, b: np.ndarray, b_norm: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The exact similarities of rows i of a matrix and j of another, some pairs at a time."""
+    out = np.zeros(len(i))
+    for at in range(0, len(i), PAIRS):
+        x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+        with np.errstate(over="ignore"):
+            out[at : at + PAIRS] = _scores(b[y], a[x], b_norm[y] * a_norm[x])
+    return out
+
+
 def _same(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of equal keys."""
     order = np.argsort(r, kind="stable")
@@ -113,10 +159,21 @@ def _same(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, order[np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)]
 
 
-def _best(i: np.ndarray, j: np.ndarray, value: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each query, in order: by similarity, those without one last, then by id."""
-    order = np.lexsort((place[j], -value, i))
-    i, j, value = i[order], j[order], value[order]
-    first = np.searchsorted(i, i, "left")
-    kept = np.arange(len(i)) - first < k
-    return i[kept], j[kept], value[kept]
+class _Best:
+    """The k best rows of each query so far, in order: by similarity, those without one last, then by id; ``reach`` is the k-th similarity, -inf with fewer rows."""
+
+    def __init__(self, queries: int, k: int, place: np.ndarray):
+        self.k, self.place, self.reach = k, place, np.full(queries, -np.inf)
+        self.i, self.j, self.value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, i: np.ndarray, j: np.ndarray, value: np.ndarray) -> None:
+        if not len(i):
+            return
+        i, j, value = np.concatenate([self.i, i]), np.concatenate([self.j, j]), np.concatenate([self.value, value])
+        order = np.lexsort((self.place[j], -value, i))
+        i = i[order]
+        kept = np.arange(len(i)) - np.searchsorted(i, i, "left") < self.k
+        self.i, self.j, self.value = i[kept], j[order[kept]], value[order[kept]]
+        count = np.bincount(self.i, minlength=len(self.reach))
+        full = count >= self.k
+        self.reach[full] = np.nan_to_num(self.value[np.cumsum(count)[full] - 1], nan=NONE)

@@ -114,3 +114,82 @@ def test_queries_meet_rows_in_blocks(spark, sf_dir, name):
     from tessera.plans.retrieval_queries import QUERIES
 
     assert "FlatMapCoGroupsInArrow" in plan_of(QUERIES[name](spark, sf_dir))
+
+
+def block(rows, queries, dim=16):
+    """Tables as ``batch_top_k`` gives them to a group; the queries are the first of the rows."""
+    pa, np = pytest.importorskip("pyarrow"), pytest.importorskip("numpy")
+    norm = pa.array(np.sqrt(np.add.accumulate(rows * rows, axis=1)[:, -1]))
+    lists, ids, match = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), dim).cast(pa.list_(pa.float64())), pa.array(np.arange(len(rows))[::-1].copy()), pa.nulls(len(rows), pa.string())
+    asked = pa.table({"_q": lists, "_qn": norm, "_qkey": ids, "_qmatch": match}).slice(0, queries)
+    return asked, pa.table({"_v": lists, "_n": norm, "_key": ids, "_id": ids, "_match": match})
+
+
+def test_copies_are_scored_a_few_times_a_query(monkeypatch):
+    """A common vector does not cost the square of its copies, and levels are looked for once, not in every tile."""
+    import numpy as np
+
+    from tessera.operators import vector_blocks as B
+
+    some = np.random.default_rng(5)
+    rows = some.normal(size=(9000, 16))
+    rows[::3] = rows[0]
+    rows[1::9] = 0
+    asked, given = block(rows, 300)
+    scored, levels, scores, partition = [], [], B._scores, np.partition
+    monkeypatch.setattr(B, "_scores", lambda a, b, size: scored.append(len(a)) or scores(a, b, size))
+    monkeypatch.setattr(B.np, "partition", lambda a, *n, **k: levels.append(a.size) or partition(a, *n, **k))
+    i, j, similarity = B.nearest_in_block(asked, given, 8)
+    assert sum(scored) < 300 * 60 and sum(levels) <= 300 * B.ROWS
+    exact = np.array([[0.0 if not x.any() or not y.any() else float(x @ y / np.sqrt((x @ x) * (y @ y))) for y in rows] for x in rows[:12]])
+    for n in range(12):
+        exact[n, n] = -9
+        best = np.lexsort((-np.arange(9000), -exact[n].round(12)))[:8]
+        assert list(j[i == n]) == list(best) and np.allclose(similarity[i == n], exact[n][best])
+
+
+def test_levels_closer_than_single_precision_are_told_apart(spark):
+    """Differences far below the products' rounding decide, as by all pairs."""
+    rng = random.Random(8)
+    base = [rng.gauss(0, 1) for _ in range(24)]
+    rows = [[x * (1 + rng.gauss(0, 10.0 ** -rng.randint(5, 14))) for x in base] for _ in range(400)] + [base] * 30
+    v = spark.createDataFrame([(n, r) for n, r in enumerate(rows)], "vec_id long, embedding array<double>").cache()
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], repr(r["similarity"])) for r in V.batch_top_k(v, q, k=9, row_block=150).collect())
+    assert got == by_pairs(v, q, 9)
+    v.unpersist()
+
+
+@pytest.mark.parametrize("name", ["answer_gate"])
+def test_queries_score_few_pairs_of_a_common_vector(spark, tmp_path, monkeypatch, name):
+    """Two thirds of the rows, and all queries, are one vector: 60 x 2,000 pairs of copies, of which each query needs eight."""
+    from tessera.plans.retrieval_queries import QUERIES
+
+    rng = random.Random(2)
+    vector = lambda: [rng.gauss(0, 1) for _ in range(8)]
+    common = vector()
+    rows = [(n, common if n % 50 == 0 or n % 3 else vector(), n % 5) for n in range(3000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    count = str(tmp_path / "count")
+
+    def counted(q, r, k):
+        from tessera.operators import vector_blocks as B
+
+        scores = B._scores
+
+        def noted(a, b, size):
+            with open(count, "a") as file:
+                file.write(f"{len(a)}\n")
+            return scores(a, b, size)
+
+        B._scores = noted
+        try:
+            return B.nearest_in_block(q, r, k)
+        finally:
+            B._scores = scores
+
+    monkeypatch.setattr(V, "nearest_in_block", counted)
+    assert len(QUERIES[name](spark, str(tmp_path)).collect()) == (1 if name == "retrieval_metrics" else 60)
+    monkeypatch.undo()
+    with open(count) as file:
+        assert 60 * 8 <= sum(map(int, file)) < 60 * 60
