@@ -160,7 +160,7 @@ def test_levels_closer_than_single_precision_are_told_apart(spark):
     v.unpersist()
 
 
-@pytest.mark.parametrize("name", ["answer_gate"])
+@pytest.mark.parametrize("name", ["answer_gate", "retrieval_metrics"])
 def test_queries_score_few_pairs_of_a_common_vector(spark, tmp_path, monkeypatch, name):
     """Two thirds of the rows, and all queries, are one vector: 60 x 2,000 pairs of copies, of which each query needs eight."""
     from tessera.plans.retrieval_queries import QUERIES
