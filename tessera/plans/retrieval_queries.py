@@ -54,7 +54,7 @@ def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The eight nearest of every vector whose id is divisible by 50: the stated query set."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
-    return vector.batch_top_k(vectors, asked).join(asked.select("query_id", "query_label"), "query_id"), asked
+    return vector.batch_top_k(vectors, asked), asked
 
 
 @query(f"with {_RANKED} select query_id, cast(rank as integer) as rank, vec_id, round(similarity, 6) as similarity from ranked where rank <= 8")
@@ -67,6 +67,7 @@ select avg(case when first_rank <= 1 then 1.0 else 0.0 end) as hit_rate_at_1, av
   avg(case when first_rank <= 8 then 1.0 else 0.0 end) as hit_rate_at_8, round(avg(coalesce(1.0 / first_rank, 0.0)), 9) as mrr, count(*) as questions from firsts""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, asked = _retrieved(spark, sf_dir)
+    found = found.join(asked.select("query_id", "query_label"), "query_id")
     ranks = metrics.first_ranks(found.withColumn("hit", F.col("label") == F.col("query_label")), asked)
     return metrics.retrieval_metrics(ranks, 8).withColumn("mrr", F.round("mrr", 9))
 

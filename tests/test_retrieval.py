@@ -160,7 +160,7 @@ def test_levels_closer_than_single_precision_are_told_apart(spark):
     v.unpersist()
 
 
-@pytest.mark.parametrize("name", ["answer_gate", "retrieval_metrics"])
+@pytest.mark.parametrize("name", ["answer_gate", "retrieval_metrics", "context_blocks"])
 def test_queries_score_few_pairs_of_a_common_vector(spark, tmp_path, monkeypatch, name):
     """Two thirds of the rows, and all queries, are one vector: 60 x 2,000 pairs of copies, of which each query needs eight."""
     from tessera.plans.retrieval_queries import QUERIES
@@ -193,3 +193,18 @@ def test_queries_score_few_pairs_of_a_common_vector(spark, tmp_path, monkeypatch
     monkeypatch.undo()
     with open(count) as file:
         assert 60 * 8 <= sum(map(int, file)) < 60 * 60
+
+
+def test_context_blocks_rank_a_repeated_query_once(spark, tmp_path):
+    """Rows with one id are one query, as in its SQL, and no table is joined for a label that is not asked for."""
+    from tessera.functions import text as T
+    from tessera.plans.retrieval_queries import QUERIES
+
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), *((n, [1.0, float(n)], 2) for n in range(1, 4))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["context_blocks"](spark, str(tmp_path))
+    assert "Join" not in plan_of(found)
+    # Both copies of the query meet all three rows: six ranks, each once.
+    one = F.struct(F.col("n").alias("rank"), F.col("v").cast("string").alias("chunk_id"), F.lit("label").alias("title"), F.lit("2").alias("section_path"), F.concat(F.lit("text "), F.col("v")).alias("text"))
+    want = spark.createDataFrame([(n, 1 + n // 2) for n in range(6)], "n int, v int").agg(F.sha2(T.context_block(F.array_sort(F.collect_list(one))), 256)).first()[0]
+    assert [tuple(r) for r in found.collect()] == [(0, want)]
