@@ -15,10 +15,10 @@ def is_hit(doc: Column, path: Column, text: Column, expected_doc: Column, expect
     return F.coalesce((doc == expected_doc) & ((needle == "") | F.contains(F.lower(path), needle) | F.contains(F.lower(text), needle)), F.lit(False))
 
 
-def first_ranks(ranked: DataFrame, questions: DataFrame, key: str = "query_id", hit: str = "hit") -> DataFrame:
-    """(key, first_rank) for every question: the smallest rank that hits, null if none does."""
+def first_ranks(ranked: DataFrame, questions: DataFrame | None = None, key: str = "query_id", hit: str = "hit") -> DataFrame:
+    """(key, first_rank) for every question, by default those that have a rank: the smallest rank that hits, null if none does."""
     best = ranked.groupBy(key).agg(F.min(F.when(F.col(hit), F.col("rank"))).alias("first_rank"))
-    return questions.select(key).join(best, key, "left")
+    return best if questions is None else questions.select(key).join(best, key, "left")
 
 
 def retrieval_metrics(ranks: DataFrame, top_k: int, depths: list[int] = DEPTHS) -> DataFrame:

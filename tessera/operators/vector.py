@@ -62,8 +62,8 @@ def apply_floor(ranked: DataFrame, floor: float = FLOOR) -> DataFrame:
     return ranked.filter(F.col("similarity") >= floor)
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query", columns: list[str] | None = None, match: tuple[str, str] | None = None, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
-    """Every query's k nearest rows: (query_id, rank, similarity and ``columns`` of ``vectors``, by default all but the vector).
+def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_vector: str = "query", columns: list[str] | None = None, match: tuple[str, str] | None = None, query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK, query_columns: list[str] | None = None) -> DataFrame:
+    """Every query's k nearest rows: (query_id, rank, similarity and ``columns`` of ``vectors``, by default all but the vector, and ``query_columns`` of the query's row, by default none).
 
     Queries and rows are dealt into blocks, and every block of queries meets every block of rows in a group of its own: a matrix product tells which pairs may be
     among the best, and only these are scored, in the order of ``dot``. A group gives k rows a query at most. Pairs without a similarity come last, ties go to the smaller id.
@@ -71,11 +71,12 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col:
     query with a value there meets only rows with the same one, a query with null meets all. The work is the number of pairs; what a task holds is bounded by the blocks.
     """
     columns = [c for c in vectors.columns if c != vector_col] if columns is None else columns
+    told = query_columns or []
     query_key, row_key = F.col(query_id), F.col(id_col)
     if queries.schema[query_id].dataType != vectors.schema[id_col].dataType:
         query_key, row_key = query_key.cast("string"), row_key.cast("string")
     wanted, given = (F.col(match[0]), F.col(match[1])) if match else (F.lit(None).cast("string"), F.lit(None).cast("string"))
-    asked = queries.filter(F.col(query_id).isNotNull()).select(F.col(query_id), F.col(query_vector).alias("_q"), norm(F.col(query_vector)).alias("_qn"), query_key.alias("_qkey"), wanted.alias("_qmatch"))
+    asked = queries.filter(F.col(query_id).isNotNull()).select(F.col(query_id), F.col(query_vector).alias("_q"), norm(F.col(query_vector)).alias("_qn"), query_key.alias("_qkey"), wanted.alias("_qmatch"), *(F.col(c).alias(f"_w{n}") for n, c in enumerate(told)))
     kept = [F.col(c).alias(f"_c{n}") for n, c in enumerate(columns)]
     rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v"), norm(F.col(vector_col)).alias("_n"), row_key.alias("_key"), given.alias("_match"), *kept)
     n_queries, n_rows = (max(1, -(-df.count() // size)) for df, size in ((queries, query_block), (vectors, row_block)))
@@ -88,14 +89,15 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, id_col:
         i, j, similarity = nearest_in_block(q, r, k) if q.num_rows and r.num_rows else ([], [], np.zeros(0))
         i, j = pa.array(i, pa.int64()), pa.array(j, pa.int64())
         out = {"_query": q.column(query_id).take(i), "_id": r.column("_id").take(j), "_similarity": pa.array(similarity, pa.float64(), mask=np.isnan(similarity))}
-        return pa.table(out | {f"_c{n}": r.column(f"_c{n}").take(j) for n in range(len(columns))})
+        return pa.table(out | {f"_c{n}": r.column(f"_c{n}").take(j) for n in range(len(columns))} | {f"_w{n}": q.column(f"_w{n}").take(i) for n in range(len(told))})
 
     field = lambda name, df, c: StructField(name, df.schema[c].dataType)
-    schema = StructType([field("_query", queries, query_id), field("_id", vectors, id_col), StructField("_similarity", DoubleType()), *(field(f"_c{n}", vectors, c) for n, c in enumerate(columns))])
+    schema = StructType([field("_query", queries, query_id), field("_id", vectors, id_col), StructField("_similarity", DoubleType()), *(field(f"_c{n}", vectors, c) for n, c in enumerate(columns)), *(field(f"_w{n}", queries, c) for n, c in enumerate(told))])
     met = asked.groupBy("_qb", "_rb").cogroup(rows.groupBy("_qb", "_rb")).applyInArrow(meet, schema)
     order = Window.partitionBy("_query").orderBy(F.desc("_similarity"), "_id")
     best = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.select(F.col("_query").alias(query_id), *(F.col(f"_c{n}").alias(c) for n, c in enumerate(columns)), F.col("_similarity").alias("similarity"), "rank")
+    given_back = [F.col(f"_{kind}{n}").alias(c) for kind, names in (("c", columns), ("w", told)) for n, c in enumerate(names)]
+    return best.select(F.col("_query").alias(query_id), *given_back, F.col("_similarity").alias("similarity"), "rank")
 
 
 def answer_gate(retrieved: Column, answer: Column, canned: str = "I could not find this in the documents.") -> Column:

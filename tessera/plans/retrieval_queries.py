@@ -50,11 +50,11 @@ _RANKED = f"""ranked as (
     {_COS.format(a="v.embedding", b="q.embedding")} as similarity from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0)"""
 
 
-def _retrieved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _retrieved(spark: SparkSession, sf_dir: str, **given) -> tuple[DataFrame, DataFrame]:
     """The eight nearest of every vector whose id is divisible by 50: the stated query set."""
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("label").alias("query_label"))
-    return vector.batch_top_k(vectors, asked), asked
+    return vector.batch_top_k(vectors, asked, **given), asked
 
 
 @query(f"with {_RANKED} select query_id, cast(rank as integer) as rank, vec_id, round(similarity, 6) as similarity from ranked where rank <= 8")
@@ -66,9 +66,9 @@ def batch_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 select avg(case when first_rank <= 1 then 1.0 else 0.0 end) as hit_rate_at_1, avg(case when first_rank <= 3 then 1.0 else 0.0 end) as hit_rate_at_3, avg(case when first_rank <= 5 then 1.0 else 0.0 end) as hit_rate_at_5,
   avg(case when first_rank <= 8 then 1.0 else 0.0 end) as hit_rate_at_8, round(avg(coalesce(1.0 / first_rank, 0.0)), 9) as mrr, count(*) as questions from firsts""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, asked = _retrieved(spark, sf_dir)
-    found = found.join(asked.select("query_id", "query_label"), "query_id")
-    ranks = metrics.first_ranks(found.withColumn("hit", F.col("label") == F.col("query_label")), asked)
+    """A question is an id with a rank; of rows that share it, each judges its ranks by its own label."""
+    found, _ = _retrieved(spark, sf_dir, query_columns=["query_label"])
+    ranks = metrics.first_ranks(found.withColumn("hit", F.col("label") == F.col("query_label")))
     return metrics.retrieval_metrics(ranks, 8).withColumn("mrr", F.round("mrr", 9))
 
 

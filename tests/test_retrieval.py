@@ -208,3 +208,30 @@ def test_context_blocks_rank_a_repeated_query_once(spark, tmp_path):
     one = F.struct(F.col("n").alias("rank"), F.col("v").cast("string").alias("chunk_id"), F.lit("label").alias("title"), F.lit("2").alias("section_path"), F.concat(F.lit("text "), F.col("v")).alias("text"))
     want = spark.createDataFrame([(n, 1 + n // 2) for n in range(6)], "n int, v int").agg(F.sha2(T.context_block(F.array_sort(F.collect_list(one))), 256)).first()[0]
     assert [tuple(r) for r in found.collect()] == [(0, want)]
+
+
+@pytest.mark.parametrize("rows", [
+    [(n // 2, n % 4) for n in range(300)],  # each id twice, with two labels
+    [(n // 2, n // 2 % 4) for n in range(300)],
+    [(0, 1)], [(0, n) for n in range(4)], [], [(n, None if n % 50 == 0 else n % 4) for n in range(120)],
+])
+def test_retrieval_metrics_count_ids_with_a_rank(spark, tmp_path, rows):
+    """As in its SQL: ids that rows share are one question, judged by each row's label, and one that meets no row is none; no table is joined for the labels."""
+    duckdb = pytest.importorskip("duckdb")
+    from tessera.plans.retrieval_queries import ORACLE_SQL, QUERIES
+
+    rng = random.Random(7)
+    rows = [(n, [rng.gauss(0, 1) for _ in range(8)], label) for n, label in rows]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = QUERIES["retrieval_metrics"](spark, str(tmp_path))
+    assert "Join" not in plan_of(found)
+    with duckdb.connect() as con:
+        con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+        want = con.execute(ORACLE_SQL["retrieval_metrics"]).fetchone()
+    assert tuple(found.first()) == pytest.approx(want, abs=1e-9)
+
+
+def test_first_ranks_of_given_questions(spark):
+    ranked = spark.createDataFrame([(1, 1, False), (1, 2, True), (1, 3, True), (2, 1, False)], "query_id long, rank int, hit boolean")
+    assert sorted(map(tuple, M.first_ranks(ranked).collect())) == [(1, 2), (2, None)]
+    assert sorted(map(tuple, M.first_ranks(ranked, spark.range(1, 4).toDF("query_id")).collect())) == [(1, 2), (2, None), (3, None)]
