@@ -135,6 +135,26 @@ def test_region_that_does_not_divide(spark, monkeypatch, tmp_path):
     assert got == brute_components(rows) and any(stuck)
 
 
+def plans(spark, run):
+    """The plans, as they ran, of all that ``run`` executes."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark._jsparkSession.sharedState().statusStore()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    run()
+    bus.waitUntilEmpty()
+    new = store.executionsList(int(before), int(store.executionsCount() - before))
+    return [new.apply(i).physicalPlanDescription() for i in range(new.size())]
+
+
+def test_joins_send_no_table_through_the_driver(spark, documents, tmp_path):
+    """Files of ids and counts are far smaller than their rows, and all tables here lie under Spark's threshold for broadcasts."""
+    settings = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    before = [spark.conf.get(k, None) for k in settings]
+    ran = plans(spark, lambda: J.near_duplicates(documents).write.parquet(str(tmp_path / "found")))
+    assert sum("Join" in x for x in ran) > 5 and not any("Broadcast" in x for x in ran)
+    assert [spark.conf.get(k, None) for k in settings] == before
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.frozensets(st.integers(0, 14), min_size=1), min_size=3, max_size=14), st.integers(1, 4))
 def test_linked_members_meet_in_a_voronoi_region(sets, k):
