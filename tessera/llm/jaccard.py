@@ -400,7 +400,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     number, key = "__tessera_row", F.col(f"`{id_col}`").cast("long").alias("__tessera_id")
     rows, _ = Scratch(docs.sparkSession, "numbered").write(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
     named = rows.filter(key.isNotNull())
-    found = near_duplicates(named, number, text_col, **options).join(named.select(number, key), number)
+    # A row of ids and numbers for each document, in files too small to show it, so the join is asked for: else all of them may pass through the driver.
+    found = near_duplicates(named, number, text_col, **options).join(named.select(number, key).hint("merge"), number)
     kept = found.groupBy("component_id").agg(F.min(F.struct("__tessera_id", number)).alias("x")).select(F.col(f"x.{number}").alias("__tessera_kept"))
     one = named.join(kept, F.col(number) == F.col("__tessera_kept"), "left_semi").drop(number)
     return one.unionByName(rows.filter(key.isNull()).drop(number))

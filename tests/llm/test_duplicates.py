@@ -155,6 +155,12 @@ def test_joins_send_no_table_through_the_driver(spark, documents, tmp_path):
     assert [spark.conf.get(k, None) for k in settings] == before
 
 
+def test_numbers_of_kept_rows_do_not_pass_through_the_driver(spark, documents, tmp_path):
+    """Nor does the row for each document that finds the one to keep: their number is that of the documents."""
+    ran = plans(spark, lambda: J.keep_one(documents).write.parquet(str(tmp_path / "kept")))
+    assert any("Join" in x for x in ran) and not any(re.search(r"Broadcast\w+Join .*Inner", x) for x in ran)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.frozensets(st.integers(0, 14), min_size=1), min_size=3, max_size=14), st.integers(1, 4))
 def test_linked_members_meet_in_a_voronoi_region(sets, k):
