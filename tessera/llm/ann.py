@@ -41,8 +41,10 @@ EPSILON = 2.5
 QUERY_BITS = 6
 #: Times k candidates are scored exactly to begin with.
 FIRST = 4
-#: Queries and vectors of one block, and bytes of its vectors in double precision, at most.
+#: Queries and vectors of one block, and bytes of its vectors in double precision, at most. Where there are more pairs of blocks than TASKS for each
+#: core, up to GATHERED blocks of queries become one, so that vectors are sent less often; which vectors meet in a block stays the same.
 QUERY_BLOCK = 1024
+GATHERED, TASKS = 16, 4
 VECTOR_BLOCK = 16_384
 BLOCK_BYTES = 64 << 20
 SEED = 17
@@ -151,10 +153,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score double")
     d = lengths["d"]
 
-    def blocks(df: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-        """Rows gathered to blocks of about ``size``, dealt by a hash of their number, so that one id may be on any number of rows."""
+    most = max(1, BLOCK_BYTES // (8 * d))
+
+    def blocks(df: DataFrame, size: int, name: str, enough: int | None = None) -> tuple[DataFrame, int]:
+        """Rows gathered to blocks of about ``size``, dealt by a hash of their number, so that one id may be on any number of rows; to larger ones
+        where ``enough`` of them remain."""
         df, _ = scratch.write(df.filter(F.size("v") == d).withColumn("row", F.monotonically_increasing_id()), name)
-        n = max(1, -(-df.count() // size))
+        count = df.count()
+        n = max(1, -(-count // size))
+        if enough is not None:
+            n = min(n, max(enough, -(-count // max(size, min(GATHERED * size, most)))))
         df = df.groupBy(F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias(f"{name}_block")).agg(F.sort_array(F.collect_list(F.struct("id", "row", "v"))).alias("s"))
         return df.select(f"{name}_block", F.col("s.id").alias(f"{name}_ids"), F.flatten("s.v").alias(f"{name}_rows")), n
 
@@ -169,7 +177,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 given = {name: part.column(name)[i : i + 1] for name in part.schema.names}
                 yield pa.RecordBatch.from_pydict({**given, "code": [found.code.tobytes()], "norm": [found.norm.tobytes()], "c": [found.c.tobytes()]})
 
-    (asked, q_blocks), (rows, v_blocks) = blocks(asked, query_block, "q"), blocks(rows, min(vector_block, max(1, BLOCK_BYTES // (8 * d))), "v")
+    rows, v_blocks = blocks(rows, min(vector_block, most), "v")
+    asked, q_blocks = blocks(asked, query_block, "q", -(-TASKS * spark.sparkContext.defaultParallelism // v_blocks))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
     rows, _ = scratch.write(rows.mapInArrow(code, f"{kinds}, code binary, norm binary, c binary"), "coded")
     # Every block of queries meets every block of vectors in a task of their own: the query set against all rows, in blocks.
@@ -187,7 +196,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                 times = [len(x[1]) for x in found]
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat([x[0] for x in found], times).astype(np.int64), "vec": np.concatenate([x[1] for x in found]), "score": np.concatenate([x[2] for x in found])})
 
-    met = rows.join(asked, ["q_block", "v_block"]).select("q_ids", "q_rows", "v_ids", "v_rows", "code", "norm", "c").mapInArrow(search, "query_id long, vec long, score double")
+    # Blocks look small by the files that they were written to, and a copy for each block of the other side does not: without the hint, all queries
+    # times the blocks of vectors may pass through the driver.
+    met = rows.join(asked.hint("merge"), ["q_block", "v_block"]).select("q_ids", "q_rows", "v_ids", "v_rows", "code", "norm", "c").mapInArrow(search, "query_id long, vec long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec")
     ranked = met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("vec").alias(id_col), "score")

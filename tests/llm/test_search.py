@@ -1,6 +1,7 @@
 """One-bit codes and dated URL lists: against brute force, the SQL, and edge rows."""
 
 import datetime
+import re
 
 import duckdb
 import numpy as np
@@ -77,6 +78,27 @@ def test_runs_agree_whatever_the_blocks_and_huge_components_are_scored(spark):
         assert found.keys() == want.keys() and np.mean([len({j for j, _ in found[i]} & {j for j, _ in want[i]}) / 5 for i in want]) > 0.97
 
 
+def test_queries_do_not_pass_through_the_driver(spark, sf_dir):
+    """All tables here lie under Spark's threshold for broadcasts."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = ann.nearest(v, v.filter("vec_id % 20 = 0"), 20, vector_block=64)
+    assert found.count() > 0 and "Broadcast" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "SortMergeJoin" in plan
+
+
+def test_many_blocks_of_queries_become_one(spark, monkeypatch):
+    """Vectors are sent once for each block of queries: with 24 of them, of 5, two remain, and the result is the same."""
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, rng.standard_normal(16).tolist()) for i in range(600)], "vec_id long, embedding array<double>").repartition(3)
+    got, dealt = [], []
+    for gathered in (1, 16):
+        monkeypatch.setattr(ann, "GATHERED", gathered)
+        df = ann.nearest(v, v.filter("vec_id % 5 = 0"), 5, query_block=5, vector_block=10)
+        got.append(sorted(tuple(r) for r in df.collect()))
+        dealt.append(set(re.findall(r"pmod\(xxhash64\([^)]*\), (\d+)\)", df._jdf.queryExecution().optimizedPlan().toString())))
+    assert dealt == [{"24"}, {"2"}]
+    assert got[0] == got[1] and len(got[0]) == 600
+
+
 def test_vectors_of_floats_and_numbers(spark):
     rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)]
     for kind in ("float", "int"):
