@@ -351,7 +351,7 @@ def _sizes(k: int):
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id) for every row."""
     docs = X.columns_of(docs, id_col, text_col)
-    scratch = Scratch(docs.sparkSession, "jaccard", shuffled=True)
+    scratch = Scratch(docs.sparkSession, "jaccard", bounded=True)
     table, table_at = scratch.write(shared_sets(docs, scratch, shingle, percent), "sets")
     close = table.filter("tokens is not null")
     nodes = close.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "tokens")).alias("x"))

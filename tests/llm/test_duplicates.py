@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from tessera.llm import exchange as X
 from tessera.llm import jaccard as J
+from tessera.llm import scratch
 from tessera.llm import substring as S
 from tessera.llm.components import components
 from tessera.llm.scratch import Scratch
@@ -146,8 +147,9 @@ def plans(spark, run):
     return [new.apply(i).physicalPlanDescription() for i in range(new.size())]
 
 
-def test_joins_send_no_table_through_the_driver(spark, documents, tmp_path):
-    """Files of ids and counts are far smaller than their rows, and all tables here lie under Spark's threshold for broadcasts."""
+def test_joins_send_no_table_through_the_driver(spark, documents, tmp_path, monkeypatch):
+    """Files of ids and counts are far smaller than their rows; all tables here lie under Spark's threshold for broadcasts, but not under our own."""
+    monkeypatch.setattr(scratch, "SMALL", 1, raising=False)
     settings = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     before = [spark.conf.get(k, None) for k in settings]
     ran = plans(spark, lambda: J.near_duplicates(documents).write.parquet(str(tmp_path / "found")))
@@ -155,8 +157,9 @@ def test_joins_send_no_table_through_the_driver(spark, documents, tmp_path):
     assert [spark.conf.get(k, None) for k in settings] == before
 
 
-def test_numbers_of_kept_rows_do_not_pass_through_the_driver(spark, documents, tmp_path):
+def test_numbers_of_kept_rows_do_not_pass_through_the_driver(spark, documents, tmp_path, monkeypatch):
     """Nor does the row for each document that finds the one to keep: their number is that of the documents."""
+    monkeypatch.setattr(scratch, "SMALL", 1, raising=False)
     ran = plans(spark, lambda: J.keep_one(documents).write.parquet(str(tmp_path / "kept")))
     assert any("Join" in x for x in ran) and not any(re.search(r"Broadcast\w+Join .*Inner", x) for x in ran)
 
